@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module that defines ``query(spark, sf_dir)`` and ``ORACLE_SQL`` (None where SQL can't express it).
 MODULES = {
+    "op3_embedding_near_dedup": "embedding_dedup",
+    "op6_exact_topk": "topk",
     "op1_token_files": "token_files",
     "op10_packing": "packing",
 }
