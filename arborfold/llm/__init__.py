@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module that defines ``query(spark, sf_dir)`` and ``ORACLE_SQL`` (None where SQL can't express it).
 MODULES = {
+    "op9_toxicity": "toxicity",
+    "op8_hilbert_sharding": "sharding",
+    "op5_source_mixing": "mixing",
     "op4_minhash_near_dedup": "minhash_dedup",
     "op3_embedding_near_dedup": "embedding_dedup",
     "op6_exact_topk": "topk",
