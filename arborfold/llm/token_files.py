@@ -166,10 +166,18 @@ def write_token_files(
     return manifest
 
 
-def read_token_files(manifest: DataFrame) -> DataFrame:
-    """Documents of the files: doc_id, start (ids of all documents before it), ids (unsigned 32-bit, little-endian)."""
+def read_token_files(manifest: DataFrame, digest: bool = False) -> DataFrame:
+    """Documents of the files: doc_id, start (ids of all documents before it), ids (unsigned 32-bit, little-endian).
+
+    With ``digest``, each document's ids are summed up where they are read: n_tokens and ids_crc32 in place of ids.
+    """
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("path", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
+    names = ["doc_id", "start", *(["n_tokens", "ids_crc32"] if digest else ["ids"])]
+    kinds = [pa.int64(), pa.int64(), *([pa.int64()] * 2 if digest else [pa.binary()])]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,22 +185,19 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 file = TokenFile(path)
                 rows, size = [], 0
                 for doc_id, start, ids in file.documents():
-                    rows.append((doc_id, base + start, ids.astype("<u4").tobytes()))
+                    data = ids.astype("<u4").tobytes()
+                    rows.append((doc_id, base + start, *((len(ids), zlib.crc32(data)) if digest else (data,))))
                     size += len(ids)
                     if size >= 1 << 21:
-                        yield _doc_rows(rows)
+                        yield batch_of(rows)
                         rows, size = [], 0
                 file.close()
                 if rows:
-                    yield _doc_rows(rows)
+                    yield batch_of(rows)
 
     n = max(1, min(manifest.count(), 10_000))
-    return files.repartition(n, "path").mapInArrow(read, "doc_id long, start long, ids binary")
-
-
-def _doc_rows(rows: list[tuple]) -> pa.RecordBatch:
-    a, b, c = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=["doc_id", "start", "ids"])
+    fields = "n_tokens long, ids_crc32 long" if digest else "ids binary"
+    return files.repartition(n, "path").mapInArrow(read, f"doc_id long, start long, {fields}")
 
 
 def with_crc(df: DataFrame, ids: str, out: str = "ids_crc32") -> DataFrame:
@@ -214,4 +219,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and checksum, from the files that hold the ids of the whole table."""
     path = common.new_path(spark, "token-files")
     manifest = write_token_files(common.table(spark, sf_dir, "documents"), path, tokenizer_path())
-    return with_crc(read_token_files(manifest), "ids").withColumnRenamed("n_ids", "n_tokens")
+    return read_token_files(manifest, digest=True)

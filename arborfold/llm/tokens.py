@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -12,6 +13,8 @@ from tokenizers import Tokenizer
 #: A space that follows a non-space starts a new pre-token whatever stands around it.
 _AFTER_WORD = re.compile(r"(?<=\S)(?= )")
 _SPACE_RUN = re.compile(r" (?:\s|$)")
+#: Letters (checked apart), marks, and the same again after a line break.
+_MARKED = re.compile(r"(\w+)([^\w\s]*)(?:\n(\w+)([^\w\s]*))?")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -25,18 +28,21 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class _Words(dict):
-    """Ids of `` word`` by word, as little-endian unsigned 32-bit bytes; emptied when full."""
+class _Kept(dict):
+    """Ids by string, as little-endian unsigned 32-bit bytes. What was not asked for since the last half fill goes."""
 
-    def __init__(self, encode, limit: int):
-        self.encode, self.limit = encode, limit
+    def __init__(self, make, limit: int):
+        self.make, self.limit, self.older = make, limit // 2, {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= 64:
+    def __missing__(self, key: str) -> bytes:
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.make(key)
+        if len(key) <= 64:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
-            self[word] = ids
+            self[key] = ids
         return ids
 
 
@@ -44,30 +50,32 @@ class Encoder:
     """Equal to ``Tokenizer.encode(text, add_special_tokens=False).ids`` with special strings taken as plain text.
 
     A text is cut only before a space that follows a non-space, where the byte-level pre-tokenizer always cuts
-    too. Pieces go through the library's own pre-tokenizer and model; ``limit`` bounds the entries kept.
+    too. Letters with marks behind them, also twice with a line break between, are cut by a pattern; all other
+    pieces by the library's pre-tokenizer. The library's model encodes each part. ``limit`` bounds the words kept.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.model, self.pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.chars = _byte_chars()
-        self.parts = _Words(self._part, limit)
-        self.words = _Words(lambda w: self._piece(" " + w), limit)
-        self.firsts = _Words(self._piece, limit)
+        self.words = _Kept(self._word, limit)  # by word, with a space before it
+        self.parts = _Kept(lambda part: self._ids(part.encode().decode("latin-1").translate(self.chars)), limit // 4)
+        self.firsts = _Kept(self._piece, limit // 8)
 
-    def _part(self, part: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(part)], dtype="<u4").tobytes()
+    def _ids(self, part: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        word = piece[1:] if piece[:1] == " " else piece
-        lead = " " if piece[:1] == " " else ""
+    def _word(self, word: str) -> bytes:
         if word.isalpha():
-            return self.parts[(lead + word).encode().decode("latin-1").translate(self.chars)]
-        if word[:-1].isalpha() and word[-1] in ".,":
-            return self.parts[(lead + word[:-1]).encode().decode("latin-1").translate(self.chars)] + self.parts[word[-1]]
-        return b"".join(self.parts[p] for p, _ in self.pre.pre_tokenize_str(piece))
+            return self._ids((" " + word).encode().decode("latin-1").translate(self.chars))
+        if (m := _MARKED.fullmatch(word)) and m[1].isalpha() and (m[3] is None or m[3].isalpha()):
+            return self.words[m[1]] + b"".join(self.parts[x] for x in (m[2], "\n" * bool(m[3]), m[3], m[4]) if x)
+        return self._piece(" " + word)
+
+    def _piece(self, piece: str) -> bytes:
+        return b"".join(self._ids(p) for p, _ in self.pre.pre_tokenize_str(piece))
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids as unsigned 32-bit integers; none for null or empty text."""
