@@ -1,10 +1,10 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
 Each quantised vector is cut into lists of neighbouring dimensions; its score is the sum of its local scores in
-the lists. Phase 1 gathers the k best local scores of each query and list; the k-th best of the partial sums they
-give is a score that k candidates reach, hence a safe cutoff. Phase 2 sends the cutoff out and collects every
-candidate with, in some list, a local score above its even share of the cutoff: any other candidate stays below
-the cutoff in total. Phase 3 drops candidates whose upper bound is under the k-th best lower bound and works out
+the lists. Phase 1 gathers the k best local scores of each query and list, with the whole scores of those candidates; the
+k-th best of these is a score that k candidates reach, hence a safe cutoff. Phase 2 sends the cutoff out and
+collects every candidate with, in some list, a local score above its even share of the cutoff (any other candidate
+stays below it in total), unless even the shares of its other lists leave it below. Phase 3 drops candidates whose upper bound is under the k-th best lower bound and works out
 the remaining scores exactly.
 """
 
@@ -32,7 +32,7 @@ WITH v AS (
 SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5
 """
 
-CHUNK = 4096
+CHUNK = 1024
 
 
 def quantise(matrix: np.ndarray, scale: float) -> np.ndarray:
@@ -130,41 +130,42 @@ def _search_block(spark: SparkSession, queries: Queries, data: DataFrame, k: int
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = sent.value
         score = np.full((n, m, k), LOW)
-        vec, low = np.zeros((n, m, k), np.int64), np.full((n, m), -LOW - 1)
+        vec, whole, low = np.zeros((n, m, k), np.int64), np.zeros((n, m, k), np.int64), np.full((n, m), -LOW - 1)
         for b in batches:
             for q, ids, _, own, local in block.local(b, scale):
+                total = sum(local)
                 for j, s in enumerate(local):
                     low[q, j] = np.minimum(low[q, j], np.where(own, -LOW - 1, s).min(axis=1))
                     s = np.where(own, LOW, s)
                     if s.shape[1] > k:
                         top = np.argpartition(s, -k, axis=1)[:, -k:]
-                        s, c = np.take_along_axis(s, top, 1), ids[top]
+                        s, c, t = np.take_along_axis(s, top, 1), ids[top], np.take_along_axis(total, top, 1)
                     else:
-                        c = np.broadcast_to(ids, s.shape)
-                    s, c = np.concatenate([score[q, j], s], 1), np.concatenate([vec[q, j], c], 1)
+                        c, t = np.broadcast_to(ids, s.shape), total
+                    s, c, t = (np.concatenate(x, 1) for x in ((score[q, j], s), (vec[q, j], c), (whole[q, j], t)))
                     top = np.argpartition(s, -k, axis=1)[:, -k:]
-                    score[q, j], vec[q, j] = np.take_along_axis(s, top, 1), np.take_along_axis(c, top, 1)
+                    score[q, j], vec[q, j], whole[q, j] = (np.take_along_axis(x, top, 1) for x in (s, c, t))
         q, j, r = np.nonzero(score > LOW)
-        yield _rows("q list vec_id local low", [q, j, vec[q, j, r], score[q, j, r], low[q, j]])
+        yield _rows("q list vec_id local whole low", [q, j, vec[q, j, r], score[q, j, r], whole[q, j, r], low[q, j]])
 
-    lists = common.materialise(data.mapInArrow(gather, "q long, list long, vec_id long, local long, low long"), "topk-lists")
+    lists = common.materialise(data.mapInArrow(gather, "q long, list long, vec_id long, local long, whole long, low long"), "topk-lists")
     best = Window.partitionBy("q", "list").orderBy(F.desc("local"), "vec_id")
-    known: dict[int, dict[int, dict[int, int]]] = {}
+    known: dict[int, dict[tuple[int, int], int]] = {}
     low = np.zeros((n, m), np.int64)
     for r in lists.groupBy("q", "list").agg(F.min("low").alias("low")).collect():
         low[r["q"], r["list"]] = r["low"]
     for r in lists.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).collect():
-        known.setdefault(r["q"], {}).setdefault(r["vec_id"], {})[r["list"]] = r["local"]
+        known.setdefault(r["q"], {})[r["vec_id"], r["whole"]] = r["whole"]
     cutoff = np.full(n, low.sum(axis=1), np.int64)  # fewer than k candidates: all stay
     for q, cands in known.items():
-        sums = sorted((sum(have.get(j, int(low[q, j])) for j in range(m)) for have in cands.values()), reverse=True)
+        sums = sorted(cands.values(), reverse=True)
         if len(sums) >= k:
             cutoff[q] = sums[k - 1]
     share = cutoff - low.sum(axis=1)  # what the lists must reach above their minima, together
-    state = spark.sparkContext.broadcast((low, share))
+    state = spark.sparkContext.broadcast((low, share, cutoff))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, (low, share) = sent.value, state.value
+        block, (low, share, cutoff) = sent.value, state.value
         for b in batches:
             for q, ids, hashes, own, local in block.local(b, scale):
                 total, under, hit = np.zeros(own.shape, np.int64), np.zeros(own.shape), np.zeros(own.shape, bool)
@@ -175,9 +176,10 @@ def _search_block(spark: SparkSession, queries: Queries, data: DataFrame, k: int
                     total += np.where(enough, s, 0)
                     least += np.where(enough, s, low[q, j][:, None])
                     under += np.where(enough, 0.0, low[q, j][:, None] + share[q][:, None] / m)
-                a, c = np.nonzero(hit & ~own)
+                upper = total + np.ceil(under).astype(np.int64)
+                a, c = np.nonzero(hit & ~own & (upper >= cutoff[q][:, None]))
                 if len(a):
-                    yield _rows("q vec_id h lower upper", [q[a], ids[c], hashes[c], least[a, c], total[a, c] + np.ceil(under[a, c])])
+                    yield _rows("q vec_id h lower upper", [q[a], ids[c], hashes[c], least[a, c], upper[a, c]])
 
     entries = common.materialise(data.mapInArrow(collect, "q long, vec_id long, h long, lower long, upper long"), "topk-entries")
     order = Window.partitionBy("q").orderBy(F.desc("lower"), "vec_id")

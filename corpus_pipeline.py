@@ -3,16 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arborfold.llm import common, packing
+from arborfold.llm import common, minhash_dedup, mixing, packing, toxicity
 from arborfold.llm.tokens import tokenizer_path
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score under 0.7; learnt from all labelled rows."""
+    labels = common.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    model = toxicity.fit(docs, labels)
+    return toxicity.score(docs, model, out="toxicity__").where("toxicity__ < 0.7").select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that near-duplicate links (five-word shingles, 0.8) join, the one with the smallest id; null ids stay."""
+    found = minhash_dedup.near_duplicates(docs, words=5, threshold=0.8)
+    gone = common.materialise(found.where("NOT kept").select(F.col("doc_id").alias("gone__")).distinct(), "pipeline-copies")
+    return docs.join(gone, F.col("doc_id") == F.col("gone__"), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample calibrated to the target marginals, 0.8 of the tokens."""
+    return mixing.mix(docs).where("mix_kept").select(docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens."""
     return packing.pack_digest(docs, tokenizer_path())
 
 
-STAGES = [("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_copies), ("mixing", mix), ("packing", pack)]
+#: SQL expresses neither the compression distances nor the tokenizer.
 ORACLE_SQL = None
 
 
