@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module that defines ``query(spark, sf_dir)`` and ``ORACLE_SQL`` (None where SQL can't express it).
 MODULES = {
+    "op2_html_extraction": "html_extract",
     "op7_lm_scoring": "lm_score",
     "op9_toxicity": "toxicity",
     "op8_hilbert_sharding": "sharding",
