@@ -1,0 +1,131 @@
+"""What pages hold: text by selector, titles, links, forms, JSON blocks, and the requests that actions make."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.url import url_join, urlencode
+from ..plans import selectors
+from .nodes import attr, collapse_ws, role, text_content
+
+#: Where pages keep their data, in order of precedence.
+JSON_SELECTORS = ("script#__NEXT_DATA__", 'script[type="application/ld+json"]', 'script[type="application/json"]')
+_NOT_SENT = ("submit", "button", "image", "file", "reset")
+
+
+def extract(nodes: DataFrame, selector: str) -> DataFrame:
+    """Hits of a selector: page_id, node_id, ref (0 where none), role, tag, text."""
+    hits = selectors.select(nodes, selector).select("page_id", "node_id", "subtree_end", "tag", "ref", attr("type").alias("input_type"))
+    out = text_content(nodes, hits)
+    return out.select("page_id", "node_id", F.coalesce("ref", F.lit(0)).alias("ref"), role(F.col("tag"), F.coalesce("input_type", F.lit("text"))).alias("role"), "tag", "text")
+
+
+def extract_lines(nodes: DataFrame, selector: str) -> DataFrame:
+    """``- tag 'text'`` a hit, the text cut at 120 characters."""
+    return extract(nodes, selector).select("page_id", "node_id", F.concat(F.lit("- "), "tag", F.lit(" '"), F.substring("text", 1, 120), F.lit("'")).alias("line"))
+
+
+def titles(nodes: DataFrame) -> DataFrame:
+    """The text of each page's first title."""
+    first = nodes.where("tag = 'title'").groupBy("page_id").agg(F.min("node_id").alias("parent_id"))
+    texts = nodes.where("kind = 'text'").join(first, ["page_id", "parent_id"], "left_semi")
+    return texts.groupBy("page_id").agg(collapse_ws(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ")).alias("title"))
+
+
+def links(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """Every a[href] with its text, and the address it leads to from the page's: page_id, node_id, ref, text, href, target_url, error."""
+    hits = nodes.where("tag = 'a'").withColumn("href", attr("href")).where("href IS NOT NULL").select("page_id", "node_id", "subtree_end", "ref", "href")
+    out = text_content(nodes, hits).join(pages.select("page_id", "url"), "page_id")
+    out = out.withColumn("u", url_join("url", F.trim("href")))
+    return out.select("page_id", "node_id", "ref", "text", "href", F.col("u.href").alias("target_url"), F.col("u.error").alias("error"))
+
+
+def json_blocks(nodes: DataFrame) -> DataFrame:
+    """Embedded JSON: page_id, node_id, selector, raw (white space collapsed); a block counts for its first selector."""
+    found = None
+    for k, s in enumerate(JSON_SELECTORS):
+        hits = selectors.select(nodes, s).select("page_id", "node_id", "subtree_end", F.lit(k).alias("k"))
+        found = hits if found is None else found.unionByName(hits)
+    first = found.groupBy("page_id", "node_id", "subtree_end").agg(F.min("k").alias("k"))
+    names = F.array(*map(F.lit, JSON_SELECTORS))
+    return text_content(nodes, first).select("page_id", "node_id", F.get(names, F.col("k")).alias("selector"), F.col("text").alias("raw"))
+
+
+def form_fields(nodes: DataFrame) -> DataFrame:
+    """Successful controls: page_id, form_node, seq, name, value.
+
+    Unnamed and disabled controls and buttons send nothing; boxes only when checked ("on" by default); a select its
+    own value, else its selected, else its first option; a text area its value, else its text.
+    """
+    forms = nodes.where("tag = 'form'").select(F.col("page_id").alias("f_page"), F.col("node_id").alias("form_node"), F.col("subtree_end").alias("f_end"))
+    controls = nodes.where(F.col("tag").isin("input", "select", "textarea")).withColumn("name", attr("name")).where("name <> ''").where(attr("disabled").isNull())
+    controls = controls.select("page_id", "node_id", "subtree_end", "tag", "name", attr("value").alias("value"), F.coalesce(attr("type"), F.lit("text")).alias("type"), attr("checked").isNotNull().alias("checked"))
+    areas = text_content(nodes, controls.where("tag = 'textarea'").select("page_id", "node_id", "subtree_end"))
+    options = nodes.where("tag = 'option'").select("page_id", "node_id", "subtree_end", attr("value").alias("own"), attr("selected").isNotNull().alias("selected"))
+    options = text_content(nodes, options).select(F.col("page_id").alias("o_page"), F.col("node_id").alias("o_node"), F.coalesce("own", "text").alias("option"), "selected")
+    inside = (F.col("o_page") == F.col("page_id")) & (F.col("o_node") > F.col("node_id")) & (F.col("o_node") < F.col("subtree_end"))
+    picked = controls.where("tag = 'select'").join(options, inside).groupBy("page_id", "node_id").agg(F.min_by("option", F.struct(~F.col("selected"), F.col("o_node"))).alias("option"))
+    rows = controls.join(areas.select("page_id", "node_id", "text"), ["page_id", "node_id"], "left").join(picked, ["page_id", "node_id"], "left")
+    box = F.col("type").isin("checkbox", "radio")
+    rows = rows.where((F.col("tag") != "input") | (~F.col("type").isin(*_NOT_SENT) & (~box | F.col("checked"))))
+    default = F.when(F.col("tag") == "select", F.coalesce("option", F.lit(""))).when(F.col("tag") == "textarea", F.coalesce("text", F.lit(""))).otherwise(F.when(box, "on").otherwise(""))
+    held = rows.join(forms, (F.col("f_page") == F.col("page_id")) & (F.col("node_id") > F.col("form_node")) & (F.col("node_id") < F.col("f_end")))
+    seq = F.row_number().over(Window.partitionBy("page_id", "form_node").orderBy("node_id"))
+    return held.select("page_id", "form_node", seq.alias("seq"), "name", F.coalesce("value", default).alias("value"))
+
+
+def submit_requests(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """The request each form makes: page_id, form_node, method, url, body, error."""
+    sent = form_fields(nodes).groupBy("page_id", "form_node").agg(F.array_sort(F.collect_list(F.struct("seq", "name", "value"))).alias("fields"))
+    forms = nodes.where("tag = 'form'").select("page_id", F.col("node_id").alias("form_node"), F.lower(F.coalesce(attr("method"), F.lit("get"))).alias("method"), F.trim(F.coalesce(attr("action"), F.lit(""))).alias("action"), F.lower(F.coalesce(attr("enctype"), F.lit(""))).contains("multipart").alias("multipart"))
+    rows = forms.join(sent, ["page_id", "form_node"], "left").join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
+    rows = rows.withColumn("u", url_join("page_url", "action")).withColumn("data", F.coalesce(urlencode(F.col("fields")), F.lit("")))
+    base = F.regexp_replace(F.regexp_replace("u.href", r"#.*\z", ""), r"\?.*\z", "")
+    fragment = F.coalesce(F.concat(F.lit("#"), F.col("u.fragment")), F.lit(""))
+    get = F.when(F.col("data") == "", F.col("u.href")).otherwise(F.concat(base, F.lit("?"), "data", fragment))
+    error = F.when(F.col("multipart"), "unsupported: multipart/form-data").otherwise(F.col("u.error"))
+    post = F.col("method") == "post"
+    return rows.select("page_id", "form_node", F.when(post, "POST").otherwise("GET").alias("method"), F.when(error.isNull(), F.when(post, F.col("u.href")).otherwise(get)).alias("url"), F.when(post & error.isNull(), F.col("data")).alias("body"), error.alias("error"))
+
+
+def with_attribute(attrs: Column, name: str, value: Column) -> Column:
+    """``attrs`` with the first ``name`` set, at its place or at the end."""
+    at = F.array_position(F.transform(attrs, lambda a: a["name"]), name)
+    new = F.struct(F.lit(name).alias("name"), value.alias("value"))
+    changed = F.transform(attrs, lambda a, k: F.when(k + 1 == at, new).otherwise(a))
+    return F.when(at > 0, changed).otherwise(F.concat(attrs, F.array(new)))
+
+
+def fill(nodes: DataFrame, values: DataFrame) -> DataFrame:
+    """``nodes`` with the values (page_id, ref, value) put into text controls and boxes switched; other targets stay."""
+    rows = nodes.join(values.select("page_id", "ref", F.col("value").alias("new_value")), ["page_id", "ref"], "left")
+    kind = F.coalesce(attr("type"), F.lit("text"))
+    box = (F.col("tag") == "input") & kind.isin("checkbox", "radio")
+    off = F.col("new_value").isin("", "off", "false", "0")
+    switched = F.when(off, F.filter("attrs", lambda a: a["name"] != "checked")).otherwise(with_attribute(F.col("attrs"), "checked", F.lit("")))
+    changed = F.when(F.col("new_value").isNull() | ~F.col("tag").isin("input", "textarea", "select"), F.col("attrs")).when(box, switched).otherwise(with_attribute(F.col("attrs"), "value", F.col("new_value")))
+    return rows.withColumn("attrs", changed).select(*nodes.columns)
+
+
+def click_requests(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """What clicking each numbered element asks for: page_id, ref, action (link, submit, unsupported), url, form_node."""
+    refs = nodes.where("ref IS NOT NULL").withColumn("href", attr("href"))
+    forms = selectors.closest(nodes, refs, "form").withColumnRenamed("closest_id", "form_node")
+    rows = refs.join(forms, ["page_id", "node_id"], "left").join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
+    rows = rows.withColumn("u", url_join("page_url", F.trim("href")))
+    button = F.col("tag").isin("button", "input", "summary")
+    action = F.when((F.col("tag") == "a") & F.col("href").isNotNull(), "link").when(button & F.col("form_node").isNotNull(), "submit").otherwise("unsupported")
+    return rows.select("page_id", "ref", action.alias("action"), F.when(action == "link", F.col("u.href")).alias("url"), F.when(action == "submit", F.col("form_node")).alias("form_node"))
+
+
+def scripts(nodes: DataFrame, most: int = 32) -> DataFrame:
+    """Runnable scripts in order: page_id, node_id, src (null for inline), body; of sources, each address once and ``most`` a page."""
+    kind = F.lower(F.trim(F.coalesce(attr("type"), F.lit(""))))
+    rows = nodes.where("tag = 'script'").where(kind.isin("", "text/javascript", "application/javascript", "module")).withColumn("src", attr("src"))
+    texts = nodes.where("kind = 'text'").select("page_id", F.col("parent_id").alias("node_id"), F.col("text").alias("body"))
+    again = F.row_number().over(Window.partitionBy("page_id", "src").orderBy("node_id"))
+    rows = rows.withColumn("again", F.when(F.col("src").isNotNull(), again)).where("again IS NULL OR again = 1")
+    nth = F.sum(F.col("src").isNotNull().cast("int")).over(Window.partitionBy("page_id").orderBy("node_id"))
+    rows = rows.withColumn("nth", nth).where(F.col("src").isNull() | (F.col("nth") <= most))
+    return rows.join(texts, ["page_id", "node_id"], "left").select("page_id", "node_id", "src", F.when(F.col("src").isNull(), F.col("body")).alias("body"))

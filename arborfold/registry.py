@@ -4,7 +4,316 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import json_text
+from .functions.bytes import est_tokens
+from .functions.snapshot import page_snapshot
+from .functions.url import url_parts
+from .operators import cookies, extract
+from .operators.nodes import attr, collapse_ws, dom_nodes, role, text_content
+from .plans import selectors
+from .sources import responses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a function of (spark, sf_dir), with its SQL."""
+
+    def put(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return put
+
+
+# Pages -------------------------------------------------------------------------------------------------------------
+
+_PLAIN = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_SPACED = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_LINKS = f"""
+a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS tag, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>'), 1) AS ref FROM pages),
+links AS (SELECT page_id, url, ref::INTEGER AS ref, {_PLAIN.format("regexp_extract(tag, 'href=\"([^\"]*)\"', 1)")} AS href, {_SPACED.format(_PLAIN.format("regexp_extract(tag, '>([^<]*)<', 1)"))} AS text FROM a)"""
+
+
+@query(f"WITH {_LINKS} SELECT page_id, ref, text, href FROM links")
+def nav_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = dom_nodes(spark, sf_dir)
+    hits = selectors.select(nodes, "nav li > a").withColumn("href", attr("href")).select("page_id", "node_id", "subtree_end", "ref", "href")
+    return text_content(nodes, hits).select("page_id", "ref", "text", "href")
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) GROUP BY tag")
+def nodes_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom_nodes(spark, sf_dir).where("kind = 'element'").groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query()
+def dom_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and distinct names a page."""
+    names = F.array_union(F.collect_set("tag"), F.flatten(F.collect_set(F.transform("attrs", lambda a: a["name"]))))
+    return dom_nodes(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("nodes"), F.size(F.array_distinct(names)).alias("names"))
+
+
+@query(f"SELECT page_id, {_SPACED.format(_PLAIN.format("regexp_extract(html, '<title>([^<]*)</title>', 1)"))} AS title FROM pages")
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.titles(dom_nodes(spark, sf_dir))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, '<!--(.*?)-->', 1)) AS comment FROM pages")
+def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom_nodes(spark, sf_dir).where("kind = 'comment'").select("page_id", F.col("text").alias("comment"))
+
+
+@query(f"WITH {_LINKS} SELECT page_id, ref, 'link' AS role FROM links")
+def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.coalesce(attr("type"), F.lit("text"))
+    return dom_nodes(spark, sf_dir).where("ref IS NOT NULL").select("page_id", "ref", role(F.col("tag"), kind).alias("role"))
+
+
+def _count(name: str, selector: str, n: str) -> None:
+    """A query of hits a page, with the SQL of their number."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return selectors.select(dom_nodes(spark, sf_dir), selector).groupBy("page_id").agg(F.count("*").alias("n"))
+
+    run.__doc__ = f"Hits of ``{selector}`` a page."
+    query(f"SELECT * FROM (SELECT page_id, ({n})::BIGINT AS n FROM pages) WHERE n > 0", name)(run)
+
+
+def _tags(tag: str) -> str:
+    return f"len(regexp_extract_all(html, '<{tag}[ >]'))"
+
+
+_HREFS = "regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)"
+_count("sel_tag", "p", _tags("p"))
+_count("sel_any", "*", "len(regexp_extract_all(html, '<[a-z][a-z0-9]*[ >]'))")
+_count("sel_class", ".ad", "len(regexp_extract_all(html, 'class=\"ad\"'))")
+_count("sel_id", "#none, h1", _tags("h1"))
+_count("sel_attr_exists", "a[href]", f"len({_HREFS})")
+_count("sel_attr_eq", "html[lang=fr]", "contains(html, '<html lang=\"fr\">')::INT")
+_count("sel_attr_includes", "div[class~=ad]", "len(regexp_extract_all(html, 'class=\"ad\"'))")
+_count("sel_attr_dash", "html[lang|=en]", "contains(html, '<html lang=\"en\">')::INT")
+_count("sel_attr_prefix", 'a[href^="/t"]', f"len(list_filter({_HREFS}, lambda h: starts_with(h, '/t')))")
+_count("sel_attr_suffix", 'a[href$="."]', f"len(list_filter({_HREFS}, lambda h: ends_with(h, '.')))")
+_count("sel_attr_substr", 'a[href*="th"]', f"len(list_filter({_HREFS}, lambda h: contains(h, 'th')))")
+_count("sel_child", "article > p", _tags("p"))
+_count("sel_descendant", "nav a", f"len({_HREFS})")
+_count("sel_deep", "html body nav > ul > li a", f"len({_HREFS})")
+_count("sel_next_sibling", "li + li", f"greatest(0, {_tags('li')} - 1)")
+_count("sel_sibling", "nav ~ article", _tags("article"))
+_count("sel_first_child", "li:first-child", f"least(1, {_tags('li')})")
+_count("sel_last_child", "li:last-child", f"least(1, {_tags('li')})")
+_count("sel_only_child", "ul:only-child", _tags("ul"))
+_count("sel_nth_child", "li:nth-child(2n+1)", f"({_tags('li')} + 1) // 2")
+_count("sel_empty", "meta:empty", _tags("meta"))
+_count("sel_not", "body > :not(.ad)", f"{_tags('nav')} + {_tags('article')} + {_tags('footer')}")
+_count("sel_group", "li, h1, .ad", f"{_tags('li')} + {_tags('h1')} + {_tags('div')}")
+
+
+@query(f"SELECT page_id, {_tags('a')}::BIGINT AS n FROM pages WHERE {_tags('a')} > 0")
+def scoped_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = dom_nodes(spark, sf_dir)
+    return selectors.within(selectors.select(nodes, "a"), selectors.select(nodes, "nav")).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT page_id, {_tags('a')}::BIGINT AS n FROM pages WHERE {_tags('a')} > 0")
+def closest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = dom_nodes(spark, sf_dir)
+    found = selectors.closest(nodes, selectors.select(nodes, "a"), "li")
+    return found.where("closest_id = node_id - 1").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<!--'))::BIGINT AS n FROM pages")
+def tree_walker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = selectors.walk(dom_nodes(spark, sf_dir), mask=128, rejected=F.col("tag") == "nav")
+    return shown.groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT page_id, {_SPACED.format(_PLAIN.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))} AS text FROM pages")
+def text_content_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(dom_nodes(spark, sf_dir), "h1").select("page_id", "text")
+
+
+@query(f"WITH {_LINKS} SELECT page_id, '- a ''' || substr(text, 1, 120) || '''' AS line FROM links")
+def extract_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_lines(dom_nodes(spark, sf_dir), "a").select("page_id", "line")
+
+
+@query("SELECT page_id, strlen(html) // 4 AS est_tokens FROM pages")
+def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", est_tokens(F.col("html")).alias("est_tokens"))
+
+
+@query()
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", page_snapshot("html").alias("snapshot"), F.octet_length("html").alias("html_bytes"), est_tokens(F.col("html")).alias("est_tokens_in"))
+    return pages.withColumn("snapshot_bytes", F.octet_length("snapshot")).withColumn("est_tokens_out", est_tokens(F.col("snapshot")))
+
+
+@query("SELECT page_id, contains(html, '<nav>') AS found FROM pages")
+def expect_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each snapshot holds a text."""
+    return table(spark, sf_dir, "pages").select("page_id", F.contains(page_snapshot("html"), F.lit("- navigation")).alias("found"))
+
+
+_URL = """page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
+  CASE WHEN contains(url, '?') THEN regexp_extract(url, '\\?([^#]*)', 1) END AS query, CASE WHEN contains(url, '#') THEN regexp_extract(url, '#(.*)$', 1) END AS fragment"""
+
+
+@query(f"SELECT {_URL} FROM pages")
+def url_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = table(spark, sf_dir, "pages").select("page_id", url_parts("url").alias("u"))
+    return u.select("page_id", *(f"u.{c}" for c in ("scheme", "host", "path", "query", "fragment")))
+
+
+_ENCODED = "url_encode(split_part(href, '#', 1))"
+for _c in "/,.:;!'()*&=+$@%?~[]":
+    _ENCODED = f"replace({_ENCODED}, '%{ord(_c):02X}', '{_c if _c != chr(39) else chr(39) * 2}')"
+_TARGET = f"regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || {_ENCODED} || CASE WHEN contains(href, '#') THEN substr(href, strpos(href, '#')) ELSE '' END"
+
+
+@query(f"WITH {_LINKS} SELECT page_id, ref, href, {_TARGET} AS target_url FROM links")
+def links_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.links(dom_nodes(spark, sf_dir), table(spark, sf_dir, "pages"))
+    return found.select("page_id", "ref", "href", "target_url")
+
+
+@query(f"WITH {_LINKS} SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, count(*) AS links, count(DISTINCT page_id) AS pages FROM links GROUP BY 1")
+def link_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and pages by host; both counts are partial before the shuffle."""
+    nodes = dom_nodes(spark, sf_dir).where("tag = 'a'").groupBy("page_id").agg(F.count("*").alias("n"))
+    hosts = table(spark, sf_dir, "pages").select("page_id", url_parts("url")["host"].alias("host"))
+    return nodes.join(hosts, "page_id").groupBy("host").agg(F.sum("n").alias("links"), F.count("*").alias("pages"))
+
+
+@query()
+def runnable_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.scripts(dom_nodes(spark, sf_dir))
+
+
+@query("SELECT NULL::BIGINT AS page_id, NULL::INTEGER AS node_id, NULL::VARCHAR AS selector, NULL::VARCHAR AS raw WHERE FALSE")
+def json_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.json_blocks(dom_nodes(spark, sf_dir))
+
+
+@query()
+def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.form_fields(dom_nodes(spark, sf_dir))
+
+
+@query()
+def submit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.submit_requests(dom_nodes(spark, sf_dir), table(spark, sf_dir, "pages"))
+
+
+@query(f"WITH {_LINKS} SELECT page_id, ref, 'link' AS action, {_TARGET} AS url FROM links")
+def click_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.click_requests(dom_nodes(spark, sf_dir), table(spark, sf_dir, "pages"))
+    return found.select("page_id", "ref", "action", "url")
+
+
+# Text, JSON, state -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM documents")
+def collapsed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", collapse_ws(F.col("text")).alias("text"))
+
+
+@query("SELECT event_id, (json_extract(props, '$.k'))::VARCHAR AS k FROM events")
+def json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dotted path on a JSON column, by the parser that keeps key order."""
+    return table(spark, sf_dir, "events").select("event_id", json_text.json_get("props", F.lit("k")).alias("k"))
+
+
+@query("SELECT event_id, (json_extract(props, '$.k'))::BIGINT AS k FROM events")
+def json_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the JVM's variant functions."""
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
+
+
+def _set_cookies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    header = F.concat("event_type", F.lit("="), F.col("event_id").cast("string"), F.lit("; Path=/; Secure"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("profile"), F.col("event_id").alias("seq"), F.lit("https://a.example.com/x/y").alias("url"), header.alias("header"))
+
+
+@query("SELECT user_id AS profile, event_type AS name, max(event_id)::VARCHAR AS value FROM events GROUP BY ALL")
+def cookie_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cookies.store(_set_cookies(spark, sf_dir)).select("profile", "name", "value")
+
+
+@query("""SELECT user_id AS request_id, string_agg(event_type || '=' || id, '; ' ORDER BY id) AS header
+FROM (SELECT user_id, event_type, max(event_id) AS id FROM events GROUP BY ALL) GROUP BY user_id""")
+def cookie_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jar = cookies.store(_set_cookies(spark, sf_dir))
+    requests = table(spark, sf_dir, "events").select(F.col("user_id").alias("request_id"), F.col("user_id").alias("profile"), F.lit("https://a.example.com/z").alias("url")).distinct()
+    return cookies.header_for(requests, jar)
+
+
+@query("SELECT page_id AS request_id, 'GET' AS method, 'http://h/' || (page_id - page_id % 8) AS url, (page_id % 8)::INTEGER AS hops FROM pages")
+def redirect_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of up to seven redirects, one derived from the ids of pages."""
+    ids = table(spark, sf_dir, "pages").select("page_id")
+    at = lambda c: F.concat(F.lit("http://h/"), c.cast("string"))
+    hops = ids.where("page_id % 8 <> 0").select(at(F.col("page_id")).alias("url"), F.lit(302).alias("status"), (F.col("page_id") - 1).cast("string").alias("location"))
+    requests = ids.select(F.col("page_id").alias("request_id"), F.lit("POST").alias("method"), at(F.col("page_id")).alias("url"))
+    requests = requests.withColumn("method", F.lit("GET"))
+    return responses.follow(requests, hops).select("request_id", "method", "url", "hops")
+
+
+@query("SELECT user_id, last_used, n::INTEGER AS n FROM (SELECT user_id, max(ts) AS last_used, row_number() OVER (ORDER BY max(ts) DESC, user_id) AS n FROM events GROUP BY user_id) WHERE n <= 256")
+def lru_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 256 sessions used last; the limit is the feature, and cuts every task's share before the last sort."""
+    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last_used"))
+    order = Window.orderBy(F.desc("last_used"), "user_id")
+    return last.orderBy(F.desc("last_used"), "user_id").limit(256).withColumn("n", F.row_number().over(order))
+
+
+@query("""SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS user_turn FROM conversations""")
+def current_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As of each turn, the last one a user took."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w), F.lit(-1)).alias("user_turn"))
+
+
+@query("SELECT event_type, v[len(v) // 2 + 1] AS median FROM (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type)")
+def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upper middle value of each type: a rank in a range-sorted order would scale; here types are few and spilled by the window."""
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL")
+    w, whole = Window.partitionBy("event_type").orderBy("value", "event_id"), Window.partitionBy("event_type")
+    ranked = e.select("event_type", "value", F.row_number().over(w).alias("r"), F.count("*").over(whole).alias("n"))
+    return ranked.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select("event_type", F.col("value").alias("median"))
+
+
+# What Spark gives beside -------------------------------------------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
+    return g.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+@query("""SELECT user_id, min(ts) AS start, count(*) AS n FROM (
+  SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+    SELECT *, (ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE)::INT AS new FROM events)) GROUP BY user_id, coalesce(s, 0)""")
+def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w"))
+    return g.agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+
+
+@query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
+def lineitem_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where("l_shipdate <= TIMESTAMP '1998-09-02'").groupBy("l_returnflag", "l_linestatus")
+    return rows.agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))

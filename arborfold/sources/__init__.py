@@ -1 +1 @@
-"""Part of the relational web-document engine."""
+"""Relations of responses and redirects."""
