@@ -3,9 +3,9 @@
 Each quantised vector is cut into lists of neighbouring dimensions; its score is the sum of its local scores in
 the lists. Phase 1 gathers the k best local scores of each query and list, with the whole scores of those candidates; the
 k-th best of these is a score that k candidates reach, hence a safe cutoff. Phase 2 sends the cutoff out and
-collects every candidate with, in some list, a local score above its even share of the cutoff (any other candidate
-stays below it in total), unless even the shares of its other lists leave it below. Phase 3 drops candidates whose upper bound is under the k-th best lower bound and works out
-the remaining scores exactly.
+collects every candidate with, in some list, a local score of at least its even share of the cutoff (any other
+candidate stays below it in total), unless the shares of its other lists leave it below. Phase 3 works out the scores
+of the remaining candidates exactly, where their rows are, and sends those that reach the cutoff.
 """
 
 from __future__ import annotations
@@ -167,40 +167,22 @@ def _search_block(spark: SparkSession, queries: Queries, data: DataFrame, k: int
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, (low, share, cutoff) = sent.value, state.value
         for b in batches:
-            for q, ids, hashes, own, local in block.local(b, scale):
-                total, under, hit = np.zeros(own.shape, np.int64), np.zeros(own.shape), np.zeros(own.shape, bool)
-                least = np.zeros(own.shape, np.int64)
+            for q, ids, _, own, local in block.local(b, scale):
+                upper, hit = np.zeros(own.shape), np.zeros(own.shape, bool)
                 for j, s in enumerate(local):
-                    enough = m * (s - low[q, j][:, None]) >= share[q][:, None]
+                    even = low[q, j][:, None] + share[q][:, None] / m
+                    enough = s >= even
                     hit |= enough
-                    total += np.where(enough, s, 0)
-                    least += np.where(enough, s, low[q, j][:, None])
-                    under += np.where(enough, 0.0, low[q, j][:, None] + share[q][:, None] / m)
-                upper = total + np.ceil(under).astype(np.int64)
-                a, c = np.nonzero(hit & ~own & (upper >= cutoff[q][:, None]))
-                if len(a):
-                    yield _rows("q vec_id h lower upper", [q[a], ids[c], hashes[c], least[a, c], upper[a, c]])
-
-    entries = common.materialise(data.mapInArrow(collect, "q long, vec_id long, h long, lower long, upper long"), "topk-entries")
-    order = Window.partitionBy("q").orderBy(F.desc("lower"), "vec_id")
-    bound = entries.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).groupBy("q").agg(F.when(F.count("*") == k, F.min("lower")).alias("bound"))
-    left = entries.join(bound, "q").where("bound IS NULL OR upper >= bound").select("q", "vec_id", "h")
-
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = sent.value
-        for b in batches:
-            q = b.column(0).to_numpy()
-            for dim, (rows, matrix) in dense(b.column(2)).items():
-                whole = quantise(matrix, scale)
-                own = np.stack([block.vectors[x] for x in q[rows]])
-                top = (np.abs(own).max() + 1) * (np.abs(whole).max() + 1) * dim
-                kind = np.float64 if top < 2.0**53 else np.int64
-                score = np.einsum("ij,ij->i", own.astype(kind), whole.astype(kind))
-                yield _rows("query_id vec_id score", [block.ids[q[rows]], b.column(1).to_numpy()[rows], score])
-
-    exact = left.join(data, ["vec_id", "h"]).select("q", "vec_id", "embedding").mapInArrow(resolve, "query_id long, vec_id long, score long")
+                    upper += np.where(enough, s, even)
+                a, c = np.nonzero(hit & ~own & (upper >= cutoff[q][:, None] - 0.5))
+                exact = sum(s[a, c] for s in local)
+                keep = np.flatnonzero(exact >= cutoff[q[a]])
+                if len(keep):
+                    yield _rows("query_id vec_id score", [block.ids[q[a[keep]]], ids[c[keep]], exact[keep]])
+
+    entries = data.mapInArrow(collect, "query_id long, vec_id long, score long")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return entries.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
