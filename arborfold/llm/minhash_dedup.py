@@ -1,8 +1,8 @@
 """Near-duplicate documents by MinHash bands with sequential Bayesian verification.
 
 Documents with equal shingle sets form a class, compared once. Bands of the signature give candidates: first each
-class with one random member of its bucket, then, of classes in a bucket that are still apart, those in different
-components. Candidates are judged on batches of the signature: a pair goes once the posterior probability that its
+class with one random member of its bucket; then, in some rounds, with the member that has most links so far, where the
+two are still in different components; at last all that share a bucket and are still in different components. Candidates are judged on batches of the signature: a pair goes once the posterior probability that its
 similarity reaches the threshold (uniform prior) falls under ``miss``. What survives is confirmed on full sets.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .embedding_dedup import forest
 from .shingles import mix, shingle_sets
 
 ORACLE_SQL = None
@@ -155,13 +156,91 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, thr
             keep = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
 
-    links = common.materialise(full.select("a", "b", "set_a", "set_b").mapInArrow(exact, "a long, b long").distinct(), "minhash-links")
+    with common.batches_of(docs.sparkSession, 256):
+        links = common.materialise(full.select("a", "b", "set_a", "set_b").mapInArrow(exact, "a long, b long").distinct(), "minhash-links")
     for t in (likely, needed, sets):
         common.drop_table(t)
     return links
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, miss: float = 1e-4, scheme: Scheme | None = None) -> DataFrame:
+def tile_links(ids_a, comp_a, sig_a, sets_a, ids_b, comp_b, sig_b, sets_b, threshold: float, miss: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges that connect what links between two blocks of classes in different components connect.
+
+    Signatures rule pairs out as in ``survivors``; the sizes of the intersections of all others come from one product
+    of incidence matrices, column block by column block.
+    """
+    same = np.zeros((len(ids_a), len(ids_b)), np.int16)
+    for k in range(sig_a.shape[1]):
+        same += sig_a[:, k, None] == sig_b[None, :, k]
+    open_ = (same >= least_matches(sig_a.shape[1], threshold, miss)) & (comp_a[:, None] != comp_b[None, :])
+    rows, cols = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    if not len(rows):
+        return []
+    x, y = [sets_a[r] for r in rows], [sets_b[c] for c in cols]
+    both = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    shared = np.zeros((len(rows), len(cols)), np.int64)
+    for at in range(0, len(both), 8192):
+        part = both[at : at + 8192]
+        inside = []
+        for sets in (x, y):
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for k, s in enumerate(sets):
+                lo, hi = np.searchsorted(s, [part[0], part[-1]])
+                own = s[lo : hi + 1]
+                where = np.minimum(np.searchsorted(part, own), len(part) - 1)
+                m[k, where[part[where] == own]] = 1
+            inside.append(m)
+        shared += (inside[0] @ inside[1].T).astype(np.int64)
+    size = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
+    linked = open_[np.ix_(rows, cols)] & (100 * shared >= round(100 * threshold) * (size - shared))
+    first, last = forest(linked)
+    r, c = np.flatnonzero(first >= 0), np.flatnonzero(last >= 0)
+    return [(ids_a[rows[r]], ids_a[rows[first[r]]]), (ids_b[cols[c]], ids_a[rows[last[c]]])]
+
+
+def _crossed(crowd: DataFrame, reps: DataFrame, docs: DataFrame, words: int, threshold: float, miss: float, block_bytes: int = 2 << 20) -> DataFrame:
+    """Links between components that share large buckets, without a row a pair.
+
+    Classes joined by large buckets form a group. Its classes are cut into blocks by bytes, those of its largest
+    component apart from the others; every two blocks of a group that can hold different components meet in one task.
+    """
+    hub = crowd.groupBy("key").agg(F.min("node").alias("hub"))
+    hub = common.materialise(hub, "minhash-hubs")
+    around = common.components(crowd.join(hub, "key").select(F.col("node").alias("u"), F.col("hub").alias("v")), "minhash-groups").toDF("node", "g")
+    members = common.materialise(crowd.select("node", "comp").distinct().join(around, "node"), "minhash-members")
+    sizes = members.groupBy("g", "comp").agg(F.count("*").alias("n"))
+    main = common.materialise(sizes.groupBy("g").agg(F.max_by("comp", F.struct("n", "comp")).alias("main")), "minhash-main")
+    needed = common.materialise(reps.join(members, "node", "left_semi").select("node", "rep"), "minhash-needed")
+    sets = common.materialise(_sets(docs, needed, words), "minhash-sets")
+    rows = members.join(main, "g").withColumn("side", (F.col("comp") == F.col("main")).cast("int")).join(reps.select("node", "sig"), "node").join(sets, "node")
+    rows = common.materialise(rows.select("g", "side", "node", "comp", "sig", "shingles"), "minhash-rows")
+    total = rows.groupBy("g", "side").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.length("shingles") + 600) / block_bytes)).alias("blocks"))
+    rows = rows.join(common.materialise(total, "minhash-totals"), ["g", "side"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    held = rows.groupBy("g", "side", "block").agg(F.collect_list(F.struct("node", "comp", "sig", "shingles")).alias("rows"))
+    blocks = common.materialise(held, "minhash-blocks")
+    other = blocks.select("g", F.col("side").alias("side2"), F.col("block").alias("block2"), F.col("rows").alias("rows2"))
+    ordered = "side = 0 AND (side2 = 1 OR block <= block2)"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                sides = []
+                for c in (0, 1):
+                    part = b.column(c)[k].values
+                    node, comp, sig, sets = (part.field(i) for i in range(4))
+                    sides += [node.to_numpy(), comp.to_numpy(), np.stack([np.frombuffer(x.as_buffer(), "<u2") for x in sig]), [np.frombuffer(x.as_buffer(), np.uint64) for x in sets]]
+                for u, v in tile_links(*sides, threshold, miss):
+                    at = np.flatnonzero(u != v)
+                    yield pa.RecordBatch.from_arrays([pa.array(u[at]), pa.array(v[at])], names=["a", "b"])
+
+    with common.batches_of(docs.sparkSession, 2):
+        out = common.materialise(blocks.join(other, "g").where(ordered).select("rows", "rows2").mapInArrow(run, "a long, b long"), "minhash-crossed")
+    for t in (hub, members, main, needed, sets, blocks):
+        common.drop_table(t)
+    return out
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, miss: float = 1e-4, scheme: Scheme | None = None, rounds: int = 2, small: int = 32) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents link where their sets of ``words``-word shingles have a Jaccard similarity of ``threshold`` (in
@@ -184,25 +263,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, mis
     pair = [F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")]
     stars = common.materialise(shared.where("node <> lead").select(*pair).distinct(), "minhash-stars")
     links = _confirm(stars, reps, docs, words, threshold, miss, scheme.size)
+    tested = stars
     comps = common.components(links.toDF("u", "v"), "minhash-components")
-
-    # What shares a bucket and is still apart.
-    placed = shared.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    placed = common.materialise(placed, "minhash-placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    mixed = common.materialise(placed.join(common.materialise(mixed, "minhash-mixed"), "key", "left_semi"), "minhash-apart")
-    other = mixed.select("key", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
-    rest = mixed.join(other, "key").where("comp < comp2").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    rest = common.materialise(rest.join(stars, ["a", "b"], "left_anti"), "minhash-rest")
-    more = _confirm(rest, reps, docs, words, threshold, miss, scheme.size)
-    if more.limit(1).count():
-        comps = common.components(links.unionByName(more).toDF("u", "v"), "minhash-components")
+    for turn in range(rounds + 1):
+        # what shares a bucket and is still apart
+        placed = shared.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+        placed = common.materialise(placed, "minhash-placed")
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        mixed = common.materialise(placed.join(common.materialise(mixed, "minhash-mixed"), "key", "left_semi"), "minhash-apart")
+        if turn < rounds:  # against the member of the bucket with most links so far
+            ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n"))
+            known = common.materialise(mixed.join(common.materialise(ends, "minhash-degrees"), "node"), "minhash-known")
+            best = F.max(F.struct("n", F.xxhash64("node", "key", F.lit(turn)).alias("by"), F.col("node").alias("node2"), F.col("comp").alias("comp2"))).alias("best")
+            other = known.groupBy("key").agg(best).select("key", "best.node2", "best.comp2")
+            other, apart = common.materialise(other, "minhash-leads"), "comp <> comp2"
+        else:  # all of a small bucket; large ones in tiles
+            large = common.materialise(mixed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > small).select("key"), "minhash-large")
+            crowd = common.materialise(mixed.join(large, "key", "left_semi"), "minhash-crowd")
+            if crowd.limit(1).count():
+                crossed = _crossed(crowd, reps, docs, words, threshold, miss)
+                links = links.unionByName(crossed)
+            mixed = common.materialise(mixed.join(large, "key", "left_anti"), "minhash-apart")
+            other, apart = mixed.select("key", F.col("node").alias("node2"), F.col("comp").alias("comp2")), "comp < comp2"
+        rest = mixed.join(other, "key").where(apart).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        rest = common.materialise(rest.join(tested, ["a", "b"], "left_anti"), "minhash-rest")
+        for t in (placed, mixed):
+            common.drop_table(t)
+        if rest.limit(1).count():
+            links = links.unionByName(_confirm(rest, reps, docs, words, threshold, miss, scheme.size))
+            tested = tested.unionByName(rest)
+        comps = common.components(links.toDF("u", "v"), "minhash-components")
 
     rep_of = reps.select("node", "rep")
     first = comps.join(rep_of, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     found = rep_of.join(comps.join(first, "component").select("node", "component_id"), "node", "left")
     found = common.materialise(found.select("node", F.coalesce("component_id", "rep").alias("component_id")), "minhash-found")
-    for t in (shared, stars, placed, mixed, rest, buckets):
+    for t in (shared, buckets):
         common.drop_table(t)
     out = signed.select("doc_id", "n_shingles", F.expr("CASE WHEN doc_id IS NOT NULL THEN node END").alias("node")).join(found, "node", "left")
     component = F.coalesce("component_id", "doc_id")
