@@ -18,7 +18,7 @@ _WORD = "[A-Za-z0-9_]"
 _BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 _INSIDE = f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))"
 _LINES = r"\n\r\x{2028}\x{2029}"
-_PIECE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\(.)|(\[\^?\])|(\[)|(\{[0-9]+(?:,[0-9]*)?\})|(\(\?[:=!])|(\(\?)|(.)", re.S)
+_PIECE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\(.)|(\[\^?\])|(\[)|(\{[0-9]+(?:,[0-9]*)?\})|(\(\?[:=!])|(\(\?)|([^\\])", re.S)
 
 
 def to_java(pattern: str, flags: str = "") -> str:

@@ -70,11 +70,8 @@ def header_for(requests: DataFrame, jar: DataFrame, script: bool = False) -> Dat
 
 def escape(value: Column) -> Column:
     """Percent signs, controls and all but ASCII as %XX."""
-    out = F.aggregate(
-        F.sequence(F.lit(0), F.length(F.hex(value.cast("binary"))) / 2 - 1), F.lit(""),
-        lambda acc, k: F.concat(acc, _byte(F.substring(F.hex(value.cast("binary")), k.cast("int") * 2 + 1, F.lit(2)))),
-    )
-    return F.when(F.length(value) == 0, "").otherwise(out)
+    pairs = F.regexp_extract_all(F.hex(value.cast("binary")), F.lit("(..)"), 1)
+    return F.array_join(F.transform(pairs, _byte), "")
 
 
 def _byte(pair: Column) -> Column:
