@@ -1 +1 @@
-"""Part of the relational web-document engine."""
+"""Structured Streaming over event and page streams."""
