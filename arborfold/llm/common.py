@@ -14,10 +14,7 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset (tests on one machine), one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), "arborfold-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    return path.rstrip("/") if path else "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
