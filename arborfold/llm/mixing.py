@@ -42,17 +42,17 @@ def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, sweeps: int = SWEE
     if one:
         cells = cells.coalesce(1)
     total = F.sum("tokens").over(Window.partitionBy())
-    df = cells.withColumn("w", F.col("tokens") / total)
+    df = cells.withColumn("w", F.coalesce(F.try_divide(F.col("tokens").cast("double"), total), F.lit(0.0)))
     for d, power in temper.items():
         share = F.pow(F.sum("w").over(Window.partitionBy(d)), F.lit(power))
         first = F.row_number().over(Window.partitionBy(d).orderBy(*temper)) == 1
         df = df.withColumn(f"{d}_s", share).withColumn(f"{d}_f", F.when(first, F.col(f"{d}_s")).otherwise(0.0))
-        df = df.withColumn(f"{d}_t", F.col(f"{d}_s") / F.sum(f"{d}_f").over(Window.partitionBy())).drop(f"{d}_s", f"{d}_f")
+        df = df.withColumn(f"{d}_t", F.coalesce(F.try_divide(F.col(f"{d}_s"), F.sum(f"{d}_f").over(Window.partitionBy())), F.lit(0.0))).drop(f"{d}_s", f"{d}_f")
     for at in range(0, sweeps, 5):
         for _ in range(min(5, sweeps - at)):
             for d in temper:
                 now = F.sum("w").over(Window.partitionBy(d))
-                df = df.withColumn("w", F.when(F.col("w") > 0, F.col("w") * F.col(f"{d}_t") / now).otherwise(0.0))
+                df = df.withColumn("w", F.coalesce(F.try_divide(F.col("w") * F.col(f"{d}_t"), now), F.lit(0.0)))
         df = common.materialise(df, "mixing-raked")
         df = df.coalesce(1) if one else df
     return df
@@ -67,7 +67,8 @@ def probabilities(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
     rest = down.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     above = down.rowsBetween(Window.unboundedPreceding, -1)
     df = raked.withColumn("r", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0))
-    df = df.withColumn("c", (budget * F.sum("tokens").over(Window.partitionBy()) - F.coalesce(F.sum("tokens").over(above), F.lit(0))) / F.sum("w").over(rest))
+    goal = budget * F.sum("tokens").over(Window.partitionBy()) - F.coalesce(F.sum("tokens").over(above), F.lit(0))
+    df = df.withColumn("c", F.try_divide(goal, F.sum("w").over(rest)))
     c = F.max(F.when((F.col("r") > 0) & (F.col("c") * F.col("r") <= 1), F.col("c"))).over(Window.partitionBy())
     return df.withColumn("p", F.least(F.lit(1.0), F.coalesce(c * F.col("r"), F.lit(1.0)))).drop("r", "c")
 
