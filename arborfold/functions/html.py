@@ -20,7 +20,8 @@ INTERACTIVE = frozenset("a input button select textarea summary".split())
 
 _NAME = re.compile(r"[^\s/>=]*", re.A)
 _SPACE = re.compile(r"\s*", re.A)
-_RUST_SPACE = " \t\n\x0b\x0c\r\x85\xa0                　"
+#: What counts as white space, by Unicode.
+_SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 class Row(NamedTuple):
@@ -109,7 +110,7 @@ def parse(html: str) -> list[Row]:
         if html[at] != "<":
             end = html.find("<", at)
             end = len(html) if end < 0 else end
-            if html[at:end].strip(_RUST_SPACE):
+            if html[at:end].strip(_SPACES):
                 b.text(decode(html[at:end]))
             at = end
         elif html.startswith("<!--", at):
@@ -169,4 +170,4 @@ def _finish(rows: list[dict]) -> list[Row]:
 
 def collapse(text: str) -> str:
     """Runs of Unicode white space as one space, none at the ends."""
-    return " ".join(re.split(f"[{_RUST_SPACE}]+", text.strip(_RUST_SPACE)))
+    return " ".join(re.split(f"[{_SPACES}]+", text.strip(_SPACES)))
