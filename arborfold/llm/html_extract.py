@@ -55,23 +55,25 @@ def _is_main(node: Node) -> bool:
 
 
 def blocks_of(html: str | None) -> tuple[str, list[tuple[int, str, bool]]]:
-    """(skeleton, [(skeleton node, text, whether markup rules it out)]) of a page, in reading order."""
+    """(skeleton, [(skeleton node, text, whether markup rules it out)]) of a page, in reading order.
+
+    Of the outermost article and main regions the one with the most text is kept whole, with its siblings.
+    """
     root = parse(html or "")
     shape, number = skeleton(root)
-    found: list[list] = []  # node, pieces of text, characters, of them in links, ruled out, article, main region
-    regions: dict[int, list[int]] = {}
+    found: list[list] = []  # node, pieces of text, characters, of them in links, ruled out, outermost region
+    regions: dict[int, Node] = {}
 
-    def walk(node: Node, block: list | None, out: bool, article: int, main: int, link: bool, head: bool) -> list | None:
+    def walk(node: Node, block: list | None, out: bool, region: int, link: bool, head: bool) -> list | None:
         """Returns the open block, or None once a block element has closed it."""
         own = node.tag in BLOCK
         if node.tag == "header":
-            head, out = True, out or not article
+            head, out = True, out or not region
         elif declared_other(node):
             out = True
-        if node.tag == "article" and not out:
-            article = id(node)
-        elif not out and node.tag not in ("html", "body", "#root") and _is_main(node):
-            main = id(node)
+        if not out and not region and node.tag not in ("html", "body", "#root") and (node.tag == "article" or _is_main(node)):
+            region = id(node)
+            regions[region] = node
         if own:
             block = None
         for c in node.children:
@@ -79,7 +81,7 @@ def blocks_of(html: str | None) -> tuple[str, list[tuple[int, str, bool]]]:
                 if c.isspace() and block is None:
                     continue
                 if block is None:
-                    block = [number.get(id(_holder(node)), 0), [], 0, 0, out or head and _holder(node).tag not in _HEADINGS, article, main]
+                    block = [number.get(id(_holder(node)), 0), [], 0, 0, out or head and _holder(node).tag not in _HEADINGS, region]
                     found.append(block)
                 if out and not block[4]:  # an inline element that is ruled out
                     continue
@@ -94,23 +96,36 @@ def blocks_of(html: str | None) -> tuple[str, list[tuple[int, str, bool]]]:
             elif c.tag in RAW and c.tag not in BLOCK:
                 continue
             else:
-                block = walk(c, block, out, article, main, link or c.tag == "a", head)
+                block = walk(c, block, out, region, link or c.tag == "a", head)
         return None if own else block
 
-    walk(root, None, False, 0, 0, False, False)
-    rows = []
-    for node, pieces, size, linked, out, article, main in found:
+    walk(root, None, False, 0, False, False)
+    rows, sizes = [], dict.fromkeys(regions, 0)
+    for node, pieces, size, linked, out, region in found:
         text = " ".join("".join(pieces).split())
         if text:
-            rows.append((node, text, out, article, main, 2 * linked > size))
-            if not out:
-                for kind, region in ((0, article), (1, main)):
-                    if region:
-                        regions.setdefault(region, [kind, 0])[1] += len(text)
-    chosen = min(regions, key=lambda r: (regions[r][0], -regions[r][1]), default=0)
-    if chosen:
-        return shape, [(n, t, out or chosen not in (a, m)) for n, t, out, a, m, _ in rows]
-    return shape, [(n, t, out or links) for n, t, out, _, _, links in rows]
+            rows.append((node, text, out, region, 2 * linked > size))
+            if region and not out:
+                sizes[region] += len(text)
+    chosen = max(sizes, key=sizes.__getitem__, default=0)
+    if chosen and sizes[chosen]:
+        kept = {r for r, node in regions.items() if _siblings(regions[chosen], node)}
+        return shape, [(n, t, out or region not in kept) for n, t, out, region, _ in rows]
+    return shape, [(n, t, out or links) for n, t, out, _, links in rows]
+
+
+def _siblings(chosen: Node, other: Node) -> bool:
+    """Whether ``other`` belongs with ``chosen``: articles in like places, and named regions and headings beside it."""
+    if chosen.tag == other.tag == "article":
+        return _place(chosen) == _place(other)
+    return chosen is other or chosen.parent is other.parent and (other.tag in _HEADINGS or "article" not in (chosen.tag, other.tag))
+
+
+def _place(node: Node) -> list[tuple[str, str]]:
+    out = []
+    while (node := node.parent) is not None:
+        out.append((node.tag, node.attrs.get("class", "")))
+    return out
 
 
 def _holder(node: Node) -> Node:

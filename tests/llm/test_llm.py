@@ -237,6 +237,23 @@ def test_html_blocks():
     assert [t for _, t, _ in deep[1]] == ["x"]
 
 
+def left_of(body):
+    return [t for _, t, out in html_extract.blocks_of(f"<html><body>{body}</body></html>")[1] if not out]
+
+
+def test_html_keeps_outermost_regions_and_siblings():
+    long = "long text " * 20
+    body = long.strip()
+    assert left_of(f"<p>site<div class=post><h1 class=entry-title>Title</h1><p class=post-lead>lead<div class=entry-content><p>{long}</div></div>") == ["Title", "lead", body]
+    assert left_of(f"<main>intro<div class=content><p>{long}</div><p>end</main><p>outside") == ["intro", body, "end"]
+    assert left_of(f"<main><header><h1>Title</h1><p>by me</header><p>{long}</main>") == ["Title", body]
+    assert left_of(f"<article>one</article><article>{long}<article>nested</article></article><ul><li><article>other</article></ul>") == ["one", body, "nested"]
+    assert left_of(f"<ul><li><article>one</article><li><article>{long}</article></ul>") == ["one", body]
+    assert left_of(f"<div><article>see also</article></div><main>{long}</main>") == [body]
+    assert left_of(f"<article>see also</article><div id=content>{long}</div>") == [body]
+    assert left_of(f"<h1 class=entry-title>Title</h1><p>by<div class=entry-lead>lead</div><div class=entry-content>{long}</div>") == ["Title", "lead", body]
+
+
 def test_html_template_goes_and_copies_stay(spark):
     words = [f"w{k}" for k in range(500)]
     rng = random.Random(9)
