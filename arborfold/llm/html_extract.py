@@ -28,52 +28,74 @@ OTHER_WORDS = re.compile(
     r"|comments?|commentlist|commentform|replies|reply|respond|disqus|share|sharing|social|related|recommend\w*|newsletter\w*|subscri\w*|signup|login|popups?|modal|overlay|toolbar|pagination|pager|widgets?|skip|teasers?)$"
 )
 MAIN_WORDS = re.compile(r"^(content|post|entry|article|story|main|maincontent|articlebody|postbody)$")
+#: Words by which a name like with-sidebar or comments-open tells a state of the page, not what the element is.
+STATE_WORDS = frozenset("has have with without no not non open opened closed enabled disabled".split())
+COMMENT_WORDS = re.compile(r"^(comments?|commentlist|commentform|replies|reply|respond|disqus)$")
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
-def _words(node: Node) -> list[str]:
-    names = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"
-    return _SPLIT.split(_CAMEL.sub(r"\1 \2", names).lower()) if names != " " else []
+def _names(node: Node) -> list[list[str]]:
+    """The words of each class and id."""
+    names = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".split()
+    return [[w for w in _SPLIT.split(_CAMEL.sub(r"\1 \2", n).lower()) if w] for n in names]
+
+
+def _is_other(words: list[str]) -> bool:
+    """Whether a name says what no article is; entry-header and its like are a part of one."""
+    if not STATE_WORDS.isdisjoint(words):
+        return False
+    other = [w for w in words if OTHER_WORDS.match(w)]
+    return bool(other) and not (all(w in ("header", "headers") for w in other) and any(w != "main" and MAIN_WORDS.match(w) for w in words))
 
 
 def declared_other(node: Node) -> bool:
-    """Whether tag, role, visibility or names declare ``node`` to be no part of an article."""
+    """Whether tag, role or visibility declare ``node`` to be no part of an article."""
     if node.tag in ("html", "body", "main", "#root"):
         return False
     if node.tag in OTHER_TAGS or not node.attrs:
         return node.tag in OTHER_TAGS
     a = node.attrs
-    if a.get("role", "").lower() in OTHER_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
-    return any(OTHER_WORDS.match(w) for w in _words(node) if w)
+    return a.get("role", "").lower() in OTHER_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
 
 
-def _is_main(node: Node) -> bool:
-    return node.tag == "main" or node.attrs.get("role") == "main" or node.attrs.get("itemprop") == "articleBody" or any(MAIN_WORDS.match(w) for w in _words(node) if w)
+def named_other(node: Node) -> bool:
+    """Whether a class or id says that ``node`` is no part of an article."""
+    return bool(node.attrs) and node.tag not in ("html", "body", "main", "#root") and any(map(_is_other, _names(node)))
 
 
-def blocks_of(html: str | None) -> tuple[str, list[tuple[int, str, bool]]]:
-    """(skeleton, [(skeleton node, text, whether markup rules it out)]) of a page, in reading order.
+def _is_region(node: Node) -> bool:
+    if node.tag in ("html", "body", "#root"):
+        return False
+    if node.tag in ("article", "main") or node.attrs.get("role") == "main" or node.attrs.get("itemprop") == "articleBody":
+        return True
+    return bool(node.attrs) and any(any(MAIN_WORDS.match(w) for w in n) and not _is_other(n) for n in _names(node))
 
-    Of the outermost article and main regions the one with the most text is kept whole, with its siblings.
-    """
-    root = parse(html or "")
-    shape, number = skeleton(root)
+
+def _read(root: Node, number: dict[int, int], shield: set[int]) -> tuple[list[tuple[int, str, bool, int, bool]], dict[int, Node], list[Node]]:
+    """Blocks (skeleton node, text, ruled out, outermost region, mostly links), the outermost regions, and those that
+    only class or id words rule out. Such words don't count for nodes in ``shield``."""
     found: list[list] = []  # node, pieces of text, characters, of them in links, ruled out, outermost region
     regions: dict[int, Node] = {}
+    held: list[Node] = []
 
-    def walk(node: Node, block: list | None, out: bool, region: int, link: bool, head: bool) -> list | None:
+    def walk(node: Node, block: list | None, out: bool, named: bool, region: int, link: bool, head: bool) -> list | None:
         """Returns the open block, or None once a block element has closed it."""
         own = node.tag in BLOCK
         if node.tag == "header":
             head, out = True, out or not region
         elif declared_other(node):
             out = True
-        if not out and not region and node.tag not in ("html", "body", "#root") and (node.tag == "article" or _is_main(node)):
-            region = id(node)
-            regions[region] = node
+        elif not named and id(node) not in shield and named_other(node):
+            named = True
+        if not out and (named or not region) and _is_region(node):
+            if named:
+                held.append(node)
+                out = True
+            else:
+                region = id(node)
+                regions[region] = node
         if own:
             block = None
         for c in node.children:
@@ -81,9 +103,9 @@ def blocks_of(html: str | None) -> tuple[str, list[tuple[int, str, bool]]]:
                 if c.isspace() and block is None:
                     continue
                 if block is None:
-                    block = [number.get(id(_holder(node)), 0), [], 0, 0, out or head and _holder(node).tag not in _HEADINGS, region]
+                    block = [number.get(id(_holder(node)), 0), [], 0, 0, out or named or head and _holder(node).tag not in _HEADINGS, region]
                     found.append(block)
-                if out and not block[4]:  # an inline element that is ruled out
+                if (out or named) and not block[4]:  # an inline element that is ruled out
                     continue
                 block[1].append(c)
                 block[2] += len(c)
@@ -96,22 +118,64 @@ def blocks_of(html: str | None) -> tuple[str, list[tuple[int, str, bool]]]:
             elif c.tag in RAW and c.tag not in BLOCK:
                 continue
             else:
-                block = walk(c, block, out, region, link or c.tag == "a", head)
+                block = walk(c, block, out, named, region, link or c.tag == "a", head)
         return None if own else block
 
-    walk(root, None, False, 0, False, False)
-    rows, sizes = [], dict.fromkeys(regions, 0)
+    walk(root, None, False, False, 0, False, False)
+    rows = []
     for node, pieces, size, linked, out, region in found:
         text = " ".join("".join(pieces).split())
         if text:
             rows.append((node, text, out, region, 2 * linked > size))
-            if region and not out:
-                sizes[region] += len(text)
+    return rows, regions, held
+
+
+def _choose(rows: list, regions: dict[int, Node]) -> tuple[list[tuple[int, str, bool]], bool, int]:
+    """(blocks with what is ruled out, whether there is a region, characters left)."""
+    sizes = dict.fromkeys(regions, 0)
+    for _, text, out, region, _ in rows:
+        if region and not out:
+            sizes[region] += len(text)
     chosen = max(sizes, key=sizes.__getitem__, default=0)
-    if chosen and sizes[chosen]:
+    is_region = bool(chosen and sizes[chosen])
+    if is_region:
         kept = {r for r, node in regions.items() if _siblings(regions[chosen], node)}
-        return shape, [(n, t, out or region not in kept) for n, t, out, region, _ in rows]
-    return shape, [(n, t, out or links) for n, t, out, _, links in rows]
+        done = [(n, t, out or region not in kept) for n, t, out, region, _ in rows]
+    else:
+        done = [(n, t, out or links) for n, t, out, _, links in rows]
+    return done, is_region, sum(len(t) for _, t, out in done if not out)
+
+
+def blocks_of(html: str | None) -> tuple[str, list[tuple[int, str, bool]]]:
+    """(skeleton, [(skeleton node, text, whether markup rules it out)]) of a page, in reading order.
+
+    Of the outermost article and main regions the one with the most text is kept whole, with its siblings. Class and
+    id words rule out no element that is or holds a region with more text than is left otherwise.
+    """
+    root = parse(html or "")
+    shape, number = skeleton(root)
+    rows, regions, held = _read(root, number, set())
+    done, is_region, left = _choose(rows, regions)
+    best, size = None, 0
+    for node in held:
+        above = _above(node)
+        if is_region and any(COMMENT_WORDS.match(w) for a in above for n in _names(a) if _is_other(n) for w in n):
+            continue  # comments on the article
+        own = sum(len(t) for _, t, out, _, _ in _read(node, number, {id(node)})[0] if not out)
+        if own > size and (own > left or not is_region and (node.tag == "main" or node.attrs.get("role") == "main")):
+            best, size = node, own
+    if best:
+        shield = {id(a) for node in held if _siblings(best, node) for a in _above(node)}
+        done = _choose(*_read(root, number, shield)[:2])[0]
+    return shape, done
+
+
+def _above(node: Node) -> list[Node]:
+    """``node`` and all it stands in."""
+    out = [node]
+    while (node := node.parent) is not None:
+        out.append(node)
+    return out
 
 
 def _siblings(chosen: Node, other: Node) -> bool:
@@ -122,10 +186,7 @@ def _siblings(chosen: Node, other: Node) -> bool:
 
 
 def _place(node: Node) -> list[tuple[str, str]]:
-    out = []
-    while (node := node.parent) is not None:
-        out.append((node.tag, node.attrs.get("class", "")))
-    return out
+    return [(a.tag, a.attrs.get("class", "")) for a in _above(node)[1:]]
 
 
 def _holder(node: Node) -> Node:

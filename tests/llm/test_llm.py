@@ -254,6 +254,21 @@ def test_html_keeps_outermost_regions_and_siblings():
     assert left_of(f"<h1 class=entry-title>Title</h1><p>by<div class=entry-lead>lead</div><div class=entry-content>{long}</div>") == ["Title", "lead", body]
 
 
+def test_html_names_rule_out_no_holder_of_the_article():
+    long = "long text " * 20
+    body = long.strip()
+    assert left_of(f"<div class='layout with-sidebar'><article><p>{long}</article><div class=sidebar>side</div></div>") == [body]
+    assert left_of(f"<div class='layout with-sidebar'><p>{long}</div>") == [body]
+    assert left_of(f"<div class='content no-sidebar'><p>{long}</div><p>outside") == [body]
+    assert left_of(f"<article class='post comments-open'><p>{long}<div class=post-comments>c</div></article>") == [body]
+    assert left_of(f"<div class=sidebar-layout><article class='post share'>{long}</article><article class='post share'>two</article></div>") == [body, "two"]
+    assert left_of(f"<article>teaser</article><div id=social-page><main>{long}</main></div>") == [body]
+    assert left_of(f"<main>intro<div class=sidebar-right><div class=content>{long}</div></div></main>") == ["intro", body]
+    assert left_of("<div class=promo-page><main>short</main></div><p>a longer paragraph") == ["short"]
+    assert left_of(f"<article>short<div class=entry-header><h1>Title</h1></div></article><div class=comments><article class=comment>{long}</article></div>") == ["short", "Title"]
+    assert left_of(f"<p>{long}<div class=footer><div class=footer-content>f</div></div><div class=related><article>t</article></div>") == [body]
+
+
 def test_html_template_goes_and_copies_stay(spark):
     words = [f"w{k}" for k in range(500)]
     rng = random.Random(9)
