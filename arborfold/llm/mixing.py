@@ -73,29 +73,60 @@ def probabilities(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
     return df.withColumn("p", F.least(F.lit(1.0), F.coalesce(c * F.col("r"), F.lit(1.0)))).drop("r", "c")
 
 
+def copies(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """Add p = budget * all tokens * w / tokens, the expected copies of a document: above 1 where a target needs more
+    than a cell has, so the marginals of expected tokens are the raked ones. 1 in cells without tokens."""
+    goal = budget * F.sum("tokens").over(Window.partitionBy())
+    return raked.withColumn("p", F.when(F.col("tokens") > 0, goal * F.col("w") / F.col("tokens")).otherwise(1.0))
+
+
+def marginals(cells: DataFrame, dims: tuple[str, ...] = DIMS) -> DataFrame:
+    """dimension, value, share of all tokens, target and expected share of the sample, for cells of ``probabilities`` or ``copies``."""
+    out = None
+    for d in dims:
+        one = cells.groupBy(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")).agg(F.sum("tokens").alias("n"), F.max(f"{d}_t").alias("target"), F.sum(F.col("tokens") * F.col("p")).alias("got"))
+        out = one if out is None else out.unionByName(one)
+    total = lambda c: F.try_divide(F.col(c).cast("double"), F.sum(c).over(Window.partitionBy("dimension")))
+    return out.select("dimension", "value", total("n").alias("share"), "target", total("got").alias("achieved"))
+
+
+def cells_of(docs: DataFrame) -> DataFrame:
+    """Tokens by source, language and topic."""
+    cell = ["source", "lang", topic_of(F.col("text")).alias("topic")]
+    return docs.groupBy(*cell).agg(F.sum(tokens_of(F.col("text"))).alias("tokens"))
+
+
 def draw(doc_id: Column, seed: int) -> Column:
     """A number in [0, 1) from the id alone."""
     key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}"))
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, budget: float = BUDGET, temper: dict[str, float] = TEMPER, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, budget: float = BUDGET, temper: dict[str, float] = TEMPER, seed: int = SEED, repeat: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, source, lang, more) with mix_tokens, mix_probability and mix_kept, every row kept.
 
+    Probabilities held at 1 miss the targets where a cell has too few tokens. With ``repeat`` mix_probability is the
+    expected number of copies instead and mix_copies the number drawn, so the expected marginals are the raked ones.
+
     Null sources, languages and texts are values of their own; documents without tokens keep their cell's
     probability, or 1 in a cell without any. Rows that repeat an id are drawn alike. Columns already called
     ``mix_...`` are replaced. An empty table gives an empty result.
     """
-    df = docs.drop("mix_tokens", "mix_topic", "mix_probability", "mix_kept")
+    df = docs.drop("mix_tokens", "mix_topic", "mix_probability", "mix_kept", "mix_copies")
     df = df.withColumn("mix_tokens", tokens_of(F.col("text"))).withColumn("mix_topic", topic_of(F.col("text")))
     cells = df.groupBy("source", "lang", F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").alias("tokens"))
-    p = probabilities(rake(cells, temper), budget).select(F.struct(*DIMS).alias("mix_cell"), F.col("p").alias("mix_probability"))
+    p = (copies if repeat else probabilities)(rake(cells, temper), budget).select(F.struct(*DIMS).alias("mix_cell"), F.col("p").alias("mix_probability"))
     p = common.materialise(p, "mixing-probabilities")
     if p.limit(100_001).count() <= 100_000:
         p = F.broadcast(p)
     cell = F.struct("source", "lang", F.col("mix_topic").alias("topic"))
     df = df.withColumn("mix_own", cell).join(p, F.col("mix_own").eqNullSafe(F.col("mix_cell")), "left").drop("mix_own", "mix_cell")
-    return df.withColumn("mix_kept", draw(F.col("doc_id"), seed) < F.col("mix_probability")).drop("mix_topic")
+    df = df.drop("mix_topic")
+    if not repeat:
+        return df.withColumn("mix_kept", draw(F.col("doc_id"), seed) < F.col("mix_probability"))
+    whole = F.floor("mix_probability")
+    df = df.withColumn("mix_copies", (whole + (draw(F.col("doc_id"), seed) < F.col("mix_probability") - whole).cast("int")).cast("int"))
+    return df.withColumn("mix_kept", F.col("mix_copies") > 0)
 
 
 def _oracle() -> str:

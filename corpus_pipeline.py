@@ -24,8 +24,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample calibrated to the target marginals, 0.8 of the tokens."""
-    return mixing.mix(docs).where("mix_kept").select(docs.columns)
+    """A sample calibrated to the target marginals, 0.8 of the tokens; documents repeat where a target needs more than there are."""
+    mixed = mixing.mix(docs, repeat=True).where("mix_kept")
+    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1), "mix_copies")).alias("mix_copy__")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -180,6 +180,26 @@ def test_mixing_edges(docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_with_copies_meets_the_targets_of_a_hot_source(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source"))).cache()
+    raked = mixing.rake(mixing.cells_of(docs))
+    capped, whole = (mixing.marginals(f(raked)).toPandas() for f in (mixing.probabilities, mixing.copies))
+    assert abs(capped["achieved"] - capped["target"]).max() > 0.02 and abs(whole["achieved"] - whole["target"]).max() < 0.002
+    n = mixing.tokens_of(F.col("text"))
+    mixed = mixing.mix(docs, repeat=True)
+    total, want = mixed.agg(F.sum(n), F.sum(n * F.col("mix_probability"))).first()
+    assert abs(want / total - mixing.BUDGET) < 1e-6
+    assert mixed.where("abs(mix_copies - mix_probability) >= 1 OR mix_kept <> (mix_copies > 0)").count() == 0
+    out = corpus_pipeline.mix(spark, docs, DATA)
+    assert out.columns == docs.columns and out.count() == mixed.agg(F.sum("mix_copies")).first()[0]
+    target = {r.value: r.target for r in whole.itertuples() if r.dimension == "lang"}
+    got = {r["lang"]: r["n"] for r in out.groupBy("lang").agg(F.sum(n).alias("n")).collect()}
+    assert all(abs(got[k] / sum(got.values()) - target[k]) < 0.03 for k in target)
+
+
 def test_hilbert_neighbours():
     for dims, bits in ((2, 4), (3, 3)):
         points = sorted(np.ndindex(*[1 << bits] * dims), key=lambda p: hilbert.index_of(p, bits))
