@@ -3,9 +3,13 @@
 log P(token) = log P(class | context) + log P(token | class, context). The most frequent training tokens ("head")
 stand in classes of equal size by frequency; rarer ones in classes by training count; unseen tokens are one event in
 a class of its own. The class softmax has hashed features of the token before, of the one before that (a skip) and
-of both (an n-gram); the softmax inside a head class has a hashed feature of class and token before. Inside a class of
-rarer tokens, probabilities are in proportion to training counts. All probabilities over the training vocabulary
-and the unseen event add up to 1.
+of both (an n-gram); the softmax inside a head class has a hashed feature of class and token before. Hashed rows grow
+with the root of the training tokens, classes with the largest counts. Inside every class the pairs (token before,
+token) are counted exactly over all training documents, in buckets as many as the input asks for: with n the pair's
+count, N and T the count and number of the pairs of its token before and class, P(token | class, context) =
+max(n - D, 0) / N + D * T / N * q, the closed form of maximum entropy with discounted pair features, where q is the head
+softmax or, for rarer tokens, in proportion to training counts; each class has its discount D from its pairs that
+occur once and twice. All probabilities over the training vocabulary and the unseen event add up to 1.
 
 Counts cover every training document: tokens are hashed to 64 bits, chunks of documents list their distinct tokens,
 buckets of tokens add the chunks' counts up and send them back, so no task or driver ever holds the vocabulary.
@@ -33,10 +37,9 @@ ORACLE_SQL = None
 
 END = np.uint64(0xE4D)  # the end token; words are mixed hashes, so it meets none of them
 HEAD, CLASS = 1024, 32  # head tokens, and head tokens a class
-BANDS = np.array([0, 1, 2, 3, 4, 8, 16, 32, 128])  # lower training counts of the other classes
-CLASSES = HEAD // CLASS + len(BANDS)
-ROWS = 12288  # class features: 4096 each for the token before, the skip, the pair
-HEAD_ROWS = 8192
+BANDS = np.array([0, 1, 2, 3, 4, 8, 16, 32] + [128 << 2 * k for k in range(20)])  # lower training counts of the other classes
+CLASSES = HEAD // CLASS + len(BANDS)  # of them those up to the largest count are used
+BITS = 12  # the fewest bits of class features, each of the token before, the skip, the pair; head features have one more
 SLICE = 32768
 
 
@@ -50,8 +53,13 @@ class Model:
     sums: np.ndarray  # what P(token | class) divides by
     class_bias: np.ndarray
     head_bias: np.ndarray
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((ROWS, CLASSES), np.float32))
-    head_weights: np.ndarray = field(default_factory=lambda: np.zeros((HEAD_ROWS, CLASS), np.float32))
+    bits: int = BITS
+    weights: np.ndarray = field(init=False)
+    head_weights: np.ndarray = field(init=False)
+
+    def __post_init__(self):
+        self.weights = np.zeros((3 << self.bits, len(self.class_bias)), np.float32)
+        self.head_weights = np.zeros((2 << self.bits, CLASS), np.float32)
 
     def rank(self, words: np.ndarray) -> np.ndarray:
         """The head rank of each token hash, -1 elsewhere."""
@@ -68,7 +76,7 @@ def band(counts: np.ndarray) -> np.ndarray:
 
 
 def contexts(feat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(token before, one before that) as 16-bit features; 0 and 1 before a document's start."""
+    """(token before, one before that) as 32-bit features; 0 and 1 before a document's start."""
     before, skip = np.empty_like(feat), np.empty_like(feat)
     before[1:], skip[2:] = feat[:-1], feat[:-2]
     before[starts] = 0
@@ -78,14 +86,21 @@ def contexts(feat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return before, skip
 
 
-def rows_of(before: np.ndarray, skip: np.ndarray) -> list[np.ndarray]:
+def bits_for(n: int) -> int:
+    """Bits of a class feature for ``n`` training tokens: rows grow with the root of ``n``."""
+    return max(BITS, (int(n).bit_length() - 1) // 2)
+
+
+def rows_of(before: np.ndarray, skip: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
     a, b = before.astype(np.uint32), skip.astype(np.uint32)
-    pair = (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(20)
-    return [(a & 4095).astype(np.uint16), (4096 + (b & 4095)).astype(np.uint16), (8192 + pair).astype(np.uint16)]
+    pair = (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
+    mask, kind = np.uint32((1 << bits) - 1), np.uint16 if bits <= 14 else np.uint32
+    return [(a & mask).astype(kind), ((1 << bits) + (b & mask)).astype(kind), ((2 << bits) + pair).astype(kind)]
 
 
-def head_row(before: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    return ((before.astype(np.uint32) * np.uint32(0xC2B2AE3D) + cls.astype(np.uint32) * np.uint32(0x27D4EB2F)) >> np.uint32(19)).astype(np.uint16)
+def head_row(before: np.ndarray, cls: np.ndarray, bits: int = BITS) -> np.ndarray:
+    mixed = before.astype(np.uint32) * np.uint32(0xC2B2AE3D) + cls.astype(np.uint32) * np.uint32(0x27D4EB2F)
+    return (mixed >> np.uint32(31 - bits)).astype(np.uint16 if bits <= 15 else np.uint32)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -136,11 +151,11 @@ def chunked(docs: DataFrame, bits: int, tokens_a_chunk: int) -> DataFrame:
             words, tokens = np.unique(np.concatenate(held), return_inverse=True)
             flags = np.array(train, bool)
             counts = np.bincount(tokens[np.repeat(flags, sizes)], minlength=len(words)).astype("<i4")
-            yield _row(kind=0, chunk=chunk, ids=ids, train=flags.tobytes(), sizes=sizes.tobytes(), words=words.tobytes(), tokens=tokens.astype("<u4").tobytes())
+            yield _row(kind=0, chunk=chunk, ids=ids, train=flags.tobytes(), sizes=sizes.tobytes(), words=words.tobytes(), tokens=_pack(tokens.astype("<u4")))
             cuts = np.searchsorted(words >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
             for k in range(1 << bits):
                 if cuts[k] < cuts[k + 1]:
-                    yield _row(kind=1, chunk=chunk, bucket=k, words=words[cuts[k] : cuts[k + 1]].tobytes(), counts=counts[cuts[k] : cuts[k + 1]].tobytes())
+                    yield _row(kind=1, chunk=chunk, bucket=k, words=words[cuts[k] : cuts[k + 1]].tobytes(), counts=_pack(counts[cuts[k] : cuts[k + 1]]))
             made += 1
             held, ids, train, size = [], [], [], 0
 
@@ -166,14 +181,14 @@ def _total(table: pa.Table) -> pa.Table:
     """Add up a bucket's counts; a row a chunk with its words' totals, and one of statistics and the most frequent words."""
     rows = table.select(["chunk", "words", "counts"]).to_pylist()
     words = [np.frombuffer(r["words"], np.uint64) for r in rows]
-    counts = np.concatenate([np.frombuffer(r["counts"], "<i4") for r in rows])
+    counts = np.concatenate([_unpack(r["counts"], "<i4") for r in rows])
     known, inverse = np.unique(np.concatenate(words), return_inverse=True)
     total = np.zeros(len(known), np.int64)
     np.add.at(total, inverse, counts)
     back, at, out = total[inverse], 0, []
     bucket = table.column("bucket")[0].as_py()
     for r, w in zip(rows, words, strict=True):
-        out.append((r["chunk"], bucket, back[at : at + len(w)].astype("<i8").tobytes(), None, None, None))
+        out.append((r["chunk"], bucket, _pack(back[at : at + len(w)].astype("<i8")), None, None, None))
         at += len(w)
     seen = total[total > 0]
     stats = [float(len(seen)), float(seen.sum())]
@@ -211,14 +226,32 @@ def _start(stats: list, tops: list[tuple[int, int]]) -> Model:
         head_bias = np.log(padded).reshape(-1, CLASS)
     head_bias[~np.isfinite(head_bias).any(axis=1)] = 0.0
     sums[0] = 1.0
-    return Model(head, n, v, sums, class_bias.astype(np.float32), head_bias.astype(np.float32))
+    used = HEAD // CLASS + 1 + int(np.flatnonzero(types[1:] > 0).max(initial=-1) + 1)
+    return Model(head, n, v, sums, class_bias[:used].astype(np.float32), head_bias.astype(np.float32), bits_for(n))
+
+
+READY = (
+    "chunk long, turn int, ids array<long>, train binary, sizes binary, known binary, base binary, code binary, feat binary"
+    ", pair binary, second binary, within binary, words binary, first binary, counts binary"
+)
+MESSAGES = "chunk long, bucket int, befores binary, runs binary, classes binary, pairs binary, counts binary"
+START = np.uint64(0x57A7)  # stands before a document's first token
 
 
-READY = "ids array<long>, train binary, sizes binary, known binary, base binary, rare binary, code binary, feat binary, turn int"
+def _pack(x: np.ndarray) -> bytes:
+    """Compressed, as shuffles hardly shrink numbers."""
+    raw = x.tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
-def _prepare(model: Model, slices: int):
-    """Chunks with their words' totals -> what training and scoring need: a class or head code and a feature a token."""
+def _unpack(data: bytes, kind: str) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", kind)
+
+
+def _prepare(model, slices: int):
+    """Chunks with their words' totals -> what training and scoring need: a pair a token; a word before and a word a pair,
+    and its count in training documents; codes (as scored and as seen in training) and a feature a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -226,36 +259,117 @@ def _prepare(model: Model, slices: int):
             for k in range(b.num_rows):
                 ids, train, sizes, words, tokens, totals, chunk = (b.column(c)[k] for c in range(7))
                 words, sizes = np.frombuffer(words.as_py(), np.uint64), np.frombuffer(sizes.as_py(), np.int32)
-                total = np.concatenate([np.frombuffer(t["counts"], "<i8") for t in totals.as_py()])
-                tokens = np.frombuffer(tokens.as_py(), "<u4")
+                total = np.concatenate([_unpack(t["counts"], "<i8") for t in totals.as_py()])
+                tokens, chunk = _unpack(tokens.as_py(), "<u4"), chunk.as_py()
                 rank = m.rank(words)
                 code = np.where(rank >= 0, rank, HEAD + band(total))
                 base = np.log10((total + 1) / (m.n + m.v + 1))
-                with np.errstate(divide="ignore"):
-                    rare = np.where((rank >= 0) | (total == 0), 0.0, np.log10(np.maximum(total, 1) / np.maximum(m.sums[band(total)], 1)))
+                # the share of its class, of tokens outside the head; the unseen event is alone in its class
+                share = np.where(rank >= 0, 0.0, np.maximum(total, 1) / np.maximum(m.sums[band(total)], 1)).astype("<f4")
                 # as seen in training: a count less, for tokens outside the head
                 less = np.where(rank >= 0, rank, HEAD + band(np.maximum(total - 1, 0)))
-                flags = np.frombuffer(train.as_py(), bool)
+                flags = np.repeat(np.frombuffer(train.as_py(), bool), sizes)
                 starts = np.cumsum(sizes) - sizes
-                feat = ((mix(words) >> np.uint64(48)) | np.uint64(2)).astype("<u2")[tokens]
-                learn = np.where(np.repeat(flags, sizes), less[tokens], 0).astype("<u2")
-                out = [ids.as_py(), train.as_py(), sizes.tobytes(), np.add.reduceat((total > 0)[tokens].astype(np.int64), starts).tobytes(), np.add.reduceat(base[tokens], starts).tobytes(), np.add.reduceat(rare[tokens], starts).tobytes()]
-                out += [code[tokens].astype("<u2").tobytes() + learn.tobytes(), feat.tobytes(), int(mix(np.array([chunk.as_py()], np.int64).view(np.uint64))[0] % np.uint64(slices))]
-                kinds = [pa.list_(pa.int64())] + [pa.binary()] * 7 + [pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, kinds, strict=True)], names=[f.split()[0] for f in READY.split(", ")])
+                feat = ((mix(words) >> np.uint64(32)) | np.uint64(2)).astype("<u4")
+                # the words by the hash of the word before, START among them
+                hashed = mix(np.append(words, START))
+                order = np.argsort(hashed)
+                row = np.empty(len(order), np.uint64)
+                row[order] = np.arange(len(order), dtype=np.uint64)
+                before = np.empty(len(tokens), np.uint64)
+                before[1:] = row[tokens[:-1]]
+                before[starts] = row[-1]
+                wide = np.uint64(len(words) + 1)
+                both, which = np.unique(before * wide + tokens, return_inverse=True)
+                first, second = np.divmod(both, wide)
+                hashed = hashed[order]
+                cols = {
+                    "chunk": chunk, "turn": int(mix(np.array([chunk], np.int64).view(np.uint64))[0] % np.uint64(slices)), "ids": ids.as_py(), "train": train.as_py(), "sizes": sizes.tobytes(),
+                    "known": _pack(np.add.reduceat((total > 0)[tokens].astype(np.int64), starts)), "base": np.add.reduceat(base[tokens], starts).tobytes(),
+                    "code": _pack(np.append(code, less).astype("<u2")), "feat": _pack(feat), "pair": _pack(which.astype("<u4")), "second": _pack(second.astype("<u4")), "within": _pack(share),
+                    "words": words.tobytes(), "first": _pack(first.astype("<u4")), "counts": _pack(np.bincount(which[flags], minlength=len(both)).astype("<i4")),
+                }
+                kinds = {"chunk": pa.int64(), "turn": pa.int32(), "ids": pa.list_(pa.int64())}
+                yield pa.RecordBatch.from_arrays([pa.array([x], kinds.get(c, pa.binary())) for c, x in cols.items()], names=list(cols))
 
     return run
 
 
+def _messages(bits: int):
+    """A bucket's share of a chunk's pairs by the token before, with their counts in training documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                words, first, second, counts = np.frombuffer(r["words"], np.uint64), _unpack(r["first"], "<u4"), _unpack(r["second"], "<u4"), _unpack(r["counts"], "<i4")
+                hashed = np.sort(mix(np.append(words, START)))
+                cls = _classes(_unpack(r["code"], "<u2")[: len(words)])[second].astype("<u2")
+                pairs = mix(hashed[first] ^ words[second] * np.uint64(0x9E3779B97F4A7C15))
+                cuts = np.searchsorted(hashed[first] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                for at in np.flatnonzero(np.diff(cuts)):
+                    i = slice(cuts[at], cuts[at + 1])
+                    own = np.flatnonzero(np.append(True, first[i][1:] != first[i][:-1]))
+                    runs = np.diff(np.append(own, cuts[at + 1] - cuts[at])).astype("<u4")
+                    short = pairs[i].astype("<u8").view("<u2").reshape(-1, 4)[:, :3]  # 48 bits tell the pairs of one token before apart
+                    cols = [r["chunk"], int(at), hashed[first[i][own]].tobytes(), _pack(runs), _pack(cls[i]), short.tobytes(), _pack(counts[i])]
+                    kinds = [pa.int64(), pa.int32()] + [pa.binary()] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in MESSAGES.split(", ")])
+
+    return run
+
+
+PAIRS = "chunk long, bucket int, own binary, total binary, kinds binary, once array<double>, twice array<double>"
+
+
+def _pair_total(table: pa.Table) -> pa.Table:
+    """Add up a bucket's pairs; a row a chunk with its pairs' counts and those of their contexts, and one of the numbers
+    of pairs by class that occur once and twice."""
+    rows = table.select(["chunk", "befores", "runs", "classes", "pairs", "counts"]).to_pylist()
+    before = np.concatenate([np.repeat(np.frombuffer(r["befores"], np.uint64), _unpack(r["runs"], "<u4")) for r in rows])
+    cls = np.concatenate([_unpack(r["classes"], "<u2") for r in rows])
+    pair = np.zeros((len(before), 4), "<u2")
+    pair[:, :3] = np.concatenate([np.frombuffer(r["pairs"], "<u2") for r in rows]).reshape(-1, 3)
+    pair = pair.view("<u8").ravel() | cls.astype(np.uint64) << np.uint64(48)  # by class, then by token
+    sizes = [len(r["pairs"]) // 6 for r in rows]
+    counts = np.concatenate([_unpack(r["counts"], "<i4") for r in rows])
+    order = np.lexsort((pair, before))
+    before, pair, kind = before[order], pair[order], cls[order]
+    new = np.append(True, (before[1:] != before[:-1]) | (kind[1:] != kind[:-1]))
+    fresh = new | np.append(True, pair[1:] != pair[:-1])
+    n = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(fresh))
+    heads = np.flatnonzero(new[fresh])
+    group, of = np.cumsum(fresh) - 1, np.cumsum(new) - 1
+    back = np.empty((3, len(order)), np.int64)
+    back[:, order] = n[group], np.add.reduceat(n, heads)[of], np.add.reduceat((n > 0).astype(np.int64), heads)[of]
+    kind = kind[fresh]
+    once, twice = (np.bincount(kind[n == k], minlength=CLASSES).astype(float) for k in (1, 2))
+    bucket, at, out = table.column("bucket")[0].as_py(), 0, []
+    for r, size in zip(rows, sizes, strict=True):
+        i = slice(at, at + size)
+        at = i.stop
+        out.append((r["chunk"], bucket, *(_pack(x[i].astype("<i8")) for x in back), None, None))
+    out.append((-1, bucket, None, None, None, once, twice))
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+    names = [f.split()[0] for f in PAIRS.split(", ")]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+
+def inside_class(q: np.ndarray, own: np.ndarray, total: np.ndarray, kinds: np.ndarray, discount: np.ndarray) -> np.ndarray:
+    """P(token | class, token before) from q, the pair's count, and count and number of the context's pairs."""
+    n = np.maximum(total, 1)
+    return np.where(total > 0, (np.maximum(own - discount, 0) + discount * kinds * q) / n, q)
+
+
 def _each(b: pa.RecordBatch) -> Iterator[tuple]:
     """Per chunk: (batch row, train flags, sizes, codes, codes in training, token before, skip)."""
     col = {n: i for i, n in enumerate(b.schema.names)}
     for k in range(b.num_rows):
         sizes = np.frombuffer(b.column(col["sizes"])[k].as_py(), np.int32)
-        both = np.frombuffer(b.column(col["code"])[k].as_py(), "<u2")
-        feat = np.frombuffer(b.column(col["feat"])[k].as_py(), "<u2")
+        code, learn = _unpack(b.column(col["code"])[k].as_py(), "<u2").reshape(2, -1)
+        word = _unpack(b.column(col["second"])[k].as_py(), "<u4")[_unpack(b.column(col["pair"])[k].as_py(), "<u4")]
+        feat = _unpack(b.column(col["feat"])[k].as_py(), "<u4")[word]
         flags = np.frombuffer(b.column(col["train"])[k].as_py(), bool)
-        yield k, flags, sizes, both[: len(feat)], both[len(feat) :], *contexts(feat, np.cumsum(sizes) - sizes)
+        yield k, flags, sizes, code[word], learn[word], *contexts(feat, np.cumsum(sizes) - sizes)
 
 
 def _classes(code: np.ndarray) -> np.ndarray:
@@ -267,8 +381,8 @@ def _gradient(sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        grad, seen = np.zeros((ROWS, CLASSES), np.float32), np.zeros(ROWS, np.float32)
-        hgrad, hseen = np.zeros((HEAD_ROWS, CLASS), np.float32), np.zeros(HEAD_ROWS, np.float32)
+        grad, seen = np.zeros_like(m.weights), np.zeros(len(m.weights), np.float32)
+        hgrad, hseen = np.zeros_like(m.head_weights), np.zeros(len(m.head_weights), np.float32)
         any_rows = False
         for b in batches:
             for _, flags, sizes, _, learn, before, skip in _each(b):
@@ -277,14 +391,14 @@ def _gradient(sent):
                     i = use[at : at + SLICE]
                     any_rows = True
                     cls = _classes(learn[i])
-                    rows = rows_of(before[i], skip[i])
+                    rows = rows_of(before[i], skip[i], m.bits)
                     error = -predict(m, rows)
                     error[np.arange(len(i)), cls] += 1
                     for r in rows:
                         _add(grad, seen, r, error)
                     inside = np.flatnonzero(learn[i] < HEAD)
                     if len(inside):
-                        row = head_row(before[i[inside]], cls[inside])
+                        row = head_row(before[i[inside]], cls[inside], m.bits)
                         error = -predict_head(m, cls[inside], row)
                         error[np.arange(len(inside)), learn[i[inside]] % CLASS] += 1
                         _add(hgrad, hseen, row, error)
@@ -306,7 +420,8 @@ def _step(m: Model, segments: dict[int, bytes], rate: float, decay: float, most:
     tables = [[], [], [], []]
     for k in range(16):
         flat, at = np.frombuffer(segments[k], np.float64), 0
-        for t, (rows, width) in zip(tables, ((ROWS, CLASSES), (ROWS, 1), (HEAD_ROWS, CLASS), (HEAD_ROWS, 1)), strict=True):
+        shapes = [m.weights.shape, (len(m.weights), 1), m.head_weights.shape, (len(m.head_weights), 1)]
+        for t, (rows, width) in zip(tables, shapes, strict=True):
             n = rows // 16 * width
             t.append(flat[at : at + n].reshape(-1, width))
             at += n
@@ -318,26 +433,28 @@ def _step(m: Model, segments: dict[int, bytes], rate: float, decay: float, most:
     m.head_weights = m.head_weights + (rate * np.clip(step, -most, most)).astype(np.float32)
 
 
-def _scores(sent):
+def _scores(sent, discount: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
             col = {n: i for i, n in enumerate(b.schema.names)}
-            for k, _, sizes, code, _, before, skip in _each(b):
+            for k, flags, sizes, code, _, before, skip in _each(b):
+                counted = b.column(col["counted"])[k].as_py()
+                own, total, kinds = (np.concatenate([_unpack(c[x], "<i8") for c in counted]) for x in ("own", "total", "kinds"))
+                pair, second = (_unpack(b.column(col[c])[k].as_py(), "<u4") for c in ("pair", "second"))
+                within = _unpack(b.column(col["within"])[k].as_py(), "<f4")
                 log = np.empty(len(code))
                 for at in range(0, len(code), SLICE):
                     i = slice(at, at + SLICE)
-                    c, cls = code[i], _classes(code[i])
-                    p = predict(m, rows_of(before[i], skip[i]))[np.arange(len(c)), cls].astype(np.float64)
+                    c, cls, w = code[i], _classes(code[i]), pair[i]
+                    p = predict(m, rows_of(before[i], skip[i], m.bits))[np.arange(len(c)), cls].astype(np.float64)
                     inside = np.flatnonzero(c < HEAD)
-                    q = predict_head(m, cls[inside], head_row(before[i][inside], cls[inside]))
-                    p[inside] *= q[np.arange(len(inside)), c[inside] % CLASS]
-                    log[i] = np.log10(np.maximum(p, 1e-300))
+                    q = within[second[w]].astype(np.float64)
+                    q[inside] = predict_head(m, cls[inside], head_row(before[i][inside], cls[inside], m.bits))[np.arange(len(inside)), c[inside] % CLASS]
+                    log[i] = np.log10(np.maximum(p * inside_class(q, own[w], total[w], kinds[w], discount[cls]), 1e-300))
                 starts = np.cumsum(sizes) - sizes
-                known, base, rare = (np.frombuffer(b.column(col[c])[k].as_py(), t) for c, t in (("known", np.int64), ("base", np.float64), ("rare", np.float64)))
-                score = np.add.reduceat(log, starts) + rare
-                flags = np.frombuffer(b.column(col["train"])[k].as_py(), bool)
-                cols = [b.column(col["ids"])[k].values, pa.array(~flags), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(np.full(len(sizes), m.n)), pa.array(base), pa.array(score)]
+                known, base = _unpack(b.column(col["known"])[k].as_py(), "<i8"), np.frombuffer(b.column(col["base"])[k].as_py(), np.float64)
+                cols = [b.column(col["ids"])[k].values, pa.array(~flags), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(np.full(len(sizes), m.n)), pa.array(base), pa.array(np.add.reduceat(log, starts))]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in SCORES.split(", ")])
 
     return run
@@ -370,14 +487,25 @@ def score_documents(docs: DataFrame, rounds: int = 4, rate: float = 0.5, decay:
     ready = common.materialise(data.mapInArrow(_prepare(sent, rounds), READY), "lm-ready")
     common.drop_table(chunks)
     common.drop_table(totals)
+    del chunks, words, totals, stats, by_chunk, data
+    spark._jvm.System.gc()  # Spark removes the files of shuffles that nothing refers to any more
+    pairs = ready.select("chunk", "words", "first", "second", "code", "counts").mapInArrow(_messages(bits + 2), MESSAGES)
+    pairs = common.materialise(pairs.groupBy("bucket").applyInArrow(_pair_total, PAIRS), "lm-pairs")
+    once, twice = ([r[0] for r in pairs.where("chunk = -1").select(F.posexplode(c).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").select("x").collect()] or [0.0] * CLASSES for c in ("once", "twice"))
+    spark._jvm.System.gc()
+    discount = (np.array(once) + 0.5) / (np.array(once) + 2 * np.array(twice) + 0.5)
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(model)
-        part = ready.where(F.col("turn") == turn).select("train", "sizes", "code", "feat")
+        part = ready.where(F.col("turn") == turn).select("train", "sizes", "code", "feat", "pair", "second")
         summed = part.mapInArrow(_gradient(sent), "segment int, sums binary").groupBy("segment").applyInArrow(_add_up, "segment int, sums binary")
-        segments = {r["segment"]: bytes(r["sums"]) for r in summed.collect()}  # a table of fixed size
+        segments = {r["segment"]: bytes(r["sums"]) for r in summed.collect()}  # as large as the weights
         if segments:
             _step(model, segments, rate, decay, most)
-    return ready.mapInArrow(_scores(spark.sparkContext.broadcast(model)), SCORES)
+        del part, summed
+        spark._jvm.System.gc()
+    counted = pairs.where("chunk >= 0").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "own", "total", "kinds"))).alias("counted"))
+    whole = ready.select("chunk", "ids", "train", "sizes", "known", "base", "code", "feat", "pair", "second", "within").join(counted, "chunk")
+    return whole.mapInArrow(_scores(spark.sparkContext.broadcast(model), discount), SCORES)
 
 
 def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

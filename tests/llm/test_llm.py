@@ -336,6 +336,28 @@ def test_lm_probabilities_add_up():
     assert abs(sum(words) + p[lm_score.HEAD // lm_score.CLASS] - 1) < 1e-5
 
 
+def test_lm_context_grows_with_the_input(spark):
+    assert lm_score.bits_for(4_000_000) == 12 and lm_score.bits_for(10**8) > 12 and lm_score.bits_for(10**10) > lm_score.bits_for(10**8)
+    assert lm_score.band(np.array([200]))[0] < lm_score.band(np.array([2000]))[0] < lm_score.band(np.array([10**9]))[0]
+    # 4,000 tokens with equal counts, most outside the head, each known by the one before alone
+    words = [f"w{k}" for k in range(4000)]
+    rng, rows = random.Random(3), []
+    for k in range(400):
+        at = rng.sample(range(0, 4000, 2), 100)
+        rows.append((k, " ".join(f"{words[a]} {words[a + 1]}" for a in at), k < 300))
+    shuffled = [(1000 + k, " ".join(f"{words[a]} {words[b]}" for a, b in zip(rng.sample(range(0, 4000, 2), 100), rng.sample(range(1, 4000, 2), 100), strict=True)), False) for k in range(100)]
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_documents(spark.createDataFrame(rows + shuffled, "doc_id long, text string, train boolean")).collect()}
+    told = np.mean([got[k] for k in range(300, 400)]) - np.mean([got[1000 + k] for k in range(100)])
+    assert told > 100  # a decade for each of the 100 tokens that have their own token before
+
+
+def test_lm_inside_class_adds_up():
+    q, own = np.array([0.5, 0.25, 0.125, 0.125]), np.array([3, 1, 0, 0])
+    for d in (0.3, 1.0):
+        assert abs(lm_score.inside_class(q, own, np.full(4, 4), np.full(4, 2), np.full(4, d)).sum() - 1) < 1e-12
+    assert (lm_score.inside_class(q, own * 0, np.zeros(4, int), np.zeros(4, int), np.full(4, 0.5)) == q).all()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
