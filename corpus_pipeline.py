@@ -17,10 +17,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links (five-word shingles, 0.8) join, the one with the smallest id; null ids stay."""
-    found = minhash_dedup.near_duplicates(docs, words=5, threshold=0.8)
-    gone = common.materialise(found.where("NOT kept").select(F.col("doc_id").alias("gone__")).distinct(), "pipeline-copies")
-    return docs.join(gone, F.col("doc_id") == F.col("gone__"), "left_anti")
+    """Of rows that near-duplicate links (five-word shingles, 0.8) join, the one with the smallest id, null ids last; rows
+    with a repeated or null id are decided one by one, by a row key written once."""
+    keyed = common.materialise(docs.withColumn("row__", F.monotonically_increasing_id()), "pipeline-rows")
+    found = minhash_dedup.near_duplicates(keyed.select(F.col("row__").alias("doc_id"), "text"), words=5, threshold=0.8)
+    groups = found.select(F.col("doc_id").alias("row__"), "component_id").join(keyed.select("row__", "doc_id"), "row__")
+    best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row__")).alias("best"))
+    kept = common.materialise(best.select("best.row__"), "pipeline-kept")
+    return keyed.join(kept, "row__", "left_semi").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

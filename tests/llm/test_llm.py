@@ -371,3 +371,15 @@ def test_pipeline_stages(spark):
         assert 0.5 * len(ids) < kept.count() <= len(ids)
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, DATA)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in kept.select("doc_id").collect()}
+
+
+def test_pipeline_copies_go_row_by_row(spark):
+    import corpus_pipeline
+
+    one, near = " ".join(f"a{k}" for k in range(100)), " ".join(f"a{k}" for k in range(99))
+    rows = [(1, one), (2, near), (2, "a text of its own that nothing else is like"), (3, "said twice " * 9), (3, "said twice " * 9), (None, "no id here at all " * 9), (None, "no id here at all " * 9), (None, one), (4, None), (5, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    out = corpus_pipeline.drop_copies(spark, docs, DATA)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[3], rows[5], rows[8], rows[9]], key=str)
