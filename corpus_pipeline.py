@@ -34,8 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
-    return packing.pack_digest(docs, tokenizer_path())
+    """Pieces of the documents with their token ids, in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, tokenizer_path())
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_copies), ("mixing", mix), ("packing", pack)]

@@ -383,3 +383,13 @@ def test_pipeline_copies_go_row_by_row(spark):
     assert out.columns == docs.columns
     got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
     assert got == sorted([rows[0], rows[2], rows[3], rows[5], rows[8], rows[9]], key=str)
+
+
+def test_pipeline_packs_token_ids(spark, docs):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.pack(spark, docs, DATA).orderBy("doc_id", "start").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u4").tolist())
+    assert got == {k: plain_ids(t) + [1] for k, t in enumerate(SMALL_TEXTS)}
