@@ -30,9 +30,12 @@ def topic_of(text: Column) -> Column:
     return F.when(text.isNull() | (size == 0), "none").when(symbols * 20 > size, "symbols").when(size < 400, "short").when(size >= 6000, "long").otherwise("prose")
 
 
-def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, sweeps: int = SWEEPS, few: int = 100_000) -> DataFrame:
+def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, sweeps: int = SWEEPS, few: int = 100_000, targets: dict[str, dict] | None = None) -> DataFrame:
     """Add w, the raked weights, to ``cells`` (the dimensions of ``temper``, tokens); marginals go to the tempered targets.
 
+    ``targets`` gives shares by value for some dimensions in their place: scaled to 1 over the values that have tokens,
+    0 for values not named.
+
     Each sweep scales the weights to every dimension's targets in turn, by sums over windows. Up to ``few`` cells (the
     count is checked) stand in one partition, where windows need no shuffle; more are shuffled by each dimension.
     Weights are written out every five sweeps. Nulls are values of their own; cells without tokens get weight 0.
@@ -45,6 +48,11 @@ def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, sweeps: int = SWEE
     df = cells.withColumn("w", F.coalesce(F.try_divide(F.col("tokens").cast("double"), total), F.lit(0.0)))
     for d, power in temper.items():
         share = F.pow(F.sum("w").over(Window.partitionBy(d)), F.lit(power))
+        if targets and d in targets:
+            asked = F.lit(0.0)
+            for value, x in targets[d].items():
+                asked = F.when(F.col(d).eqNullSafe(F.lit(value)), F.lit(float(x))).otherwise(asked)
+            share = F.when(F.sum("w").over(Window.partitionBy(d)) > 0, asked).otherwise(0.0)
         first = F.row_number().over(Window.partitionBy(d).orderBy(*temper)) == 1
         df = df.withColumn(f"{d}_s", share).withColumn(f"{d}_f", F.when(first, F.col(f"{d}_s")).otherwise(0.0))
         df = df.withColumn(f"{d}_t", F.coalesce(F.try_divide(F.col(f"{d}_s"), F.sum(f"{d}_f").over(Window.partitionBy())), F.lit(0.0))).drop(f"{d}_s", f"{d}_f")
@@ -90,9 +98,9 @@ def marginals(cells: DataFrame, dims: tuple[str, ...] = DIMS) -> DataFrame:
     return out.select("dimension", "value", total("n").alias("share"), "target", total("got").alias("achieved"))
 
 
-def cells_of(docs: DataFrame) -> DataFrame:
-    """Tokens by source, language and topic."""
-    cell = ["source", "lang", topic_of(F.col("text")).alias("topic")]
+def cells_of(docs: DataFrame, topic: str | None = None) -> DataFrame:
+    """Tokens by source, language and topic (a column, or else ``topic_of`` the text)."""
+    cell = ["source", "lang", (F.col(topic) if topic else topic_of(F.col("text"))).alias("topic")]
     return docs.groupBy(*cell).agg(F.sum(tokens_of(F.col("text"))).alias("tokens"))
 
 
@@ -102,20 +110,21 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, budget: float = BUDGET, temper: dict[str, float] = TEMPER, seed: int = SEED, repeat: bool = False) -> DataFrame:
+def mix(docs: DataFrame, budget: float = BUDGET, temper: dict[str, float] = TEMPER, seed: int = SEED, repeat: bool = False, topic: str | None = None, targets: dict[str, dict] | None = None) -> DataFrame:
     """``docs`` (doc_id, text, source, lang, more) with mix_tokens, mix_probability and mix_kept, every row kept.
 
     Probabilities held at 1 miss the targets where a cell has too few tokens. With ``repeat`` mix_probability is the
     expected number of copies instead and mix_copies the number drawn, so the expected marginals are the raked ones.
+    ``topic`` names a column of topics, without which ``topic_of`` the text stands in; ``targets`` as in ``rake``.
 
     Null sources, languages and texts are values of their own; documents without tokens keep their cell's
     probability, or 1 in a cell without any. Rows that repeat an id are drawn alike. Columns already called
     ``mix_...`` are replaced. An empty table gives an empty result.
     """
     df = docs.drop("mix_tokens", "mix_topic", "mix_probability", "mix_kept", "mix_copies")
-    df = df.withColumn("mix_tokens", tokens_of(F.col("text"))).withColumn("mix_topic", topic_of(F.col("text")))
+    df = df.withColumn("mix_tokens", tokens_of(F.col("text"))).withColumn("mix_topic", F.col(topic) if topic else topic_of(F.col("text")))
     cells = df.groupBy("source", "lang", F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").alias("tokens"))
-    p = (copies if repeat else probabilities)(rake(cells, temper), budget).select(F.struct(*DIMS).alias("mix_cell"), F.col("p").alias("mix_probability"))
+    p = (copies if repeat else probabilities)(rake(cells, temper, targets=targets), budget).select(F.struct(*DIMS).alias("mix_cell"), F.col("p").alias("mix_probability"))
     p = common.materialise(p, "mixing-probabilities")
     if p.limit(100_001).count() <= 100_000:
         p = F.broadcast(p)

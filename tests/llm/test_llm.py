@@ -393,3 +393,11 @@ def test_pipeline_packs_token_ids(spark, docs):
     for r in rows:
         got.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u4").tolist())
     assert got == {k: plain_ids(t) + [1] for k, t in enumerate(SMALL_TEXTS)}
+
+
+def test_mixing_takes_topics_and_targets(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("about", F.when(F.col("doc_id") % 4 == 0, "law").when(F.col("doc_id") % 4 == 1, "art"))
+    want = {"topic": {"law": 2, "art": 1, None: 1, "absent": 5}}
+    mixed = mixing.mix(docs, repeat=True, topic="about", targets=want).groupBy("about").agg(F.sum(F.col("mix_tokens") * F.col("mix_probability")).alias("n")).collect()
+    total = sum(r["n"] for r in mixed)
+    assert all(abs(r["n"] / total - {"law": 0.5, "art": 0.25, None: 0.25}[r["about"]]) < 0.001 for r in mixed) and len(mixed) == 3
