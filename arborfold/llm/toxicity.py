@@ -1,17 +1,16 @@
 """Toxicity by compression distance: windows of text compressed with a toxic and an ordinary zstandard dictionary.
 
-The ordinary dictionary is trained on ordinary text: its words, the most frequent last, where matches are cheapest.
-The toxic dictionary is the same followed by what sets toxic text apart: words that stand there in many different
-surroundings and hardly ever in ordinary text (surroundings are counted, so copies of a text add nothing). The
-ordinary one ends in filler of equal length, so matches of ordinary text cost the same under both. A window that
-comes out shorter with the toxic dictionary speaks for toxicity; thresholds on a document's window differences are
-calibrated by logistic regression on the labelled rows.
+zstandard trains one dictionary on the texts of each class, by the same call with the same parameters; no word or
+window is chosen by hand, list or contrast. Most of a toxic text is ordinary prose, so chance matches of such prose
+would drown what is toxic. Both dictionaries therefore stand behind one background, whole windows of other ordinary
+texts, which takes up what both classes share: a window's lengths are those given the background and one class.
+A window that comes out shorter with the toxic dictionary speaks for toxicity. Thresholds on the differences of a
+document's windows are calibrated by logistic regression, each labelled text seen through dictionaries of others.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,11 +28,14 @@ ORACLE_SQL = None
 
 _WORDS = re.compile(r"[^\W_]+").findall
 WINDOW, STEP = 8, 4
+#: Bytes of the background, of a class's dictionary, and the shortest samples zstandard is given.
+BACKGROUND, DICTIONARY, SAMPLE = 1_600_000, 16_000, 4
+LEAST = np.arange(1, 6)  # differences, in bytes, whose windows are counted; pairs of neighbours are counted from one more
 
 
 @dataclass(frozen=True)
 class Model:
-    """Two dictionaries and the weights of the window features."""
+    """Two dictionaries (each behind the background) and the weights of the window features."""
 
     toxic: bytes
     ordinary: bytes
@@ -43,7 +45,7 @@ class Model:
 @lru_cache(maxsize=4)
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters(
-        window_log=19, hash_log=18, chain_log=18, search_log=6, min_match=5, target_length=64, strategy=zstandard.STRATEGY_GREEDY,
+        window_log=21, hash_log=20, chain_log=20, search_log=6, min_match=5, target_length=64, strategy=zstandard.STRATEGY_GREEDY,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -51,10 +53,10 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=held, compression_params=params)
 
 
-def windows(text: str | None) -> list[bytes]:
-    """Runs of ``WINDOW`` lower-cased words, every ``STEP`` words, to the text's end; a text without words has one empty run."""
+def windows(text: str | None, size: int = WINDOW, step: int = STEP) -> list[bytes]:
+    """Runs of ``size`` lower-cased words, every ``step`` words, to the text's end; a text without words has one empty run."""
     w = _WORDS((text or "").lower())
-    return [(" " + " ".join(w[i : i + WINDOW]) + " ").encode() for i in range(0, max(1, len(w) - WINDOW + STEP), STEP)]
+    return [(" " + " ".join(w[i : i + size]) + " ").encode() for i in range(0, max(1, len(w) - size + step), step)]
 
 
 def _lengths(c: zstandard.ZstdCompressor, runs: list[bytes]) -> np.ndarray:
@@ -64,74 +66,119 @@ def _lengths(c: zstandard.ZstdCompressor, runs: list[bytes]) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def differences(runs: list[bytes], toxic: bytes, ordinary: bytes) -> np.ndarray:
+    """Bytes that each window takes more with the ordinary dictionary than with the toxic one; equal windows are compressed once."""
+    known = {w: k for k, w in enumerate(dict.fromkeys(runs))}
+    own = list(known)
+    d = _lengths(compressor(ordinary), own) - _lengths(compressor(toxic), own) if own else np.empty(0, np.int64)
+    return d[[known[w] for w in runs]] if len(own) < len(runs) else d
+
+
+def _tops(v: np.ndarray) -> list[float]:
+    v = np.sort(v)[::-1]
+    return [v[k] if k < len(v) else 0 for k in (0, 1, 2, 3, 5, 8)]
+
+
+def _features(v: np.ndarray) -> list[float]:
+    """Largest differences and counts of those from each of ``LEAST`` on, of windows and of neighbours together."""
+    n = len(v)
+    two = v[:-1] + v[1:] if n > 1 else v
+    at = (v[:, None] >= LEAST).sum(axis=0)
+    at2 = (two[:, None] >= LEAST + 1).sum(axis=0)
+    up = np.maximum(v, 0).sum()
+    return [*_tops(v), *np.log1p(at), *_tops(two), *np.log1p(at2), np.log(n), v.mean(), *(at / n**0.5), *(at / n), up / n**0.5, up / n, np.log(n) ** 2, np.log(n) * v.max(), 1]
+
+
 def features(texts: list[str | None], toxic: bytes, ordinary: bytes) -> np.ndarray:
-    """Per text: the largest, second and fourth largest window difference, the root of their excess over 4, log of the windows, 1."""
     held = [windows(t) for t in texts]
-    flat = [w for x in held for w in x]
-    d = (_lengths(compressor(ordinary), flat) - _lengths(compressor(toxic), flat)) if flat else np.empty(0)
-    rows, at = [], 0
-    for x in held:
-        v = np.sort(d[at : at + len(x)])[::-1]
-        at += len(x)
-        rows.append([v[0], v[1] if len(v) > 1 else 0, v[3] if len(v) > 3 else 0, np.maximum(v - 4, 0).sum() ** 0.5, np.log(len(x)), 1])
-    return np.array(rows, np.float64).reshape(-1, 6)
+    d = differences([w for x in held for w in x], toxic, ordinary)
+    cuts = np.cumsum([len(x) for x in held])
+    return np.array([_features(v) for v in np.split(d, cuts[:-1])], np.float64) if held else np.empty((0, len(_features(np.zeros(1)))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, decay: float = 1e-2) -> np.ndarray:
+    """Weights by Newton steps on scaled features, given for features as they are; the last feature is the constant 1."""
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    mean[-1], scale[scale < 1e-9] = 0, 1
+    x = (x - mean) / scale
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w)), x.T @ (y - p) - 1e-3 * w)
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + decay * np.eye(len(w)), x.T @ (y - p) - decay * w)
+    w = w / scale
+    w[-1] -= w[:-1] @ mean[:-1]
     return w
 
 
-def train(toxic: list[str], ordinary: list[str], common_words: int = 20_000, least_places: int = 3, contrast: float = 20.0) -> Model:
-    """Fit dictionaries and calibration on labelled texts.
+def train_dictionary(texts: list[str], size: int = DICTIONARY) -> bytes:
+    """``size`` bytes that zstandard picks from the texts' windows; all of them where there is too little to pick from."""
+    runs = list(dict.fromkeys(w for t in texts for w in windows(t, SAMPLE, SAMPLE)))
+    if sum(map(len, runs)) > 16 * size:
+        return zstandard.train_dictionary(size + 2000, runs, k=16, d=6, level=3).as_bytes()[-size:]  # without zstandard's header
+    return b"".join(runs)[:size].ljust(size, b" ")
+
 
-    A word sets toxic text apart if it stands in ``least_places`` surroundings (word before, word after) there, and
-    in ``contrast`` times as many a text as in ordinary text. Without texts of both kinds the model gives 0.
+def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """Dictionaries of either class; half of the ordinary texts are the background."""
+    behind = b"".join(dict.fromkeys(w for t in ordinary[1::2] for w in windows(t, WINDOW, WINDOW)))[:BACKGROUND]
+    return behind + train_dictionary(toxic), behind + train_dictionary(ordinary[::2][: len(toxic)])
+
+
+def train(toxic: list[str], ordinary: list[str], folds: int = 3) -> Model:
+    """Fit dictionaries and calibration on labelled texts, given in an order that has nothing to do with their content.
+
+    The calibration sees each text under dictionaries of the other folds; those of all texts are kept. Without two
+    texts of either kind the model gives 0.
     """
-    if not toxic or not ordinary:
+    toxic, ordinary = (list(dict.fromkeys(t)) for t in (toxic, ordinary))
+    if len(toxic) < 2 or len(ordinary) < 2:
         return Model(b"", b"", ())
-    here, there, count = defaultdict(set), defaultdict(set), Counter()
-    for texts, places in ((toxic, here), (ordinary, there)):
-        for t in texts:
-            w = ["", *_WORDS(t.lower()), ""]
-            if places is there:
-                count.update(w[1:-1])
-            for i in range(1, len(w) - 1):
-                if places is here or w[i] in here:
-                    places[w[i]].add((w[i - 1], w[i + 1]))
-    ratio = len(ordinary) / len(toxic)
-    apart = sorted((len(p), w) for w, p in here.items() if len(p) >= least_places and len(p) * ratio >= contrast * (len(there.get(w, ())) + 0.5))
-    base = " ".join(w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:common_words][::-1]).encode() + b" "
-    end = " ".join(w for _, w in apart).encode() + b" "
-    model = base + end, base + bytes(len(end))
-    x = np.concatenate([features(toxic, *model), features(ordinary, *model)])
-    y = np.concatenate([np.ones(len(toxic)), np.zeros(len(ordinary))])
-    return Model(*model, tuple(_logistic(x, y)))
-
-
-def fit(docs: DataFrame, labels: DataFrame, each: int = 2000) -> Model:
-    """Train on at most ``each`` labelled texts of either class, drawn by hash; ``labels`` (doc_id, toxic) holds training rows only.
-
-    Null labels and texts are left out; an id labelled both ways counts as toxic.
+    x, y = [], []
+    for fold in range(folds):
+        seen = _dictionaries(*([t for k, t in enumerate(texts) if k % folds != fold] for texts in (toxic, ordinary)))
+        for label, texts in ((1.0, toxic[fold::folds]), (0.0, ordinary[fold::folds])):
+            x.append(features(texts, *seen))
+            y += [label] * len(texts)
+    return Model(*_dictionaries(toxic, ordinary), tuple(_logistic(np.concatenate(x), np.array(y))))
+
+
+def fit(docs: DataFrame, labels: DataFrame, each: int = 2000, most_bytes: int = 16 << 20) -> Model:
+    """Train on at most ``each`` labelled toxic texts and three times as many ordinary ones, drawn by hash.
+
+    ``labels`` (doc_id, toxic) holds training rows only. One executor task fits the model from a stream of the drawn
+    texts; of either class it takes those that fit into ``most_bytes`` together, so its memory has a bound whatever
+    the texts are. The driver gets the model alone (some 3 MB). Null labels, ids and texts are left out; an id labelled
+    both ways counts as toxic; repeated texts count once; without labelled rows the model gives 0.
     """
-    marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    drawn = [marks.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for k in (1, 0)]
-    drawn = F.broadcast(drawn[0].unionByName(drawn[1]))  # 2 * each rows at most
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(drawn, "doc_id").orderBy("doc_id", "text").select("toxic", "text").limit(2 * each).toArrow()
-    texts = {k: [] for k in (0, 1)}
-    for k, t in zip(rows.column("toxic").to_pylist(), rows.column("text").to_pylist(), strict=True):
-        texts[k].append(t)
-    return train(texts[1], texts[0])
+    marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("by", F.xxhash64("doc_id"))
+    drawn = [marks.where(F.col("toxic") == k).orderBy("by", "doc_id").limit(n) for k, n in ((1, each), (0, 3 * each))]
+    drawn = F.broadcast(drawn[0].unionByName(drawn[1]))  # 4 * each rows at most
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(drawn, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, left = ([], []), [most_bytes, most_bytes]
+        for b in batches:
+            for k, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                size = len(text.as_buffer())
+                if size <= left[k]:
+                    left[k] -= size
+                    held[k].append(text.as_py())
+        m = train(held[1], held[0])
+        compressor.cache_clear()
+        yield pa.RecordBatch.from_arrays([pa.array([m.toxic]), pa.array([m.ordinary]), pa.array([m.weights], pa.list_(pa.float64()))], names=["toxic", "ordinary", "weights"])
+
+    rows = rows.select("toxic", "text", "by", "doc_id").repartition(1).sortWithinPartitions("by", "doc_id", "text").select(F.col("toxic").cast("int").alias("toxic"), "text")
+    with common.batches_of(docs.sparkSession, 256):
+        found = rows.mapInArrow(run, "toxic binary, ordinary binary, weights array<double>").collect()
+    return Model(*(bytes(x) for x in found[0][:2]), tuple(found[0][2])) if found else Model(b"", b"", ())
 
 
 def score(docs: DataFrame, model: Model, out: str = "score", keep: list[str] | None = None) -> DataFrame:
     """Add the double column ``out``, 0 (ordinary) to 1 (toxic), from the whole text alone.
 
-    Null, empty and wordless texts get the score of an empty window; every row is kept, with its columns (those in
-    ``keep``; all, if that is None), whatever their names; a column already called ``out`` is replaced.
+    Null, empty and wordless texts get the score of an empty window; every row is kept, repeated ones too, with its
+    columns (those in ``keep``; all, if that is None), whatever their names; a column already called ``out`` is
+    replaced. An empty table gives an empty result.
     """
     df = docs.drop(out)
     kept = [c for c in df.columns if keep is None or c in keep]
