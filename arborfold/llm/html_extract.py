@@ -2,8 +2,11 @@
 
 Each page becomes a tree and a list of text blocks. A host's commonest tree is its reference; every other tree of the
 host is aligned to it by simple tree matching, so blocks get slots that mean the same across the host's pages. A
-text that fills one slot on pages of otherwise different content is template and goes; what varies is content,
-as far as it stands in the article and outside regions that markup declares to be something else.
+text that fills one slot on pages of otherwise different content is template and goes. Of the slots that vary, those
+count as content that stand under the deepest node with most of the host's varying text outside links; menus and lists of
+related pages vary too, but as links, and notices with little text. Markup comes second: inside that region it rules
+out what it declares to be something else, and an article element that most of the region's text stands in bounds it.
+Hosts with too few different pages to align have their markup alone.
 """
 
 from __future__ import annotations
@@ -34,6 +37,10 @@ COMMENT_WORDS = re.compile(r"^(comments?|commentlist|commentform|replies|reply|r
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: What a browser doesn't show as text of the page.
+_UNSEEN = frozenset("head title script style noscript template svg math iframe object canvas audio video select button textarea".split())
+#: Containers that the search for the content's node goes down into.
+_HOLDERS = frozenset("#root html body main article section div center table tbody tr td form".split())
 
 
 def _names(node: Node) -> list[list[str]]:
@@ -115,8 +122,8 @@ def _read(root: Node, number: dict[int, int], shield: set[int]) -> tuple[list[tu
                     block[1].append(" ")
                 if c.tag == "hr":
                     block = None
-            elif c.tag in RAW and c.tag not in BLOCK:
-                continue
+            elif c.tag in RAW or c.tag in _UNSEEN:
+                block = None if c.tag in BLOCK else block
             else:
                 block = walk(c, block, out, named, region, link or c.tag == "a", head)
         return None if own else block
@@ -146,8 +153,9 @@ def _choose(rows: list, regions: dict[int, Node]) -> tuple[list[tuple[int, str,
     return done, is_region, sum(len(t) for _, t, out in done if not out)
 
 
-def blocks_of(html: str | None) -> tuple[str, list[tuple[int, str, bool]]]:
-    """(skeleton, [(skeleton node, text, whether markup rules it out)]) of a page, in reading order.
+def read_page(html: str | None) -> tuple[str, bool, list[tuple[int, str, bool, bool, bool]]]:
+    """(skeleton, whether markup names a main region, blocks in reading order) of a page; a block is (skeleton node, text,
+    kept by markup alone, ruled out by markup, mostly links).
 
     Of the outermost article and main regions the one with the most text is kept whole, with its siblings. Class and
     id words rule out no element that is or holds a region with more text than is left otherwise.
@@ -166,8 +174,15 @@ def blocks_of(html: str | None) -> tuple[str, list[tuple[int, str, bool]]]:
             best, size = node, own
     if best:
         shield = {id(a) for node in held if _siblings(best, node) for a in _above(node)}
-        done = _choose(*_read(root, number, shield)[:2])[0]
-    return shape, done
+        rows, regions, _ = _read(root, number, shield)
+        done, is_region, _ = _choose(rows, regions)
+    return shape, is_region, [(n, t, not gone, out, links) for (n, t, gone), (_, _, out, _, links) in zip(done, rows, strict=True)]
+
+
+def blocks_of(html: str | None) -> tuple[str, list[tuple[int, str, bool]]]:
+    """(skeleton, [(skeleton node, text, whether markup alone leaves it out)]) of a page, in reading order."""
+    shape, _, rows = read_page(html)
+    return shape, [(n, t, not kept) for n, t, kept, _, _ in rows]
 
 
 def _above(node: Node) -> list[Node]:
@@ -196,30 +211,74 @@ def _holder(node: Node) -> Node:
 
 
 def slots(shape: str, reference: str) -> list[int]:
-    """For each node of a page's skeleton the node of the reference it is aligned to, -1 where there is none."""
+    """For each node of a page's skeleton the node of the reference it is aligned to; a node without one has -2 - r, where
+    r is the node its nearest aligned ancestor has (-1: none has any)."""
     tree = read_skeleton(shape)
-    count = len(re.findall(r"[^()\s]+", shape))
-    out = [-1] * count
+    out = [-1] * len(re.findall(r"[^()\s]+", shape))
     for mine, other in match(tree, read_skeleton(reference))[1]:
         out[mine] = other
+    todo = [(tree, -1)]
+    while todo:
+        (_, n, kids), above = todo.pop()
+        if out[n] >= 0:
+            above = out[n]
+        elif above >= 0:
+            out[n] = -2 - above
+        todo += [(k, above) for k in kids]
     return out
 
 
-PARSED = "page_id long, url string, host string, shape string, blocks array<struct<node: int, text: string>>"
+def content_slots(reference: str, mass: dict[int, tuple[int, int]], most: float = 0.8) -> list[int]:
+    """The slots under the deepest container of ``reference`` with at least ``most`` of all varying text outside links.
+
+    ``mass`` has by slot the characters of its different texts that are mostly links, and of the others. Headings that
+    stand beside the way down are content as well; slots with more text in links than outside are not. Text in
+    nodes the reference lacks (slot -2 - r) goes with node r.
+    """
+    own: dict[int, int] = {}
+    for slot, (_, plain) in mass.items():
+        at = slot if slot >= 0 else -2 - slot
+        own[at] = own.get(at, 0) + plain
+    total, order, todo = {}, [], [read_skeleton(reference)]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += node[2]
+    for _, n, kids in reversed(order):
+        total[n] = own.get(n, 0) + sum(total[k[1]] for k in kids)
+    top = order[0]
+    if not total[top[1]]:
+        return []
+    goal, heads, node = most * total[top[1]], [], top
+    while True:
+        best = max(node[2], key=lambda k: total[k[1]], default=None)
+        if best is None or best[0] not in _HOLDERS or total[best[1]] < goal:
+            break
+        heads += [k[1] for k in node[2] if k[0] in _HEADINGS]
+        node = best
+    inside, todo = set(heads), [node]
+    while todo:
+        _, n, kids = todo.pop()
+        inside |= {n, -2 - n}
+        todo += kids
+    return sorted(n for n in inside if mass.get(n, (0, 0))[0] <= mass.get(n, (0, 0))[1])
+
+
+PARSED = "page_id long, url string, host string, shape string, region boolean, blocks array<struct<node: int, text: string, kept: boolean, gone: boolean, links: boolean>>"
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """A row a page with its skeleton and the blocks that markup leaves."""
-    kind = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string())]))
+    """A row a page with its skeleton and its blocks, all that a reader would see among them."""
+    kind = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string()), ("kept", pa.bool_()), ("gone", pa.bool_()), ("links", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                done = [blocks_of(h) for h in part.column(3).to_pylist()]
-                left = [[{"node": n, "text": t} for n, t, out in rows if not out] for _, rows in done]
-                cols = [part.column(0), part.column(1), part.column(2), pa.array([s for s, _ in done]), pa.array(left, kind)]
-                yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "host", "shape", "blocks"])
+                done = [read_page(h) for h in part.column(3).to_pylist()]
+                blocks = [[dict(zip(("node", "text", "kept", "gone", "links"), r, strict=True)) for r in rows] for _, _, rows in done]
+                cols = [part.column(0), part.column(1), part.column(2), pa.array([s for s, _, _ in done]), pa.array([r for _, r, _ in done]), pa.array(blocks, kind)]
+                yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "host", "shape", "region", "blocks"])
 
     return pages.mapInArrow(run, PARSED)
 
@@ -237,41 +296,71 @@ def _aligned(shapes: DataFrame) -> DataFrame:
     return shapes.select("host", "shape", "reference").mapInArrow(run, "host string, shape string, slots array<int>")
 
 
-def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.5, few: int = 50_000) -> DataFrame:
+def _induced(masses: DataFrame) -> DataFrame:
+    """host, content (its slots): a row a host, from its reference and the characters of its slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [content_slots(r, {m["slot"]: (m["linked"], m["plain"]) for m in ms}) for r, ms in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["host", "content"])
+
+    return masses.select("host", "reference", "masses").mapInArrow(run, "host string, content array<int>")
+
+
+def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.5, few_bytes: int = 16 << 20, trace: bool = False) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html).
 
     A block is template if its text stands in its slot on pages with at least ``least_pages`` different longest other
-    blocks, and these are at least ``share`` of the host's; so copies of a page can't make its text template. Null
-    and empty html give an empty text; pages without a host form one host; repeated rows are extracted one by one;
-    other columns are ignored; an empty table gives an empty result. Tables of a row a host or skeleton are sent to
-    all tasks up to ``few`` rows (counted) and joined by shuffles beyond.
+    blocks, and these are at least ``share`` of the host's; so copies of a page can't make its text template. A host
+    needs pages with ``least_pages`` different longest blocks for ``content_slots`` to be looked for; different texts of
+    a slot count once each. Null and empty html give an empty text; pages without a host form one host; repeated rows and
+    null ids are extracted one by one; other columns are ignored; an empty table gives an empty result. Tables of a
+    row a host or skeleton are sent to all tasks up to ``few_bytes`` (measured) and joined by shuffles beyond.
+    ``trace`` adds markup_text and slot_text, what either would give alone.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
     parsed = common.materialise(parsed_pages(rows), "html-blocks")
     shapes = common.materialise(parsed.groupBy("host", "shape").agg(F.count("*").alias("n")), "html-shapes")
     best = F.max_by("shape", F.struct("n", -F.length("shape"), "shape")).alias("reference")
     references = common.materialise(shapes.groupBy("host").agg(best), "html-references")
-    aligned = common.materialise(_aligned(shapes.join(_sent(references, few), "host")), "html-slots")
-    blocks = parsed.join(_sent(aligned, few), ["host", "shape"])
+    aligned = common.materialise(_aligned(shapes.join(_sent(references, few_bytes), "host")), "html-slots")
+    blocks = parsed.join(_sent(aligned, few_bytes), ["host", "shape"])
     lengths = F.transform("blocks", lambda b: F.struct(F.length(b["text"]).alias("n"), F.xxhash64(b["text"]).alias("h")))
     blocks = blocks.select("host", "blocks", "slots", F.slice(F.sort_array(lengths, asc=False), 1, 2).alias("longest"))
     each = blocks.select("host", "slots", "longest", F.explode("blocks").alias("b"))
-    each = each.select("host", F.get("slots", F.col("b.node")).alias("slot"), F.xxhash64("b.text").alias("text"), "longest")
+    each = each.select("host", F.get("slots", F.col("b.node")).alias("slot"), F.xxhash64("b.text").alias("text"), F.length("b.text").alias("size"), "b.links", "longest")
     others = F.filter("longest", lambda x: x["h"] != F.col("text"))
-    each = each.select("host", "slot", "text", F.get(others, F.lit(0))["h"].alias("other")).where("other IS NOT NULL")
+    each = each.withColumn("other", F.get(others, F.lit(0))["h"]).drop("longest")
     each = common.materialise(each.distinct(), "html-texts")
-    whole = each.select("host", "other").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    fixed = each.groupBy("host", "slot", "text").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).join(whole, "host").where(F.col("n") >= share * F.col("pages"))
+    whole = each.where("other IS NOT NULL").select("host", "other").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    whole = common.materialise(whole, "html-pages")
+    fixed = each.where("other IS NOT NULL").groupBy("host", "slot", "text").agg(F.count_distinct("other").alias("n")).where(F.col("n") >= least_pages)
+    fixed = fixed.join(whole, "host").where(F.col("n") >= share * F.col("pages"))
     fixed = common.materialise(fixed.groupBy("host").agg(F.collect_set(F.struct("slot", "text")).alias("fixed")), "html-template")
-    final = parsed.join(_sent(aligned, few), ["host", "shape"]).join(_sent(fixed, few), "host", "left")
-    mine = lambda b: F.struct(F.get("slots", b["node"]).alias("slot"), F.xxhash64(b["text"]).alias("text"))
-    kept = F.filter("blocks", lambda b: F.col("fixed").isNull() | ~F.array_contains("fixed", mine(b)))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return final.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
-
-
-def _sent(df: DataFrame, few: int) -> DataFrame:
-    return F.broadcast(df) if df.limit(few + 1).count() <= few else df
+    texts = each.groupBy("host", "slot", "text").agg(F.max("size").alias("size"), F.max("links").alias("links"))
+    size = lambda links: F.sum(F.when(F.col("links") == links, F.col("size")).otherwise(0))
+    masses = texts.groupBy("host", "slot").agg(size(True).alias("linked"), size(False).alias("plain"))
+    masses = masses.groupBy("host").agg(F.collect_list(F.struct("slot", "linked", "plain")).alias("masses"))  # as many as the reference has nodes, twice at most
+    masses = masses.join(whole.where(F.col("pages") >= least_pages), "host", "left_semi").join(references, "host")
+    content = common.materialise(_induced(masses), "html-content")
+    final = parsed.join(_sent(aligned, few_bytes), ["host", "shape"]).join(_sent(fixed, few_bytes), "host", "left").join(_sent(content, few_bytes), "host", "left")
+    mine = F.transform("blocks", lambda b: F.struct(F.get("slots", b["node"]).alias("slot"), F.xxhash64(b["text"]).alias("text"), b["text"].alias("words"), b["kept"].alias("kept"), b["gone"].alias("gone")))
+    template = lambda b: F.coalesce(F.array_contains("fixed", F.struct(b["slot"].alias("slot"), b["text"].alias("text"))), F.lit(False))
+    final = final.select("page_id", "url", "region", "content", F.filter(mine, lambda b: ~template(b)).alias("left"))
+    final = final.select("page_id", "url", "region", F.filter("left", lambda b: b["kept"]).alias("marked"), F.filter("left", lambda b: ~b["gone"] & F.coalesce(F.array_contains("content", b["slot"]), F.lit(False))).alias("induced"))
+    chars = lambda blocks: F.aggregate(blocks, F.lit(0).cast("long"), lambda n, b: n + F.length(b["words"]))
+    final = final.withColumn("shared", chars(F.filter("induced", lambda b: b["kept"]))).withColumn("all", chars(F.col("induced")))
+    by_markup = (F.col("all") == 0) | F.col("region") & (2 * F.col("shared") >= F.col("all"))
+    joined = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["words"]), "\n")
+    text = F.when(by_markup, joined("marked")).otherwise(joined("induced"))
+    more = [joined("marked").alias("markup_text"), joined("induced").alias("slot_text")] if trace else []
+    return final.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), *more)
+
+
+def _sent(df: DataFrame, few_bytes: int) -> DataFrame:
+    """``df``, to be sent to all tasks if it is small: its strings and arrays are measured as the JSON they would be."""
+    size = df.select(F.sum(F.length(F.to_json(F.struct(*df.columns)))).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= few_bytes else df
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
