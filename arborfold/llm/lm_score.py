@@ -40,7 +40,7 @@ HEAD, CLASS = 1024, 32  # head tokens, and head tokens a class
 BANDS = np.array([0, 1, 2, 3, 4, 8, 16, 32] + [128 << 2 * k for k in range(20)])  # lower training counts of the other classes
 CLASSES = HEAD // CLASS + len(BANDS)  # of them those up to the largest count are used
 BITS = 12  # the fewest bits of class features, each of the token before, the skip, the pair; head features have one more
-SLICE = 32768
+SLICE = 4096  # tokens a softmax takes at once: its table stays in the processor's cache
 
 
 @dataclass
@@ -104,25 +104,43 @@ def head_row(before: np.ndarray, cls: np.ndarray, bits: int = BITS) -> np.ndarra
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    """In place; biases are logs of shares and steps are bounded, so no term overflows."""
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 def predict(m: Model, rows: list[np.ndarray]) -> np.ndarray:
-    return softmax(m.class_bias + m.weights[rows[0]] + m.weights[rows[1]] + m.weights[rows[2]])
+    x = m.weights.take(rows[0], axis=0)
+    x += m.weights.take(rows[1], axis=0)
+    x += m.weights.take(rows[2], axis=0)
+    x += m.class_bias
+    return softmax(x)
 
 
 def predict_head(m: Model, cls: np.ndarray, row: np.ndarray) -> np.ndarray:
-    return softmax(m.head_bias[cls] + m.head_weights[row])
+    x = m.head_bias.take(cls, axis=0)
+    x += m.head_weights.take(row, axis=0)
+    return softmax(x)
+
+
+def _error(width: int, right: np.ndarray, guess) -> np.ndarray:
+    """1 for the right choice less the probabilities that ``guess`` gives a slice of tokens; a row a choice."""
+    error = np.empty((width, len(right)), np.float32)
+    for at in range(0, len(right), SLICE):
+        j = slice(at, at + SLICE)
+        np.negative(guess(j).T, out=error[:, j])
+    error[right, np.arange(len(right))] += 1
+    return error
 
 
 def _add(grad: np.ndarray, seen: np.ndarray, row: np.ndarray, error: np.ndarray) -> None:
-    """Add ``error`` to the rows of ``grad``, and their counts to ``seen``."""
-    order = np.argsort(row, kind="stable")
-    first = np.flatnonzero(np.diff(row[order], prepend=-1) if row.dtype != np.uint16 else np.diff(row[order].astype(np.int32), prepend=-1))
-    at = row[order[first]]
-    grad[at] += np.add.reduceat(error[order], first, axis=0)
-    seen[at] += np.diff(np.append(first, len(row)))
+    """Add ``error``, a row a class, to the rows of ``grad``, and their counts to ``seen``; the rows lie close together."""
+    lo = int(row.min())
+    row, n = row.astype(np.intp) - lo, int(row.max()) - lo + 1
+    for k, e in enumerate(error):
+        grad[lo : lo + n, k] += np.bincount(row, e, n)
+    seen[lo : lo + n] += np.bincount(row, minlength=n)
 
 
 # Chunks ------------------------------------------------------------------------------------------------------------
@@ -230,10 +248,7 @@ def _start(stats: list, tops: list[tuple[int, int]]) -> Model:
     return Model(head, n, v, sums, class_bias[:used].astype(np.float32), head_bias.astype(np.float32), bits_for(n))
 
 
-READY = (
-    "chunk long, turn int, ids array<long>, train binary, sizes binary, known binary, base binary, code binary, feat binary"
-    ", pair binary, second binary, within binary, words binary, first binary, counts binary"
-)
+READY = "chunk long, turn int, ids array<long>, train binary, sizes binary, known binary, base binary, code binary, within binary, words binary, tokens binary"
 MESSAGES = "chunk long, bucket int, befores binary, runs binary, classes binary, pairs binary, counts binary"
 START = np.uint64(0x57A7)  # stands before a document's first token
 
@@ -250,8 +265,8 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
 
 
 def _prepare(model, slices: int):
-    """Chunks with their words' totals -> what training and scoring need: a pair a token; a word before and a word a pair,
-    and its count in training documents; codes (as scored and as seen in training) and a feature a word."""
+    """Chunks with their words' totals -> what training and scoring need: codes (as scored and as seen in training) and the
+    share of its class a word; the tokens' words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -260,7 +275,8 @@ def _prepare(model, slices: int):
                 ids, train, sizes, words, tokens, totals, chunk = (b.column(c)[k] for c in range(7))
                 words, sizes = np.frombuffer(words.as_py(), np.uint64), np.frombuffer(sizes.as_py(), np.int32)
                 total = np.concatenate([_unpack(t["counts"], "<i8") for t in totals.as_py()])
-                tokens, chunk = _unpack(tokens.as_py(), "<u4"), chunk.as_py()
+                packed, chunk = tokens.as_py(), chunk.as_py()
+                tokens = _unpack(packed, "<u4")
                 rank = m.rank(words)
                 code = np.where(rank >= 0, rank, HEAD + band(total))
                 base = np.log10((total + 1) / (m.n + m.v + 1))
@@ -268,26 +284,11 @@ def _prepare(model, slices: int):
                 share = np.where(rank >= 0, 0.0, np.maximum(total, 1) / np.maximum(m.sums[band(total)], 1)).astype("<f4")
                 # as seen in training: a count less, for tokens outside the head
                 less = np.where(rank >= 0, rank, HEAD + band(np.maximum(total - 1, 0)))
-                flags = np.repeat(np.frombuffer(train.as_py(), bool), sizes)
                 starts = np.cumsum(sizes) - sizes
-                feat = ((mix(words) >> np.uint64(32)) | np.uint64(2)).astype("<u4")
-                # the words by the hash of the word before, START among them
-                hashed = mix(np.append(words, START))
-                order = np.argsort(hashed)
-                row = np.empty(len(order), np.uint64)
-                row[order] = np.arange(len(order), dtype=np.uint64)
-                before = np.empty(len(tokens), np.uint64)
-                before[1:] = row[tokens[:-1]]
-                before[starts] = row[-1]
-                wide = np.uint64(len(words) + 1)
-                both, which = np.unique(before * wide + tokens, return_inverse=True)
-                first, second = np.divmod(both, wide)
-                hashed = hashed[order]
                 cols = {
                     "chunk": chunk, "turn": int(mix(np.array([chunk], np.int64).view(np.uint64))[0] % np.uint64(slices)), "ids": ids.as_py(), "train": train.as_py(), "sizes": sizes.tobytes(),
                     "known": _pack(np.add.reduceat((total > 0)[tokens].astype(np.int64), starts)), "base": np.add.reduceat(base[tokens], starts).tobytes(),
-                    "code": _pack(np.append(code, less).astype("<u2")), "feat": _pack(feat), "pair": _pack(which.astype("<u4")), "second": _pack(second.astype("<u4")), "within": _pack(share),
-                    "words": words.tobytes(), "first": _pack(first.astype("<u4")), "counts": _pack(np.bincount(which[flags], minlength=len(both)).astype("<i4")),
+                    "code": _pack(np.append(code, less).astype("<u2")), "within": _pack(share), "words": words.tobytes(), "tokens": packed,
                 }
                 kinds = {"chunk": pa.int64(), "turn": pa.int32(), "ids": pa.list_(pa.int64())}
                 yield pa.RecordBatch.from_arrays([pa.array([x], kinds.get(c, pa.binary())) for c, x in cols.items()], names=list(cols))
@@ -295,14 +296,31 @@ def _prepare(model, slices: int):
     return run
 
 
+def pairs_of(words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(sorted hashes of the words, START among them; by distinct pair the position there of the token before, and the
+    word; by token the number of its pair)."""
+    hashed = mix(np.append(words, START))
+    order = np.argsort(hashed)
+    row = np.empty(len(order), np.uint64)
+    row[order] = np.arange(len(order), dtype=np.uint64)
+    before = np.empty(len(tokens), np.uint64)
+    before[1:] = row[tokens[:-1]]
+    before[np.cumsum(sizes) - sizes] = row[-1]
+    wide = np.uint64(len(words) + 1)
+    both, which = np.unique(before * wide + tokens, return_inverse=True)
+    first, second = np.divmod(both, wide)
+    return hashed[order], first, second, which
+
+
 def _messages(bits: int):
     """A bucket's share of a chunk's pairs by the token before, with their counts in training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                words, first, second, counts = np.frombuffer(r["words"], np.uint64), _unpack(r["first"], "<u4"), _unpack(r["second"], "<u4"), _unpack(r["counts"], "<i4")
-                hashed = np.sort(mix(np.append(words, START)))
+                words, tokens, sizes = np.frombuffer(r["words"], np.uint64), _unpack(r["tokens"], "<u4"), np.frombuffer(r["sizes"], np.int32)
+                hashed, first, second, which = pairs_of(words, tokens, sizes)
+                counts = np.bincount(which[np.repeat(np.frombuffer(r["train"], bool), sizes)], minlength=len(first)).astype("<i4")
                 cls = _classes(_unpack(r["code"], "<u2")[: len(words)])[second].astype("<u2")
                 pairs = mix(hashed[first] ^ words[second] * np.uint64(0x9E3779B97F4A7C15))
                 cuts = np.searchsorted(hashed[first] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
@@ -366,8 +384,8 @@ def _each(b: pa.RecordBatch) -> Iterator[tuple]:
     for k in range(b.num_rows):
         sizes = np.frombuffer(b.column(col["sizes"])[k].as_py(), np.int32)
         code, learn = _unpack(b.column(col["code"])[k].as_py(), "<u2").reshape(2, -1)
-        word = _unpack(b.column(col["second"])[k].as_py(), "<u4")[_unpack(b.column(col["pair"])[k].as_py(), "<u4")]
-        feat = _unpack(b.column(col["feat"])[k].as_py(), "<u4")[word]
+        word, words = _unpack(b.column(col["tokens"])[k].as_py(), "<u4"), np.frombuffer(b.column(col["words"])[k].as_py(), np.uint64)
+        feat = ((mix(words) >> np.uint64(32)) | np.uint64(2)).astype("<u4")[word]
         flags = np.frombuffer(b.column(col["train"])[k].as_py(), bool)
         yield k, flags, sizes, code[word], learn[word], *contexts(feat, np.cumsum(sizes) - sizes)
 
@@ -377,42 +395,41 @@ def _classes(code: np.ndarray) -> np.ndarray:
 
 
 def _gradient(sent):
-    """Sum the gradients of a task's chunks; a row a segment of the weight tables."""
+    """Sum the gradients of a task's chunks; a row a segment of the weight tables, with one of 64 teams the task is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        grad, seen = np.zeros_like(m.weights), np.zeros(len(m.weights), np.float32)
-        hgrad, hseen = np.zeros_like(m.head_weights), np.zeros(len(m.head_weights), np.float32)
+        grad, seen = np.zeros(m.weights.shape), np.zeros(len(m.weights))
+        hgrad, hseen = np.zeros(m.head_weights.shape), np.zeros(len(m.head_weights))
         any_rows = False
         for b in batches:
             for _, flags, sizes, _, learn, before, skip in _each(b):
                 use = np.flatnonzero(np.repeat(flags, sizes))
-                for at in range(0, len(use), SLICE):
-                    i = use[at : at + SLICE]
+                for at in range(0, len(use), 32 * SLICE):
+                    i = use[at : at + 32 * SLICE]
                     any_rows = True
                     cls = _classes(learn[i])
                     rows = rows_of(before[i], skip[i], m.bits)
-                    error = -predict(m, rows)
-                    error[np.arange(len(i)), cls] += 1
+                    error = _error(len(m.class_bias), cls, lambda j, rows=rows: predict(m, [r[j] for r in rows]))
                     for r in rows:
                         _add(grad, seen, r, error)
                     inside = np.flatnonzero(learn[i] < HEAD)
                     if len(inside):
                         row = head_row(before[i[inside]], cls[inside], m.bits)
-                        error = -predict_head(m, cls[inside], row)
-                        error[np.arange(len(inside)), learn[i[inside]] % CLASS] += 1
+                        error = _error(CLASS, learn[i[inside]] % CLASS, lambda j, c=cls[inside], row=row: predict_head(m, c[j], row[j]))
                         _add(hgrad, hseen, row, error)
         if any_rows:
+            group = TaskContext.get().partitionId() % 64
             for k in range(16):
                 parts = [x[k * len(x) // 16 : (k + 1) * len(x) // 16] for x in (grad, seen, hgrad, hseen)]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b"".join(p.tobytes() for p in parts)])], names=["segment", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([group], pa.int32()), pa.array([b"".join(p.tobytes() for p in parts)])], names=["segment", "team", "sums"])
 
     return run
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in table.column("sums"))
-    return pa.table({"segment": table.column("segment")[:1], "sums": pa.array([total.tobytes()])})
+    total = sum(np.frombuffer(x.as_py(), np.float64) for x in table.column("sums"))
+    return pa.table({"segment": table.column("segment")[:1], "team": table.column("team")[:1], "sums": pa.array([total.tobytes()])})
 
 
 def _step(m: Model, segments: dict[int, bytes], rate: float, decay: float, most: float) -> None:
@@ -426,7 +443,7 @@ def _step(m: Model, segments: dict[int, bytes], rate: float, decay: float, most:
             t.append(flat[at : at + n].reshape(-1, width))
             at += n
     grad, seen, hgrad, hseen = (np.concatenate(t) for t in tables)
-    p = softmax(m.class_bias[None].astype(np.float64))[0]
+    p = softmax(m.class_bias[None].astype(np.float64).copy())[0]
     step = (grad - decay * m.weights) / (seen * np.maximum(p * (1 - p), 1e-4) + decay)
     m.weights = m.weights + (rate * np.clip(step, -most, most)).astype(np.float32)
     step = (hgrad - decay * m.head_weights) / (hseen * 0.03 + decay)
@@ -441,7 +458,7 @@ def _scores(sent, discount: np.ndarray):
             for k, flags, sizes, code, _, before, skip in _each(b):
                 counted = b.column(col["counted"])[k].as_py()
                 own, total, kinds = (np.concatenate([_unpack(c[x], "<i8") for c in counted]) for x in ("own", "total", "kinds"))
-                pair, second = (_unpack(b.column(col[c])[k].as_py(), "<u4") for c in ("pair", "second"))
+                _, _, second, pair = pairs_of(np.frombuffer(b.column(col["words"])[k].as_py(), np.uint64), _unpack(b.column(col["tokens"])[k].as_py(), "<u4"), sizes)
                 within = _unpack(b.column(col["within"])[k].as_py(), "<f4")
                 log = np.empty(len(code))
                 for at in range(0, len(code), SLICE):
@@ -489,22 +506,23 @@ def score_documents(docs: DataFrame, rounds: int = 4, rate: float = 0.5, decay:
     common.drop_table(totals)
     del chunks, words, totals, stats, by_chunk, data
     spark._jvm.System.gc()  # Spark removes the files of shuffles that nothing refers to any more
-    pairs = ready.select("chunk", "words", "first", "second", "code", "counts").mapInArrow(_messages(bits + 2), MESSAGES)
+    pairs = ready.select("chunk", "words", "tokens", "sizes", "train", "code").mapInArrow(_messages(bits + 2), MESSAGES)
     pairs = common.materialise(pairs.groupBy("bucket").applyInArrow(_pair_total, PAIRS), "lm-pairs")
     once, twice = ([r[0] for r in pairs.where("chunk = -1").select(F.posexplode(c).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").select("x").collect()] or [0.0] * CLASSES for c in ("once", "twice"))
     spark._jvm.System.gc()
     discount = (np.array(once) + 0.5) / (np.array(once) + 2 * np.array(twice) + 0.5)
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(model)
-        part = ready.where(F.col("turn") == turn).select("train", "sizes", "code", "feat", "pair", "second")
-        summed = part.mapInArrow(_gradient(sent), "segment int, sums binary").groupBy("segment").applyInArrow(_add_up, "segment int, sums binary")
+        part = ready.where(F.col("turn") == turn).select("train", "sizes", "code", "words", "tokens")
+        fields = "segment int, team int, sums binary"  # teams first, so no task holds the tables of all tasks
+        summed = part.mapInArrow(_gradient(sent), fields).groupBy("segment", "team").applyInArrow(_add_up, fields).groupBy("segment").applyInArrow(_add_up, fields)
         segments = {r["segment"]: bytes(r["sums"]) for r in summed.collect()}  # as large as the weights
         if segments:
             _step(model, segments, rate, decay, most)
         del part, summed
         spark._jvm.System.gc()
     counted = pairs.where("chunk >= 0").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "own", "total", "kinds"))).alias("counted"))
-    whole = ready.select("chunk", "ids", "train", "sizes", "known", "base", "code", "feat", "pair", "second", "within").join(counted, "chunk")
+    whole = ready.select("chunk", "ids", "train", "sizes", "known", "base", "code", "words", "tokens", "within").join(counted, "chunk")
     return whole.mapInArrow(_scores(spark.sparkContext.broadcast(model), discount), SCORES)
 
 
