@@ -2,7 +2,7 @@
 
 Several metadata columns are quantised to a few bits each, rows are sorted by their place on the Hilbert curve, and
 the order is cut into runs of equal row counts. Rows near each other in all dimensions share shards, so a filter on
-any of them prunes files by their minima and maxima.
+any of them prunes files by their minima and maxima. ``write`` writes the shards as such files.
 """
 
 from __future__ import annotations
@@ -36,28 +36,38 @@ def shard(docs: DataFrame, shards: int = 40, bits: int = BITS, dims: tuple[str,
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``.
 
     The law is ``rows``: counts of shards differ by one at most. Size is the text's UTF-8 bytes (null: none) plus 16;
-    text_crc32 is 0, that of no bytes, for a null text. The curve runs over ``dims`` and the size; within a cell, rows go by
-    text checksum and doc_id, so equal texts of one cell stand together. Null dimensions are values of their own;
-    repeated rows take a slot each; other columns are ignored; an empty table gives an empty result. The ranked
-    order is written out once, so ranks can't change when a task runs again.
+    text_crc32 is 0, that of no bytes, for a null text. The curve runs over ``dims`` and the size. Equal texts are a
+    group (null texts one, empty texts another), whatever their metadata: the group stands at the place of its
+    smallest doc_id (null ids last), so it is spread over no more shards than its rows need. Null dimensions are values of
+    their own; repeated rows take a slot each; other columns are ignored; an empty table gives an empty result. The
+    ranked order is written out once, so ranks can't change when a task runs again. Groups with a thousandth of all
+    rows or more, a thousand at most, are sent to all tasks; no key of the join of the others holds more rows than that.
     """
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in dims),
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(f"dim_{c}") for c in dims), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.when(F.col("text").isNotNull(), F.xxhash64(F.col("text").cast("string"))).alias("text_hash"),
     )
-    base = rows
+    base = docs.select(*(F.col(c).cast("string").alias(c) for c in dims))
     for c in dims:
         code = codes(base, c, bits).withColumnRenamed(c, f"{c}_value")
-        rows = rows.join(F.broadcast(code) if _few(code) else code, F.col(c).eqNullSafe(F.col(f"{c}_value")), "left")
+        rows = rows.join(F.broadcast(code) if _few(code) else code, F.col(f"dim_{c}").eqNullSafe(F.col(f"{c}_value")), "left")
     place = hilbert.index([*(F.coalesce(F.col(f"{c}_code"), F.lit(0)) for c in dims), size_code(F.col("size"), bits)], bits)
-    order = ["place", "text_crc32", "doc_id", "size"]
-    sorted_rows = rows.select("doc_id", "size", "text_crc32", place.alias("place")).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = common.materialise(rows.select("doc_id", "size", "text_crc32", "text_hash", place.alias("own")), "shard-rows")
+    total = rows.count()
+    text = ["text_hash", "text_crc32", "size"]
+    lead = F.min_by("own", F.struct(F.col("doc_id").isNull(), "doc_id", "own")).alias("lead")
+    groups = common.materialise(rows.groupBy(*text).agg(F.count("*").alias("n"), lead).where("n > 1").select(*(F.col(c).alias(f"g_{c}") for c in text), "n", "lead"), "shard-groups")
+    large = F.broadcast(groups.where(F.col("n") * 1000 >= total))
+    same = [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in text]
+    rest = rows.join(large, same, "left_anti").join(groups.where(F.col("n") * 1000 < total), same, "left")
+    grouped = rows.join(large, same).unionByName(rest).select("doc_id", "size", "text_crc32", "text_hash", F.coalesce("lead", "own").alias("place"))
+    order = ["place", "text_crc32", "text_hash", "doc_id", "size"]
+    sorted_rows = grouped.repartitionByRange(*order).sortWithinPartitions(*order)
     at = F.monotonically_increasing_id()
-    kept = common.materialise(sorted_rows.select("doc_id", "size", "text_crc32", "place", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")), "shard-order")
+    kept = common.materialise(sorted_rows.select("doc_id", "size", "text_crc32", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")), "shard-order")
     counts = kept.groupBy("part").agg(F.count("*").alias("rows"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
-    total = kept.count()
     ranked = kept.join(counts, "part").withColumn("rank", F.col("before") + F.col("nth")).withColumn("total", F.lit(total))
     ranked = ranked.withColumn("shard", F.expr(f"(rank * {shards}) DIV total"))
     slot = F.expr(f"rank - (shard * total + {shards - 1}) DIV {shards}")
@@ -69,6 +79,17 @@ def _few(code: DataFrame, most: int = 100_000) -> bool:
     return code.limit(most + 1).count() <= most
 
 
+def write(docs: DataFrame, path: str, **options) -> DataFrame:
+    """Write ``docs`` in folders by shard under ``path``, rows in the order of their slots; returns what is there.
+
+    Rows are matched with their shards by doc_id, so ids must not repeat. Columns called shard or slot are replaced.
+    """
+    places = shard(docs.select(*dict.fromkeys(["doc_id", "text", *options.get("dims", ("source", "lang"))])), **options).select(F.col("doc_id").alias("place_id"), "shard", "slot")
+    rows = docs.drop("shard", "slot", "place_id").join(places, F.col("doc_id").cast("long").eqNullSafe(F.col("place_id"))).drop("place_id")
+    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 #: DuckDB has no crc32; the tests hold the query against plain Python.
 ORACLE_SQL = None
 
