@@ -111,11 +111,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, decay: float = 1e-
 
 
 def train_dictionary(texts: list[str], size: int = DICTIONARY) -> bytes:
-    """``size`` bytes that zstandard picks from the texts' windows; all of them where there is too little to pick from."""
+    """``size`` bytes that zstandard picks from the texts' windows; all the windows where there is too little to pick from."""
     runs = list(dict.fromkeys(w for t in texts for w in windows(t, SAMPLE, SAMPLE)))
     if sum(map(len, runs)) > 16 * size:
         return zstandard.train_dictionary(size + 2000, runs, k=16, d=6, level=3).as_bytes()[-size:]  # without zstandard's header
-    return b"".join(runs)[:size].ljust(size, b" ")
+    return b"".join(runs)
 
 
 def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:

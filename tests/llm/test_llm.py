@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from itertools import combinations
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from arborfold.llm import embedding_dedup, hilbert, html_extract, lm_score, minhash_dedup, mixing, packing, sharding, token_files, tokens, topk, toxicity
+from arborfold.llm import embedding_dedup, hilbert, html_extract, html_tree, lm_score, minhash_dedup, mixing, packing, sharding, token_files, tokens, topk, toxicity
 
 DATA = "/root/testdata/sf0.001"
 SMALL_TEXTS = [None, "", " ", "a", "Hello  world \n x", "It's <|endoftext|> 12.5% é日本 ", "word " * 300, "a" * 3000, "same text here", "same text here"]
@@ -224,6 +225,29 @@ def test_sharding(spark, docs):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_sharding_keeps_equal_texts_together(spark):
+    rng = random.Random(4)
+    rows = [(k if k % 17 else None, rng.choice(["same", "other", None, f"own {k}", f"own {k}", "x" * rng.randint(1, 3000)]), rng.choice("abc"), rng.choice(["en", None]), k) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, size long")
+    got = sharding.shard(docs, shards=10).collect()
+    assert len(got) == 300 and {len([r for r in got if r["shard"] == k]) for k in range(10)} == {30}
+    place = {}
+    for r in got:
+        place.setdefault((r["text_crc32"], r["size"]), []).append(r["shard"] * 30 + r["slot"])
+    runs = [sorted(v) for v in place.values()]
+    assert all(v[-1] - v[0] == len(v) - 1 for v in runs) and max(map(len, runs)) > 30  # a run of slots a text, over shards where it must
+
+
+def test_sharding_writes_files_that_prune(spark, tmp_path):
+    rows = [(k, f"{k} " + "t" * (1 << (k % 12)), f"s{k % 5}", "en" if k % 3 else "de") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = sharding.write(docs, str(tmp_path / "shards"), shards=20)
+    assert out.count() == 600 and set(out.columns) == {"doc_id", "text", "source", "lang", "slot", "shard"}
+    for c in ("source", "lang"):  # a value's rows stand in far fewer than all shards
+        ranges = out.groupBy("shard").agg(F.min(c).alias("lo"), F.max(c).alias("hi"))
+        assert ranges.where("lo <= 's0' AND 's0' <= hi" if c == "source" else "lo <= 'de' AND 'de' <= hi").count() <= 12
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(8)
     words = ["".join(rng.choice("bcdfgaeiou") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
@@ -235,15 +259,18 @@ def test_toxicity_learns(spark):
             w[rng.randrange(60)] = rng.choice(bad)
         return " ".join(w)
 
-    rows = [(k, text(k % 3 == 0), k % 3 == 0) for k in range(360)]
-    docs = spark.createDataFrame([(k, t, "x") for k, t, _ in rows] + [(1000, None, "x"), (1001, "", "x")], "doc_id long, text string, weights string")
-    labels = spark.createDataFrame([(k, int(y)) for k, _, y in rows if k < 240] + [(5000, 1), (None, 1)], "doc_id long, toxic int")
+    rows = [(k, text(k % 3 == 0), k % 3 == 0) for k in range(1800)]  # enough text for zstandard to train on
+    docs = spark.createDataFrame([(k, t, "x") for k, t, _ in rows] + [(9000, None, "x"), (9001, "", "x")], "doc_id long, text string, weights string")
+    labels = spark.createDataFrame([(k, int(y)) for k, _, y in rows if k < 1200] + [(5000, 1), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
-    held = [(got[k] >= 0.7, y) for k, _, y in rows if k >= 240]
-    assert sum(p == y for p, y in held) >= 0.95 * len(held) and got[1000] == got[1001] < 0.7 and len(got) == 362
+    held = [(got[k] >= 0.7, y) for k, _, y in rows if k >= 1200]
+    assert sum(p == y for p, y in held) >= 0.95 * len(held) and got[9000] == got[9001] < 0.7 and len(got) == 1802
     none = toxicity.score(docs, toxicity.fit(docs, labels.limit(0)))
-    assert none.where("score <> 0").count() == 0
+    assert none.where("score <> 0").count() == 0 and toxicity.score(docs.limit(0), model).count() == 0
+    kept = [toxicity.train_dictionary([text(y) for _ in range(900)]) for y in (True, False)]
+    assert all(len(d) == toxicity.DICTIONARY for d in kept) and b"zorgwort" in kept[0] and b"zorgwort" not in kept[1]
+    assert sum(w.encode() in kept[0] for w in words) > 100  # text of the class, no list of its marks
 
 
 def test_html_blocks():
@@ -257,6 +284,51 @@ def test_html_blocks():
     assert [t for _, t, _ in deep[1]] == ["x"]
 
 
+def test_html_induction_needs_no_names(spark):
+    rng = random.Random(3)
+    w = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+    def page(k):
+        menu = "".join(f"<div><a href=/{k}{i}>{w(2)}</a></div>" for i in range(5))
+        body = "".join(f"<p>{w(40)}</p>" for _ in range(rng.randint(1, 6)))
+        title = w(5)
+        more = "".join(f"<li><a href=/r{i}>{w(6)}</a></li>" for i in range(rng.randint(2, 6)))
+        html = f"<html><body><div>{menu}</div><div>{w(3)}</div><div><div><h1>{title}</h1>{body}<p>Share this page</p></div><ul>{more}</ul></div><div><span>made by {w(2)}</span><p>All rights kept</p></div></body></html>"
+        text = [title, *(p.removesuffix("</p>") for p in body.split("<p>")[1:])]
+        return html, "\n".join(text)
+
+    pages = [page(k) for k in range(30)]
+    df = spark.createDataFrame([(k if k else None, f"https://h.example/{k}", h) for k, (h, _) in enumerate(pages)] + [(99, "https://h.example/9", pages[9][0]), (100, "https://none.example/", None)], "page_id long, url string, html string")
+    rows = html_extract.extract(df, trace=True).collect()
+    got = {(r["page_id"], r["url"]): r for r in rows}
+    assert len(rows) == 32 and all(got[(k if k else None), f"https://h.example/{k}"]["text"] == t for k, (_, t) in enumerate(pages))
+    assert got[99, "https://h.example/9"]["text"] == pages[9][1] and got[100, "https://none.example/"]["text"] == ""
+    assert any(r["markup_text"] != r["text"] for r in rows)  # markup alone keeps notices and footers
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_tree_matching_against_brute_force():
+    rng = random.Random(2)
+
+    def tree(depth):
+        return (rng.choice("ab"), 0, [tree(depth - 1) for _ in range(rng.randint(0, 3))] if depth else [])
+
+    def brute(a, b):
+        if a[0] != b[0]:
+            return 0
+        best = 0
+        x, y = a[2], b[2]
+        for n in range(min(len(x), len(y)) + 1):
+            for i in itertools.combinations(range(len(x)), n):
+                for j in itertools.combinations(range(len(y)), n):
+                    best = max(best, sum(brute(x[p], y[q]) for p, q in zip(i, j, strict=True)))
+        return 1 + best
+
+    for _ in range(60):
+        a, b = tree(3), tree(3)
+        assert html_tree.match(a, b)[0] == brute(a, b)
+
+
 def left_of(body):
     return [t for _, t, out in html_extract.blocks_of(f"<html><body>{body}</body></html>")[1] if not out]
 
