@@ -115,6 +115,17 @@ def dechunk(data: bytes) -> bytes:
         at += size + 2
 
 
+def frame(status: int, headers: list[tuple[str, str]], raw: bytes) -> bytes:
+    """The body behind a response's head: none for 1xx, 204 and 304; chunks; the stated length, as far as it is there; else all."""
+    if status < 200 or status in (204, 304):
+        return b""
+    named = {k.lower(): v.strip() for k, v in reversed(headers)}
+    if "chunked" in named.get("transfer-encoding", "").lower():
+        return dechunk(raw)
+    size = named.get("content-length", "")
+    return raw[: int(size)] if re.fullmatch("[0-9]+", size) else raw
+
+
 def decode_content(data: bytes, encoding: str | None, limit: int = 16 << 20) -> bytes:
     kind = (encoding or "").strip().lower()
     return gzip_decode(data, limit) if kind in ("gzip", "x-gzip") else zlib_decode(data, limit) if kind == "deflate" else data
@@ -147,6 +158,22 @@ def decode_auto(data: pa.Array, content_type: pa.Array) -> pa.Array:
     return pa.array([None if d is None else decode(d, detect(d, charset_of(c))) for d, c in pairs], pa.string())
 
 
+@F.arrow_udf(T.BinaryType())
+def response_body(status: pa.Array, headers: pa.Array, raw: pa.Array) -> pa.Array:
+    """The body that ``headers`` (an array of name, value) frame and encode in the raw bytes; null for what can't be read."""
+
+    def one(code: int | None, pairs: list[dict] | None, data: bytes | None) -> bytes | None:
+        if data is None:
+            return None
+        known = [(h["name"], h["value"]) for h in pairs or ()]
+        try:
+            return decode_content(frame(code or 200, known, data), next((v for k, v in known if k.lower() == "content-encoding"), None))
+        except ValueError:
+            return None
+
+    return pa.array([one(*x) for x in zip(status.to_pylist(), headers.to_pylist(), raw.to_pylist(), strict=True)], pa.binary())
+
+
 @F.arrow_udf(T.LongType())
 def adler32(data: pa.Array) -> pa.Array:
     return pa.array([None if d is None else zlib.adler32(d) for d in data.to_pylist()], pa.int64())

@@ -1,7 +1,7 @@
 """Patterns of the script dialect rewritten for the JVM's engine.
 
 The dialect: flags g i m s; ``.`` leaves out LF and CR alone; ``$`` without m stands at the very end; ``\\d \\w \\s \\b``
-are ASCII; a backreference to an unmatched group matches nothing; ``[]`` matches nothing, ``[^]`` anything; a brace
+are ASCII; a backreference to a group that has not matched matches the empty text; ``[]`` matches nothing, ``[^]`` anything; a brace
 that is no quantifier is itself.
 """
 
@@ -22,12 +22,30 @@ _PIECE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\(.)|(\[\^?\])|(\
 
 
 def to_java(pattern: str, flags: str = "") -> str:
-    """The same pattern for ``rlike``, ``regexp_extract`` and the like; raises ``RegexError``."""
+    """The same pattern for ``rlike``, ``regexp_extract`` and the like; raises ``RegexError``.
+
+    A group that is referred back to gets an empty group as its last part, which tells whether it has matched; groups
+    opened behind it thus have higher numbers (``group_numbers``).
+    """
+    return _translate(pattern, flags)[0]
+
+
+def group_numbers(pattern: str, flags: str = "") -> list[int]:
+    """The number that each group of ``pattern`` has in the rewritten one."""
+    return _translate(pattern, flags)[1]
+
+
+def _translate(pattern: str, flags: str) -> tuple[str, list[int]]:
     if set(flags) - set("gims") or len(set(flags)) != len(flags):
         raise RegexError(f"bad flags {flags!r}")
     multi = "m" in flags
     groups = len(re.findall(r"(?<!\\)(?:\\\\)*\((?!\?)", pattern))
     out, at, depth = [], 0, 0
+    referred = {int(k) for k in re.findall(r"(?<!\\)(?:\\\\)*\\([1-7])", pattern)}
+    numbers: list[int] = []  # by group
+    marks: dict[int, int] = {}  # of closed groups, the group that tells whether they have matched
+    opened: list[int] = []  # groups still open, 0 for those that capture nothing
+    made = 0
     while at < len(pattern):
         m = _PIECE.match(pattern, at)
         if not m:
@@ -35,8 +53,11 @@ def to_java(pattern: str, flags: str = "") -> str:
         at = m.end()
         if m[1] or m[2]:
             out.append(rf"\x{{{m[1] or m[2]}}}")
+        elif m[3] and m[3] in "1234567" and int(m[3]) <= groups:
+            k = int(m[3])
+            out.append(rf"(?:\{numbers[k - 1]}|(?!\{marks[k]}))" if k in marks else "(?:)")
         elif m[3]:
-            out.append(_escape(m[3], groups))
+            out.append(_escape(m[3]))
         elif m[4]:
             out.append(r"[\s\S]" if m[4] == "[^]" else r"(?!)")
         elif m[5]:
@@ -49,10 +70,21 @@ def to_java(pattern: str, flags: str = "") -> str:
         elif m[7] or m[9] == "(":
             depth += 1
             out.append(m[0])
+            if m[7]:
+                opened.append(0)
+            else:
+                made += 1
+                numbers.append(made)
+                opened.append(len(numbers))
         elif m[9] == ")":
             depth -= 1
             if depth < 0:
                 raise RegexError("unmatched )")
+            k = opened.pop()
+            if k in referred:
+                made += 1
+                marks[k] = made
+                out.append("()")
             out.append(")")
         elif m[9] == ".":
             out.append(r"[\s\S]" if "s" in flags else r"[^\n\r]")
@@ -64,11 +96,10 @@ def to_java(pattern: str, flags: str = "") -> str:
             out.append(rf"\{m[9]}" if m[9] in "{}]" else m[9])
     if depth:
         raise RegexError("unclosed group")
-    text = ("(?iu)" if "i" in flags else "") + "".join(out)
-    return text
+    return ("(?iu)" if "i" in flags else "") + "".join(out), numbers
 
 
-def _escape(c: str, groups: int) -> str:
+def _escape(c: str) -> str:
     if c in "bB":
         return _BOUNDARY if c == "b" else _INSIDE
     if c in "dDwWsSnrtfv":
@@ -76,8 +107,6 @@ def _escape(c: str, groups: int) -> str:
     if c == "0":
         return r"\x00"
     if c.isdigit():
-        if int(c) <= groups and c in "1234567":
-            return rf"(?:\{c}|(?!\{c}))" if groups else rf"\{c}"
         return re.escape(chr(int(c, 8))) if c in "1234567" else c
     return re.escape(c) if not c.isalnum() else c
 

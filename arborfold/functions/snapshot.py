@@ -34,7 +34,9 @@ def truncate(text: str, most: int) -> str:
     return text if len(data) <= most else data[:most].decode(errors="ignore")
 
 
-class _Page:
+class Renderer:
+    """Writes the rows of a page as lines."""
+
     def __init__(self, rows: list[Row]):
         self.rows, self.children = rows, [[] for _ in rows]
         for r in rows[1:]:
@@ -91,7 +93,7 @@ class _Page:
 
 
 def snapshot(html: str) -> str:
-    return _Page(parse(html)).render()
+    return Renderer(parse(html)).render()
 
 
 @F.arrow_udf(T.StringType())

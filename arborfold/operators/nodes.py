@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.html import parse
+from ..functions.snapshot import INPUT_ROLES, ROLES
 
 SCHEMA = (
     "page_id long, node_id int, parent_id int, ord int, elem_ord int, elem_total int, depth int, subtree_end int, kind string, tag string,"
@@ -53,13 +54,12 @@ def attr(name: str, attrs: Column | str = "attrs") -> Column:
 
 def role(tag: Column, kind: Column) -> Column:
     """What an element is to a reader; ``kind`` is an input's type."""
-    of_input = F.when(kind.isin("submit", "button", "reset", "image"), "button").when(kind == "checkbox", "checkbox").when(kind == "radio", "radio")
-    of_input = of_input.when(kind == "range", "slider").when(kind == "hidden", "hidden-input").otherwise("textbox")
-    known = {"a": "link", "p": "paragraph", "img": "image", "textarea": "textbox", "select": "combobox", "ul": "list", "ol": "list", "li": "listitem", "th": "columnheader", "td": "cell", "nav": "navigation", "hr": "separator"}
-    out = F.when(tag.rlike("^h[0-9]$"), "heading").when(tag == "input", of_input)
-    for k, v in known.items():
-        out = out.when(tag == k, v)
-    return out.otherwise(tag)
+    of_input, out = F.lit("textbox"), tag
+    for k, v in INPUT_ROLES.items():
+        of_input = F.when(kind == k, v).otherwise(of_input)
+    for k, v in ROLES.items():
+        out = F.when(tag == k, v).otherwise(out)
+    return F.when(tag.rlike("^h[0-9]$"), "heading").when(tag == "input", of_input).otherwise(out)
 
 
 def collapse_ws(text: Column) -> Column:

@@ -1,96 +1,69 @@
-"""Selectors compiled to relational algebra over ``dom_nodes``.
+"""Selectors over the ``dom_nodes`` relation.
 
-A compound is a filter on the element's own row. Combinators are semi-joins inside a page: child on the parent's id,
-next sibling on the position before, descendant on the ancestor's interval, earlier sibling by the smallest
-matching position. Everything is keyed by page, so a single hash partitioning serves all steps.
+``select`` reads the relation once: its rows are dealt by page and sorted by node, one shuffle, and each page is
+matched as it streams by, all combinators in one pass. Where pages are at hand rather than their nodes,
+``operators.pages`` matches in the parsing pass and shuffles nothing. Relations between hits and other nodes are interval
+joins inside a page.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import css
-from ..operators.nodes import attr
-
-_TOKENS = r"[ \t\n\r\f]+"
-
-
-def _attribute(name: str, op: str, value: str) -> Column:
-    own = attr(name)
-    tests = {
-        "": own.isNotNull(), "=": own == value, "~=": F.array_contains(F.split(own, _TOKENS), value), "|=": (own == value) | own.startswith(f"{value}-"),
-        "^=": own.startswith(value), "$=": own.endswith(value), "*=": own.contains(value),
-    }
-    return F.coalesce(tests[op], F.lit(False))
-
-
-def own_test(c: css.Compound) -> Column:
-    """What the compound asks of the element's own row (``is_empty`` is a column of it)."""
-    tests = [F.lit(True) if c.tag is None else F.col("tag") == c.tag]
-    if c.id is not None:
-        tests.append(_attribute("id", "=", c.id))
-    tests += [F.coalesce(F.array_contains(F.split(attr("class"), _TOKENS), k), F.lit(False)) for k in c.classes]
-    tests += [_attribute(*a) for a in c.attrs]
-    for name, arg in c.pseudos:
-        if name == "nth-child":
-            a, b = arg
-            k = F.col("elem_ord") - b
-            tests.append(F.col("elem_ord") == b if a == 0 else (k % a == 0) & (k / a >= 0))
-        elif name == "not":
-            tests.append(~own_test(arg))
-        else:
-            tests.append({"first-child": F.col("elem_ord") == 1, "last-child": F.col("elem_ord") == F.col("elem_total"), "only-child": F.col("elem_total") == 1, "empty": F.col("is_empty")}[name])
-    return reduce(lambda x, y: x & y, tests)
-
-
-def _uses_empty(c: css.Compound) -> bool:
-    return any(n == "empty" or n == "not" and _uses_empty(a) for n, a in c.pseudos)
-
-
-def _elements(nodes: DataFrame, with_empty: bool) -> DataFrame:
-    """Element rows; ``is_empty`` by an outer join on parents that hold an element or visible text."""
-    rows = nodes.where("kind = 'element'")
-    if not with_empty:
-        return rows
-    full = nodes.where("kind = 'element' OR (kind = 'text' AND text RLIKE '\\\\S')").select("page_id", F.col("parent_id").alias("node_id"), F.lit(True).alias("full")).distinct()
-    return rows.join(full, ["page_id", "node_id"], "left").withColumn("is_empty", F.col("full").isNull()).drop("full")
-
-
-def _step(left: DataFrame, combinator: str, right: DataFrame) -> DataFrame:
-    """Rows of ``right`` that stand in the combinator's relation to a row of ``left``."""
-    if combinator == ">":
-        return right.join(left.select("page_id", F.col("node_id").alias("parent_id")), ["page_id", "parent_id"], "left_semi")
-    if combinator == "+":
-        before = left.select("page_id", "parent_id", (F.col("elem_ord") + 1).alias("elem_ord"))
-        return right.join(before, ["page_id", "parent_id", "elem_ord"], "left_semi")
-    if combinator == "~":
-        first = left.groupBy("page_id", "parent_id").agg(F.min("elem_ord").alias("first_ord"))
-        return right.join(first, ["page_id", "parent_id"]).where("elem_ord > first_ord").drop("first_ord")
-    a = left.select(F.col("page_id").alias("a_page"), F.col("node_id").alias("a_node"), F.col("subtree_end").alias("a_end"))
-    inside = (F.col("page_id") == F.col("a_page")) & (F.col("node_id") > F.col("a_node")) & (F.col("node_id") < F.col("a_end"))
-    return right.join(a, inside, "left_semi")
+from ..functions.html import Row
+from ..functions.page import match
 
 
 def select(nodes: DataFrame, selector: str) -> DataFrame:
-    """Element rows of ``nodes`` that match any group of ``selector``, each once; raises ``css.CssError``."""
-    hits = []
-    for group in css.parse(selector):
-        rows = _elements(nodes, any(_uses_empty(c) for c in group.compounds))
-        found = rows.where(own_test(group.compounds[0]))
-        for combinator, compound in zip(group.combinators, group.compounds[1:], strict=True):
-            found = _step(found, combinator, rows.where(own_test(compound)))
-        hits.append(found.select(*nodes.columns))
-    if len(hits) == 1:
-        return hits[0]
-    return reduce(DataFrame.unionByName, hits).dropDuplicates(["page_id", "node_id"])
+    """Element rows of ``nodes`` that match any group of ``selector``, each once; raises ``css.CssError``.
+
+    ``nodes`` holds whole pages: a page's ids count from 0 without gaps. Null pages match nothing.
+    """
+    match([], selector)
+    names = ["page_id", "node_id", "parent_id", "elem_ord", "elem_total", "kind", "tag", "attrs", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, rows, held, found = None, [], [], []
+
+        def close() -> None:
+            hits = match(rows, selector)
+            found.extend(r for k in hits for r in held[k])
+
+        for b in batches:
+            for k, (p, n, parent, nth, total, kind, tag, attrs, text) in enumerate(zip(*(b.column(c).to_pylist() for c in range(9)), strict=True)):
+                if p != page:
+                    close()
+                    page, rows, held = p, [], []
+                if rows and rows[-1].node_id == n:  # a row that repeats
+                    held[-1].append(b.slice(k, 1))
+                    continue
+                rows.append(Row(n, parent, 0, nth, total, 0, 0, kind, tag, [(a["name"], a["value"]) for a in attrs or ()], text, None))
+                held.append([b.slice(k, 1)] if kind == "element" else [])
+            if found:
+                yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+                found.clear()
+        close()
+        if found:
+            yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+
+    rest = [c for c in nodes.columns if c not in names]
+    rows = nodes.where("page_id IS NOT NULL").repartition("page_id").sortWithinPartitions("page_id", "node_id").select(*names, *rest)
+    return rows.mapInArrow(run, rows.schema).select(*nodes.columns)
+
+
+def _inside(hits: DataFrame, roots: DataFrame) -> DataFrame:
+    a = roots.select(F.col("page_id").alias("a_page"), F.col("node_id").alias("a_node"), F.col("subtree_end").alias("a_end"))
+    inside = (F.col("page_id") == F.col("a_page")) & (F.col("node_id") > F.col("a_node")) & (F.col("node_id") < F.col("a_end"))
+    return hits.join(a, inside, "left_semi")
 
 
 def within(hits: DataFrame, roots: DataFrame) -> DataFrame:
     """Scoped query: hits that are strict descendants of a row of ``roots``."""
-    return _step(roots, " ", hits)
+    return _inside(hits, roots)
 
 
 def closest(nodes: DataFrame, targets: DataFrame, selector: str) -> DataFrame:

@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import json_text
+from .functions import json_text, text
 from .functions.bytes import est_tokens
 from .functions.snapshot import page_snapshot
 from .functions.url import url_parts
-from .operators import cookies, extract
-from .operators.nodes import attr, collapse_ws, dom_nodes, role, text_content
+from .operators import cookies, pages, scripts
+from .operators.nodes import attr, collapse_ws, dom_nodes, role
 from .plans import selectors
 from .sources import responses
+from .streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,9 +48,8 @@ links AS (SELECT page_id, url, ref::INTEGER AS ref, {_PLAIN.format("regexp_extra
 
 @query(f"WITH {_LINKS} SELECT page_id, ref, text, href FROM links")
 def nav_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = dom_nodes(spark, sf_dir)
-    hits = selectors.select(nodes, "nav li > a").withColumn("href", attr("href")).select("page_id", "node_id", "subtree_end", "ref", "href")
-    return text_content(nodes, hits).select("page_id", "ref", "text", "href")
+    hits = pages.select(table(spark, sf_dir, "pages"), "nav li > a", text=True)
+    return hits.select("page_id", "ref", "text", attr("href").alias("href"))
 
 
 @query("SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) GROUP BY tag")
@@ -57,16 +57,17 @@ def nodes_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dom_nodes(spark, sf_dir).where("kind = 'element'").groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""SELECT page_id, 1 + len(regexp_extract_all(html, '<[a-z][a-z0-9]*[ >]')) + len(regexp_extract_all(html, '<!--'))
+  + len(list_filter(string_split_regex(regexp_replace(regexp_replace(html, '<(script|style)>.*?</(script|style)>', '<i>x</i>', 'g'), '<!--.*?-->', '<i></i>', 'g'), '<[^>]*>'), lambda t: trim(t) <> '')) AS nodes,
+  len(list_distinct(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1) || ['lang', 'charset', 'href', 'class']))::INTEGER AS names FROM pages""")
 def dom_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes and distinct names a page."""
-    names = F.array_union(F.collect_set("tag"), F.flatten(F.collect_set(F.transform("attrs", lambda a: a["name"]))))
-    return dom_nodes(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("nodes"), F.size(F.array_distinct(names)).alias("names"))
+    return pages.stats(table(spark, sf_dir, "pages"))
 
 
 @query(f"SELECT page_id, {_SPACED.format(_PLAIN.format("regexp_extract(html, '<title>([^<]*)</title>', 1)"))} AS title FROM pages")
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.titles(dom_nodes(spark, sf_dir))
+    return pages.titles(table(spark, sf_dir, "pages"))
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, '<!--(.*?)-->', 1)) AS comment FROM pages")
@@ -84,7 +85,7 @@ def _count(name: str, selector: str, n: str) -> None:
     """A query of hits a page, with the SQL of their number."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return selectors.select(dom_nodes(spark, sf_dir), selector).groupBy("page_id").agg(F.count("*").alias("n"))
+        return pages.count(table(spark, sf_dir, "pages"), selector)
 
     run.__doc__ = f"Hits of ``{selector}`` a page."
     query(f"SELECT * FROM (SELECT page_id, ({n})::BIGINT AS n FROM pages) WHERE n > 0", name)(run)
@@ -98,7 +99,6 @@ _HREFS = "regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)"
 _count("sel_tag", "p", _tags("p"))
 _count("sel_any", "*", "len(regexp_extract_all(html, '<[a-z][a-z0-9]*[ >]'))")
 _count("sel_class", ".ad", "len(regexp_extract_all(html, 'class=\"ad\"'))")
-_count("sel_id", "#none, h1", _tags("h1"))
 _count("sel_attr_exists", "a[href]", f"len({_HREFS})")
 _count("sel_attr_eq", "html[lang=fr]", "contains(html, '<html lang=\"fr\">')::INT")
 _count("sel_attr_includes", "div[class~=ad]", "len(regexp_extract_all(html, 'class=\"ad\"'))")
@@ -122,31 +122,75 @@ _count("sel_group", "li, h1, .ad", f"{_tags('li')} + {_tags('h1')} + {_tags('div
 
 @query(f"SELECT page_id, {_tags('a')}::BIGINT AS n FROM pages WHERE {_tags('a')} > 0")
 def scoped_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = dom_nodes(spark, sf_dir)
-    return selectors.within(selectors.select(nodes, "a"), selectors.select(nodes, "nav")).groupBy("page_id").agg(F.count("*").alias("n"))
+    return pages.within(table(spark, sf_dir, "pages"), "nav", "a").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT page_id, {_tags('a')}::BIGINT AS n FROM pages WHERE {_tags('a')} > 0")
 def closest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = dom_nodes(spark, sf_dir)
-    found = selectors.closest(nodes, selectors.select(nodes, "a"), "li")
+    found = pages.closest(table(spark, sf_dir, "pages"), "a", "li")
     return found.where("closest_id = node_id - 1").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT page_id, {_tags('a')}::BIGINT AS n FROM pages WHERE {_tags('a')} > 0")
+def stored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A selector over the relation of nodes: one parse, one shuffle."""
+    return selectors.select(dom_nodes(spark, sf_dir), "body nav > ul li > a").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, TRUE AS contains FROM pages")
+def node_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.contains(table(spark, sf_dir, "pages"), "nav", "li")
+
+
 @query("SELECT page_id, len(regexp_extract_all(html, '<!--'))::BIGINT AS n FROM pages")
 def tree_walker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = selectors.walk(dom_nodes(spark, sf_dir), mask=128, rejected=F.col("tag") == "nav")
+    shown = pages.walked(table(spark, sf_dir, "pages"), mask=128, rejected="nav")
     return shown.groupBy("page_id").agg(F.count("*").alias("n"))
 
 
+@query("SELECT page_id, len(regexp_extract_all(html, '<li>'))::BIGINT AS n, len(regexp_extract_all(html, '<li>'))::BIGINT - 1 AS linked FROM pages")
+def walker_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A walker that is shown list items alone goes from each to the next."""
+    shown = pages.walked(table(spark, sf_dir, "pages"), mask=1, skipped=":not(li)")
+    return shown.groupBy("page_id").agg(F.count("*").alias("n"), F.count("next_id").alias("linked"))
+
+
 @query(f"SELECT page_id, {_SPACED.format(_PLAIN.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))} AS text FROM pages")
 def text_content_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract(dom_nodes(spark, sf_dir), "h1").select("page_id", "text")
+    return pages.select(table(spark, sf_dir, "pages"), "h1", text=True).select("page_id", "text")
+
+
+@query(f"SELECT page_id, {_PLAIN.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS text FROM pages")
+def raw_text_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.raw_text(table(spark, sf_dir, "pages"), "h1").select("page_id", "text")
+
+
+_MARKED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"SELECT page_id, '<h1>' || {_MARKED.format(_PLAIN.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))} || '</h1>' AS html FROM pages")
+def serialized_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.serialize(table(spark, sf_dir, "pages"), "h1").select("page_id", "html")
+
+
+@query(f"WITH {_LINKS} SELECT page_id, ref, '<a href=\"' || replace(replace(href, '&', '&amp;'), '\"', '&quot;') || '\" rel=\"next\">go</a>' AS html FROM links")
+def edited_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages edited and parsed again: every link of the menu with an attribute set and its text put in another's place."""
+    done = pages.edit(table(spark, sf_dir, "pages"), [("remove", ".ad"), ("set", "nav a", "rel", "next"), ("text", "nav a", "go"), ("append", "nav", "<hr>")])
+    order = Window.partitionBy("page_id").orderBy("node_id")
+    return pages.serialize(done, "a[rel=next]").select("page_id", F.row_number().over(order).alias("ref"), "html")
 
 
 @query(f"WITH {_LINKS} SELECT page_id, '- a ''' || substr(text, 1, 120) || '''' AS line FROM links")
 def extract_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract_lines(dom_nodes(spark, sf_dir), "a").select("page_id", "line")
+    hits = pages.select(table(spark, sf_dir, "pages"), "a", text=True)
+    return hits.select("page_id", F.concat(F.lit("- "), "tag", F.lit(" '"), F.substring("text", 1, 120), F.lit("'")).alias("line"))
+
+
+@query(f"WITH {_LINKS} SELECT page_id, ref, 'link' AS role, text FROM links")
+def extract_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = pages.select(table(spark, sf_dir, "pages"), "nav a", text=True)
+    return hits.select("page_id", F.coalesce("ref", F.lit(0)).alias("ref"), "role", "text")
 
 
 @query("SELECT page_id, strlen(html) // 4 AS est_tokens FROM pages")
@@ -184,42 +228,146 @@ _TARGET = f"regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || {_ENCODED} || CASE
 
 @query(f"WITH {_LINKS} SELECT page_id, ref, href, {_TARGET} AS target_url FROM links")
 def links_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.links(dom_nodes(spark, sf_dir), table(spark, sf_dir, "pages"))
+    found = pages.links(table(spark, sf_dir, "pages"))
     return found.select("page_id", "ref", "href", "target_url")
 
 
 @query(f"WITH {_LINKS} SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, count(*) AS links, count(DISTINCT page_id) AS pages FROM links GROUP BY 1")
 def link_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and pages by host; both counts are partial before the shuffle."""
-    nodes = dom_nodes(spark, sf_dir).where("tag = 'a'").groupBy("page_id").agg(F.count("*").alias("n"))
     hosts = table(spark, sf_dir, "pages").select("page_id", url_parts("url")["host"].alias("host"))
-    return nodes.join(hosts, "page_id").groupBy("host").agg(F.sum("n").alias("links"), F.count("*").alias("pages"))
+    return pages.count(table(spark, sf_dir, "pages"), "a").join(hosts, "page_id").groupBy("host").agg(F.sum("n").alias("links"), F.count("*").alias("pages"))
 
 
-@query()
+@query("SELECT page_id, 0 AS seq, NULL::VARCHAR AS src, regexp_extract(html, '<script>(.*?)</script>', 1) AS body FROM pages")
 def runnable_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.scripts(dom_nodes(spark, sf_dir))
+    p = table(spark, sf_dir, "pages")
+    return pages.script_sources(p, p.select("url", F.col("html").alias("body")))
 
 
-@query("SELECT NULL::BIGINT AS page_id, NULL::INTEGER AS node_id, NULL::VARCHAR AS selector, NULL::VARCHAR AS raw WHERE FALSE")
-def json_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.json_blocks(dom_nodes(spark, sf_dir))
+# Pages made of rows, with forms, data and scripts -------------------------------------------------------------------
 
+_FORMS_SQL = """SELECT c_custkey AS page_id, CASE WHEN c_custkey % 2 = 0 THEN 'POST' ELSE 'GET' END AS method, c_name, c_mktsegment, c_acctbal > 0 AS big FROM customer"""
 
-@query()
+
+def _form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page a customer, with a form of every kind of control."""
+    c = table(spark, sf_dir, "customer")
+    return c.selectExpr("c_custkey AS page_id", "concat('https://shop.example/c/', c_custkey, '?old=1#f') AS url", """concat('<h1 id="k', c_custkey % 7, '">x</h1><form id="other"></form><form id="f" action="/go?old=2#end" method="', if(c_custkey % 2 = 0, 'post', 'get'), '"><input name="id" value="', c_custkey, '"><input type="checkbox" name="big"', if(c_acctbal > 0, ' checked', ''),
+      '><select name="seg"><option value="none">a<option selected>', c_mktsegment, '</select><textarea name="t">', c_name, '</textarea><input name="off" value="1" disabled><button name="b">go</button></form><a href="../all">all</a>') AS html""")
+
+
+@query("SELECT c_custkey AS page_id, 1::BIGINT AS n FROM customer WHERE c_custkey % 7 = 3")
+def sel_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of ``#k3`` a page."""
+    return pages.count(_form_pages(spark, sf_dir), "#k3")
+
+
+@query(f"""WITH c AS ({_FORMS_SQL}), f AS (SELECT page_id, unnest([{{'name': 'id', 'value': page_id::VARCHAR}}, {{'name': 'big', 'value': CASE WHEN big THEN 'on' END}}, {{'name': 'seg', 'value': c_mktsegment}}, {{'name': 't', 'value': c_name}}]) AS x FROM c)
+SELECT page_id, x.name AS name, x.value AS value FROM f WHERE x.value IS NOT NULL""")
 def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.form_fields(dom_nodes(spark, sf_dir))
+    return pages.form_fields(_form_pages(spark, sf_dir)).select("page_id", "name", "value")
 
 
-@query()
+_DATA = "'id=' || {id} || CASE WHEN big THEN '&big=on' ELSE '' END || '&seg=' || c_mktsegment || '&t=' || replace(c_name, '#', '%23') || {more}"
+_SENT = f"""SELECT page_id, method, 'https://shop.example/go?' || CASE WHEN method = 'POST' THEN 'old=2' ELSE {_DATA} END || '#end' AS url, CASE WHEN method = 'POST' THEN {_DATA} END AS body FROM ({_FORMS_SQL})"""
+
+
+@query(_SENT.format(id="page_id", more="''"))
 def submit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.submit_requests(dom_nodes(spark, sf_dir), table(spark, sf_dir, "pages"))
+    """The requests of the second form of each page."""
+    return pages.submit_requests(_form_pages(spark, sf_dir), "#f").select("page_id", "method", "url", "body")
+
+
+@query(_SENT.format(id="'7'", more="'&more=a+b'"))
+def submit_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a field in another's place and one more."""
+    return pages.submit_requests(_form_pages(spark, sf_dir), "#f", [("id", "7"), ("more", "a b")]).select("page_id", "method", "url", "body")
+
+
+@query(f"SELECT page_id, 6 AS ref, 'submit' AS action, method, url FROM ({_SENT.format(id='page_id', more=chr(39) * 2)}) UNION ALL SELECT c_custkey, 7, 'link', 'GET', 'https://shop.example/all' FROM customer")
+def click_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What clicking each page's button and link asks for."""
+    return pages.click_requests(_form_pages(spark, sf_dir)).where("ref >= 6").select("page_id", "ref", "action", "method", "url")
+
+
+def _data_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page an event, with its data in two blocks and a script that fetches."""
+    e = table(spark, sf_dir, "events")
+    return e.selectExpr("event_id AS page_id", "concat('http://data.example/e/', event_id) AS url", """concat('<script type="application/json">[', event_id, ', {"t": "', event_type, '"}]</script><script id="__NEXT_DATA__">{"e": {"type": "', event_type, '",   "user": ', user_id, '}}</script>',
+      '<script>fetch("/api?u=', user_id, '"); fetch("save", {method: "post", body: "k=', event_id, '"})</script>') AS html""")
+
+
+@query("""SELECT event_id AS page_id, 'script#__NEXT_DATA__' AS selector, '{"e": {"type": "' || event_type || '", "user": ' || user_id || '}}' AS raw FROM events
+UNION ALL SELECT event_id, 'script[type="application/json"]', '[' || event_id || ', {"t": "' || event_type || '"}]' FROM events""")
+def json_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.json_blocks(_data_pages(spark, sf_dir)).select("page_id", "selector", "raw")
+
+
+@query("""SELECT event_id AS page_id, 0 AS seq, '== script#__NEXT_DATA__' || chr(10) || '"' || event_type || '"' AS line FROM events
+UNION ALL SELECT event_id, 1, '== script[type="application/json"]' || chr(10) || '(no match for path)' FROM events""")
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of each page at a path."""
+    return pages.json_lines(_data_pages(spark, sf_dir), "e.type")
+
+
+@query("""SELECT event_id AS page_id, 'GET' AS method, 'http://data.example/api?u=' || user_id AS url, '' AS body, 'replay: req http://data.example/api?u=' || user_id || ' -X GET' AS replay FROM events
+UNION ALL SELECT event_id, 'POST', 'http://data.example/e/save', 'k=' || event_id, 'replay: req http://data.example/e/save -X POST -d "k=' || event_id || '"' FROM events""")
+def fetch_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.fetch_calls(_data_pages(spark, sf_dir)).drop("seq")
+
+
+def _script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "customer").selectExpr("c_custkey AS page_id", "CAST(c_custkey AS STRING) AS tab", "concat('https://shop.example/c/', c_custkey, '?old=1') AS url", "map('WHO', c_name) AS vars")
+    fields = "concat('id=', c_custkey, if(c_acctbal > 0, '&big=on', ''), '&seg=', c_mktsegment, '&t=', replace(c_name, '#', '%23'))"
+    form = table(spark, sf_dir, "customer").selectExpr("c_custkey + 1000000000 AS page_id", f"if(c_custkey % 2 = 0, 'https://shop.example/go?old=2', concat('https://shop.example/go?', {fields}, '&who=', replace(c_name, '#', '%23'))) AS url", f"if(c_custkey % 2 = 0, concat({fields}, '&who=', replace(c_name, '#', '%23')), '') AS form", "if(c_custkey % 2 = 0, 'POST', 'GET') AS method", "concat('<p>thanks ', c_name, '</p>') AS html", "array(concat('last=', c_custkey)) AS cookies")
+    shown = _form_pages(spark, sf_dir).selectExpr("page_id", "url", "'' AS form", "'GET' AS method", "html", "array('seen=1; Path=/') AS cookies")
+    return scripts.run(scripts.parse('extract textarea\nsubmit -f "#f" -d who=$WHO\nexpect "thanks $WHO"\ndom\nclick #9'), asked, shown.unionByName(form))
+
+
+@query("""SELECT c_custkey::VARCHAR AS tab, unnest([1, 2, 3, 4, 5])::INTEGER AS line, unnest(['extract', 'submit', 'expect', 'dom', 'click']) AS op, unnest([TRUE, TRUE, TRUE, TRUE, FALSE]) AS ok,
+  unnest(['- textarea ' || chr(39) || c_name || chr(39), NULL, NULL, 'nodes 3' || chr(10) || 'strings 1' || chr(10) || 'cookies 2', NULL]) AS out FROM customer""")
+def script_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script over a tab a customer: text, a form sent with a variable, a check, counts, and a click that fails."""
+    return _script(spark, sf_dir).select("tab", "line", "op", "ok", "out")
+
+
+@query("""SELECT c_custkey AS request_id, CASE WHEN c_custkey % 2 = 0 THEN 200 END AS status, CASE WHEN c_custkey % 2 = 0 THEN 'page ' || c_custkey END AS body,
+  CASE WHEN c_custkey % 2 = 1 THEN 'not found' END AS error, (c_custkey % 4 = 0)::INTEGER AS hops, CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 2 END AS sent FROM customer""")
+def requests_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests answered from stored responses; a redirect to another origin leaves the authorization behind."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    asked = c.selectExpr("c_custkey AS request_id", "'post' AS method", "concat(if(c_custkey % 4 = 0, 'http://old.example/', 'http://new.example/'), c_custkey, '#top') AS url", "array(named_struct('name', 'Authorization', 'value', 'x'), named_struct('name', 'Accept', 'value', 'y')) AS headers", "'a=1' AS body")
+    hops = c.where("c_custkey % 4 = 0").selectExpr("concat('http://old.example/', c_custkey) AS url", "308 AS status", "concat('http://new.example/', c_custkey) AS location")
+    got = c.where("c_custkey % 2 = 0").selectExpr("'POST' AS method", "concat('http://new.example/', c_custkey) AS url", "'a=1' AS form", "200 AS status", "array(named_struct('name', 'x', 'value', 'y')) AS headers", "concat('page ', c_custkey) AS body")
+    return responses.send(asked, got, hops).select("request_id", "status", "body", "error", "hops", F.size("sent").alias("sent"))
 
 
 @query(f"WITH {_LINKS} SELECT page_id, ref, 'link' AS action, {_TARGET} AS url FROM links")
 def click_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.click_requests(dom_nodes(spark, sf_dir), table(spark, sf_dir, "pages"))
-    return found.select("page_id", "ref", "action", "url")
+    return pages.click_requests(table(spark, sf_dir, "pages")).select("page_id", "ref", "action", "url")
+
+
+@query(f"""SELECT page_id, regexp_extract(url, '^([a-z]+:)', 1) AS protocol, regexp_extract(url, '://([^/?#]*)', 1) AS host, CASE WHEN contains(url, '?') THEN regexp_extract(url, '(\\?[^#]*)', 1) ELSE '' END AS search,
+  CASE WHEN contains(url, '#') THEN regexp_extract(url, '(#.*)$', 1) ELSE '' END AS hash, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin FROM pages""")
+def location_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "pages").select("page_id", text.location(url_parts("url")).alias("l"))
+    return found.select("page_id", *(f"l.{c}" for c in ("protocol", "host", "search", "hash", "origin")))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'a open ' || lower(o_orderstatus) ELSE 'a ' || lower(o_orderstatus) END AS class, 'color: ' || lower(o_orderstatus) || '; top: 1px;' AS style FROM orders")
+def class_and_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class tokens and style declarations changed as a script would."""
+    o = table(spark, sf_dir, "orders")
+    own = F.concat(F.lit(" a  b a "), F.when(F.col("o_orderstatus") == "O", "open ").otherwise(""), F.lower("o_orderstatus"))
+    pairs = text.style_pairs(F.concat(F.lit("COLOR : red;left: 0;; bad; Top:1px"), F.lit("")))
+    style = F.transform(text.style_set(pairs, "left", ""), lambda p: F.struct(p["name"].alias("name"), F.when(p["name"] == "color", F.lower("o_orderstatus")).otherwise(p["value"]).alias("value")))
+    return o.select("o_orderkey", text.class_remove(text.class_add(own, "a"), "b").alias("class"), text.style_text(style).alias("style"))
+
+
+@query("SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' ELSE format('{:.1f} KB', n / 1024) END AS size FROM (SELECT doc_id, coalesce(strlen(text), 0) AS n FROM documents) WHERE n < 1048576")
+def formatted_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.format_bytes(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
 
 
 # Text, JSON, state -------------------------------------------------------------------------------------------------
@@ -260,23 +408,33 @@ def cookie_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cookies.header_for(requests, jar)
 
 
-@query("SELECT page_id AS request_id, 'GET' AS method, 'http://h/' || (page_id - page_id % 8) AS url, (page_id % 8)::INTEGER AS hops FROM pages")
+@query("SELECT page_id AS request_id, CASE WHEN page_id % 8 >= 5 THEN 'GET' ELSE 'POST' END AS method, 'http://h/' || (page_id - page_id % 8) AS url, (page_id % 8)::INTEGER AS hops FROM pages")
 def redirect_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of up to seven redirects, one derived from the ids of pages."""
+    """Chains of up to seven redirects, one derived from the ids of pages; the fifth turns POST into GET, 307 keeps it."""
     ids = table(spark, sf_dir, "pages").select("page_id")
     at = lambda c: F.concat(F.lit("http://h/"), c.cast("string"))
-    hops = ids.where("page_id % 8 <> 0").select(at(F.col("page_id")).alias("url"), F.lit(302).alias("status"), (F.col("page_id") - 1).cast("string").alias("location"))
+    hops = ids.where("page_id % 8 <> 0").select(at(F.col("page_id")).alias("url"), F.when(F.col("page_id") % 8 == 5, 302).otherwise(307).alias("status"), (F.col("page_id") - 1).cast("string").alias("location"))
     requests = ids.select(F.col("page_id").alias("request_id"), F.lit("POST").alias("method"), at(F.col("page_id")).alias("url"))
-    requests = requests.withColumn("method", F.lit("GET"))
     return responses.follow(requests, hops).select("request_id", "method", "url", "hops")
 
 
-@query("SELECT user_id, last_used, n::INTEGER AS n FROM (SELECT user_id, max(ts) AS last_used, row_number() OVER (ORDER BY max(ts) DESC, user_id) AS n FROM events GROUP BY user_id) WHERE n <= 256")
+@query("SELECT user_id AS session, last_used, n::INTEGER AS place FROM (SELECT user_id, max(ts) AS last_used, row_number() OVER (ORDER BY max(ts) DESC, user_id) AS n FROM events GROUP BY user_id) WHERE n <= 256")
 def lru_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 256 sessions used last; the limit is the feature, and cuts every task's share before the last sort."""
-    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last_used"))
-    order = Window.orderBy(F.desc("last_used"), "user_id")
-    return last.orderBy(F.desc("last_used"), "user_id").limit(256).withColumn("n", F.row_number().over(order))
+    """The 256 sessions used last; the limit is the feature."""
+    return sessions.kept(table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("ts").alias("last_used")))
+
+
+@query("""SELECT c_custkey::VARCHAR AS session, unnest([1, 2, 3, 4, 5, 6])::BIGINT AS seq, unnest(['snap', 'open', 'fill', 'submit', 'jump', 'close']) AS op, unnest([404, 200, 200, 200, 404, 200])::INTEGER AS status,
+  unnest([NULL, NULL, NULL, CASE WHEN c_custkey % 2 = 0 THEN 'id=x&seg=' ELSE 'https://shop.example/go?id=x&seg=' END, NULL, NULL]) AS asks FROM customer WHERE c_acctbal <= 0""")
+def session_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of a session a customer, over stored pages."""
+    c = table(spark, sf_dir, "customer").where("c_acctbal <= 0")
+    args = "array('{}', concat('{\"url\": \"https://shop.example/c/', c_custkey, '?old=1\"}'), '{\"ref\": 1, \"value\": \"x\"}', '{\"form\": \"#f\"}', '{}', '{}')"
+    ops = c.selectExpr("CAST(c_custkey AS STRING) AS session", f"posexplode(arrays_zip(array('snap', 'open', 'fill', 'submit', 'jump', 'close'), {args})) AS (k, x)")
+    ops = ops.selectExpr("session", "CAST(k + 1 AS LONG) AS seq", "x['0'] AS op", "x['1'] AS args")
+    done = sessions.run_batch(ops, _form_pages(spark, sf_dir))
+    at = F.when(F.get_json_object("asks", "$[0]") == "POST", F.get_json_object("asks", "$[2]")).otherwise(F.get_json_object("asks", "$[1]"))
+    return done.select("session", "seq", "op", "status", F.regexp_extract(at, "^(.*&seg=)", 1).alias("asks"))
 
 
 @query("""SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS user_turn FROM conversations""")
@@ -288,11 +446,17 @@ def current_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, v[len(v) // 2 + 1] AS median FROM (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type)")
 def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The upper middle value of each type: a rank in a range-sorted order would scale; here types are few and spilled by the window."""
-    e = table(spark, sf_dir, "events").where("value IS NOT NULL")
-    w, whole = Window.partitionBy("event_type").orderBy("value", "event_id"), Window.partitionBy("event_type")
-    ranked = e.select("event_type", "value", F.row_number().over(w).alias("r"), F.count("*").over(whole).alias("n"))
-    return ranked.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select("event_type", F.col("value").alias("median"))
+    """The upper middle value of each type: approximate percentiles, with a bounded rank error, close in on it, and only the
+    rows between them (1 in 25,000) are ranked; those below are counted. No task sorts a type's rows."""
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_type", "value")
+    around = F.percentile_approx("value", F.array(F.lit(0.49998), F.lit(0.50002)), 100_000)
+    bounds = e.groupBy("event_type").agg(around.alias("p"), F.count("*").alias("rows")).select("event_type", "rows", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+    kept = e.join(bounds, "event_type").where("value <= hi")
+    below = F.when(F.col("value") < F.col("lo"), None).otherwise(F.col("value"))
+    counted = kept.groupBy("event_type", "rows", below.alias("value")).agg(F.count("*").alias("n"))
+    seen = F.sum("n").over(Window.partitionBy("event_type").orderBy(F.col("value").asc_nulls_first()))
+    ranked = counted.withColumn("seen", seen).where(F.col("value").isNotNull() & (F.col("seen") > F.floor(F.col("rows") / 2)))
+    return ranked.groupBy("event_type").agg(F.min("value").alias("median"))
 
 
 # What Spark gives beside -------------------------------------------------------------------------------------------

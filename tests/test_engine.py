@@ -7,7 +7,9 @@ import __spark_entry__
 from arborfold import registry
 from arborfold.functions import css
 from arborfold.functions.html import parse
-from arborfold.operators import cookies, extract
+from arborfold.functions import regexes, tree
+from arborfold.functions.page import Page
+from arborfold.operators import controls, cookies, pages
 from arborfold.operators.nodes import parse_pages
 from arborfold.plans import selectors
 from arborfold.sources import responses
@@ -83,24 +85,91 @@ def test_selectors_against_naive_matching(spark):
         assert got == {(k, n) for k, p in enumerate(pages) for n in naive(parse(p), s)}, s
 
 
+FORM = "<form action='/go?old=1#f'><input name=u value=x><input type=checkbox name=c><input type=checkbox name=ok checked><textarea name=n>he llo</textarea><select name=s><option value=1>one<option selected>two</select><input type=submit name=b><input name=d disabled></form><a href='x y'>l</a><button>b</button>"
+
+
+def one_page(spark, html, url="https://h/p"):
+    return spark.createDataFrame([(0, url, html)], "page_id long, url string, html string")
+
+
 def test_forms_and_clicks(spark):
-    html = "<form action='/go?old=1#f'><input name=u value=x><input type=checkbox name=c><input type=checkbox name=ok checked><textarea name=n>he llo</textarea><select name=s><option value=1>one<option selected>two</select><input type=submit name=b><input name=d disabled></form><a href='x y'>l</a><button>b</button>"
-    pages = spark.createDataFrame([(0, "https://h/p", html)], "page_id long, url string, html string")
-    nodes = parse_pages(pages)
-    assert [(r["name"], r["value"]) for r in extract.form_fields(nodes).orderBy("seq").collect()] == [("u", "x"), ("ok", "on"), ("n", "he llo"), ("s", "two")]
-    assert extract.submit_requests(nodes, pages).first()["url"] == "https://h/go?u=x&ok=on&n=he+llo&s=two#f"
-    clicks = {r["ref"]: (r["action"], r["url"]) for r in extract.click_requests(nodes, pages).collect()}
-    assert clicks[8] == ("link", "https://h/x%20y") and clicks[6] == ("submit", None) and clicks[9] == ("unsupported", None)
+    df = one_page(spark, FORM)
+    assert [(r["name"], r["value"]) for r in pages.form_fields(df).orderBy("seq").collect()] == [("u", "x"), ("ok", "on"), ("n", "he llo"), ("s", "two")]
+    assert pages.submit_requests(df).first()["url"] == "https://h/go?u=x&ok=on&n=he+llo&s=two#f"
+    sent = pages.submit_requests(df, "form", [("u", "~é"), ("z", "1")]).first()
+    assert (sent["method"], sent["url"], sent["body"]) == ("GET", "https://h/go?u=%7E%C3%A9&ok=on&n=he+llo&s=two&z=1#f", None)
+    assert pages.submit_requests(df, "a").count() == 0
+    clicks = {r["ref"]: (r["action"], r["url"]) for r in pages.click_requests(df).collect()}
+    assert clicks[8] == ("link", "https://h/x%20y") and clicks[6][0] == "submit" and clicks[9] == ("unsupported", None)
+    multi = pages.submit_requests(one_page(spark, "<form enctype='multipart/form-data' method=post>")).first()
+    assert multi["error"] == "unsupported: multipart/form-data" and multi["url"] is None
+
+
+def test_fill_pages_and_nodes(spark):
+    page = Page(FORM, "https://h/p")
+    for ref, value in ((1, "new"), (2, "on"), (3, "off")):
+        page.fill(ref, value)
+    assert page.form_fields(page.find_form()) == [("u", "new"), ("c", "on"), ("n", "he llo"), ("s", "two")]
     values = spark.createDataFrame([(0, 1, "new"), (0, 2, "on"), (0, 3, "off")], "page_id long, ref int, value string")
-    filled = extract.form_fields(extract.fill(nodes, values)).orderBy("seq").collect()
-    assert [(r["name"], r["value"]) for r in filled] == [("u", "new"), ("c", "on"), ("n", "he llo"), ("s", "two")]
+    filled = {r["ref"]: dict(map(tuple, r["attrs"])) for r in controls.fill(parse_pages(one_page(spark, FORM)), values).where("ref <= 3").collect()}
+    assert filled[1]["value"] == "new" and "checked" in filled[2] and "checked" not in filled[3]
 
 
 def test_json_blocks_and_scripts(spark):
-    html = "<script id=__NEXT_DATA__ type='application/json'>{\"a\":  1}</script><script src=a.js></script><script src=a.js></script><script>run()</script><script type=text/x>no</script>"
-    nodes = nodes_of(spark, html)
-    assert [(r["selector"], r["raw"]) for r in extract.json_blocks(nodes).collect()] == [("script#__NEXT_DATA__", '{"a": 1}')]
-    assert [(r["src"], r["body"]) for r in extract.scripts(nodes).orderBy("node_id").collect()] == [("a.js", None), (None, "run()")]
+    html = "<script id=__NEXT_DATA__ type='application/json'>{\"a\":  1}</script><script src=a.js></script><script src=a.js></script><script>run()</script><script type=text/x>no</script><script src='ftp://x/y'></script><script type='application/json'>{</script>"
+    df = one_page(spark, html)
+    assert [(r["selector"], r["raw"]) for r in pages.json_blocks(df).collect()] == [("script#__NEXT_DATA__", '{"a": 1}'), ('script[type="application/json"]', "{")]
+    assert [r["line"].split("\n")[1][:6] for r in pages.json_lines(df, "a").orderBy("seq").collect()] == ["1", "(parse"]
+    got = spark.createDataFrame([("https://h/a.js", "A()")], "url string, body string")
+    assert [(r["src"], r["body"]) for r in pages.script_sources(df, got).orderBy("seq").collect()] == [("https://h/a.js", "A()"), (None, "run()")]
+    assert [tuple(r)[1:5] for r in pages.fetch_calls(one_page(spark, "<script>fetch('/x'); fetch(\"y\", {method: 'put', body: 'a\"'})</script>")).collect()] == [(0, "GET", "https://h/x", ""), (1, "PUT", "https://h/y", 'a"')]
+
+
+def test_edits_and_serializer(spark):
+    df = one_page(spark, "<div class=a><p>1 &lt; 2<br>x</p><!--c--><p>3</p></div>")
+    assert pages.serialize(df).first()["html"] == '<div class="a"><p>1 &lt; 2<br>x</p><!--c--><p>3</p></div>'
+    assert [r["html"] for r in pages.serialize(df, "p", inner=True).collect()] == ["1 &lt; 2<br>x", "3"]
+    edits = [("set", "p", "id", 'a"&'), ("unset", "div", "class"), ("text", "p:first-child", "t<"), ("append", "div", "<i>new</i>"), ("before", "i", "<hr>"), ("wrap", "i", "b"), ("remove", "p:last-child"), ("html", "b", "<u>z</u>")]
+    out = pages.edit(df, edits).first()
+    assert out["html"] == '<div><p id="a&quot;&amp;">t&lt;</p><!--c--><p id="a&quot;&amp;">3</p><hr><b><u>z</u></b></div>' and out["edited"] == 8
+    root = tree.from_rows(parse("<ul><li>1<li>2</ul>"))[0]
+    ul = root.children[0]
+    first, second = ul.children
+    ul.insert(second, first)
+    assert root.outer_html() == "<ul><li>2</li><li>1</li></ul>" and first.parent is ul and ul.holds(first) and not first.holds(ul)
+    copy = ul.clone()
+    ul.clear()
+    assert copy.outer_html() == "<ul><li>2</li><li>1</li></ul>" and copy.parent is None and root.outer_html() == "<ul></ul>"
+    with pytest.raises(ValueError, match="below itself"):
+        copy.children[0].insert(copy)
+
+
+def test_walker(spark):
+    page = Page("<ul><li>a<b>x</b><li>c</ul><!--n--><nav><li>no</nav>")
+    shown = [r.tag or r.kind for r in pages.walk(page, 5, lambda r: pages.REJECT if r.tag == "nav" else pages.SKIP if r.tag == "b" else pages.ACCEPT)]
+    assert shown == ["ul", "li", "text", "text", "li", "text"]
+    with pytest.raises(ValueError, match="verdict"):
+        list(pages.walk(page, 1, lambda r: 9))
+    rows = pages.walked(one_page(spark, "<p>1<p>2"), mask=1).orderBy("node_id").collect()
+    assert [(r["previous_id"], r["next_id"]) for r in rows] == [(None, rows[1]["node_id"]), (rows[0]["node_id"], None)]
+
+
+def test_plans_parse_once(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    df = one_page(spark, FORM)
+    assert plan(pages.count(df, "html body form > input ~ select option")).count("MapInArrow") == 1
+    assert "Exchange" not in plan(pages.select(df, "form a, form input", text=True))
+    stored = plan(selectors.select(parse_pages(df), "html body form > input ~ select option"))
+    assert stored.count("Exchange hashpartitioning") == 1 and stored.count("MapInArrow") == 2  # the parse and the match
+
+
+def test_back_references(spark):
+    from pyspark.sql import functions as F
+
+    cases = [(r"(a)\1b", "ab", False), (r"(a)\1b", "aab", True), (r"(a)?\1b", "b", True), (r"^(?:(x)|y)\1z$", "yz", True), (r"^(?:(x)|y)\1z$", "xz", False), (r"^(a)(b)\2\1$", "abba", True), (r"^\1(a)$", "a", True)]
+    df = spark.createDataFrame([(0,)], "i int").select(*(F.regexp_like(F.lit(t), F.lit(regexes.to_java(p))).alias(str(k)) for k, (p, t, _) in enumerate(cases)))
+    assert list(df.first()) == [want for _, _, want in cases]
+    assert regexes.group_numbers(r"(a)(b)\1(c)") == [1, 3, 4]
 
 
 def test_cookies(spark):
@@ -124,6 +193,28 @@ def test_redirects(spark):
     assert got[3][3] == "too many redirects" and got[4][3] == "protocol"
 
 
+def test_redirects_beyond_a_million_rows(spark):
+    from pyspark.sql import functions as F
+
+    asked = spark.range(1_100_000).select(F.col("id").alias("request_id"), F.lit("POST").alias("method"), F.concat(F.lit("http://h/"), "id").alias("url"))
+    hops = spark.createDataFrame([("http://h/7", 301, "8"), ("http://h/8", 302, "//o/9")], "url string, status int, location string")
+    end = responses.follow(asked, hops)
+    assert end.count() == 1_100_000
+    assert [tuple(r)[1:] for r in end.where("request_id = 7").collect()] == [("GET", "http://o/9", 2, True, None)]
+
+
+def test_send(spark):
+    ok = "array<struct<name: string, value: string>>"
+    got = spark.createDataFrame([("GET", "http://h/a", None, 200, [("x", "1")], "A"), ("POST", "http://o/b", "k=1", 201, [], "B")], f"method string, url string, form string, status int, headers {ok}, body string")
+    hops = spark.createDataFrame([("http://h/r", 307, "http://o/b"), ("http://h/t", 303, "/a")], "url string, status int, location string")
+    asked = [(1, "get", "http://h/a#x", [("Cookie", "c")], None), (2, "post", "http://h/r", [("Authorization", "s"), ("X", "y")], "k=1"), (3, "post", "http://h/t", None, "k=1"), (4, "get", "http://h/none", None, None)]
+    asked = spark.createDataFrame(asked, f"request_id long, method string, url string, headers {ok}, body string")
+    out = {r["request_id"]: r for r in responses.send(asked, got, hops).collect()}
+    assert out[1]["body"] == "A" and [h["name"] for h in out[1]["sent"]] == ["Cookie"]
+    assert (out[2]["status"], out[2]["hops"], [h["name"] for h in out[2]["sent"]]) == (201, 1, ["X"])
+    assert (out[3]["method"], out[3]["body"], out[3]["sent_body"]) == ("GET", "A", "") and out[4]["error"] == "not found"
+
+
 def test_charset_of_responses(spark):
     rows = [([("content-type", "text/html; charset=latin1")], b"caf\xe9"), ([], "é".encode())]
     df = spark.createDataFrame(rows, "headers array<struct<name string, value string>>, body binary")
