@@ -124,12 +124,12 @@ def mix(docs: DataFrame, budget: float = BUDGET, temper: dict[str, float] = TEMP
     df = docs.drop("mix_tokens", "mix_topic", "mix_probability", "mix_kept", "mix_copies")
     df = df.withColumn("mix_tokens", tokens_of(F.col("text"))).withColumn("mix_topic", F.col(topic) if topic else topic_of(F.col("text")))
     cells = df.groupBy("source", "lang", F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").alias("tokens"))
-    p = (copies if repeat else probabilities)(rake(cells, temper, targets=targets), budget).select(F.struct(*DIMS).alias("mix_cell"), F.col("p").alias("mix_probability"))
+    p = (copies if repeat else probabilities)(rake(cells, temper, targets=targets), budget).select(F.struct(*DIMS).alias("mix_cell__"), F.col("p").alias("mix_probability"))
     p = common.materialise(p, "mixing-probabilities")
     if p.limit(100_001).count() <= 100_000:
         p = F.broadcast(p)
     cell = F.struct("source", "lang", F.col("mix_topic").alias("topic"))
-    df = df.withColumn("mix_own", cell).join(p, F.col("mix_own").eqNullSafe(F.col("mix_cell")), "left").drop("mix_own", "mix_cell")
+    df = df.join(p, cell.eqNullSafe(F.col("mix_cell__")), "left").drop("mix_cell__")
     df = df.drop("mix_topic")
     if not repeat:
         return df.withColumn("mix_kept", draw(F.col("doc_id"), seed) < F.col("mix_probability"))
@@ -155,11 +155,9 @@ c2 AS (SELECT *, {targets} FROM c1), c3 AS (SELECT *, {scaled} FROM c2),
 it(k, source, lang, topic, tokens, source_t, lang_t, topic_t, w) AS (
   SELECT 0, source, lang, topic, tokens, source_t, lang_t, topic_t, w::DOUBLE FROM c3
   UNION ALL SELECT k + 1, source, lang, topic, tokens, source_t, lang_t, topic_t, w FROM ({step}) WHERE k < {SWEEPS}
-), r AS (SELECT *, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS r FROM it WHERE k = {SWEEPS}),
-c AS (SELECT *, ({BUDGET} * sum(tokens) OVER () - coalesce(sum(tokens) OVER (ORDER BY r DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-  / sum(w) OVER (ORDER BY r DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c FROM r),
-p AS (SELECT source, lang, topic, least(1.0, coalesce(max(CASE WHEN r > 0 AND c * r <= 1 THEN c END) OVER () * r, 1.0)) AS p FROM c)
-SELECT doc_id, n_tokens, round(p, 6) AS probability, ('0x' || substr(md5(doc_id::VARCHAR || ':{SEED}'), 1, 12))::BIGINT / {float(1 << 48)} < p AS kept
+),
+p AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN {BUDGET} * sum(tokens) OVER () * w / tokens ELSE 1.0 END AS p FROM it WHERE k = {SWEEPS})
+SELECT doc_id, n_tokens, round(p, 6) AS expected_copies, (floor(p) + (('0x' || substr(md5(doc_id::VARCHAR || ':{SEED}'), 1, 12))::BIGINT / {float(1 << 48)} < p - floor(p))::INTEGER)::INTEGER AS copies
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic = p.topic
 """
 
@@ -168,6 +166,6 @@ ORACLE_SQL = _oracle()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampling probabilities and decisions for all documents."""
-    mixed = mix(common.table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", F.col("mix_tokens").alias("n_tokens"), F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"))
+    """Expected and drawn copies of all documents: with repeats, so the expected marginals are the raked ones."""
+    mixed = mix(common.table(spark, sf_dir, "documents"), repeat=True)
+    return mixed.select("doc_id", F.col("mix_tokens").alias("n_tokens"), F.round("mix_probability", 6).alias("expected_copies"), F.col("mix_copies").alias("copies"))
