@@ -181,4 +181,5 @@ def pack_digest(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document, packed into sequences of at most 2048 ids."""
-    return pack_digest(common.table(spark, sf_dir, "documents"), tokenizer_path())
+    packed = pack_digest(common.table(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

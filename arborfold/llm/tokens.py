@@ -47,16 +47,19 @@ class _Kept(dict):
 
 
 class Encoder:
-    """Equal to ``Tokenizer.encode(text, add_special_tokens=False).ids`` with special strings taken as plain text.
+    """Equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
     A text is cut only before a space that follows a non-space, where the byte-level pre-tokenizer always cuts
     too. Letters with marks behind them, also twice with a line break between, are cut by a pattern; all other
-    pieces by the library's pre-tokenizer. The library's model encodes each part. ``limit`` bounds the words kept.
+    pieces by the library's pre-tokenizer. The library's model encodes each part. Texts that hold one of the
+    vocabulary's added strings are encoded whole by the library, which takes such strings out first. ``limit`` bounds
+    the words kept.
     """
 
     def __init__(self, path: str, limit: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.model, self.pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.chars = _byte_chars()
@@ -81,6 +84,8 @@ class Encoder:
         """Ids as unsigned 32-bit integers; none for null or empty text."""
         if not text:
             return np.empty(0, "<u4")
+        if self.added is not None and self.added.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         if _SPACE_RUN.search(text):
             return np.frombuffer(b"".join(map(self.firsts.__getitem__, _AFTER_WORD.split(text))), "<u4")
         first, *rest = text.split(" ")
