@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -12,9 +14,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests on one machine), one of our own."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one of our own if driver and executors share a machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return path.rstrip("/") if path else "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    if path:
+        return path.rstrip("/")
+    if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -29,6 +35,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark remove the files of shuffles that nothing refers to any more: it does once its driver collects garbage,
+    and Python's references go first."""
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(1)  # files are removed behind the scenes
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
     spark = df.sparkSession

@@ -40,6 +40,7 @@ HEAD, CLASS = 1024, 32  # head tokens, and head tokens a class
 BANDS = np.array([0, 1, 2, 3, 4, 8, 16, 32] + [128 << 2 * k for k in range(20)])  # lower training counts of the other classes
 CLASSES = HEAD // CLASS + len(BANDS)  # of them those up to the largest count are used
 BITS = 12  # the fewest bits of class features, each of the token before, the skip, the pair; head features have one more
+PAIR_TURNS = 3  # rounds in which pairs are counted
 SLICE = 4096  # tokens a softmax takes at once: its table stays in the processor's cache
 
 
@@ -312,8 +313,9 @@ def pairs_of(words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[
     return hashed[order], first, second, which
 
 
-def _messages(bits: int):
-    """A bucket's share of a chunk's pairs by the token before, with their counts in training documents."""
+def _messages(bits: int, turn: int, turns: int):
+    """A bucket's share of a chunk's pairs by the token before, with their counts in training documents; of the buckets
+    those whose turn it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -325,6 +327,8 @@ def _messages(bits: int):
                 pairs = mix(hashed[first] ^ words[second] * np.uint64(0x9E3779B97F4A7C15))
                 cuts = np.searchsorted(hashed[first] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
                 for at in np.flatnonzero(np.diff(cuts)):
+                    if at % turns != turn:
+                        continue
                     i = slice(cuts[at], cuts[at + 1])
                     own = np.flatnonzero(np.append(True, first[i][1:] != first[i][:-1]))
                     runs = np.diff(np.append(own, cuts[at + 1] - cuts[at])).astype("<u4")
@@ -422,21 +426,21 @@ def _gradient(sent):
             group = TaskContext.get().partitionId() % 64
             for k in range(16):
                 parts = [x[k * len(x) // 16 : (k + 1) * len(x) // 16] for x in (grad, seen, hgrad, hseen)]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([group], pa.int32()), pa.array([b"".join(p.tobytes() for p in parts)])], names=["segment", "team", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([group], pa.int32()), pa.array([_pack(np.concatenate([p.ravel() for p in parts]).astype("<f4"))])], names=["segment", "team", "sums"])
 
     return run
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.float64) for x in table.column("sums"))
-    return pa.table({"segment": table.column("segment")[:1], "team": table.column("team")[:1], "sums": pa.array([total.tobytes()])})
+    total = sum(_unpack(x.as_py(), "<f4").astype(np.float64) for x in table.column("sums"))
+    return pa.table({"segment": table.column("segment")[:1], "team": table.column("team")[:1], "sums": pa.array([_pack(total.astype("<f4"))])})
 
 
 def _step(m: Model, segments: dict[int, bytes], rate: float, decay: float, most: float) -> None:
     """One step along the gradient, scaled by each weight's curvature at the biases."""
     tables = [[], [], [], []]
     for k in range(16):
-        flat, at = np.frombuffer(segments[k], np.float64), 0
+        flat, at = _unpack(segments[k], "<f4").astype(np.float64), 0
         shapes = [m.weights.shape, (len(m.weights), 1), m.head_weights.shape, (len(m.head_weights), 1)]
         for t, (rows, width) in zip(tables, shapes, strict=True):
             n = rows // 16 * width
@@ -505,11 +509,15 @@ def score_documents(docs: DataFrame, rounds: int = 4, rate: float = 0.5, decay:
     common.drop_table(chunks)
     common.drop_table(totals)
     del chunks, words, totals, stats, by_chunk, data
-    spark._jvm.System.gc()  # Spark removes the files of shuffles that nothing refers to any more
-    pairs = ready.select("chunk", "words", "tokens", "sizes", "train", "code").mapInArrow(_messages(bits + 2), MESSAGES)
-    pairs = common.materialise(pairs.groupBy("bucket").applyInArrow(_pair_total, PAIRS), "lm-pairs")
+    common.sweep(spark)
+    pairs = None
+    for turn in range(PAIR_TURNS):  # so the disk holds the shuffle of a share of the buckets at a time
+        sent_on = ready.select("chunk", "words", "tokens", "sizes", "train", "code").mapInArrow(_messages(bits + 2, turn, PAIR_TURNS), MESSAGES)
+        part = common.materialise(sent_on.groupBy("bucket").applyInArrow(_pair_total, PAIRS), "lm-pairs")
+        pairs = part if pairs is None else pairs.unionByName(part)
+        del sent_on, part
+        common.sweep(spark)
     once, twice = ([r[0] for r in pairs.where("chunk = -1").select(F.posexplode(c).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").select("x").collect()] or [0.0] * CLASSES for c in ("once", "twice"))
-    spark._jvm.System.gc()
     discount = (np.array(once) + 0.5) / (np.array(once) + 2 * np.array(twice) + 0.5)
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(model)
@@ -520,7 +528,7 @@ def score_documents(docs: DataFrame, rounds: int = 4, rate: float = 0.5, decay:
         if segments:
             _step(model, segments, rate, decay, most)
         del part, summed
-        spark._jvm.System.gc()
+        common.sweep(spark)
     counted = pairs.where("chunk >= 0").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "own", "total", "kinds"))).alias("counted"))
     whole = ready.select("chunk", "ids", "train", "sizes", "known", "base", "code", "words", "tokens", "within").join(counted, "chunk")
     return whole.mapInArrow(_scores(spark.sparkContext.broadcast(model), discount), SCORES)
