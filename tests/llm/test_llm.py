@@ -23,7 +23,6 @@ def docs(spark):
 
 def plain_ids(text):
     t = Tokenizer.from_file(tokens.tokenizer_path())
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -170,8 +169,8 @@ def test_mixing_equals_sql_and_meets_budget(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
     got = mixing.query(spark, DATA).toPandas().sort_values("doc_id").reset_index(drop=True)
     want = con.execute(mixing.ORACLE_SQL).df().sort_values("doc_id").reset_index(drop=True)
-    assert (got["kept"] == want["kept"]).all() and np.allclose(got["probability"], want["probability"])
-    assert abs((got["n_tokens"] * got["probability"]).sum() / got["n_tokens"].sum() - mixing.BUDGET) < 0.01
+    assert (got["copies"] == want["copies"]).all() and np.allclose(got["expected_copies"], want["expected_copies"])
+    assert abs((got["n_tokens"] * got["expected_copies"]).sum() / got["n_tokens"].sum() - mixing.BUDGET) < 0.01
 
 
 def test_mixing_edges(docs):
@@ -473,3 +472,25 @@ def test_mixing_takes_topics_and_targets(spark):
     mixed = mixing.mix(docs, repeat=True, topic="about", targets=want).groupBy("about").agg(F.sum(F.col("mix_tokens") * F.col("mix_probability")).alias("n")).collect()
     total = sum(r["n"] for r in mixed)
     assert all(abs(r["n"] / total - {"law": 0.5, "art": 0.25, None: 0.25}[r["about"]]) < 0.001 for r in mixed) and len(mixed) == 3
+
+
+def test_added_strings_are_the_library_s(spark):
+    """A text with an added string has the ids that the stated call gives."""
+    path = tokens.tokenizer_path()
+    plain = Tokenizer.from_file(path)
+    enc = tokens.Encoder(path)
+    for t in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y\n", "a <|endoftex|> b", "<|end oftext|>"):
+        assert enc.encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_lm_edges(spark):
+    """Empty tables, no training rows, very long texts, repeated rows and clashing columns; scores by their definitions."""
+    kinds = "doc_id long, text string, train boolean, score string, chunk string"
+    rows = [(1, "a b c " * 30_000, True, "s", "c"), (1, "a b c", True, None, None), (1, "a b c", True, None, None), (None, "", False, None, None), (3, None, True, None, None)]
+    docs = spark.createDataFrame(rows, kinds)
+    got = lm_score.score_documents(docs).collect()
+    assert len(got) == 5 and sorted(r["n_tokens"] for r in got) == [1, 1, 4, 4, 90_001]
+    assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got) and {r["train_tokens"] for r in got} == {90_010}
+    held = lm_score.score_documents(docs.withColumn("train", F.lit(False))).collect()
+    assert len(held) == 5 and all(r["base_score"] == 0 for r in held)
+    assert lm_score.score_documents(docs.limit(0)).count() == 0
