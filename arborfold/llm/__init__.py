@@ -19,6 +19,9 @@ MODULES = {
     "op6_exact_topk": "topk",
     "op1_token_files": "token_files",
     "op10_packing": "packing",
+    "op11_embedding_whitening": "whitening",
+    "op12_url_filters": "url_filter",
+    "op13_source_divergence": "divergence",
 }
 
 
