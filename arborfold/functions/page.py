@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from urllib.parse import quote_plus
 
 from . import css, json_text, url
 from .html import Row, collapse, parse
+from .script_tokens import ScriptSyntaxError
+from .script_tree import Node, Unknown, calls, constants, dotted, fetches, text_of, tree, value_of
 from .snapshot import Renderer, role_of
 
 #: Where pages keep their data, in order of precedence.
@@ -255,21 +257,101 @@ class Page:
             raise ActionError(f"unsupported: click on {r.tag}")
         return self.submit(form)
 
+    # Scripts --------------------------------------------------------------------------------------------------------
+
+    def trees(self) -> list[tuple[Row, Node | None, str | None]]:
+        """(element, tree, error) of each inline script that would run."""
+        out = []
+        for r, _, body in self.scripts():
+            if body is not None:
+                try:
+                    out.append((r, tree(body), None))
+                except ScriptSyntaxError as e:
+                    out.append((r, None, str(e)))
+        return out
+
     def fetches(self) -> list[tuple[str, str, str]]:
-        """(method, address, body) of the fetch calls with literal arguments in the page's own scripts."""
+        """(method, address, body) of the fetch calls in the page's own scripts, as far as their text tells; scripts that can't be
+        read have none, calls to what is no address are left out."""
         out = []
-        for _, _, body in self.scripts():
-            for m in _FETCH.finditer(body or ""):
-                how = {k: v for k, _, v in _OPTION.findall(m[3] or "")}
+        for _, root, _ in self.trees():
+            for method, address, body in fetches(root) if root else ():
                 try:
-                    out.append((how.get("method", "GET").upper(), self.resolve(m[2]), how.get("body", "")))
+                    out.append((method, self.resolve(address), body))
                 except url.UrlError:
                     continue
         return out
 
+    def _target(self, node: Node, known: dict[str, Node], depth: int = 0) -> Row | None:
+        """The element that an expression of a script stands for: by id, selector or place among forms and links."""
+        node = known.get(node.value, node) if node.kind == "name" else node
+        try:
+            if node.kind == "call" and (arguments := node.all("argument")):
+                how, what = dotted(node.get("callee")), value_of(arguments[0], known)
+                if how == "document.getElementById":
+                    return next((r for r in self.rows if r.kind == "element" and attr(r, "id") == what), None)
+                if how == "document.querySelector" and isinstance(what, str):
+                    return next(iter(self.select(what)), None)
+            if node.kind in ("index", "member") and (of := node.get("object")) is not None:
+                key = value_of(node.get("index"), known) if node.kind == "index" else node.value
+                found = None
+                if dotted(of) in ("document.forms", "document.links"):
+                    found = [r for r in self.rows if r.tag == "form" or r.tag == "a" and attr(r, "href") is not None]
+                    found = [r for r in found if (r.tag == "form") == (dotted(of) == "document.forms")]
+                elif of.kind == "call" and dotted(of.get("callee")) == "document.querySelectorAll" and of.all("argument"):
+                    found = self.select(str(value_of(of.all("argument")[0], known)))
+                if found is not None:
+                    named = [r for r in found if isinstance(key, str) and key in (attr(r, "id"), attr(r, "name"))]
+                    return found[key] if isinstance(key, int) and 0 <= key < len(found) else next(iter(named), None)
+        except (Unknown, css.CssError):
+            pass
+        return None
+
+    def _asked(self, root: Node, depth: int = 0) -> Iterator[tuple[str, str, str, str]]:
+        known = constants(root)
+        for call in calls(root, run=True):
+            callee, arguments = call.get("callee"), call.all("argument")
+            if dotted(callee) in ("__doPostBack", "window.__doPostBack"):
+                form = self.find_form()
+                try:
+                    event = [text_of(value_of(a, known)) for a in arguments[:2]]
+                except Unknown:
+                    continue
+                if form is not None:
+                    event += ["undefined"] * (2 - len(event))
+                    yield "postback", *self.submit(form, list(zip(POSTBACK, event, strict=True)))
+            elif callee.kind == "member" and callee.value in ("click", "submit"):
+                r = self._target(callee.get("object"), known)
+                if r is None:
+                    continue
+                if callee.value == "submit" and r.tag == "form":
+                    yield "submit", *self.submit(r)
+                elif callee.value == "click" and r.tag == "a" and (href := attr(r, "href")) is not None:
+                    if href.lstrip()[:11].lower() == "javascript:":
+                        if depth < 3:
+                            yield from self._asked(tree(href.lstrip()[11:]), depth + 1)
+                    elif (at := self.resolve(href)).startswith(("http:", "https:")):
+                        yield "link", "GET", at, ""
+
+    def script_requests(self) -> list[tuple[str, str, str, str]]:
+        """(kind, method, address, body) of the navigations that the page's scripts ask for outside of functions: clicks on
+        links, submits of forms, post-backs of the first form."""
+        out = []
+        for _, root, _ in self.trees():
+            try:
+                out += self._asked(root) if root else ()
+            except (ActionError, url.UrlError, ScriptSyntaxError):
+                continue
+        return out
+
+    def bridge(self) -> tuple[str, str, str, str] | None:
+        """The one navigation that is followed: the last click on a link, else the last form sent."""
+        found = self.script_requests()
+        return next((x for x in reversed(found) if x[0] == "link"), found[-1] if found else None)
+
 
-_FETCH = re.compile(r"""\bfetch\(\s*(["'])(.*?)\1\s*(?:,\s*\{(.*?)\})?""", re.S)
-_OPTION = re.compile(r"""\b(method|body)\s*:\s*(["'])(.*?)\2""", re.S)
+#: The fields of a post-back.
+POSTBACK = ("__EVENTTARGET", "__EVENTARGUMENT")
 
 
 def set_attr(attrs: list[tuple[str, str]], name: str, value: str) -> None:

@@ -10,9 +10,19 @@ from .url import DEFAULT_PORTS
 SPACES = r"[ \t\n\r\f]+"
 
 
+def _tenths(n: Column, unit: int) -> Column:
+    """n / unit with one digit, by whole numbers: ties go to the even digit."""
+    ten, one = n.cast("long") * 10, F.lit(unit).cast("long")
+    whole, rest = F.call_function("div", ten, one), ten % one
+    up = (rest * 2 > one) | ((rest * 2 == one) & (whole % 2 == 1))
+    tenths = whole + up.cast("long")
+    return F.concat(F.call_function("div", tenths, F.lit(10)).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def format_bytes(n: Column) -> Column:
-    """Bytes below 1,024, then KB and MB with one digit."""
-    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / (1024.0 * 1024.0)))
+    """Bytes below 1,024, then KB and MB with one digit; ties go to the even digit."""
+    kb = F.concat(_tenths(n, 1 << 10), F.lit(" KB"))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, kb).otherwise(F.concat(_tenths(n, 1 << 20), F.lit(" MB")))
 
 
 def format_count(n: Column) -> Column:
@@ -21,8 +31,21 @@ def format_count(n: Column) -> Column:
 
 
 def format_ms(ms: Column) -> Column:
-    """Milliseconds with one digit, from a second on seconds with two."""
-    return F.when(ms < 1000, F.format_string("%.1f ms", ms.cast("double"))).otherwise(F.format_string("%.2f s", ms / 1000.0))
+    """Whole milliseconds; ties go to the even number."""
+    return F.concat(F.bround(ms.cast("double"), 0).cast("decimal(30,0)").cast("string"), F.lit("ms"))
+
+
+def to_base64(data: Column) -> Column:
+    """Bytes as text, on one line; text counts as its UTF-8 bytes."""
+    return F.regexp_replace(F.base64(data.cast("binary")), "[\r\n]", "")
+
+
+def from_base64(text: Column) -> Column:
+    """The bytes of such a text, white space aside; null for what is none. Missing padding is made up for."""
+    bare = F.regexp_replace(F.regexp_replace(text, "[ \t\n\f\r]", ""), "={1,2}$", "")
+    full = F.rpad(bare, (F.ceil(F.length(bare) / 4) * 4).cast("int"), F.lit("="))
+    good = bare.rlike("^[A-Za-z0-9+/]*$") & (F.length(bare) % 4 != 1)
+    return F.when(good, F.unbase64(full))
 
 
 def location(u: Column) -> Column:
@@ -68,6 +91,30 @@ def style_set(pairs: Column, name: str, value: str) -> Column:
     return F.when(there, F.transform(pairs, lambda p: F.when(p["name"] == name, new).otherwise(p))).otherwise(F.concat(pairs, F.array(new)))
 
 
+#: What styles are where an element says nothing of its own.
+STYLE_DEFAULTS = [
+    ("background-color", "rgba(0, 0, 0, 0)"), ("color", "rgb(0, 0, 0)"), ("font-family", "Arial"), ("font-size", "16px"), ("font-weight", "400"), ("visibility", "visible"),
+    ("position", "static"), ("display", "block"), ("opacity", "1"), ("transition-duration", "0s"), ("transition-delay", "0s"),
+]
+
+
+def computed_style(style: Column) -> Column:
+    """The declarations that hold for an element with this style attribute: its own, without their priority, then the
+    defaults of those it lacks; a font's last word is its family. Null is no style. Sheets are not looked at."""
+    plain = lambda v: F.trim(F.regexp_replace(v, "(?i)!important.*$", ""))
+    own = F.transform(style_pairs(F.coalesce(style, F.lit(""))), lambda p: F.struct(p["name"].alias("name"), plain(p["value"]).alias("value")))
+    font = F.try_element_at(F.filter(own, lambda p: p["name"] == "font"), F.lit(-1))["value"]
+    family = F.translate(F.regexp_extract(font, r"(\S+)\s*$", 1), "\"'", "")
+    known = F.array(*(F.struct(F.lit(k).alias("name"), (F.coalesce(family, F.lit(v)) if k == "font-family" else F.lit(v)).alias("value")) for k, v in STYLE_DEFAULTS))
+    return F.concat(own, F.filter(known, lambda d: ~F.exists(own, lambda p: p["name"] == d["name"])))
+
+
+def style_value(pairs: Column, name: str) -> Column:
+    """A property's value, by its kebab or camel name; empty where there is none."""
+    key = name if name.startswith("--") else "".join(f"-{c.lower()}" if c.isupper() else c for c in name)
+    return F.coalesce(F.get(F.filter(pairs, lambda p: p["name"] == key), F.lit(0))["value"], F.lit(""))
+
+
 def camel(name: Column) -> Column:
     """A style's name as a script writes it; custom names stay."""
     words = F.split(name, "-")

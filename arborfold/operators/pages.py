@@ -16,6 +16,9 @@ from pyspark.sql.types import StructType
 
 from ..functions import tree, url
 from ..functions.page import ActionError, Page, attr, match, role
+from ..functions.script_tokens import ScriptSyntaxError, tokens
+from ..functions.script_tree import number_text
+from ..functions.script_tree import walk as walk_tree
 
 BATCH = 20_000
 
@@ -234,7 +237,8 @@ def click_requests(pages: DataFrame) -> DataFrame:
 
 
 def fetch_calls(pages: DataFrame) -> DataFrame:
-    """The fetch calls with literal arguments in pages' own scripts, as requests that can be made again: page_id, seq, method, url, body, replay."""
+    """The fetch calls in pages' own scripts, as far as their text tells, as requests that can be made again: page_id, seq,
+    method, url, body, replay. Read from the scripts' trees, so comments and texts give none."""
 
     def make(page_id: int, page: Page) -> Iterator[tuple]:
         for k, (method, at, body) in enumerate(page.fetches()):
@@ -249,6 +253,60 @@ def replay(method: str, at: str, body: str = "") -> str:
     return f"replay: req {at} -X {method}" + (f' -d "{quoted}"' if body else "")
 
 
+def script_tokens(pages: DataFrame) -> DataFrame:
+    """The tokens of pages' inline scripts: page_id, script (its place among them), seq, kind, text, value, at, line_before.
+
+    A script that can't be read gives one row of kind error, with the reason as its value.
+    """
+
+    def make(page_id: int, page: Page) -> Iterator[tuple]:
+        for n, body in enumerate(b for _, _, b in page.scripts() if b is not None):
+            try:
+                for k, t in enumerate(tokens(body)):
+                    yield page_id, n, k, t.kind, t.text, number_text(t.value) if isinstance(t.value, float) else t.value, t.at, t.line_before
+            except ScriptSyntaxError as e:
+                yield page_id, n, 0, "error", None, str(e), None, None
+
+    return per_page(pages, make, "page_id long, script int, seq int, kind string, text string, value string, at int, line_before boolean")
+
+
+def script_nodes(pages: DataFrame) -> DataFrame:
+    """The trees of pages' inline scripts as a relation: page_id, script, node (in the order of the text), parent, part (what it
+    is to its parent), depth, kind, value, at. A script that can't be read gives one row of kind error, with the reason as its value."""
+
+    def make(page_id: int, page: Page) -> Iterator[tuple]:
+        for n, (_, root, error) in enumerate(page.trees()):
+            if root is None:
+                yield page_id, n, 0, None, None, 0, "error", error, None
+                continue
+            for k, parent, part, depth, node in walk_tree(root):
+                yield page_id, n, k, parent, part, depth, node.kind, node.value, node.at
+
+    return per_page(pages, make, "page_id long, script int, node int, parent int, part string, depth int, kind string, value string, at int")
+
+
+def bridge(pages: DataFrame, responses: DataFrame | None = None) -> DataFrame:
+    """The navigation that a page's scripts ask for, where they do: page_id, kind (link, submit, postback), method, url, body.
+
+    With ``responses`` (as ``scripts.answers`` takes them) it is followed, once: status, at, html and error of the
+    answer, by one join; a page that is reached is not asked again.
+    """
+
+    def make(page_id: int, page: Page) -> list[tuple]:
+        asked = page.bridge()
+        return [(page_id, *asked)] if asked else []
+
+    asked = per_page(pages, make, "page_id long, kind string, method string, url string, body string")
+    if responses is None:
+        return asked
+    from .scripts import answers
+
+    held = answers(responses)
+    fits = (F.col("method") == F.col("r_method")) & (F.regexp_replace("url", "#.*$", "") == F.col("r_url")) & (F.col("r_form").isNull() | (F.col("body") == F.col("r_form")))
+    out = asked.join(held, fits, "left")
+    return out.select("page_id", "kind", "method", "url", "body", F.col("r_status").alias("status"), F.col("r_at").alias("at"), F.col("r_html").alias("html"), F.when(F.col("r_url").isNull(), "not found").otherwise(F.col("r_error")).alias("error"))
+
+
 def serialize(pages: DataFrame, selector: str | None = None, inner: bool = False) -> DataFrame:
     """HTML text of whole pages, or of each hit: page_id, node_id, html."""
 

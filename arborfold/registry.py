@@ -285,17 +285,18 @@ def submit_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.submit_requests(_form_pages(spark, sf_dir), "#f", [("id", "7"), ("more", "a b")]).select("page_id", "method", "url", "body")
 
 
-@query(f"SELECT page_id, 6 AS ref, 'submit' AS action, method, url FROM ({_SENT.format(id='page_id', more=chr(39) * 2)}) UNION ALL SELECT c_custkey, 7, 'link', 'GET', 'https://shop.example/all' FROM customer")
+@query(f"""SELECT page_id, unnest([1, 2, 5, 6]) AS ref, 'submit' AS action, method, url FROM ({_SENT.format(id='page_id', more=chr(39) * 2)})
+UNION ALL SELECT c_custkey, unnest([3, 4]), 'unsupported', NULL, NULL FROM customer UNION ALL SELECT c_custkey, 7, 'link', 'GET', 'https://shop.example/all' FROM customer""")
 def click_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What clicking each page's button and link asks for."""
-    return pages.click_requests(_form_pages(spark, sf_dir)).where("ref >= 6").select("page_id", "ref", "action", "method", "url")
+    """What clicking each page's controls and link asks for."""
+    return pages.click_requests(_form_pages(spark, sf_dir)).select("page_id", "ref", "action", "method", "url")
 
 
 def _data_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page an event, with its data in two blocks and a script that fetches."""
     e = table(spark, sf_dir, "events")
     return e.selectExpr("event_id AS page_id", "concat('http://data.example/e/', event_id) AS url", """concat('<script type="application/json">[', event_id, ', {"t": "', event_type, '"}]</script><script id="__NEXT_DATA__">{"e": {"type": "', event_type, '",   "user": ', user_id, '}}</script>',
-      '<script>fetch("/api?u=', user_id, '"); fetch("save", {method: "post", body: "k=', event_id, '"})</script>') AS html""")
+      '<script>// fetch("/no")\\n/* fetch("/nor") */ fetch("/api?u=', user_id, '"); var s = "fetch(\\'/this\\')", r = /fetch("[/]")/; fetch("save", {headers: {"x": "y"}, body: `k=${"', event_id, '"}`, method: "post"})</script>') AS html""")
 
 
 @query("""SELECT event_id AS page_id, 'script#__NEXT_DATA__' AS selector, '{"e": {"type": "' || event_type || '", "user": ' || user_id || '}}' AS raw FROM events
@@ -425,14 +426,20 @@ def lru_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey::VARCHAR AS session, unnest([1, 2, 3, 4, 5, 6])::BIGINT AS seq, unnest(['snap', 'open', 'fill', 'submit', 'jump', 'close']) AS op, unnest([404, 200, 200, 200, 404, 200])::INTEGER AS status,
-  unnest([NULL, NULL, NULL, CASE WHEN c_custkey % 2 = 0 THEN 'id=x&seg=' ELSE 'https://shop.example/go?id=x&seg=' END, NULL, NULL]) AS asks FROM customer WHERE c_acctbal <= 0""")
+  unnest([NULL, NULL, NULL, CASE WHEN c_custkey % 2 = 0 THEN 'id=x' || CASE WHEN c_acctbal > 0 THEN '&big=on' ELSE '' END || '&seg=' ELSE 'https://shop.example/go?id=x' || CASE WHEN c_acctbal > 0 THEN '&big=on' ELSE '' END || '&seg=' END, NULL, NULL]) AS asks FROM customer""")
 def session_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operations of a session a customer, over stored pages."""
-    c = table(spark, sf_dir, "customer").where("c_acctbal <= 0")
+    done = sessions.run_batch(_session_ops(table(spark, sf_dir, "customer")), _form_pages(spark, sf_dir))
+    return _op_results(done)
+
+
+def _session_ops(customers: DataFrame) -> DataFrame:
     args = "array('{}', concat('{\"url\": \"https://shop.example/c/', c_custkey, '?old=1\"}'), '{\"ref\": 1, \"value\": \"x\"}', '{\"form\": \"#f\"}', '{}', '{}')"
-    ops = c.selectExpr("CAST(c_custkey AS STRING) AS session", f"posexplode(arrays_zip(array('snap', 'open', 'fill', 'submit', 'jump', 'close'), {args})) AS (k, x)")
-    ops = ops.selectExpr("session", "CAST(k + 1 AS LONG) AS seq", "x['0'] AS op", "x['1'] AS args")
-    done = sessions.run_batch(ops, _form_pages(spark, sf_dir))
+    ops = customers.selectExpr("CAST(c_custkey AS STRING) AS session", f"posexplode(arrays_zip(array('snap', 'open', 'fill', 'submit', 'jump', 'close'), {args})) AS (k, x)")
+    return ops.selectExpr("session", "CAST(k + 1 AS LONG) AS seq", "x['0'] AS op", "x['1'] AS args")
+
+
+def _op_results(done: DataFrame) -> DataFrame:
     at = F.when(F.get_json_object("asks", "$[0]") == "POST", F.get_json_object("asks", "$[2]")).otherwise(F.get_json_object("asks", "$[1]"))
     return done.select("session", "seq", "op", "status", F.regexp_extract(at, "^(.*&seg=)", 1).alias("asks"))
 
@@ -481,3 +488,6 @@ FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
 def lineitem_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").where("l_shipdate <= TIMESTAMP '1998-09-02'").groupBy("l_returnflag", "l_linestatus")
     return rows.agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+from . import registry_more  # noqa: E402, F401 (registers the queries over scripts, files and streams)

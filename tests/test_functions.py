@@ -130,7 +130,7 @@ def test_text_forms(spark):
     ).first()
     assert found.asDict() == {
         "add": "b a c", "off": "a", "on": "b a", "swap": "z a", "has": True, "style": "color: green; --My-Var: 1; background-color: blue;", "camel": "backgroundColor",
-        "kebab": "background-color", "host": "h:8443", "size": "1.5 KB", "ms": "2.50 s", "target": "/p?q", "same": False, "json": '{"b":1,"a":2000}',
+        "kebab": "background-color", "host": "h:8443", "size": "1.5 KB", "ms": "2500ms", "target": "/p?q", "same": False, "json": '{"b":1,"a":2000}',
     }
     with pytest.raises(ValueError, match="token"):
         text.class_add(F.col("k"), "a b")
