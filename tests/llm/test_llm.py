@@ -224,17 +224,67 @@ def test_sharding(spark, docs):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
-def test_sharding_keeps_equal_texts_together(spark):
+def plain_shards(rows, shards):
+    """(doc_id, size, crc, shard, slot) of rows (doc_id, text, source, lang), worked out in plain Python."""
+    code = {}
+    for c in (2, 3):
+        values = sorted({r[c] for r in rows}, key=lambda v: (v is not None, v or ""))
+        code[c] = {v: k * 32 // len(values) for k, v in enumerate(values)}
+    done = []
+    for doc_id, text, source, lang in rows:
+        size = len((text or "").encode()) + 16
+        own = hilbert.index_of((code[2][source], code[3][lang], max(0, min(31, int(np.floor(np.log2(size) * 2)) - 8))), 5)
+        done.append([doc_id, text, size, zlib.crc32((text or "").encode()), own])
+    groups = {}
+    for r in done:
+        groups.setdefault(r[1], []).append(r)
+    late = lambda d: (d is None, d or 0)
+    for g in groups.values():
+        lead = min(g, key=lambda r: (late(r[0]), r[4]))[4]
+        for r in g:
+            r.append(lead if len(g) > 1 else r[4])
+    order = sorted(done, key=lambda r: (r[5], r[3], r[1] is not None, r[2], r[0] is not None, r[0] or 0))
+    total, bound = len(rows), lambda k: -(-k * len(rows) // shards)
+    whole, at, out = {}, {}, []
+    for k, r in enumerate(order):
+        g = groups[r[1]]
+        if len(g) > 1 and r[1] not in at:
+            at[r[1]] = k
+    ahead = {}
+    for text in sorted(at, key=at.get):
+        s, n = at[text] * shards // total, len(groups[text])
+        if ahead.setdefault(s, 0) + n <= bound(s + 1) - bound(s):
+            whole[text] = s, ahead[s]
+        ahead[s] += n
+    held = {s: sum(len(groups[t]) for t, (x, _) in whole.items() if x == s) for s in range(shards)}
+    free = [(s, held[s] + k) for s in range(shards) for k in range(bound(s + 1) - bound(s) - held[s])]
+    loose = iter(free)
+    for k, r in enumerate(order):
+        s, slot = (whole[r[1]][0], whole[r[1]][1] + k - at[r[1]]) if r[1] in whole else next(loose)
+        out.append((r[0], r[2], r[3], s, slot))
+    return out, {zlib.crc32((t or "").encode()): len(groups[t]) for t in whole}
+
+
+def test_sharding_against_plain_python(spark):
     rng = random.Random(4)
-    rows = [(k if k % 17 else None, rng.choice(["same", "other", None, f"own {k}", f"own {k}", "x" * rng.randint(1, 3000)]), rng.choice("abc"), rng.choice(["en", None]), k) for k in range(300)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, size long")
-    got = sharding.shard(docs, shards=10).collect()
-    assert len(got) == 300 and {len([r for r in got if r["shard"] == k]) for k in range(10)} == {30}
-    place = {}
-    for r in got:
-        place.setdefault((r["text_crc32"], r["size"]), []).append(r["shard"] * 30 + r["slot"])
-    runs = [sorted(v) for v in place.values()]
-    assert all(v[-1] - v[0] == len(v) - 1 for v in runs) and max(map(len, runs)) > 30  # a run of slots a text, over shards where it must
+    texts = ["same", "other", None, "", *(f"pair {k}" for k in range(30)), *("x" * rng.randint(1, 3000) for _ in range(20))]
+    for n, shards in ((300, 10), (97, 7), (5, 10), (1, 3)):
+        rows = [(k if k % 17 else None, rng.choice([rng.choice(texts), f"own {k}", f"own {k}"]), rng.choice(["a", "b", "c", None]), rng.choice(["en", None])) for k in range(n)]
+        docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, source string, lang string, place string, rank int").repartition(5)
+        got = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard(docs, shards=shards).collect()]
+        want, whole = plain_shards(rows, shards)
+        key = lambda r: tuple(-1 if x is None else x for x in r)
+        assert sorted(got, key=key) == sorted(want, key=key)
+        for s in range(shards):
+            assert sorted(r[4] for r in got if r[3] == s) == list(range(-(-(s + 1) * n // shards) - -(-s * n // shards)))
+        assert all(len({r[3] for r in got if r[2] == crc and crc}) <= 1 for crc in whole)
+    assert len(whole) <= 1
+
+
+def test_sharding_writes_rows_that_repeat_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a", "s", "en"), (1, "b", "s", "en"), (1, "a", "s", "de"), (None, "c", None, None)], "doc_id long, text string, source string, lang string")
+    out = sharding.write(docs, str(tmp_path / "repeated"), shards=2)
+    assert sorted(r["text"] for r in out.collect()) == ["a", "a", "b", "c"] and {r["shard"] for r in out.collect()} == {0, 1}
 
 
 def test_sharding_writes_files_that_prune(spark, tmp_path):
