@@ -4,8 +4,9 @@ log P(token) = log P(class | context) + log P(token | class, context). The most
 stand in classes of equal size by frequency; rarer ones in classes by training count; unseen tokens are one event in
 a class of its own. The class softmax has hashed features of the token before, of the one before that (a skip) and
 of both (an n-gram); the softmax inside a head class has a hashed feature of class and token before. Hashed rows grow
-with the root of the training tokens, classes with the largest counts. Inside every class the pairs (token before,
-token) are counted exactly over all training documents, in buckets as many as the input asks for: with n the pair's
+with the root of the training tokens up to a bound, classes with the largest counts. Inside every class the pairs (token
+before, token) are counted exactly over all training documents, in buckets as many as the input asks for, those of frequent tokens before by the
+pair, so none of these makes a large bucket: with n the pair's
 count, N and T the count and number of the pairs of its token before and class, P(token | class, context) =
 max(n - D, 0) / N + D * T / N * q, the closed form of maximum entropy with discounted pair features, where q is the head
 softmax or, for rarer tokens, in proportion to training counts; each class has its discount D from its pairs that
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,8 @@ END = np.uint64(0xE4D)  # the end token; words are mixed hashes, so it meets non
 HEAD, CLASS = 1024, 32  # head tokens, and head tokens a class
 BANDS = np.array([0, 1, 2, 3, 4, 8, 16, 32] + [128 << 2 * k for k in range(20)])  # lower training counts of the other classes
 CLASSES = HEAD // CLASS + len(BANDS)  # of them those up to the largest count are used
-BITS = 12  # the fewest bits of class features, each of the token before, the skip, the pair; head features have one more
-PAIR_TURNS = 3  # rounds in which pairs are counted
+BITS, MOST_BITS = 12, 16  # bits of class features, each of the token before, the skip, the pair; head features have one more
+PAIR_TURNS = 2  # rounds in which pairs are counted
 SLICE = 4096  # tokens a softmax takes at once: its table stays in the processor's cache
 
 
@@ -87,9 +89,10 @@ def contexts(feat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return before, skip
 
 
-def bits_for(n: int) -> int:
-    """Bits of a class feature for ``n`` training tokens: rows grow with the root of ``n``."""
-    return max(BITS, (int(n).bit_length() - 1) // 2)
+def bits_for(n: int, most: int = MOST_BITS) -> int:
+    """Bits of a class feature for ``n`` training tokens: rows grow with the root of ``n``, up to ``most`` bits, where the
+    weights take some 60 MB; from there on the counted pairs alone grow with the input."""
+    return min(most, max(BITS, (int(n).bit_length() - 1) // 2))
 
 
 def rows_of(before: np.ndarray, skip: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
@@ -287,7 +290,7 @@ def _prepare(model, slices: int):
                 less = np.where(rank >= 0, rank, HEAD + band(np.maximum(total - 1, 0)))
                 starts = np.cumsum(sizes) - sizes
                 cols = {
-                    "chunk": chunk, "turn": int(mix(np.array([chunk], np.int64).view(np.uint64))[0] % np.uint64(slices)), "ids": ids.as_py(), "train": train.as_py(), "sizes": sizes.tobytes(),
+                    "chunk": chunk, "turn": turn_of(chunk, slices), "ids": ids.as_py(), "train": train.as_py(), "sizes": sizes.tobytes(),
                     "known": _pack(np.add.reduceat((total > 0)[tokens].astype(np.int64), starts)), "base": np.add.reduceat(base[tokens], starts).tobytes(),
                     "code": _pack(np.append(code, less).astype("<u2")), "within": _pack(share), "words": words.tobytes(), "tokens": packed,
                 }
@@ -297,9 +300,27 @@ def _prepare(model, slices: int):
     return run
 
 
-def pairs_of(words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(sorted hashes of the words, START among them; by distinct pair the position there of the token before, and the
-    word; by token the number of its pair)."""
+def turn_of(chunk: int, turns: int) -> int:
+    """The round in which a chunk is learnt from, and scored."""
+    return int(mix(np.array([chunk], np.int64).view(np.uint64))[0] % np.uint64(turns))
+
+
+@dataclass
+class Pairs:
+    """The distinct pairs of a chunk: hash and head rank of the token before (START has rank ``HEAD``, others -1), the word,
+    a hash of both, and by token the number of its pair. Pairs behind frequent tokens (``head``) are in the order of their hash and go to buckets by
+    it, so no frequent token makes a large bucket; ``rest`` are in the order of the token before, and go by that."""
+
+    before: np.ndarray
+    rank: np.ndarray
+    second: np.ndarray
+    both: np.ndarray
+    which: np.ndarray
+    rest: np.ndarray
+    head: np.ndarray
+
+
+def pairs_of(words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> Pairs:
     hashed = mix(np.append(words, START))
     order = np.argsort(hashed)
     row = np.empty(len(order), np.uint64)
@@ -310,70 +331,98 @@ def pairs_of(words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[
     wide = np.uint64(len(words) + 1)
     both, which = np.unique(before * wide + tokens, return_inverse=True)
     first, second = np.divmod(both, wide)
-    return hashed[order], first, second, which
+    ranks = np.append(np.where(code < HEAD, code.astype(np.int32), -1), HEAD)[order]  # START is the last word
+    hashed, rank = hashed[order][first], ranks[first]
+    pair = mix(hashed ^ words[second] * np.uint64(0x9E3779B97F4A7C15))
+    head = np.flatnonzero(rank >= 0)
+    return Pairs(hashed, rank, second, pair, which, np.flatnonzero(rank < 0), head[np.argsort(pair[head])])
 
 
 def _messages(bits: int, turn: int, turns: int):
-    """A bucket's share of a chunk's pairs by the token before, with their counts in training documents; of the buckets
-    those whose turn it is."""
+    """A bucket's share of a chunk's pairs with their counts in training documents; of the buckets those whose turn it is.
+    Buckets from 2^bits on are those of pairs behind frequent tokens."""
+    kinds = [pa.int64(), pa.int32()] + [pa.binary()] * 5
+    names = [f.split()[0] for f in MESSAGES.split(", ")]
+    edges = np.arange((1 << bits) + 1, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 words, tokens, sizes = np.frombuffer(r["words"], np.uint64), _unpack(r["tokens"], "<u4"), np.frombuffer(r["sizes"], np.int32)
-                hashed, first, second, which = pairs_of(words, tokens, sizes)
-                counts = np.bincount(which[np.repeat(np.frombuffer(r["train"], bool), sizes)], minlength=len(first)).astype("<i4")
-                cls = _classes(_unpack(r["code"], "<u2")[: len(words)])[second].astype("<u2")
-                pairs = mix(hashed[first] ^ words[second] * np.uint64(0x9E3779B97F4A7C15))
-                cuts = np.searchsorted(hashed[first] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                for at in np.flatnonzero(np.diff(cuts)):
-                    if at % turns != turn:
-                        continue
-                    i = slice(cuts[at], cuts[at + 1])
-                    own = np.flatnonzero(np.append(True, first[i][1:] != first[i][:-1]))
-                    runs = np.diff(np.append(own, cuts[at + 1] - cuts[at])).astype("<u4")
-                    short = pairs[i].astype("<u8").view("<u2").reshape(-1, 4)[:, :3]  # 48 bits tell the pairs of one token before apart
-                    cols = [r["chunk"], int(at), hashed[first[i][own]].tobytes(), _pack(runs), _pack(cls[i]), short.tobytes(), _pack(counts[i])]
-                    kinds = [pa.int64(), pa.int32()] + [pa.binary()] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in MESSAGES.split(", ")])
+                code = _unpack(r["code"], "<u2")[: len(words)]
+                p = pairs_of(words, tokens, sizes, code)
+                counts = np.bincount(p.which[np.repeat(np.frombuffer(r["train"], bool), sizes)], minlength=len(p.second)).astype("<i4")
+                cls = _classes(code)[p.second].astype("<u2")
+                for own, place in ((p.rest, p.before), (p.head, p.both)):
+                    cuts = np.searchsorted(place[own] >> np.uint64(64 - bits), edges)
+                    for at in np.flatnonzero(np.diff(cuts)):
+                        if at % turns != turn:
+                            continue
+                        i = own[cuts[at] : cuts[at + 1]]
+                        if own is p.rest:
+                            starts = np.flatnonzero(np.append(True, p.before[i][1:] != p.before[i][:-1]))
+                            befores, runs = p.before[i[starts]].tobytes(), _pack(np.diff(np.append(starts, len(i))).astype("<u4"))
+                        else:
+                            befores, runs = b"", _pack(p.rank[i].astype("<u2"))
+                        short = p.both[i].astype("<u8").view("<u2").reshape(-1, 4)[:, :3]  # 48 bits tell a bucket's pairs of one token before apart
+                        cols = [r["chunk"], int(at) + (0 if own is p.rest else 1 << bits), befores, runs, _pack(cls[i]), short.tobytes(), _pack(counts[i])]
+                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cols, kinds, strict=True)], names=names)
 
     return run
 
 
-PAIRS = "chunk long, bucket int, own binary, total binary, kinds binary, once array<double>, twice array<double>"
-
+PAIRS = "chunk long, turn int, bucket int, own binary, total binary, kinds binary, once array<double>, twice array<double>, context array<int>, seen array<long>, types array<long>"
+
+
+def _pair_total(bits: int, turns: int):
+    """Add up a bucket's pairs; a row a chunk with its pairs' counts and, but for frequent tokens before, those of their
+    contexts; and one of the numbers of pairs by class that occur once and twice and, for frequent tokens before, of the counts and pairs
+    of each context (rank and class), which other buckets add to."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(["chunk", "befores", "runs", "classes", "pairs", "counts"]).to_pylist()
+        bucket = table.column("bucket")[0].as_py()
+        if bucket < 1 << bits:
+            before = np.concatenate([np.repeat(np.frombuffer(r["befores"], np.uint64), _unpack(r["runs"], "<u4")) for r in rows])
+        else:
+            before = np.concatenate([_unpack(r["runs"], "<u2") for r in rows]).astype(np.uint64)
+        cls = np.concatenate([_unpack(r["classes"], "<u2") for r in rows])
+        pair = np.zeros((len(before), 4), "<u2")
+        pair[:, :3] = np.concatenate([np.frombuffer(r["pairs"], "<u2") for r in rows]).reshape(-1, 3)
+        pair = pair.view("<u8").ravel() | cls.astype(np.uint64) << np.uint64(48)  # by class, then by token
+        sizes = [len(r["pairs"]) // 6 for r in rows]
+        counts = np.concatenate([_unpack(r["counts"], "<i4") for r in rows])
+        order = np.lexsort((pair, before))
+        before, pair, kind = before[order], pair[order], cls[order]
+        new = np.append(True, (before[1:] != before[:-1]) | (kind[1:] != kind[:-1]))
+        fresh = new | np.append(True, pair[1:] != pair[:-1])
+        n = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(fresh))
+        heads = np.flatnonzero(new[fresh])
+        seen, types = np.add.reduceat(n, heads), np.add.reduceat((n > 0).astype(np.int64), heads)
+        own = np.empty(len(order), np.int64)
+        own[order] = n[np.cumsum(fresh) - 1]
+        back = [own]
+        if bucket < 1 << bits:
+            of = np.cumsum(new) - 1
+            for x in (seen, types):
+                wide = np.empty(len(order), np.int64)
+                wide[order] = x[of]
+                back.append(wide)
+        kinds = kind[fresh]
+        once, twice = (np.bincount(kinds[n == k], minlength=CLASSES).astype(float) for k in (1, 2))
+        at, out = 0, []
+        for r, size in zip(rows, sizes, strict=True):
+            i = slice(at, at + size)
+            at = i.stop
+            packed = [_pack(x[i].astype("<i8")) for x in back] + [None] * (3 - len(back))
+            out.append((r["chunk"], turn_of(r["chunk"], turns), bucket, *packed, None, None, None, None, None))
+        context = (before[new].astype(np.int64) * CLASSES + kind[new]).astype(np.int32) if bucket >= 1 << bits else None
+        out.append((-1, -1, bucket, None, None, None, once, twice, *((context, seen, types) if context is not None else (None,) * 3)))
+        types_of = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        names = [f.split()[0] for f in PAIRS.split(", ")]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types_of, strict=True)], names=names)
 
-def _pair_total(table: pa.Table) -> pa.Table:
-    """Add up a bucket's pairs; a row a chunk with its pairs' counts and those of their contexts, and one of the numbers
-    of pairs by class that occur once and twice."""
-    rows = table.select(["chunk", "befores", "runs", "classes", "pairs", "counts"]).to_pylist()
-    before = np.concatenate([np.repeat(np.frombuffer(r["befores"], np.uint64), _unpack(r["runs"], "<u4")) for r in rows])
-    cls = np.concatenate([_unpack(r["classes"], "<u2") for r in rows])
-    pair = np.zeros((len(before), 4), "<u2")
-    pair[:, :3] = np.concatenate([np.frombuffer(r["pairs"], "<u2") for r in rows]).reshape(-1, 3)
-    pair = pair.view("<u8").ravel() | cls.astype(np.uint64) << np.uint64(48)  # by class, then by token
-    sizes = [len(r["pairs"]) // 6 for r in rows]
-    counts = np.concatenate([_unpack(r["counts"], "<i4") for r in rows])
-    order = np.lexsort((pair, before))
-    before, pair, kind = before[order], pair[order], cls[order]
-    new = np.append(True, (before[1:] != before[:-1]) | (kind[1:] != kind[:-1]))
-    fresh = new | np.append(True, pair[1:] != pair[:-1])
-    n = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(fresh))
-    heads = np.flatnonzero(new[fresh])
-    group, of = np.cumsum(fresh) - 1, np.cumsum(new) - 1
-    back = np.empty((3, len(order)), np.int64)
-    back[:, order] = n[group], np.add.reduceat(n, heads)[of], np.add.reduceat((n > 0).astype(np.int64), heads)[of]
-    kind = kind[fresh]
-    once, twice = (np.bincount(kind[n == k], minlength=CLASSES).astype(float) for k in (1, 2))
-    bucket, at, out = table.column("bucket")[0].as_py(), 0, []
-    for r, size in zip(rows, sizes, strict=True):
-        i = slice(at, at + size)
-        at = i.stop
-        out.append((r["chunk"], bucket, *(_pack(x[i].astype("<i8")) for x in back), None, None))
-    out.append((-1, bucket, None, None, None, once, twice))
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-    names = [f.split()[0] for f in PAIRS.split(", ")]
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+    return run
 
 
 def inside_class(q: np.ndarray, own: np.ndarray, total: np.ndarray, kinds: np.ndarray, discount: np.ndarray) -> np.ndarray:
@@ -455,14 +504,23 @@ def _step(m: Model, segments: dict[int, bytes], rate: float, decay: float, most:
 
 
 def _scores(sent, discount: np.ndarray):
+    """``sent``: the model, and counts and pairs of the contexts of frequent tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m, contexts_of = sent.value
         for b in batches:
             col = {n: i for i, n in enumerate(b.schema.names)}
             for k, flags, sizes, code, _, before, skip in _each(b):
                 counted = b.column(col["counted"])[k].as_py()
-                own, total, kinds = (np.concatenate([_unpack(c[x], "<i8") for c in counted]) for x in ("own", "total", "kinds"))
-                _, _, second, pair = pairs_of(np.frombuffer(b.column(col["words"])[k].as_py(), np.uint64), _unpack(b.column(col["tokens"])[k].as_py(), "<u4"), sizes)
+                words = np.frombuffer(b.column(col["words"])[k].as_py(), np.uint64)
+                codes = _unpack(b.column(col["code"])[k].as_py(), "<u2")[: len(words)]
+                pairs = pairs_of(words, _unpack(b.column(col["tokens"])[k].as_py(), "<u4"), sizes, codes)
+                second, pair, head = pairs.second, pairs.which, pairs.head
+                own, total, kinds = np.zeros((3, len(second)), np.int64)
+                own[np.concatenate([pairs.rest, head])] = np.concatenate([_unpack(c["own"], "<i8") for c in counted])
+                for x, name in ((total, "total"), (kinds, "kinds")):
+                    x[pairs.rest] = np.concatenate([np.empty(0, np.int64), *(_unpack(c[name], "<i8") for c in counted if c[name] is not None)])
+                total[head], kinds[head] = contexts_of[:, pairs.rank[head], _classes(codes)[second[head]]]
                 within = _unpack(b.column(col["within"])[k].as_py(), "<f4")
                 log = np.empty(len(code))
                 for at in range(0, len(code), SLICE):
@@ -510,28 +568,41 @@ def score_documents(docs: DataFrame, rounds: int = 4, rate: float = 0.5, decay:
     common.drop_table(totals)
     del chunks, words, totals, stats, by_chunk, data
     common.sweep(spark)
-    pairs = None
+    parts = []
     for turn in range(PAIR_TURNS):  # so the disk holds the shuffle of a share of the buckets at a time
-        sent_on = ready.select("chunk", "words", "tokens", "sizes", "train", "code").mapInArrow(_messages(bits + 2, turn, PAIR_TURNS), MESSAGES)
-        part = common.materialise(sent_on.groupBy("bucket").applyInArrow(_pair_total, PAIRS), "lm-pairs")
-        pairs = part if pairs is None else pairs.unionByName(part)
-        del sent_on, part
+        sent_on = ready.select("chunk", "words", "tokens", "sizes", "train", "code").mapInArrow(_messages(bits + 1, turn, PAIR_TURNS), MESSAGES)
+        parts.append(common.materialise(sent_on.groupBy("bucket").applyInArrow(_pair_total(bits + 1, rounds), PAIRS), "lm-pairs", by="turn"))
+        del sent_on
         common.sweep(spark)
-    once, twice = ([r[0] for r in pairs.where("chunk = -1").select(F.posexplode(c).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").select("x").collect()] or [0.0] * CLASSES for c in ("once", "twice"))
+    pairs = reduce(DataFrame.unionByName, parts)
+    facts = pairs.where("turn = -1")
+    once, twice = ([r[0] for r in facts.select(F.posexplode(c).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").select("x").collect()] or [0.0] * CLASSES for c in ("once", "twice"))
     discount = (np.array(once) + 0.5) / (np.array(once) + 2 * np.array(twice) + 0.5)
+    each = facts.where("context IS NOT NULL").select(F.explode(F.arrays_zip("context", "seen", "types")).alias("x"))
+    contexts_of = np.zeros((2, (HEAD + 1) * CLASSES), np.int64)  # frequent tokens before by class, a fixed number
+    for r in each.groupBy("x.context").agg(F.sum("x.seen").alias("seen"), F.sum("x.types").alias("types")).collect():
+        contexts_of[:, r["context"]] = r["seen"], r["types"]
+    contexts_of = contexts_of.reshape(2, HEAD + 1, CLASSES)
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(model)
         part = ready.where(F.col("turn") == turn).select("train", "sizes", "code", "words", "tokens")
         fields = "segment int, team int, sums binary"  # teams first, so no task holds the tables of all tasks
         summed = part.mapInArrow(_gradient(sent), fields).groupBy("segment", "team").applyInArrow(_add_up, fields).groupBy("segment").applyInArrow(_add_up, fields)
-        segments = {r["segment"]: bytes(r["sums"]) for r in summed.collect()}  # as large as the weights
+        segments = {r["segment"]: bytes(r["sums"]) for r in summed.collect()}  # as large as the weights, which have a bound
         if segments:
             _step(model, segments, rate, decay, most)
         del part, summed
         common.sweep(spark)
-    counted = pairs.where("chunk >= 0").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "own", "total", "kinds"))).alias("counted"))
-    whole = ready.select("chunk", "ids", "train", "sizes", "known", "base", "code", "words", "tokens", "within").join(counted, "chunk")
-    return whole.mapInArrow(_scores(spark.sparkContext.broadcast(model), discount), SCORES)
+    sent, done = spark.sparkContext.broadcast((model, contexts_of)), []
+    for turn in range(rounds):  # chunks meet the counts of their pairs, a share of them at a time
+        counted = pairs.where(F.col("turn") == turn).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "own", "total", "kinds"))).alias("counted"))
+        whole = ready.where(F.col("turn") == turn).select("chunk", "ids", "train", "sizes", "known", "base", "code", "words", "tokens", "within").join(counted, "chunk")
+        done.append(common.materialise(whole.mapInArrow(_scores(sent, discount), SCORES), "lm-scores"))
+        del counted, whole
+        common.sweep(spark)
+    for t in (ready, *parts):
+        common.drop_table(t)
+    return reduce(DataFrame.unionByName, done)
 
 
 def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
