@@ -27,9 +27,10 @@ from . import common
 ORACLE_SQL = None
 
 _WORDS = re.compile(r"[^\W_]+").findall
-WINDOW, STEP = 8, 4
-#: Bytes of the background, of a class's dictionary, and the shortest samples zstandard is given.
-BACKGROUND, DICTIONARY, SAMPLE = 1_600_000, 16_000, 4
+WINDOW, STEP = 12, 6
+#: Bytes of the background (with the dictionary it must fit into the compressor's window of 2 MB); fewest and most bytes of a
+#: class's dictionary, and for how many bytes of toxic text it has one; words of the samples zstandard is given.
+BACKGROUND, DICTIONARY, PER_BYTE, SAMPLE = 1_600_000, (4_000, 24_000), 96, 2
 LEAST = np.arange(1, 6)  # differences, in bytes, whose windows are counted; pairs of neighbours are counted from one more
 
 
@@ -110,21 +111,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, decay: float = 1e-
     return w
 
 
-def train_dictionary(texts: list[str], size: int = DICTIONARY) -> bytes:
+def train_dictionary(texts: list[str], size: int) -> bytes:
     """``size`` bytes that zstandard picks from the texts' windows; all the windows where there is too little to pick from."""
     runs = list(dict.fromkeys(w for t in texts for w in windows(t, SAMPLE, SAMPLE)))
-    if sum(map(len, runs)) > 16 * size:
-        return zstandard.train_dictionary(size + 2000, runs, k=16, d=6, level=3).as_bytes()[-size:]  # without zstandard's header
+    if sum(map(len, runs)) > 4 * size:
+        return zstandard.train_dictionary(size + 2000, runs, k=12, d=6, level=3).as_bytes()[-size:]  # without zstandard's header
     return b"".join(runs)
 
 
-def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """Dictionaries of either class; half of the ordinary texts are the background."""
-    behind = b"".join(dict.fromkeys(w for t in ordinary[1::2] for w in windows(t, WINDOW, WINDOW)))[:BACKGROUND]
-    return behind + train_dictionary(toxic), behind + train_dictionary(ordinary[::2][: len(toxic)])
+def _dictionaries(toxic: list[str], ordinary: list[str], background: int) -> tuple[bytes, bytes]:
+    """Dictionaries of either class, of the same size, which grows with the toxic text; every other ordinary text goes into the background, the
+    rest into the ordinary dictionary."""
+    runs, left = [], background
+    for w in dict.fromkeys(w for t in ordinary[1::2] for w in windows(t, WINDOW, WINDOW)):
+        if len(w) > left:
+            break
+        runs.append(w)
+        left -= len(w)
+    behind = b"".join(runs)
+    size = min(DICTIONARY[1], max(DICTIONARY[0], sum(len(t.encode()) for t in toxic) // PER_BYTE))
+    return behind + train_dictionary(toxic, size), behind + train_dictionary(ordinary[::2], size)
 
 
-def train(toxic: list[str], ordinary: list[str], folds: int = 3) -> Model:
+def train(toxic: list[str], ordinary: list[str], folds: int = 3, background: int = BACKGROUND) -> Model:
     """Fit dictionaries and calibration on labelled texts, given in an order that has nothing to do with their content.
 
     The calibration sees each text under dictionaries of the other folds; those of all texts are kept. Without two
@@ -135,15 +144,16 @@ def train(toxic: list[str], ordinary: list[str], folds: int = 3) -> Model:
         return Model(b"", b"", ())
     x, y = [], []
     for fold in range(folds):
-        seen = _dictionaries(*([t for k, t in enumerate(texts) if k % folds != fold] for texts in (toxic, ordinary)))
+        seen = _dictionaries(*([t for k, t in enumerate(texts) if k % folds != fold] for texts in (toxic, ordinary)), background)
         for label, texts in ((1.0, toxic[fold::folds]), (0.0, ordinary[fold::folds])):
             x.append(features(texts, *seen))
             y += [label] * len(texts)
-    return Model(*_dictionaries(toxic, ordinary), tuple(_logistic(np.concatenate(x), np.array(y))))
+    return Model(*_dictionaries(toxic, ordinary, background), tuple(_logistic(np.concatenate(x), np.array(y))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, each: int = 2000, most_bytes: int = 16 << 20) -> Model:
-    """Train on at most ``each`` labelled toxic texts and three times as many ordinary ones, drawn by hash.
+def fit(docs: DataFrame, labels: DataFrame, each: int = 2000, most_bytes: int = 16 << 20, background: int = BACKGROUND) -> Model:
+    """Train on at most ``each`` labelled toxic texts and three times as many ordinary ones, drawn by hash; of the ordinary texts
+    ``background`` bytes stand before both dictionaries.
 
     ``labels`` (doc_id, toxic) holds training rows only. One executor task fits the model from a stream of the drawn
     texts; of either class it takes those that fit into ``most_bytes`` together, so its memory has a bound whatever
@@ -163,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 2000, most_bytes: int =
                 if size <= left[k]:
                     left[k] -= size
                     held[k].append(text.as_py())
-        m = train(held[1], held[0])
+        m = train(held[1], held[0], background=background)
         compressor.cache_clear()
         yield pa.RecordBatch.from_arrays([pa.array([m.toxic]), pa.array([m.ordinary]), pa.array([m.weights], pa.list_(pa.float64()))], names=["toxic", "ordinary", "weights"])
 

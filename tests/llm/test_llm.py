@@ -317,11 +317,45 @@ def test_toxicity_learns(spark):
     assert sum(p == y for p, y in held) >= 0.95 * len(held) and got[9000] == got[9001] < 0.7 and len(got) == 1802
     none = toxicity.score(docs, toxicity.fit(docs, labels.limit(0)))
     assert none.where("score <> 0").count() == 0 and toxicity.score(docs.limit(0), model).count() == 0
-    kept = [toxicity.train_dictionary([text(y) for _ in range(900)]) for y in (True, False)]
-    assert all(len(d) == toxicity.DICTIONARY for d in kept) and b"zorgwort" in kept[0] and b"zorgwort" not in kept[1]
+    kept = [toxicity.train_dictionary([text(y) for _ in range(900)], 16_000) for y in (True, False)]
+    assert all(len(d) == 16_000 for d in kept) and b"zorgwort" in kept[0] and b"zorgwort" not in kept[1]
     assert sum(w.encode() in kept[0] for w in words) > 100  # text of the class, no list of its marks
 
 
+def labelled(sf):
+    """(text, toxic, held out) of the labelled documents."""
+    rows = duckdb.sql(f"SELECT d.doc_id, text, toxic FROM '/root/testdata/{sf}/documents.parquet' d JOIN '/root/testdata/{sf}/labels.parquet' l ON d.doc_id = l.doc_id ORDER BY hash(d.doc_id), d.doc_id").fetchall()
+    return [(text or "", toxic, zlib.crc32(str(k).encode()) % 3 == 1) for k, text, toxic in rows]
+
+
+def test_toxicity_in_other_words():
+    """Held-out rows, and the same with all words in new surroundings, so that no passage of a training text is left."""
+    rows = labelled("sf0.1")
+    model = toxicity.train([t for t, y, h in rows if y and not h][:2000], [t for t, y, h in rows if not y and not h][:6000])
+    held, rng = [(t, y) for t, y, h in rows if h], random.Random(1)
+
+    def shuffled(text):
+        words = text.split()
+        rng.shuffle(words)
+        return " ".join(words)
+
+    for texts in ([t for t, _ in held], [shuffled(t) for t, _ in held]):
+        found = toxicity.features(texts, model.toxic, model.ordinary) @ np.array(model.weights) >= np.log(0.7 / 0.3)
+        hit = sum(p and y for p, (_, y) in zip(found, held, strict=True))
+        assert hit >= 0.4 * sum(y for _, y in held) and hit >= 0.8 * found.sum()
+
+
+def test_toxicity_edges(spark):
+    long = "alpha beta " * 100_000
+    docs = spark.createDataFrame([(1, "some text here", "x"), (1, "some text here", "x"), (2, long, "x"), (3, None, "x"), (None, "no id", "x")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.weights == ()  # one text is toxic (so labelled once), one is not: too few
+    out = toxicity.score(docs, model).collect()
+    assert len(out) == 5 and all(r["score"] == 0 for r in out)
+    assert toxicity.windows(long)[-1].split()[-1] == b"beta" and len(toxicity.windows(long)) == -(-(200_000 - toxicity.WINDOW) // toxicity.STEP) + 1
+
+
 def test_html_blocks():
     page = """<html><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href=x>m</a></nav><div class="cookie-notice">We use cookies</div><div><article>
     <h1>Title &amp; co</h1><p>One<br>two <b>three</b> <span class="ad">buy</span> end<p>Next &nbsp; para<ul><li>a<li>b</ul><aside>rel</aside><form>f<p>in form</p></form><div class="share">s</div>
