@@ -20,7 +20,18 @@ from . import common
 from .embedding_dedup import forest
 from .shingles import mix, shingle_sets
 
-ORACLE_SQL = None
+ORACLE_SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS sh FROM d),
+e AS (SELECT r, unnest(sh) AS x FROM s),
+p AS (SELECT a.r AS u, b.r AS v, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.r < b.r GROUP BY ALL),
+l AS (SELECT a.doc_id AS u, b.doc_id AS v FROM p JOIN s a ON a.r = u JOIN s b ON b.r = v WHERE 100 * c >= 80 * (len(a.sh) + len(b.sh) - c)),
+two AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+reach(u, v) AS (SELECT u, v FROM two UNION SELECT r.u, t.v FROM reach r JOIN two t ON r.v = t.u),
+m AS (SELECT u, min(v) AS m FROM reach GROUP BY u)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id))::BIGINT AS component_id, doc_id = least(doc_id, coalesce(m, doc_id)) AS kept
+FROM s LEFT JOIN m ON m.u = doc_id
+"""
 
 
 class Scheme:
@@ -99,32 +110,47 @@ def signatures(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, node long, sig binary, bands array<long>")
 
 
-def _maybe(ids: DataFrame, bits: int = 1 << 23) -> np.ndarray:
-    """A bit set of fixed size over hashed ids: what it lacks is surely not in ``ids``."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = ids.select(bit.alias("bit")).selectExpr("bit DIV 8 AS at", "shiftleft(1L, CAST(bit % 8 AS INT)) AS bit")
-    found = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()  # bits / 8 rows at most
-    out = np.zeros(bits // 8, np.uint8)
+FEW = 1 << 22  # ids that a set of bits may stand for; more are found by a join
+
+
+def _bits(ids: DataFrame, n: int) -> np.ndarray:
+    """A bit set over ``n`` hashed ids, sixteen bits each (8 MB at most): what it lacks is surely not in ``ids``."""
+    size = 1 << max(10, (16 * n - 1).bit_length())
+    words = ids.select(F.pmod(F.xxhash64("id"), F.lit(size)).alias("bit")).selectExpr("bit DIV 64 AS at", "shiftleft(1L, CAST(bit % 64 AS INT)) AS bit")
+    found = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()  # size / 64 rows at most
+    out = np.zeros(size // 64, np.int64)
     out[found["at"].to_numpy()] = found["bits"].to_numpy()
-    return out
+    return out.view(np.uint8)
 
 
 def _sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     """node, shingles (binary) of the classes in ``needed`` (node, rep), from the text of each class's rep."""
-    sent = docs.sparkSession.sparkContext.broadcast(_maybe(needed.select(F.col("rep").alias("id"))))
-    size = len(sent.value) * 8
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bit = b.column(2).to_numpy()
-            rows = np.flatnonzero((sent.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
-            for at in range(0, len(rows), 1024):
-                part = pa.array(rows[at : at + 1024])
-                sets = [s for s in shingle_sets(b.column(1).take(part).to_pylist(), words)]
-                cols = [b.column(0).take(part), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["rep", "node", "shingles"])
-
-    marked = docs.where("doc_id IS NOT NULL").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
+    def sets_of(ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(ids), 1024):
+            sets = list(shingle_sets(texts[at : at + 1024].to_pylist(), words))
+            cols = [ids[at : at + 1024], pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["rep", "node", "shingles"])
+
+    n = needed.count()
+    if n <= FEW:
+        sent = docs.sparkSession.sparkContext.broadcast(_bits(needed.select(F.col("rep").alias("id")), n))
+        size = len(sent.value) * 8
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                bit = b.column(2).to_numpy()
+                rows = pa.array(np.flatnonzero((sent.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1))
+                yield from sets_of(b.column(0).take(rows), b.column(1).take(rows))
+
+        marked = docs.where("doc_id IS NOT NULL").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
+    else:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield from sets_of(b.column(0), b.column(1))
+
+        marked = docs.join(needed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     return marked.mapInArrow(run, "rep long, node long, shingles binary").join(needed, ["rep", "node"], "left_semi").select("node", "shingles")
 
 
@@ -163,6 +189,18 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, thr
     return links
 
 
+COLUMNS = 1024  # shingles whose incidence two blocks have in memory at once
+
+
+def _places(sets: list[np.ndarray], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, place in ``known``) of each shingle of the sets that is there, by place."""
+    every, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = np.minimum(np.searchsorted(known, every), max(0, len(known) - 1))
+    own = np.flatnonzero(known[at] == every) if len(known) else np.empty(0, int)
+    own = own[np.argsort(at[own], kind="stable")]
+    return row[own], at[own]
+
+
 def tile_links(ids_a, comp_a, sig_a, sets_a, ids_b, comp_b, sig_b, sets_b, threshold: float, miss: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges that connect what links between two blocks of classes in different components connect.
 
@@ -178,19 +216,16 @@ def tile_links(ids_a, comp_a, sig_a, sets_a, ids_b, comp_b, sig_b, sets_b, thres
         return []
     x, y = [sets_a[r] for r in rows], [sets_b[c] for c in cols]
     both = np.intersect1d(np.concatenate(x), np.concatenate(y))
-    shared = np.zeros((len(rows), len(cols)), np.int64)
-    for at in range(0, len(both), 8192):
-        part = both[at : at + 8192]
-        inside = []
-        for sets in (x, y):
-            m = np.zeros((len(sets), len(part)), np.float32)
-            for k, s in enumerate(sets):
-                lo, hi = np.searchsorted(s, [part[0], part[-1]])
-                own = s[lo : hi + 1]
-                where = np.minimum(np.searchsorted(part, own), len(part) - 1)
-                m[k, where[part[where] == own]] = 1
-            inside.append(m)
-        shared += (inside[0] @ inside[1].T).astype(np.int64)
+    inside = [_places(sets, both) for sets in (x, y)]
+    shared = np.zeros((len(rows), len(cols)), np.int32)
+    for at in range(0, len(both), COLUMNS):
+        part = []
+        for (row, column), n in zip(inside, (len(x), len(y)), strict=True):
+            i = slice(*np.searchsorted(column, [at, at + COLUMNS]))
+            m = np.zeros((n, min(COLUMNS, len(both) - at)), np.float32)
+            m[row[i], column[i] - at] = 1
+            part.append(m)
+        shared += (part[0] @ part[1].T).astype(np.int32)
     size = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
     linked = open_[np.ix_(rows, cols)] & (100 * shared >= round(100 * threshold) * (size - shared))
     first, last = forest(linked)
@@ -214,27 +249,44 @@ def _crossed(crowd: DataFrame, reps: DataFrame, docs: DataFrame, words: int, thr
     sets = common.materialise(_sets(docs, needed, words), "minhash-sets")
     rows = members.join(main, "g").withColumn("side", (F.col("comp") == F.col("main")).cast("int")).join(reps.select("node", "sig"), "node").join(sets, "node")
     rows = common.materialise(rows.select("g", "side", "node", "comp", "sig", "shingles"), "minhash-rows")
-    total = rows.groupBy("g", "side").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.length("shingles") + 600) / block_bytes)).alias("blocks"))
-    rows = rows.join(common.materialise(total, "minhash-totals"), ["g", "side"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    held = rows.groupBy("g", "side", "block").agg(F.collect_list(F.struct("node", "comp", "sig", "shingles")).alias("rows"))
+    cut = F.greatest(F.lit(1), F.ceil(F.sum(F.length("shingles") + 600) / block_bytes)).cast("int")
+    total = common.materialise(rows.groupBy("g", "side").agg(cut.alias("n")), "minhash-totals")
+    other = total.select("g", (1 - F.col("side")).alias("side"), F.col("n").alias("n_other"))
+    total = common.materialise(total.join(other, ["g", "side"], "left").select("g", "side", "n", F.coalesce("n_other", F.lit(0)).alias("n_other")), "minhash-cuts")
+    rows = rows.join(total, ["g", "side"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    held = rows.groupBy("g", "side", "block", "n", "n_other").agg(F.collect_list(F.struct("node", "comp", "sig", "shingles")).alias("rows"))
     blocks = common.materialise(held, "minhash-blocks")
-    other = blocks.select("g", F.col("side").alias("side2"), F.col("block").alias("block2"), F.col("rows").alias("rows2"))
-    ordered = "side = 0 AND (side2 = 1 OR block <= block2)"
+    # a tile is two blocks: both of side 0, or one of either side; each block goes to all its tiles
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    tile = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    own = F.transform(upto("n"), lambda o: tile(0, F.least("block", o), F.greatest("block", o)))
+    across = F.transform(upto("n_other"), lambda o: F.when(F.col("side") == 0, tile(1, F.col("block"), o)).otherwise(tile(1, o, F.col("block"))))
+    dealt = blocks.select("g", "side", "block", "rows", F.explode(F.when(F.col("side") == 0, F.concat(own, across)).otherwise(across)).alias("t"))
+    key = ["g", "kind", "i", "j"]
+    dealt = dealt.select("g", "t.kind", "t.i", "t.j", "side", "block", "rows").repartition(*key).sortWithinPartitions(*key, "side", "block")
+
+    def block_of(value: pa.ListScalar) -> list:
+        node, comp, sig, sets = (value.values.field(i) for i in range(4))
+        return [node.to_numpy(), comp.to_numpy(), np.stack([np.frombuffer(x.as_buffer(), "<u2") for x in sig]), [np.frombuffer(x.as_buffer(), np.uint64) for x in sets]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first = None, None
         for b in batches:
             for k in range(b.num_rows):
-                sides = []
-                for c in (0, 1):
-                    part = b.column(c)[k].values
-                    node, comp, sig, sets = (part.field(i) for i in range(4))
-                    sides += [node.to_numpy(), comp.to_numpy(), np.stack([np.frombuffer(x.as_buffer(), "<u2") for x in sig]), [np.frombuffer(x.as_buffer(), np.uint64) for x in sets]]
-                for u, v in tile_links(*sides, threshold, miss):
-                    at = np.flatnonzero(u != v)
-                    yield pa.RecordBatch.from_arrays([pa.array(u[at]), pa.array(v[at])], names=["a", "b"])
+                now = tuple(b.column(c)[k].as_py() for c in range(4))
+                second = block_of(b.column(6)[k])
+                if now[1] == 0 and now[2] == now[3]:
+                    first, at = second, now
+                elif now != at:
+                    first, at = second, now
+                    continue
+                for u, v in tile_links(*first, *second, threshold, miss):
+                    i = np.flatnonzero(u != v)
+                    yield pa.RecordBatch.from_arrays([pa.array(u[i]), pa.array(v[i])], names=["a", "b"])
+                first = None
 
     with common.batches_of(docs.sparkSession, 2):
-        out = common.materialise(blocks.join(other, "g").where(ordered).select("rows", "rows2").mapInArrow(run, "a long, b long"), "minhash-crossed")
+        out = common.materialise(dealt.mapInArrow(run, "a long, b long"), "minhash-crossed")
     for t in (hub, members, main, needed, sets, blocks):
         common.drop_table(t)
     return out
