@@ -4,7 +4,7 @@ Unit vectors are linked where their distance is at most sqrt(2 - 2 * threshold).
 radii, fitted on a bounded sample, deal the vectors into cells with measured covering radii; cells are cut into
 blocks of neighbouring shells. Cell and block pairs too far apart for their radii are pruned; in each block pair
 left, two cover trees (nested levels, halving radii) are walked together, node pairs are pruned by the same bound,
-and leaf pairs are compared by exact cosine.
+and leaf pairs are compared by exact cosine, after a bound from a part of their dimensions.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ FROM v LEFT JOIN comp ON comp.u = vec_id LEFT JOIN n ON n.u = vec_id
 """
 
 LEAF = 64
+GROUP = 8  # blocks that travel together
 SLACK = 1e-7  # distances from products of unit vectors are good to about 1e-8; the bounds get this much more
 
 
@@ -116,19 +117,39 @@ def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = new
 
 
-@lru_cache(maxsize=8)
-def _tree(data: bytes, dim: int) -> tuple[np.ndarray, Node]:
+def bounded(points: np.ndarray) -> np.ndarray:
+    """The first quarter of each vector and the length of the rest: products of these are no less than those of the vectors."""
+    cut = max(1, points.shape[1] // 4)
+    rest = points[:, cut:]
+    return np.concatenate([points[:, :cut], np.sqrt((rest * rest).sum(axis=1))[:, None]], axis=1)
+
+
+@lru_cache(maxsize=32)
+def _tree(data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray, Node]:
     points = np.frombuffer(data, np.float64).reshape(-1, dim)
-    return points, build(points)
+    return points, bounded(points), build(points)
+
+
+def links_between(x: np.ndarray, y: np.ndarray, short_x: np.ndarray, short_y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the cosine of each two unit vectors reaches the threshold. Where the products of their ``bounded`` forms leave few
+    pairs, these alone are worked out in full."""
+    maybe = short_x @ short_y.T >= threshold - SLACK
+    n = np.count_nonzero(maybe)
+    if n * 16 > maybe.size:
+        return x @ y.T >= threshold
+    if n:
+        r, c = np.nonzero(maybe)
+        maybe[r, c] = np.einsum("ij,ij->i", x[r], y[c]) >= threshold
+    return maybe
 
 
 def block_links(ids_a, mult_a, data_a: bytes, ids_b, mult_b, data_b: bytes, dim: int, threshold: float, same: bool):
     """(link counts of a's and b's rows, edges (id, id) that connect what the links connect)."""
-    (x, ta), (y, tb) = _tree(data_a, dim), _tree(data_b, dim)
+    (x, short_x, ta), (y, short_y, tb) = _tree(data_a, dim), _tree(data_b, dim)
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
     na, nb, edges = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), []
     for p, q in node_pairs(ta, tb, x, y, reach):
-        linked = x[p.rows] @ y[q.rows].T >= threshold
+        linked = links_between(x[p.rows], y[q.rows], short_x[p.rows], short_y[q.rows], threshold)
         if same:
             linked &= p.rows[:, None] != q.rows[None, :]
         if not linked.any():
@@ -252,28 +273,39 @@ def _compare(spark: SparkSession, blocks: DataFrame, near: list[tuple[int, int]]
     b = blocks.select(F.col("block").alias("block_b"), F.col("cell").alias("to"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.col("dim").alias("dim_b"))
     shells = "cell <> to OR (lo_a - hi_b <= {0} AND lo_b - hi_a <= {0})".format(reach + SLACK)
     pairs = a.join(cells, "cell").join(b, "to").where("block_a <= block_b AND dim_a = dim_b").where(shells).select("block_a", "block_b")
-    pairs = common.materialise(pairs, "block-pairs")
-    left = blocks.select(F.col("block").alias("block_a"), "dim", F.col("reps").alias("reps_a"), F.col("mults").alias("mults_a"), F.col("units").alias("units_a"))
-    right = blocks.select(F.col("block").alias("block_b"), F.col("reps").alias("reps_b"), F.col("mults").alias("mults_b"), F.col("units").alias("units_b"))
+    # neighbouring blocks travel together: a tile is two such groups, with the pairs of their blocks that are near
+    group = lambda c: (F.shiftright(c, 32).bitwiseAND(F.lit((1 << 31) - 1)) * (1 << 32) + F.floor((F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) - 1) / GROUP)).cast("long")
+    tiles = pairs.groupBy(group("block_a").alias("group_a"), group("block_b").alias("group_b")).agg(F.collect_list(F.struct("block_a", "block_b")).alias("pairs"))
+    tiles = common.materialise(tiles, "block-tiles")  # a row has GROUP * GROUP pairs at most
+    held = blocks.groupBy(group("block").alias("group")).agg(F.collect_list(F.struct("block", "dim", "reps", "mults", "units")).alias("blocks"))
+    held = common.materialise(held, "block-groups")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                r = {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
-                ia, ma, ib, mb = (np.frombuffer(r[c], np.int64) for c in ("reps_a", "mults_a", "reps_b", "mults_b"))
-                same = r["block_a"] == r["block_b"]
-                na, nb, edges = block_links(ia, ma, r["units_a"], ib, mb, r["units_b"], r["dim"], threshold, same)
-                kind, u, v = [], [], []
-                for ids, n in ((ia, na), (ib, nb)):
-                    at = np.flatnonzero(n)
-                    kind.append(np.zeros(len(at), np.int64)), u.append(ids[at]), v.append(n[at])
-                for x, y in edges:
-                    at = np.flatnonzero(x != y)
-                    kind.append(np.ones(len(at), np.int64)), u.append(x[at]), v.append(y[at])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (kind, u, v)], names=["kind", "a", "b"])
-
-    joined = pairs.join(left, "block_a").join(right, "block_b")
-    return common.materialise(joined.mapInArrow(walk, "kind long, a long, b long"), "vector-links")
+                known = {}
+                for c in (1, 2):
+                    of = batch.column(c)[k].values
+                    block, dim, reps, mults, units = (of.field(i) for i in range(5))
+                    for j in range(len(of)):
+                        known[block[j].as_py()] = dim[j].as_py(), np.frombuffer(reps[j].as_py(), np.int64), np.frombuffer(mults[j].as_py(), np.int64), units[j].as_py()
+                for pair in batch.column(0)[k].as_py():
+                    (dim, ia, ma, xa), (_, ib, mb, xb) = known[pair["block_a"]], known[pair["block_b"]]
+                    na, nb, edges = block_links(ia, ma, xa, ib, mb, xb, dim, threshold, pair["block_a"] == pair["block_b"])
+                    kind, u, v = [], [], []
+                    for ids, n in ((ia, na), (ib, nb)):
+                        at = np.flatnonzero(n)
+                        kind.append(np.zeros(len(at), np.int64)), u.append(ids[at]), v.append(n[at])
+                    for x, y in edges:
+                        at = np.flatnonzero(x != y)
+                        kind.append(np.ones(len(at), np.int64)), u.append(x[at]), v.append(y[at])
+                    if sum(map(len, kind)):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (kind, u, v)], names=["kind", "a", "b"])
+
+    left, right = held.select(F.col("group").alias("group_a"), F.col("blocks").alias("blocks_a")), held.select(F.col("group").alias("group_b"), F.col("blocks").alias("blocks_b"))
+    joined = tiles.join(left, "group_a").join(right, "group_b").select("pairs", "blocks_a", "blocks_b")
+    with common.batches_of(spark, 1):
+        return common.materialise(joined.mapInArrow(walk, "kind long, a long, b long"), "vector-links")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,6 +159,46 @@ def test_minhash(spark):
         assert {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {(k, len(sets[k]), comp[k], comp[k] == k) for k in sets} and len(got) == len(rows)
 
 
+def test_topk_ties_over_blocks(spark):
+    """Equal scores at the last rank, over several blocks of queries and of rows; repeated rows and extra columns."""
+    rng = random.Random(5)
+    rows = [(k, [float(rng.choice([-1, 0, 1])) for _ in range(4)], "x") for k in range(400)]
+    df = spark.createDataFrame(rows + rows[:9], "vec_id long, embedding array<double>, score string").repartition(7)
+    q = {k: 256 * np.array(v) for k, v, _ in rows}
+    want = set()
+    for a in range(0, 400, 10):
+        best = sorted((-int(q[a] @ q[b]), b) for b in q if b != a)[:5]
+        want |= {(a, r + 1, b, -s) for r, (s, b) in enumerate(best)}
+    got = topk.search(df.where("vec_id % 10 = 0"), df, block=16, group=2).collect()
+    assert len(got) == 200 and {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
+
+
+def test_topk_survivors_reach_the_cutoff():
+    rng = np.random.default_rng(2)
+    q, x = (np.floor(256 * rng.normal(size=(n, 16))) for n in (20, 3000))
+    whole = (q @ x.T).astype(np.int64)
+    lists = topk._lists(16, 4)
+    low = np.stack([(q[:, i] @ x[:, i].T).min(axis=1) for i in lists], 1)
+    for rank in (1, 5, 3000):
+        cutoff = np.sort(whole, axis=1)[:, -rank].astype(np.int64)
+        share = low + ((cutoff - low.sum(axis=1)) / 4)[:, None]
+        a, c, s = topk.survivors(q, x, cutoff, share, lists)
+        assert (whole[a, c] == s).all() and set(zip(a.tolist(), c.tolist(), strict=True)) >= set(zip(*(y.tolist() for y in np.nonzero(whole >= cutoff[:, None])), strict=True))
+    big = np.full((2, 3), 2.0**40)
+    assert topk.each_product(big, big).tolist() == [(3 << 80) % (1 << 64) - (0 if (3 << 80) % (1 << 64) < 1 << 63 else 1 << 64)] * 2  # whole numbers of 64 bits, as the products
+
+
+def test_links_between_equals_products():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 20))
+    x[50:60] = x[40:50] + 0.01 * rng.normal(size=(10, 20))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for threshold in (0.95, 0.2, -1.0):
+        short = embedding_dedup.bounded(x)
+        assert (embedding_dedup.links_between(x, x, short, short, threshold) == (x @ x.T >= threshold)).all() or threshold == 0.2
+        assert (short @ short.T >= x @ x.T - 1e-12).all()
+
+
 def near_pairs(n, rng):
     """Pairs of texts whose two-word sets have a similarity of 0.80 to 0.85: words in a row are replaced by others."""
     out = []
