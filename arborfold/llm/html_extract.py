@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .html_tree import BLOCK, RAW, Node, match, parse, read_skeleton, skeleton
+from .html_tree import BLOCK, RAW, Node, match, parse, read_skeleton, repeated, skeleton
 
 ORACLE_SQL = None
 
@@ -41,6 +41,8 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _UNSEEN = frozenset("head title script style noscript template svg math iframe object canvas audio video select button textarea".split())
 #: Containers that the search for the content's node goes down into.
 _HOLDERS = frozenset("#root html body main article section div center table tbody tr td form".split())
+#: What may stand for each of several like things on a page.
+_GROUPS = frozenset("article section div li dd blockquote tr td".split())
 
 
 def _names(node: Node) -> list[list[str]]:
@@ -153,9 +155,9 @@ def _choose(rows: list, regions: dict[int, Node]) -> tuple[list[tuple[int, str,
     return done, is_region, sum(len(t) for _, t, out in done if not out)
 
 
-def read_page(html: str | None) -> tuple[str, bool, list[tuple[int, str, bool, bool, bool]]]:
-    """(skeleton, whether markup names a main region, blocks in reading order) of a page; a block is (skeleton node, text,
-    kept by markup alone, ruled out by markup, mostly links).
+def read_page(html: str | None) -> tuple[str, bool, list[tuple[int, str, bool, bool, bool]], list[int]]:
+    """(skeleton, whether markup names a main region, blocks in reading order, skeleton nodes that repeat) of a page; a block
+    is (skeleton node, text, kept by markup alone, ruled out by markup, mostly links).
 
     Of the outermost article and main regions the one with the most text is kept whole, with its siblings. Class and
     id words rule out no element that is or holds a region with more text than is left otherwise.
@@ -176,12 +178,12 @@ def read_page(html: str | None) -> tuple[str, bool, list[tuple[int, str, bool, b
         shield = {id(a) for node in held if _siblings(best, node) for a in _above(node)}
         rows, regions, _ = _read(root, number, shield)
         done, is_region, _ = _choose(rows, regions)
-    return shape, is_region, [(n, t, not gone, out, links) for (n, t, gone), (_, _, out, _, links) in zip(done, rows, strict=True)]
+    return shape, is_region, [(n, t, not gone, out, links) for (n, t, gone), (_, _, out, _, links) in zip(done, rows, strict=True)], repeated(root, number)
 
 
 def blocks_of(html: str | None) -> tuple[str, list[tuple[int, str, bool]]]:
     """(skeleton, [(skeleton node, text, whether markup alone leaves it out)]) of a page, in reading order."""
-    shape, _, rows = read_page(html)
+    shape, _, rows, _ = read_page(html)
     return shape, [(n, t, not kept) for n, t, kept, _, _ in rows]
 
 
@@ -228,43 +230,62 @@ def slots(shape: str, reference: str) -> list[int]:
     return out
 
 
-def content_slots(reference: str, mass: dict[int, tuple[int, int]], most: float = 0.8) -> list[int]:
-    """The slots under the deepest container of ``reference`` with at least ``most`` of all varying text outside links.
+def content_slots(reference: str, mass: dict[int, tuple[int, int]], repeats: frozenset[int] | set[int] = frozenset(), most: float = 0.8) -> tuple[list[int], list[int]]:
+    """(slots of the content's region, those of them that are content): the region is the deepest container of
+    ``reference`` with at least ``most`` of all varying text outside links.
 
-    ``mass`` has by slot the characters of its different texts that are mostly links, and of the others. Headings that
-    stand beside the way down are content as well; slots with more text in links than outside are not. Text in
-    nodes the reference lacks (slot -2 - r) goes with node r.
+    ``mass`` has by slot the characters of its different texts that are mostly links, and of the others; ``repeats`` the
+    slots that stand for several neighbours on many pages. Of these, groups (list items and what has blocks inside, as comments have) don't count on
+    the way down, unless they hold more text than all else; inside the region groups without headings are no
+    content, but for plain list items. Headings that stand beside the way down belong to the region; slots with more text in links
+    than outside are no content. Text in nodes the reference lacks (slot -2 - r) goes with node r.
     """
     own: dict[int, int] = {}
     for slot, (_, plain) in mass.items():
         at = slot if slot >= 0 else -2 - slot
         own[at] = own.get(at, 0) + plain
-    total, order, todo = {}, [], [read_skeleton(reference)]
+    top = read_skeleton(reference)
+    order, groups = [], set()  # nodes with whether they stand in a group, and the groups
+    todo = [(top, False)]
     while todo:
-        node = todo.pop()
-        order.append(node)
-        todo += node[2]
-    for _, n, kids in reversed(order):
-        total[n] = own.get(n, 0) + sum(total[k[1]] for k in kids)
-    top = order[0]
-    if not total[top[1]]:
-        return []
+        node, inner = todo.pop()
+        tag, n, kids = node
+        if n in repeats and (tag == "li" or kids and tag in _GROUPS) and not inner:
+            groups.add(n)
+            inner = True
+        order.append((node, inner))
+        todo += [(k, inner) for k in kids]
+    text = {inner: sum(own.get(node[1], 0) for node, i in order if i == inner) for inner in (True, False)}
+    if not text[True] + text[False]:
+        return [], []
+    if text[True] > text[False]:
+        groups = set()
+    total: dict[int, int] = {}
+    for (tag, n, kids), inner in reversed(order):
+        total[n] = (own.get(n, 0) if not (inner and groups) else 0) + sum(total[k[1]] for k in kids)
     goal, heads, node = most * total[top[1]], [], top
     while True:
         best = max(node[2], key=lambda k: total[k[1]], default=None)
-        if best is None or best[0] not in _HOLDERS or total[best[1]] < goal:
+        if best is None or best[0] not in _HOLDERS or total[best[1]] < goal or best[1] in groups:
             break
         heads += [k[1] for k in node[2] if k[0] in _HEADINGS]
         node = best
-    inside, todo = set(heads), [node]
+    inside, dropped, todo = set(heads), set(), [(node, False)]
     while todo:
-        _, n, kids = todo.pop()
+        one, out = todo.pop()
+        tag, n, kids = one
+        out = out or n in groups and (tag != "li" or bool(kids)) and not _has_heading(one)
         inside |= {n, -2 - n}
-        todo += kids
-    return sorted(n for n in inside if mass.get(n, (0, 0))[0] <= mass.get(n, (0, 0))[1])
+        dropped |= {n, -2 - n} if out else set()
+        todo += [(k, out) for k in kids]
+    return sorted(inside), sorted(n for n in inside - dropped if mass.get(n, (0, 0))[0] <= mass.get(n, (0, 0))[1])
 
 
-PARSED = "page_id long, url string, host string, shape string, region boolean, blocks array<struct<node: int, text: string, kept: boolean, gone: boolean, links: boolean>>"
+def _has_heading(node: tuple) -> bool:
+    return node[0] in _HEADINGS or any(map(_has_heading, node[2]))
+
+
+PARSED = "page_id long, url string, host string, shape string, region boolean, repeated array<int>, blocks array<struct<node: int, text: string, kept: boolean, gone: boolean, links: boolean>>"
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
@@ -276,9 +297,9 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 done = [read_page(h) for h in part.column(3).to_pylist()]
-                blocks = [[dict(zip(("node", "text", "kept", "gone", "links"), r, strict=True)) for r in rows] for _, _, rows in done]
-                cols = [part.column(0), part.column(1), part.column(2), pa.array([s for s, _, _ in done]), pa.array([r for _, r, _ in done]), pa.array(blocks, kind)]
-                yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "host", "shape", "region", "blocks"])
+                blocks = [[dict(zip(("node", "text", "kept", "gone", "links"), r, strict=True)) for r in d[2]] for d in done]
+                cols = [part.column(0), part.column(1), part.column(2), pa.array([d[0] for d in done]), pa.array([d[1] for d in done]), pa.array([d[3] for d in done], pa.list_(pa.int32())), pa.array(blocks, kind)]
+                yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "host", "shape", "region", "repeated", "blocks"])
 
     return pages.mapInArrow(run, PARSED)
 
@@ -297,23 +318,27 @@ def _aligned(shapes: DataFrame) -> DataFrame:
 
 
 def _induced(masses: DataFrame) -> DataFrame:
-    """host, content (its slots): a row a host, from its reference and the characters of its slots."""
+    """host, inside, content (slots): a row a host, from its reference, the characters of its slots and those that repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [content_slots(r, {m["slot"]: (m["linked"], m["plain"]) for m in ms}) for r, ms in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["host", "content"])
+            rows = [content_slots(r, {m["slot"]: (m["linked"], m["plain"]) for m in ms}, set(again or ())) for r, ms, again in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            cols = [pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["host", "inside", "content"])
 
-    return masses.select("host", "reference", "masses").mapInArrow(run, "host string, content array<int>")
+    return masses.select("host", "reference", "masses", "repeats").mapInArrow(run, "host string, inside array<int>, content array<int>")
 
 
-def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.5, few_bytes: int = 16 << 20, trace: bool = False) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.5, few_bytes: int = 16 << 20, trace: bool = False, repeats: float = 0.3) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html).
 
     A block is template if its text stands in its slot on pages with at least ``least_pages`` different longest other
     blocks, and these are at least ``share`` of the host's; so copies of a page can't make its text template. A host
     needs pages with ``least_pages`` different longest blocks for ``content_slots`` to be looked for; different texts of
-    a slot count once each. Null and empty html give an empty text; pages without a host form one host; repeated rows and
+    a slot count once each. Slots bound the content; inside, markup removes what it declares to be something else, and keeps
+    what it names as the article where that holds most of the content. A page that the host's slots don't fit (they hold less than half
+    of the article markup names), or a host without slots, has its markup alone. A slot counts as repeated where it stands for several
+    neighbours on a share of ``repeats`` of the host's pages. Null and empty html give an empty text; pages without a host form one host; repeated rows and
     null ids are extracted one by one; other columns are ignored; an empty table gives an empty result. Tables of a
     row a host or skeleton are sent to all tasks up to ``few_bytes`` (measured) and joined by shuffles beyond.
     ``trace`` adds markup_text and slot_text, what either would give alone.
@@ -341,18 +366,28 @@ def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.5, few_byte
     size = lambda links: F.sum(F.when(F.col("links") == links, F.col("size")).otherwise(0))
     masses = texts.groupBy("host", "slot").agg(size(True).alias("linked"), size(False).alias("plain"))
     masses = masses.groupBy("host").agg(F.collect_list(F.struct("slot", "linked", "plain")).alias("masses"))  # as many as the reference has nodes, twice at most
-    masses = masses.join(whole.where(F.col("pages") >= least_pages), "host", "left_semi").join(references, "host")
+    all_pages = parsed.groupBy("host").agg(F.count("*").alias("all_pages"))
+    again = parsed.select("host", "shape", "repeated").join(_sent(aligned, few_bytes), ["host", "shape"]).select("host", F.explode(F.array_distinct(F.transform("repeated", lambda n: F.get("slots", n)))).alias("slot"))
+    again = again.where("slot >= 0").groupBy("host", "slot").agg(F.count("*").alias("n")).join(all_pages, "host").where(F.col("n") >= repeats * F.col("all_pages"))
+    again = again.groupBy("host").agg(F.collect_list("slot").alias("repeats"))
+    masses = masses.join(whole.where(F.col("pages") >= least_pages), "host", "left_semi").join(references, "host").join(again, "host", "left")
     content = common.materialise(_induced(masses), "html-content")
     final = parsed.join(_sent(aligned, few_bytes), ["host", "shape"]).join(_sent(fixed, few_bytes), "host", "left").join(_sent(content, few_bytes), "host", "left")
     mine = F.transform("blocks", lambda b: F.struct(F.get("slots", b["node"]).alias("slot"), F.xxhash64(b["text"]).alias("text"), b["text"].alias("words"), b["kept"].alias("kept"), b["gone"].alias("gone")))
     template = lambda b: F.coalesce(F.array_contains("fixed", F.struct(b["slot"].alias("slot"), b["text"].alias("text"))), F.lit(False))
-    final = final.select("page_id", "url", "region", "content", F.filter(mine, lambda b: ~template(b)).alias("left"))
-    final = final.select("page_id", "url", "region", F.filter("left", lambda b: b["kept"]).alias("marked"), F.filter("left", lambda b: ~b["gone"] & F.coalesce(F.array_contains("content", b["slot"]), F.lit(False))).alias("induced"))
+    final = final.select("page_id", "url", "region", "inside", "content", F.filter(mine, lambda b: ~template(b)).alias("left"))
+    within = lambda slots, b: F.coalesce(F.array_contains(slots, b["slot"]), F.lit(False))
+    final = final.select(
+        "page_id", "url", "region", F.filter("left", lambda b: b["kept"]).alias("marked"), F.filter("left", lambda b: b["kept"] & within("inside", b)).alias("bounded"),
+        F.filter("left", lambda b: ~b["gone"] & within("content", b)).alias("induced"),
+    )
     chars = lambda blocks: F.aggregate(blocks, F.lit(0).cast("long"), lambda n, b: n + F.length(b["words"]))
-    final = final.withColumn("shared", chars(F.filter("induced", lambda b: b["kept"]))).withColumn("all", chars(F.col("induced")))
-    by_markup = (F.col("all") == 0) | F.col("region") & (2 * F.col("shared") >= F.col("all"))
+    size = F.struct(*(chars(F.col(c)).alias(c) for c in ("marked", "bounded", "induced")), chars(F.filter("induced", lambda b: b["kept"])).alias("shared"))
+    final = final.withColumn("n", size)
     joined = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["words"]), "\n")
-    text = F.when(by_markup, joined("marked")).otherwise(joined("induced"))
+    agreed = F.col("region") & (2 * F.col("n.shared") >= F.col("n.induced"))  # markup names a region that holds the content
+    fits = 2 * F.col("n.bounded") >= F.col("n.marked")  # the host's slots fit this page
+    text = F.when((F.col("n.induced") == 0) | agreed & ~fits, joined("marked")).when(agreed, joined("bounded")).otherwise(joined("induced"))
     more = [joined("marked").alias("markup_text"), joined("induced").alias("slot_text")] if trace else []
     return final.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), *more)
 

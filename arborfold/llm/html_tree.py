@@ -121,6 +121,18 @@ def skeleton(root: Node) -> tuple[str, dict[int, int]]:
     return top[0], number
 
 
+def repeated(root: Node, number: dict[int, int]) -> list[int]:
+    """The numbers of skeleton nodes that stand for several neighbours."""
+    found, todo = set(), [root]
+    while todo:
+        node = todo.pop()
+        kids = [c for c in node.children if not isinstance(c, str)]
+        blocks = [number[id(c)] for c in kids if c.tag in BLOCK and id(c) in number]
+        found |= {a for a, b in zip(blocks, blocks[1:], strict=False) if a == b}
+        todo += kids
+    return sorted(found)
+
+
 @lru_cache(maxsize=4096)
 def read_skeleton(text: str) -> tuple:
     """(tag, number, children) from a skeleton's text."""

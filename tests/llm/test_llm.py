@@ -484,6 +484,97 @@ def test_html_induction_needs_no_names(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def nameless_page(k, rng):
+    """A page without a name or semantic tag, with its article's text: menu, notice, article with a list, comments by
+    readers (a third of the text), a list of other pages with their leads, a footer."""
+    w = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    title, paragraphs, items = w(6), [w(rng.randint(25, 60)) for _ in range(rng.randint(3, 6))], [w(4) for _ in range(rng.choice([0, 3]))]
+    listed = "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>" if items else ""
+    comments = "".join(f"<div><span>{w(2)}</span><p>{w(rng.randint(15, 35))}</p></div>" for _ in range(rng.randint(2, 4)))
+    more = "".join(f"<li><a href=/r{i}>{w(5)}</a><div>{w(9)}</div></li>" for i in range(rng.randint(3, 5)))
+    menu = "".join(f"<div><a href=/{k}{i}>{w(2)}</a></div>" for i in range(5))
+    inner = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) + listed
+    where = rng.random() < 0.5  # comments beside the article, or in its container
+    html = f"<html><body><div>{menu}</div><div>{w(8)}</div><div><div>{inner}{comments if where else ''}</div>{'' if where else f'<div>{comments}</div>'}</div><ul>{more}</ul><div><p>All rights kept by {w(1)}</p></div></body></html>"
+    return html, "\n".join([title, *paragraphs, *items])
+
+
+def test_html_slots_bound_the_content(spark):
+    """Of 240 pages on six hosts, each of which keeps comments in one place, all give the article alone."""
+    rows, want = [], {}
+    for host in range(6):
+        for k in range(40):
+            rng = random.Random(1000 * host + k)
+            rng_random, rng.random = rng.random, lambda host=host: host / 6
+            html, text = nameless_page(k, rng)
+            rng.random = rng_random
+            rows.append((40 * host + k, f"http://h{host}.example/{k}", html))
+            want[40 * host + k] = text
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    good = sum(got[k] == want[k] for k in want)
+    assert good >= 0.98 * len(want), (good, len(want), [(want[k], got[k]) for k in want if got[k] != want[k]][:1])
+
+
+def test_html_edges(spark):
+    page = "<html><body><article><h1>T</h1><p>text</p></article></body></html>"
+    long = "<html><body><article>" + "<p>word word word word</p>" * 50_000 + "</article></body></html>"
+    df = spark.createDataFrame([(None, "http://h/1", page, "x"), (1, "http://h/1", page, "x"), (1, "http://h/1", page, "x"), (2, None, long, "x")], "page_id long, url string, html string, text string")
+    rows = html_extract.extract(df).collect()
+    assert sorted(r["n_chars"] for r in rows) == [6, 6, 6, 50_000 * 20 - 1] and {r["page_id"] for r in rows} == {None, 1, 2}
+
+
+def plain_content(reference, mass, repeats):
+    """What ``content_slots`` gives, by looking at every container in turn."""
+    nodes, parent = [], {}
+
+    def read(node, up):
+        nodes.append(node)
+        parent[node[1]] = up
+        for kid in node[2]:
+            read(kid, node)
+
+    read(html_tree.read_skeleton(reference), None)
+    up = lambda n: [] if n is None else [n, *up(parent[n[1]])]
+    is_group = lambda n: n[1] in repeats and (n[0] == "li" or n[2] and n[0] in html_extract._GROUPS)
+    text = lambda n: sum(plain for slot, (_, plain) in mass.items() if (slot if slot >= 0 else -2 - slot) == n[1])
+    grouped = [n for n in nodes if any(map(is_group, up(n)))]
+    if not sum(map(text, nodes)):
+        return [], []
+    apart = sum(map(text, grouped)) <= sum(text(n) for n in nodes if n not in grouped)
+    counts = lambda n: not (apart and n in grouped)
+    outer = lambda n: is_group(n) and not any(map(is_group, up(parent[n[1]]))) and apart
+    below = lambda n: [m for m in nodes if n in up(m)]
+    whole = sum(text(n) for n in nodes if counts(n))
+    holds = lambda n: sum(text(m) for m in below(n) if counts(m)) >= 0.8 * whole
+    region = max((n for n in nodes if all(m is nodes[0] or m[0] in html_extract._HOLDERS and holds(m) and not outer(m) for m in up(n))), key=lambda n: (len(up(n)), -n[1]))
+    heads = [k for n in up(region)[1:] for k in n[2] if k[0] in html_extract._HEADINGS]
+    inside = [*heads, *below(region)]
+    bare = {k[1] for k in heads}
+    gone = [m for n in below(region) if outer(n) and (n[0] != "li" or n[2]) and not any(m[0] in html_extract._HEADINGS for m in below(n)) for m in below(n)]
+    slots = {s for n in inside for s in ((n[1],) if n[1] in bare else (n[1], -2 - n[1]))}
+    lost = {s for n in gone for s in (n[1], -2 - n[1])}
+    return sorted(slots), sorted(s for s in slots - lost if mass.get(s, (0, 0))[0] <= mass.get(s, (0, 0))[1])
+
+
+def test_content_slots_against_brute_force():
+    rng = random.Random(9)
+
+    def shape(depth):
+        tag = rng.choice(["div", "section", "ul", "p", "li", "h2", "table"]) if depth else "#root"
+        kids = [shape(depth + 1) for _ in range(rng.randint(0, 3) if depth < 4 and tag not in ("p", "h2") else 0)] or ([shape(1)] if not depth else [])
+        return f"{tag}({' '.join(kids)})" if kids else tag
+
+    seen = 0
+    for _ in range(400):
+        reference = shape(0)
+        n = len([t for t in reference.replace("(", " ").replace(")", " ").split()])
+        mass = {s: (rng.choice([0, 0, 50]), rng.choice([0, 5, 100])) for k in range(n) for s in ((k, -2 - k) if rng.random() < 0.2 else (k,)) if rng.random() < 0.7}
+        repeats = {k for k in range(n) if rng.random() < 0.3}
+        assert html_extract.content_slots(reference, mass, repeats) == plain_content(reference, mass, repeats), (reference, mass, repeats)
+        seen += bool(html_extract.content_slots(reference, mass, repeats)[0])
+    assert seen > 300
+
+
 def test_tree_matching_against_brute_force():
     rng = random.Random(2)
 
