@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .url import per_value
+
 MAX_DEPTH = 200
 _NUMBER = re.compile(r"-?[0-9][0-9.eE+-]*")
 _SPACE = re.compile(r"[ \t\n\r]*")
@@ -151,26 +153,24 @@ def _float(x: float) -> str:
 def json_get(text: pa.Array, path: pa.Array) -> pa.Array:
     """The value at a dotted path in its own text form; null for bad JSON and missing paths."""
 
-    def one(t: str | None, p: str | None) -> str | None:
-        if t is None or p is None:
-            return None
+    def one(t: str, p: str) -> str | None:
         try:
             found = get(parse(t), p)
         except JsonError:
             return None
         return None if found is MISSING else dump(found)
 
-    return pa.array([one(t, p) for t, p in zip(text.to_pylist(), path.to_pylist(), strict=True)], pa.string())
+    return per_value(one, pa.string(), text, path)
 
 
 @F.arrow_udf(T.StringType())
 def json_normal(text: pa.Array) -> pa.Array:
     """JSON parsed and written again; null for bad JSON."""
 
-    def one(t: str | None) -> str | None:
+    def one(t: str) -> str | None:
         try:
-            return None if t is None else dump(parse(t))
+            return dump(parse(t))
         except JsonError:
             return None
 
-    return pa.array([one(t) for t in text.to_pylist()], pa.string())
+    return per_value(one, pa.string(), text)

@@ -164,16 +164,26 @@ def _row(make) -> dict | None:
         return {"error": str(e)}
 
 
+def per_value(make, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """What ``make`` gives for the rows of a batch, worked out once for each different row; null where any value is null."""
+    codes = [c.dictionary_encode() for c in columns]
+    at = {}
+    rows = [at.setdefault(row, len(at)) for row in zip(*(c.indices.to_pylist() for c in codes), strict=True)]
+    values = [c.dictionary.to_pylist() for c in codes]
+    made = [None if None in row else make(*(v[k] for v, k in zip(values, row, strict=True))) for row in at]
+    return pa.array(made, kind).take(pa.array(rows, pa.int64()))
+
+
 @F.arrow_udf(PARTS)
 def url_parts(text: pa.Array) -> pa.Array:
     """The parts of a URL and its text, or the error; null for null."""
-    return pa.array([_row(lambda t=t: None if t is None else parse(t)) for t in text.to_pylist()], _PARTS)
+    return per_value(lambda t: _row(lambda: parse(t)), _PARTS, text)
 
 
 @F.arrow_udf(PARTS)
 def url_join(base: pa.Array, text: pa.Array) -> pa.Array:
     """``text`` resolved against ``base``; null where either is null."""
-    return pa.array([_row(lambda b=b, t=t: None if b is None or t is None else join(parse(b), t)) for b, t in zip(base.to_pylist(), text.to_pylist(), strict=True)], _PARTS)
+    return per_value(lambda b, t: _row(lambda: join(parse(b), t)), _PARTS, base, text)
 
 
 def same_origin(a: Column, b: Column) -> Column:

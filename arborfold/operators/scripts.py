@@ -244,7 +244,9 @@ def _pass(first: Step | None, steps: list[Step], ask: Step | None):
                     if tab.alive:
                         tab.do(step)
                 asked = tab.ask(ask) if ask is not None and tab.alive else (None, None, None)
-                rows.append((r["tab"], tab.dump(), tab.html, *asked))
+                # the page goes along only where the answer that comes does not replace it
+                stays = ask is None or ask.op == "req" and tab.alive
+                rows.append((r["tab"], tab.dump(), tab.html if stays else None, *asked))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=[f.split()[0] for f in _STATE.split(", ")])
 
@@ -252,7 +254,7 @@ def _pass(first: Step | None, steps: list[Step], ask: Step | None):
 
 
 def states(steps: list[Step], tabs: DataFrame, pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
-    """Tabs after a run: tab, state (JSON), html. ``tabs`` has tab, and may have url (the page it starts from), vars (a map
+    """Tabs after a run: tab, state (JSON), html (null once a tab has failed). ``tabs`` has tab, and may have url (the page it starts from), vars (a map
     of names to values) and jar (the JSON of a jar)."""
     held = answers(pages, redirects)
     given = lambda c, kind: F.col(c) if c in tabs.columns else F.lit(None).cast(kind)

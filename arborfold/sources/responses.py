@@ -7,17 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.bytes import decode_auto
 from ..functions.url import same_origin, url_join, url_parts
+from . import store
 
 MAX_REDIRECTS = 10
 #: Headers that don't go along to another origin.
 KEPT_HOME = ("authorization", "cookie")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage ends here where the cluster has a checkpoint folder; else the plan grows on."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
-
-
 def with_target(redirects: DataFrame) -> DataFrame:
     """``redirects`` (url, status, location) with the address each leads to; a missing location leads nowhere."""
     return redirects.where(F.col("status").isin(301, 302, 303, 307, 308)).select("url", "status", url_join("url", "location")["href"].alias("target"))
@@ -28,7 +24,7 @@ def chains(redirects: DataFrame, most: int = MAX_REDIRECTS) -> DataFrame:
     (one that leaves the origin), error.
 
     Chains double in length each round, so as many rounds as the cap's bits do, and only redirects are joined, never
-    requests. Repeated addresses count once, by their smallest status and place. Beyond ``most`` hops the error is
+    requests; each round is written to the shared folder and the one before deleted. Repeated addresses count once, by their smallest status and place. Beyond ``most`` hops the error is
     "too many redirects"; a redirect without a place is "protocol", and ends where it stands.
     """
     one = with_target(redirects).groupBy("url").agg(F.min(F.struct("status", "target")).alias("r")).select("url", "r.status", "r.target")
@@ -38,8 +34,9 @@ def chains(redirects: DataFrame, most: int = MAX_REDIRECTS) -> DataFrame:
         "url", F.coalesce("target", "url").alias("target"), F.lit(1).alias("hops"), ((F.col("status") < 304) & ~lost).alias("turned"),
         F.when(lost, False).otherwise(crossed).alias("crossed"), F.when(lost, "protocol").alias("error"),
     )
-    at = _cut(at)
+    at = store.materialise(at, "redirects")
     for _ in range(most.bit_length()):
+        shorter = at
         on = at.select(F.col("url").alias("n_url"), *(F.col(c).alias(f"n_{c}") for c in ("target", "hops", "turned", "crossed", "error")))
         both = at.join(on, (F.col("target") == F.col("n_url")) & F.col("error").isNull(), "left")
         at = both.select(
@@ -47,7 +44,8 @@ def chains(redirects: DataFrame, most: int = MAX_REDIRECTS) -> DataFrame:
             (F.col("turned") | F.coalesce("n_turned", F.lit(False))).alias("turned"), (F.col("crossed") | F.coalesce("n_crossed", F.lit(False))).alias("crossed"),
             F.coalesce("error", "n_error").alias("error"),
         )
-        at = _cut(at)
+        at = store.materialise(at, "redirects")
+        store.drop(shorter)
     return at.withColumn("error", F.when(F.col("hops") > most, "too many redirects").otherwise(F.col("error")))
 
 
