@@ -1,6 +1,7 @@
 import itertools
 import random
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import duckdb
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from arborfold.llm import embedding_dedup, hilbert, html_extract, html_tree, lm_score, minhash_dedup, mixing, packing, sharding, token_files, tokens, topk, toxicity
+from arborfold.llm.shingles import word_hashes
 
 DATA = "/root/testdata/sf0.001"
 SMALL_TEXTS = [None, "", " ", "a", "Hello  world \n x", "It's <|endoftext|> 12.5% é日本 ", "word " * 300, "a" * 3000, "same text here", "same text here"]
@@ -647,8 +649,6 @@ def test_html_template_goes_and_copies_stay(spark):
 
 
 def test_lm_score(spark):
-    from collections import Counter
-
     df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     df = df.unionByName(spark.createDataFrame([(9001, None), (9002, ""), (None, "the the")], "doc_id long, text string"))
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
@@ -663,6 +663,58 @@ def test_lm_score(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def plain_lm_scores(texts):
+    """Scores of (words, train) texts by counts alone (weights of 0), worked out word by word."""
+    hashed = {w: int(word_hashes(w)[1][0]) if w is not None else int(lm_score.END) for t, _ in texts for w in t}
+    learnt = [t for t, train in texts if train]
+    count, pair = Counter(w for t in learnt for w in t), Counter((b, w) for t in learnt for b, w in zip([""] + t[:-1], t, strict=True))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    head = sorted(count, key=lambda w: (-count[w], signed(hashed[w])))[: lm_score.HEAD]
+    rank = {w: k for k, w in enumerate(head)}
+    heads, bands = lm_score.HEAD // lm_score.CLASS, len(lm_score.BANDS)
+    band = lambda c: int(lm_score.band(np.array([c]))[0])
+    cls = lambda w: rank[w] // lm_score.CLASS if w in rank else heads + band(count[w])
+    of_class, of_band, types = Counter(), Counter(), Counter()
+    for w, c in count.items():
+        if w in rank:
+            of_class[rank[w] // lm_score.CLASS] += c
+        else:
+            of_band[band(c)] += c
+            types[band(c)] += 1
+    mass = {k: of_class[k] for k in range(heads) if of_class[k]} | {heads: of_band[1]} | {heads + k: of_band.get(k + 1, 0) for k in range(1, bands) if types[k]}
+    total = sum(m + 0.5 for m in mass.values())
+    seen, kinds, once, twice = Counter(), Counter(), Counter(), Counter()
+    for (b, w), c in pair.items():
+        seen[b, cls(w)] += c
+        kinds[b, cls(w)] += 1
+        once[cls(w)] += c == 1
+        twice[cls(w)] += c == 2
+    out = []
+    for t, _ in texts:
+        score = 0.0
+        for b, w in zip([""] + t[:-1], t, strict=True):
+            k = cls(w)
+            q = count[w] / of_class[k] if w in rank else max(count[w], 1) / max(of_band[band(count[w])] if count[w] else 1, 1)
+            d = (once[k] + 0.5) / (once[k] + 2 * twice[k] + 0.5)
+            n = seen[b, k]
+            p = (max(pair[b, w] - d, 0) + d * kinds[b, k] * q) / n if n else q
+            score += np.log10((mass[k] + 0.5) / total * p)
+        out.append(score)
+    return out
+
+
+def test_lm_scores_against_plain_counts(spark):
+    """More words than the head holds, frequent words that stand before many, and words that training does not have."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(2500)]
+    docs = [(k, " ".join(rng.choice(words[:3] if rng.random() < 0.3 else words[:80] if rng.random() < 0.5 else words) for _ in range(rng.randint(1, 120))), k % 4 != 0) for k in range(200)]
+    docs += [(900, "only here twice only here", False), (901, "", True), (902, None, False)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, train boolean").repartition(5)
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_documents(df, rate=0.0, tokens_a_chunk=700).collect()}
+    want = plain_lm_scores([((t or "").encode().split() + [None], train) for _, t, train in docs])
+    assert np.allclose([got[k] for k, _, _ in docs], want, rtol=1e-4, atol=1e-3)
+
+
 def test_lm_probabilities_add_up():
     counts = [50, 20, 9, 3, 1, 1, 2, 1]
     stats = [float(len(counts)), float(sum(counts))]
@@ -725,6 +777,24 @@ def test_pipeline_copies_go_row_by_row(spark):
     assert got == sorted([rows[0], rows[2], rows[3], rows[5], rows[8], rows[9]], key=str)
 
 
+def test_pipeline_takes_nulls_and_nothing(spark):
+    """Every stage on rows with nulls in any column and on none; columns of the stages' own names are kept or replaced as stated."""
+    import corpus_pipeline
+
+    rows = [(None, None, None, None, None, 1.0), (1, "", "en", None, 0, 2.0), (1, "", "en", None, 0, 2.0), (2, "some words here", None, "s", 15, 3.0), (3, "word " * 5000, "de", "s", 25_000, 4.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, score double")
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), DATA)
+        assert none.count() == 0
+        out = stage(spark, docs, DATA)
+        if name == "packing":
+            assert {r["doc_id"] for r in out.collect()} == {None, 1, 2, 3}
+        else:
+            assert out.columns == none.columns == docs.columns
+            kept = Counter(tuple(r) for r in out.collect())
+            assert set(kept) <= set(rows) and (name == "mixing" or set(kept) == set(rows)) and (name != "near_dedup" or kept[rows[1]] == 2)
+
+
 def test_pipeline_packs_token_ids(spark, docs):
     import corpus_pipeline
 
