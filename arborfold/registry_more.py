@@ -18,7 +18,7 @@ from .streaming import sessions
 _SCRIPT = "regexp_extract(html, '<script>(.*?)</script>', 1)"
 
 
-@query(f"SELECT page_id, 12::BIGINT - 1 AS tokens, replace({_SCRIPT}, ' ', '') AS text FROM pages")
+@query(f"SELECT page_id, 11::BIGINT AS tokens, replace({_SCRIPT}, ' ', '') AS text FROM pages")
 def script_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every page's script: their number, the end among them, and their texts put together again."""
     found = pages.script_tokens(table(spark, sf_dir, "pages")).groupBy("page_id", "script")
@@ -161,6 +161,21 @@ def page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(*(F.lit(got[k]).cast("long").alias(k) for k in ("pages", "bytes_in", "tokens_in", "empty")))
 
 
+_NL = "' || chr(10) || '"
+
+
+@query(f"""SELECT c_custkey AS page_id, 'page ' || chr(39) || c_name || chr(39) || '{_NL}  - navigation{_NL}    - list{_NL}      - link #1 ' || chr(39) || 'Next' || chr(39) || ' -> /n' || c_custkey || '{_NL}  - heading ' || chr(39) || 'No ' || c_custkey || chr(39)
+  || '{_NL}  - paragraph ' || chr(39) || substr(repeat(c_name, 10), 1, 120) || chr(39) || '{_NL}  - form [id=f]{_NL}    - textbox #2 [name=q] [placeholder=Find]{_NL}    - checkbox #3 [type=checkbox]{_NL}    - combobox #4 [name=s]{_NL}      - option ' || chr(39) || c_mktsegment || chr(39)
+  || '{_NL}  - table{_NL}    - cell ' || chr(39) || c_custkey || chr(39) || '{_NL}    - image -> /i.png [alt=pic]{_NL}' AS snapshot, 4::BIGINT AS actions FROM customer""")
+def snapshot_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole snapshots of pages with every kind of line: title, wrappers that vanish, long text, controls, images, skipped parts."""
+    c = table(spark, sf_dir, "customer")
+    html = """concat('<html><head><title>', c_name, '</title><style>p {}</style></head><body><nav><ul><li><a href="/n', c_custkey, '">Next</a></ul></nav><div><h2>No <b>', c_custkey, '</b></h2><section><p>', repeat(c_name, 10), '</p></section></div><form id="f"><input name="q" placeholder="Find"><input type="checkbox"',
+      if(c_acctbal > 0, ' checked', ''), '><select name="s"><option>', c_mktsegment, '</select></form><table><tr><td>', c_custkey, '<td><img alt="pic" src="/i.png"></table><noscript>no</noscript><!-- c -->')"""
+    shots = c.select(F.col("c_custkey").alias("page_id"), page_snapshot(F.expr(html)).alias("snapshot"))
+    return shots.withColumn("actions", F.size(F.regexp_extract_all("snapshot", F.lit("- [a-z-]+ (#[0-9]+)"), 1)).cast("long"))
+
+
 # Cookies, files, streams --------------------------------------------------------------------------------------------
 
 _SITES = ["https://a.example.com/x/y", "http://b.example.com/x", "https://example.com/", "https://other.org/p/q"]
