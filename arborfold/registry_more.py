@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import registry
 from .functions import patterns, sql, text
+from .functions.bytes import decode_auto, response_body
+from .functions.regexes import to_java
 from .functions.snapshot import page_snapshot
 from .operators import cookies, metrics, pages, scripts
 from .registry import query, table
-from .sources import files, store
+from .sources import files, responses, store
 from .streaming import sessions
 
 # Scripts ------------------------------------------------------------------------------------------------------------
@@ -161,6 +163,49 @@ def page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(*(F.lit(got[k]).cast("long").alias(k) for k in ("pages", "bytes_in", "tokens_in", "empty")))
 
 
+_DIALECT = [("boundary", r"\b[a-z]+(?:tion|ung|ción)\b", "i"), ("group", r"(\w+) (?:the|der|la|le) (\w)", ""), ("line", r"^[A-Z]\S*$", "m"), ("lazy", r"a.+?e{1,2}", "s"), ("end", r"[^\s.]+\.?$", ""), ("odd", r"[\d-x]{2,}|a{|\u0041b", "")]
+_RE2 = {"boundary": "(?i)\\b[a-z]+(?:tion|ung|ción)\\b", "group": "([0-9A-Za-z_]+) (?:the|der|la|le) ([0-9A-Za-z_])", "line": "(?m)^[A-Z][^ \\t\\n\\r\\f\\v]*$", "lazy": "(?s)a.+?e{1,2}", "end": "[^ \\t\\n\\r\\f\\v.]+\\.?\\z", "odd": "[0-9\\-x]{2,}|a\\{|Ab"}
+
+
+@query("SELECT doc_id, " + ", ".join(f"regexp_extract(text, '{p}') AS {k}" for k, p in _RE2.items()) + " FROM documents WHERE text IS NOT NULL")
+def regex_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First matches of patterns of the script dialect, rewritten for the JVM's engine, without a Python worker."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", *(F.regexp_extract("text", to_java(p, flags), 0).alias(k) for k, p, flags in _DIALECT))
+
+
+def _little(n: Column, size: int) -> Column:
+    """A number as ``size`` bytes, the lowest first."""
+    digits = F.lpad(F.hex(n.cast("long")), 2 * size, "0")
+    return F.unhex(F.concat(*(F.substring(digits, 2 * k - 1, 2) for k in range(size, 0, -1))))
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN '' WHEN 1 THEN substr(text, 1, 10) ELSE text END AS body, (CASE doc_id % 5 WHEN 3 THEN 2 ELSE 3 END)::INTEGER AS headers, 'a=1,b=2' AS cookies
+FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F\\x{A0}-\\x{FF}]', '', 'g') AS text FROM documents WHERE text IS NOT NULL)""")
+def response_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses put together by turns as chunks, with a stated length, gzipped, without a body and in 16 bits, read back as text;
+    headers of any case, some repeated."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", "[^\\x00-\\x7F\\xA0-\\xFF]", "").alias("text"))
+    data, size, k = F.col("text").cast("binary"), F.octet_length("text"), F.col("doc_id") % 5
+    bytes_of = lambda t: F.lit(t).cast("binary")
+    chunks = F.concat(F.lower(F.hex(size.cast("long"))).cast("binary"), bytes_of(";x=y\r\n"), data, bytes_of("\r\n0\r\nt: 1\r\n\r\n"))
+    chunks = F.when(size == 0, bytes_of("0\r\n\r\n")).otherwise(chunks)
+    most = 65_535  # bytes of a block that is stored as it is
+    n = F.greatest(F.lit(1), F.ceil(size / most).cast("int"))
+    length = lambda i: F.least(F.lit(most), size - i * most)
+    block = lambda i: F.concat(F.when(i == n - 1, F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), _little(length(i), 2), _little(most - length(i), 2), F.substring(data, i * most + 1, F.lit(most)))
+    blocks = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), block), F.lit(b""), lambda a, b: F.concat(a, b))
+    stored = F.concat(F.unhex(F.lit("1f8b0800000000000003")), blocks, _little(F.crc32(data), 4), _little(size, 4))
+    raw = F.when(k == 0, chunks).when(k == 2, stored).when(k == 4, F.encode("text", "UTF-16LE")).otherwise(data)
+    stated = F.octet_length(F.substring("text", 1, 10)).cast("string")
+    head = F.when(k == 0, "Transfer-Encoding: Chunked").when(k == 1, F.concat(F.lit("Content-Length: "), stated)).when(k == 2, "CONTENT-ENCODING: gzip").when(k == 4, "Content-Type: text/plain; charset=UTF-16LE")
+    lines = F.concat_ws("\r\n", F.lit("HTTP/1.1 200 OK"), F.lit("Set-Cookie: a=1"), head, F.lit("set-cookie:b=2"))
+    r = d.select("doc_id", F.when(k == 3, 204).otherwise(200).alias("status"), responses.parse_headers(lines).alias("headers"), raw.alias("raw"))
+    body = decode_auto(response_body("status", "headers", "raw"), F.get(F.filter("headers", lambda h: h["name"] == "content-type"), F.lit(0))["value"])
+    cookie = F.array_join(F.transform(F.filter("headers", lambda h: h["name"] == "set-cookie"), lambda h: h["value"]), ",")
+    return r.select("doc_id", body.alias("body"), F.size("headers").alias("headers"), cookie.alias("cookies"))
+
+
 _NL = "' || chr(10) || '"
 
 
