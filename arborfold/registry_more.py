@@ -10,7 +10,10 @@ from .functions import patterns, sql, text
 from .functions.bytes import decode_auto, response_body
 from .functions.regexes import to_java
 from .functions.snapshot import page_snapshot
+from .functions.url import same_origin, url_join, url_parts
 from .operators import cookies, metrics, pages, scripts
+from .operators.nodes import dom_nodes
+from .plans import selectors
 from .registry import query, table
 from .sources import files, responses, store
 from .streaming import sessions
@@ -221,6 +224,39 @@ def snapshot_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shots.withColumn("actions", F.size(F.regexp_extract_all("snapshot", F.lit("- [a-z-]+ (#[0-9]+)"), 1)).cast("long"))
 
 
+_JOINS = [("../x", "http://h.example/a/x"), ("./y?z=1", "http://h.example/a/b{}/y?z=1"), ("//user@h2.example:8443/p", "http://h2.example:8443/p"), ("?q=2", "http://h.example/a/b{}/c?q=2"), ("#f", "http://h.example/a/b{}/c?d#f"),
+  ("https://H.example:443", "https://h.example:443/"), ("", "http://h.example/a/b{}/c?d"), ("/r/../s//t/.", "http://h.example/s//t/"), ("g;x=1/../y", "http://h.example/a/b{}/y"), ("../../../up", "http://h.example/up"), ("http://[::1]:80/z", "http://[::1]:80/z")]
+
+
+@query(f"""WITH j AS (SELECT event_id, replace([{", ".join(f"'{t}'" for _, t in _JOINS)}][event_id % {len(_JOINS)} + 1], '{{}}', event_id::VARCHAR) AS url FROM events)
+SELECT event_id, url, regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), ':(80|443)$', '') AS host, regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS target, regexp_matches(url, '^http://h[.]example/') AS same FROM j""")
+def url_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of every form resolved against a base, with what a request would name and whether the origin is the same."""
+    refs = F.array(*(F.lit(r) for r, _ in _JOINS))
+    base = F.concat(F.lit("HTTP://h.example/a/b"), F.col("event_id").cast("string"), F.lit("/c?d#e"))
+    e = table(spark, sf_dir, "events").select("event_id", base.alias("base"), F.get(refs, (F.col("event_id") % len(_JOINS)).cast("int")).alias("ref"))
+    e = e.select("event_id", url_parts("base").alias("b"), url_join("base", "ref").alias("u"))
+    return e.select("event_id", F.col("u.href").alias("url"), text.authority(F.col("u")).alias("host"), text.request_target(F.col("u")).alias("target"), same_origin(F.col("b"), F.col("u")).alias("same"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS tab, unnest([1, 2, 3, 4, 5])::INTEGER AS line, unnest(['extract', 'submit', 'expect', 'dom', 'click']) AS op, unnest(['textarea', '-f #f -d who=' || c_name, 'thanks ' || c_name, '', '#9']) AS arg,
+  unnest(['200', '200', '200', '200', '200']) AS status, unnest(['true', 'true', 'true', 'true', 'false']) AS ok FROM customer""")
+def audit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's audit as JSON lines, read back; times are left out, as they are the clock's."""
+    lines = scripts.audit_lines(registry._script(spark, sf_dir))
+    return lines.select("tab", F.col("seq").alias("line"), *(F.get_json_object("line", f"$.{k}").alias(k) for k in ("op", "arg", "status", "ok")))
+
+
+@query("SELECT page_id, least(1, len(regexp_extract_all(html, '<li>')))::BIGINT AS first, len(regexp_extract_all(html, '<li>'))::BIGINT AS linked FROM pages")
+def node_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which stored nodes match a selector, and which stand within a hit of another."""
+    nodes = store.materialise(dom_nodes(spark, sf_dir), "nodes")
+    items = nodes.where("tag = 'li'")
+    first = selectors.matched(nodes, items, "nav li:first-child").groupBy("page_id").agg(F.count("*").alias("first"))
+    linked = selectors.within(selectors.select(nodes, "a"), selectors.select(nodes, "li")).groupBy("page_id").agg(F.count("*").alias("linked"))
+    return first.join(linked, "page_id")
+
+
 # Cookies, files, streams --------------------------------------------------------------------------------------------
 
 _SITES = ["https://a.example.com/x/y", "http://b.example.com/x", "https://example.com/", "https://other.org/p/q"]
