@@ -350,8 +350,73 @@ class Page:
         return next((x for x in reversed(found) if x[0] == "link"), found[-1] if found else None)
 
 
-#: The fields of a post-back.
+    def statements(self) -> list[tuple[Node, dict[str, Node]]]:
+        """The expressions that stand as statements of their own in the page's scripts, outside functions, loops and
+        branches, with the names their script declares as const."""
+        out = []
+        for _, root, _ in self.trees():
+            known = constants(root) if root else {}
+            out += [(s.get("value"), known) for s in root.all("item") if s.kind == "expression"] if root else []
+        return out
+
+    def write(self, node: Node, known: dict[str, Node]) -> tuple[Row, str, str, str | None] | None:
+        """(element, edit, name, value) of a statement that plainly writes: an assignment or call on an element found as in
+        ``script_requests``, with values its text tells. Edits: text, html, append (parsed HTML), set and unset (an attribute), remove."""
+        try:
+            return self._write(node, known)
+        except (Unknown, AttributeError):
+            return None
+
+    def _write(self, node: Node, known: dict[str, Node]) -> tuple[Row, str, str, str | None] | None:
+        if node.kind == "assign" and node.value == "=" and node.get("target").kind == "member":
+            target, name = node.get("target").get("object"), node.get("target").value
+            value = value_of(node.get("value"), known)
+            if dotted(node.get("target")) in ("document.title", "window.document.title"):
+                title = next((r for r in self.rows if r.tag == "title"), None)
+                return (title, "text", "", text_of(value)) if title else None
+            if target.kind == "member" and target.value == "style":
+                r, pairs = self._target(target.get("object"), known), []
+                if r is None:
+                    return None
+                key = re.sub("[A-Z]", lambda m: f"-{m[0].lower()}", name)
+                pairs = [p for p in (d.partition(":") for d in (attr(r, "style") or "").split(";")) if p[1] and p[0].strip().lower() != key]
+                pairs += [(key, ":", text_of(value))] if text_of(value) else []
+                return r, "set", "style", " ".join(f"{k.strip()}: {v.strip()};" for k, _, v in pairs)
+            r = self._target(target, known)
+            if r is None:
+                return None
+            if name in ("textContent", "innerText"):
+                return r, "text", "", text_of(value)
+            if name == "innerHTML":
+                return r, "html", "", text_of(value)
+            if name in FLAGS:
+                return r, "set" if value else "unset", name, "" if value else None
+            return (r, "set", WRITTEN[name], text_of(value)) if name in WRITTEN else None
+        if node.kind != "call" or node.get("callee").kind != "member":
+            return None
+        callee, given = node.get("callee"), [text_of(value_of(a, known)) for a in node.all("argument")]
+        of, name = callee.get("object"), callee.value
+        if of.kind == "member" and of.value == "classList" and name in ("add", "remove") and given:
+            r = self._target(of.get("object"), known)
+            held = _tokens(attr(r, "class") or "")
+            left = [t for t in held if t not in given] if name == "remove" else [*held, *(t for t in dict.fromkeys(given) if t not in held)]
+            return r, "set", "class", " ".join(left)
+        r = self._target(of, known)
+        if r is None:
+            return None
+        if name == "setAttribute" and len(given) == 2:
+            return r, "set", given[0].lower(), given[1]
+        if name == "removeAttribute" and given:
+            return r, "unset", given[0].lower(), None
+        if name == "insertAdjacentHTML" and len(given) == 2 and given[0].lower() == "beforeend":
+            return r, "append", "", given[1]
+        return (r, "remove", "", None) if name == "remove" and not given else None
+
+
+#: The fields of a post-back, properties that are attributes, and those that are there or not.
 POSTBACK = ("__EVENTTARGET", "__EVENTARGUMENT")
+WRITTEN = {"id": "id", "className": "class", "value": "value", "href": "href", "src": "src", "title": "title", "name": "name", "alt": "alt", "type": "type", "lang": "lang"}
+FLAGS = ("checked", "disabled", "hidden", "selected")
 
 
 def set_attr(attrs: list[tuple[str, str]], name: str, value: str) -> None:

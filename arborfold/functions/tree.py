@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .html import VOID, Row, _finish, parse
-from .page import match, set_attr
+from .page import Page, match, set_attr
 
 
 class Node:
@@ -159,3 +159,31 @@ def edit(root: Node, op: str, selector: str, arg: str | None = None, value: str
             n.parent.insert(new, n)
             new.insert(n)
     return len(hits)
+
+
+def written(page: Page) -> tuple[str, int]:
+    """(HTML of a page after what its scripts plainly write, how many writes there were); each sees what those before it left."""
+    done = 0
+    for statement in page.statements():
+        found = page.write(*statement)
+        if found is None:
+            continue
+        row, what, name, value = found
+        nodes = from_rows(page.rows)
+        n = nodes[row.node_id]
+        if what == "set":
+            n.set(name, value or "")
+        elif what == "unset":
+            n.unset(name)
+        elif what == "remove":
+            n.detach()
+        else:
+            if what != "append":
+                n.clear()
+            if what == "text" and value:
+                n.insert(Node("text", text=value))
+            elif what != "text":
+                n.insert(fragment(value or ""))
+        page.rows = to_rows(nodes[0])
+        done += 1
+    return from_rows(page.rows)[0].outer_html(), done

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import parse
@@ -79,3 +79,25 @@ def text_content(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     firsts = [F.first(c).alias(c) for c in keys if c not in ("page_id", "node_id")]
     ordered = F.array_sort(F.collect_list(F.when(F.col("t_node").isNotNull(), F.struct("t_node", "t_text"))))
     return joined.agg(*firsts, collapse_ws(F.array_join(F.transform(ordered, lambda x: x["t_text"]), " ")).alias("text"))
+
+
+def navigate(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with what a script would reach from each: parent_tag, first_child, last_child, children (of any kind), first_element,
+    last_element, previous, next (siblings of any kind), previous_element, next_element: ids, null where there is none.
+
+    One shuffle by page; siblings are windows over it. Repeated pages must have ids of their own.
+    """
+    rows = nodes.repartition("page_id")
+    here = Window.partitionBy("page_id", "parent_id").orderBy("ord")
+    element = F.when(F.col("kind") == "element", F.col("node_id"))
+    before, after = here.rowsBetween(Window.unboundedPreceding, -1), here.rowsBetween(1, Window.unboundedFollowing)
+    beside = rows.withColumn("previous", F.lag("node_id").over(here)).withColumn("next", F.lead("node_id").over(here))
+    beside = beside.withColumn("previous_element", F.last(element, ignorenulls=True).over(before)).withColumn("next_element", F.first(element, ignorenulls=True).over(after))
+    inside = rows.where("parent_id IS NOT NULL").groupBy("page_id", F.col("parent_id").alias("node_id")).agg(
+        F.min_by("node_id", "ord").alias("first_child"), F.max_by("node_id", "ord").alias("last_child"), F.count("*").alias("children"),
+        F.min_by("node_id", F.when(F.col("kind") == "element", F.col("ord"))).alias("first_element"), F.max_by("node_id", F.when(F.col("kind") == "element", F.col("ord"))).alias("last_element"),
+    )
+    above = rows.select("page_id", F.col("node_id").alias("parent_id"), F.col("tag").alias("parent_tag"))
+    out = beside.join(inside, ["page_id", "node_id"], "left").join(above, ["page_id", "parent_id"], "left")
+    more = ["parent_tag", "first_child", "last_child", F.coalesce("children", F.lit(0)).alias("children"), "first_element", "last_element", "previous", "next", "previous_element", "next_element"]
+    return out.select(*nodes.columns, *more)

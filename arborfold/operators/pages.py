@@ -334,6 +334,11 @@ def edit(pages: DataFrame, edits: list[tuple]) -> DataFrame:
     return per_page(pages, make, "page_id long, url string, html string, edited int")
 
 
+def written(pages: DataFrame) -> DataFrame:
+    """Pages after what their own scripts plainly write (``Page.write``), scripts left in: page_id, url, html, writes."""
+    return per_page(pages, lambda page_id, page: [(page_id, page.at, *tree.written(page))], "page_id long, url string, html string, writes int")
+
+
 def script_sources(pages: DataFrame, responses: DataFrame, most: int = 32) -> DataFrame:
     """What pages would run: page_id, seq, src (its address, null for inline), body (inline, or that of the source's response).
 

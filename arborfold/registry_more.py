@@ -12,7 +12,7 @@ from .functions.regexes import to_java
 from .functions.snapshot import page_snapshot
 from .functions.url import same_origin, url_join, url_parts
 from .operators import cookies, metrics, pages, scripts
-from .operators.nodes import dom_nodes
+from .operators.nodes import dom_nodes, navigate
 from .plans import selectors
 from .registry import query, table
 from .sources import files, responses, store
@@ -72,6 +72,25 @@ def script_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.script_sources(c.selectExpr("c_custkey AS page_id", "concat('https://shop.example/c/', c_custkey) AS url", f"{html} AS html"), held)
 
 
+@query("""SELECT c_custkey AS page_id, (CASE WHEN c_acctbal > 0 THEN 5 ELSE 4 END)::INTEGER AS writes, '<h1 class="on">' || c_name || ' &lt;' || c_mktsegment || '&gt;</h1>' || CASE WHEN c_acctbal > 0 THEN '' ELSE '<p id="p">low</p>' END || '<div id="d" title="n' || c_custkey || '"><b>' || c_mktsegment || '</b></div>' AS body FROM customer""")
+def script_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages after what their scripts plainly write: text, attributes, parsed HTML, a removed element."""
+    html = """concat('<h1>old</h1><p id="p">low</p><div id="d">x</div><script>const h = document.querySelector("h1"), d = document.getElementById("d"); h.textContent = "', c_name, ' <" + "', c_mktsegment, '>"; h.className = "on"; d.innerHTML = "<b>', c_mktsegment, '</b>"; d.setAttribute("title", `n${', c_custkey, '}`); ',
+      if(c_acctbal > 0, 'document.querySelector("#p").remove()', 'function later() { h.remove() }'), '</script>')"""
+    done = pages.written(table(spark, sf_dir, "customer").selectExpr("c_custkey AS page_id", "'https://shop.example/' AS url", f"{html} AS html"))
+    return done.select("page_id", "writes", F.substring_index("html", "<script>", 1).alias("body"))
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, '<li>'))::BIGINT AS items, len(regexp_extract_all(html, '<li>'))::BIGINT - 1 AS followed, 'ul' AS holder, 1::BIGINT AS lists FROM pages""")
+def node_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What scripts would reach from stored nodes: items of the menu, those with a next element, what they stand in, lists whose last
+    element is the menu's last item."""
+    nav = navigate(dom_nodes(spark, sf_dir))
+    items = nav.where("tag = 'li'").groupBy("page_id").agg(F.count("*").alias("items"), F.count("next_element").alias("followed"), F.max("parent_tag").alias("holder"), F.max("node_id").alias("last"))
+    lists = nav.where("tag = 'ul'").select("page_id", "last_element")
+    return items.join(lists, "page_id").where("last = last_element").groupBy("page_id", "items", "followed", "holder").agg(F.count("*").alias("lists"))
+
+
 # Patterns, SQL functions, text --------------------------------------------------------------------------------------
 
 _WORD_PAIR = "\\b([a-z]+)(ing|tion) ([a-z]{2,4})\\b"

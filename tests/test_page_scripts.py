@@ -141,3 +141,33 @@ def test_relations_of_scripts(spark):
     nodes = pages.script_nodes(df).where("page_id = 1").orderBy("script", "node").collect()
     assert [(r["script"], r["node"], r["parent"], r["part"], r["kind"], r["value"]) for r in nodes[:5]] == [(0, 0, None, None, "program", None), (0, 1, 0, "item", "expression", None), (0, 2, 1, "value", "call", None), (0, 3, 2, "callee", "name", "a"), (0, 4, 2, "argument", "number", "1")]
     assert nodes[5]["kind"] == "error" and nodes[5]["value"].startswith("unexpected token at 2")
+
+
+WRITING = """<title>old</title><p id="a" class="x y">one</p><p id="b" hidden>two</p><input id="c" type="checkbox"><div id="d"></div><script>
+document.title = "new"; const a = document.getElementById("a"), by = document.querySelector("#b"); a.textContent = "1 < 2"; a.classList.add("z", "x"); a.classList.remove("y"); a.style.backgroundColor = "red"; a.style.color = "blue"; a.style.color = "";
+by.hidden = false; by.title = `t${1}`; document.getElementById("c").checked = true; document.querySelector("#d").innerHTML = "<b>hi</b>"; document.querySelector("#d b").setAttribute("Data-K", "v" + 1); document.getElementById("d").insertAdjacentHTML("beforeend", "<i>x</i>");
+by.remove(); by.title = "gone"; a.title = unknown; if (1) { a.textContent = "no" } function f() { a.remove() } document.body.remove(); a.removeAttribute("id"); x = y; 1 + 1; a.foo = 3; a.title = {}; document.querySelector("[").remove()
+</script>"""
+
+
+def test_plain_writes(spark):
+    from arborfold.functions.tree import written
+
+    html, n = written(Page(WRITING, "http://h/"))
+    assert html.split("<script>")[0] == '<title>new</title><p class="x z" style="background-color: red;">1 &lt; 2</p><input id="c" type="checkbox" checked=""><div id="d"><b data-k="v1">hi</b><i>x</i></div>' and n == 15
+    df = spark.createDataFrame([(1, "http://h/", WRITING), (2, None, None), (3, "http://h/", "<p id=p>x</p><script>broken(</script>")], "page_id long, url string, html string")
+    rows = {r["page_id"]: r for r in pages.written(df).collect()}
+    assert rows[1]["writes"] == 15 and rows[2]["html"] == "" and rows[3]["writes"] == 0 and rows[3]["html"].startswith('<p id="p">x</p>')
+
+
+def test_navigation(spark):
+    from arborfold.operators.nodes import navigate, parse_pages
+
+    df = spark.createDataFrame([(1, "<ul>t<li>a</li><!--c--><li>b</li></ul><p></p>"), (2, None)], "page_id long, html string")
+    rows = {(r["page_id"], r["node_id"]): r for r in navigate(parse_pages(df)).collect()}
+    assert len(rows) == 10
+    pick = lambda page, node: tuple(rows[page, node][c] for c in ("tag", "parent_tag", "first_child", "last_child", "children", "first_element", "last_element", "previous", "next", "previous_element", "next_element"))
+    assert pick(1, 0) == (None, None, 1, 8, 2, 1, 8, None, None, None, None)
+    assert pick(1, 1) == ("ul", None, 2, 6, 4, 3, 6, None, 8, None, 8)
+    assert pick(1, 3) == ("li", "ul", 4, 4, 1, None, None, 2, 5, None, 6) and pick(1, 6)[7:] == (5, None, 3, None) and pick(1, 2)[7:] == (None, 3, None, 3)
+    assert pick(2, 0)[1:] == (None, None, None, 0, None, None, None, None, None, None)
