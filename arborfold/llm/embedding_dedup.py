@@ -40,6 +40,7 @@ FROM v LEFT JOIN comp ON comp.u = vec_id LEFT JOIN n ON n.u = vec_id
 
 LEAF = 64
 GROUP = 8  # blocks that travel together
+ROUNDING = 1e-5  # more than products in single precision are off
 SLACK = 1e-7  # distances from products of unit vectors are good to about 1e-8; the bounds get this much more
 
 
@@ -118,10 +119,11 @@ def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bounded(points: np.ndarray) -> np.ndarray:
-    """The first quarter of each vector and the length of the rest: products of these are no less than those of the vectors."""
+    """The first quarter of each vector and the length of the rest, in single precision: products of these are no less than those
+    of the vectors, but for ``ROUNDING``."""
     cut = max(1, points.shape[1] // 4)
     rest = points[:, cut:]
-    return np.concatenate([points[:, :cut], np.sqrt((rest * rest).sum(axis=1))[:, None]], axis=1)
+    return np.concatenate([points[:, :cut], np.sqrt((rest * rest).sum(axis=1))[:, None]], axis=1).astype(np.float32)
 
 
 @lru_cache(maxsize=32)
@@ -133,7 +135,7 @@ def _tree(data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray, Node]:
 def links_between(x: np.ndarray, y: np.ndarray, short_x: np.ndarray, short_y: np.ndarray, threshold: float) -> np.ndarray:
     """Whether the cosine of each two unit vectors reaches the threshold. Where the products of their ``bounded`` forms leave few
     pairs, these alone are worked out in full."""
-    maybe = short_x @ short_y.T >= threshold - SLACK
+    maybe = short_x @ short_y.T >= np.float32(threshold - ROUNDING)
     n = np.count_nonzero(maybe)
     if n * 16 > maybe.size:
         return x @ y.T >= threshold
@@ -197,7 +199,8 @@ def near_duplicates(data: DataFrame, threshold: float = 0.95, sample: int = 4096
     for batch in classes.orderBy(F.xxhash64("rep")).limit(sample).select("embedding").toArrow().to_batches():
         for dim, (_, m) in dense(batch.column(0)).items():
             centres.setdefault(dim, []).append(m)
-    centres = {dim: _centres(_unit(np.concatenate(m)), reach) for dim, m in centres.items()}
+    most = max(16, min(256, classes.count() // (2 * block)))  # cells of a block or two at least
+    centres = {dim: _centres(_unit(np.concatenate(m)), reach, most) for dim, m in centres.items()}
     first = {dim: sum(len(c) for d, c in centres.items() if d < dim) for dim in centres}
     sent = spark.sparkContext.broadcast((centres, first))
 
