@@ -132,17 +132,16 @@ def _tree(data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray, Node]:
     return points, bounded(points), build(points)
 
 
-def links_between(x: np.ndarray, y: np.ndarray, short_x: np.ndarray, short_y: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether the cosine of each two unit vectors reaches the threshold. Where the products of their ``bounded`` forms leave few
-    pairs, these alone are worked out in full."""
+def links_between(x: np.ndarray, y: np.ndarray, short_x: np.ndarray, short_y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (row of x, row of y) of unit vectors whose cosine reaches the threshold. Where the products of their ``bounded``
+    forms leave few pairs, these alone are worked out in full."""
     maybe = short_x @ short_y.T >= np.float32(threshold - ROUNDING)
     n = np.count_nonzero(maybe)
     if n * 16 > maybe.size:
-        return x @ y.T >= threshold
-    if n:
-        r, c = np.nonzero(maybe)
-        maybe[r, c] = np.einsum("ij,ij->i", x[r], y[c]) >= threshold
-    return maybe
+        return np.nonzero(x @ y.T >= threshold)
+    r, c = np.nonzero(maybe) if n else (np.empty(0, int), np.empty(0, int))
+    linked = np.einsum("ij,ij->i", x[r], y[c]) >= threshold
+    return r[linked], c[linked]
 
 
 def block_links(ids_a, mult_a, data_a: bytes, ids_b, mult_b, data_b: bytes, dim: int, threshold: float, same: bool):
@@ -151,17 +150,20 @@ def block_links(ids_a, mult_a, data_a: bytes, ids_b, mult_b, data_b: bytes, dim:
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
     na, nb, edges = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), []
     for p, q in node_pairs(ta, tb, x, y, reach):
-        linked = links_between(x[p.rows], y[q.rows], short_x[p.rows], short_y[q.rows], threshold)
+        r, c = links_between(x[p.rows], y[q.rows], short_x[p.rows], short_y[q.rows], threshold)
         if same:
-            linked &= p.rows[:, None] != q.rows[None, :]
-        if not linked.any():
+            apart = p.rows[r] != q.rows[c]
+            r, c = r[apart], c[apart]
+        if not len(r):
             continue
-        na[p.rows] += linked @ mult_b[q.rows]
+        na += np.bincount(p.rows[r], mult_b[q.rows[c]], len(x)).astype(np.int64)
         if not same:
-            nb[q.rows] += mult_a[p.rows] @ linked
+            nb += np.bincount(q.rows[c], mult_a[p.rows[r]], len(y)).astype(np.int64)
+        (own, i), (other, j) = np.unique(r, return_inverse=True), np.unique(c, return_inverse=True)
+        linked = np.zeros((len(own), len(other)), bool)
+        linked[i, j] = True
         rows, cols = forest(linked)
-        r, c = np.flatnonzero(rows >= 0), np.flatnonzero(cols >= 0)
-        edges += [(ids_a[p.rows[r]], ids_a[p.rows[rows[r]]]), (ids_b[q.rows[c]], ids_a[p.rows[cols[c]]])]
+        edges += [(ids_a[p.rows[own]], ids_a[p.rows[own[rows]]]), (ids_b[q.rows[other]], ids_a[p.rows[own[cols]]])]
     return na, nb, edges
 
 
