@@ -94,8 +94,8 @@ def best_fit_decreasing(counts: dict[int, int], window: int) -> list[tuple[int,
     return runs
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode each text, append ``end_id`` and cut full windows off overlong documents.
+def cut_pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", words: int = 600_000) -> DataFrame:
+    """Encode each text, append ``end_id`` and cut full windows off overlong documents. A worker keeps the ids of ``words`` words.
 
     Rows: doc_id, start, length, doc_tokens, ids (unsigned 32-bit, little-endian), part (the writing task), nth
     (the piece's rank among the task's pieces of its length). Written to the shared folder, so part and nth hold.
@@ -103,7 +103,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int
     end = np.array([end_id], "<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), [0] * (window + 1)
+        enc, part, seen = encoder(tokenizer, words), TaskContext.get().partitionId(), [0] * (window + 1)
         rows, size = [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -174,8 +174,9 @@ def padded_length(used: int, window: int = 2048) -> int:
 
 
 def pack_digest(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -> DataFrame:
-    """As ``pack_documents``, with the ids' crc32 in place of the ids, so only small rows are shuffled."""
-    pieces = cut_pieces(docs, tokenizer, window, end_id)
+    """As ``pack_documents``, with the ids' crc32 in place of the ids, so only small rows are shuffled; that leaves room for more
+    words in a worker's memory (some 100 bytes each)."""
+    pieces = cut_pieces(docs, tokenizer, window, end_id, words=1_200_000)
     return place(with_crc(pieces, "ids").drop("n_ids"), pieces, window)
 
 

@@ -93,5 +93,5 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, limit: int = 600_000) -> Encoder:
+    return Encoder(path, limit)
