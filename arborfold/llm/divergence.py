@@ -174,6 +174,8 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, most: int = TERMS, chunk: in
     tile = ["lang", "low", "high", "span"]
     pairs = frame.repartition(*tile).sortWithinPartitions(*tile, "chunk", "block", "source").mapInArrow(_tiles, PAIRS)
     pairs = common.materialise(pairs.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")), "divergence-pairs")
+    for t in (counts, kept, langs, terms):
+        common.drop_table(t)
     pairs = pairs.unionByName(pairs.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value"))
 
     stand = cells.join(groups.drop("chunks", "block"), ["lang", "source"])
