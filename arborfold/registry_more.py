@@ -14,7 +14,7 @@ from .functions.url import same_origin, url_join, url_parts
 from .operators import cookies, metrics, pages, scripts
 from .operators.nodes import dom_nodes, navigate
 from .plans import selectors
-from .registry import query, table
+from .registry import query, spread, table
 from .sources import files, responses, store
 from .streaming import sessions
 
@@ -110,7 +110,8 @@ def pattern_fuel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pattern whose steps double with each letter ends, in an error, once its fuel is burnt."""
     subject = F.concat(F.repeat(F.lit("a"), F.col("p_size") % 25), F.lit("!"))
     m = patterns.regex_exec(subject, F.lit("(a+)+$"), F.lit(""), F.lit(10_000))
-    return table(spark, sf_dir, "part").select("p_partkey", m["error"].alias("error"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return spread(parts, "p_partkey").select("p_partkey", m["error"].alias("error"))
 
 
 @query("SELECT doc_id, string_split_regex(text, '[.!?]+ ')::VARCHAR[] AS parts FROM (SELECT doc_id, regexp_replace(text, '[.!?]+ $', '') || '' AS text FROM documents) WHERE text <> ''", "split_patterns")
