@@ -23,15 +23,16 @@ from ..functions.script_tree import walk as walk_tree
 BATCH = 20_000
 
 
-def per_page(pages: DataFrame, make: Callable[[int, Page], Iterable[tuple]], schema: str) -> DataFrame:
-    """The rows that ``make`` (page_id, parsed page) gives for each page; null html is an empty page."""
+def per_page(pages: DataFrame, make: Callable[[int, Page], Iterable[tuple]], schema: str, bare: bool = True) -> DataFrame:
+    """The rows that ``make`` (page_id, parsed page) gives for each page; null html is an empty page. Without ``bare`` a
+    named reference counts only where a semicolon ends it, here and in the functions that take it."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for page_id, at, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                rows += make(page_id, Page(html.as_py(), at))
+                rows += make(page_id, Page(html.as_py(), at, bare))
                 if len(rows) >= BATCH:
                     yield _batch(rows, arrow)
                     rows = []
@@ -46,7 +47,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def select(pages: DataFrame, *selectors: str, text: bool = False) -> DataFrame:
+def select(pages: DataFrame, *selectors: str, text: bool = False, bare: bool = True) -> DataFrame:
     """Hits of one or more selectors: page_id, selector, node_id, parent_id, depth, ref, role, tag, attrs, and text if asked for."""
     for s in selectors:
         match([], s)  # a selector that can't be read fails here
@@ -57,7 +58,7 @@ def select(pages: DataFrame, *selectors: str, text: bool = False) -> DataFrame:
                 attrs = [{"name": k, "value": v} for k, v in r.attrs]
                 yield page_id, s, r.node_id, r.parent_id, r.depth, r.ref, role(r), r.tag, attrs, *([page.text(r)] if text else [])
 
-    return per_page(pages, make, "page_id long, selector string, node_id int, parent_id int, depth int, ref int, role string, tag string, attrs array<struct<name: string, value: string>>" + ", text string" * text)
+    return per_page(pages, make, "page_id long, selector string, node_id int, parent_id int, depth int, ref int, role string, tag string, attrs array<struct<name: string, value: string>>" + ", text string" * text, bare)
 
 
 def count(pages: DataFrame, selector: str) -> DataFrame:
@@ -148,12 +149,12 @@ def walked(pages: DataFrame, mask: int = 0xFFFFFFFF, rejected: str | None = None
     return per_page(pages, make, "page_id long, node_id int, kind string, previous_id int, next_id int")
 
 
-def titles(pages: DataFrame) -> DataFrame:
+def titles(pages: DataFrame, bare: bool = True) -> DataFrame:
     def make(page_id: int, page: Page) -> list[tuple]:
         title = page.title()
         return [] if title is None else [(page_id, title)]
 
-    return per_page(pages, make, "page_id long, title string")
+    return per_page(pages, make, "page_id long, title string", bare)
 
 
 def stats(pages: DataFrame) -> DataFrame:
@@ -168,7 +169,7 @@ def _resolved(page: Page, text: str) -> tuple[str | None, str | None]:
         return None, str(e)
 
 
-def links(pages: DataFrame) -> DataFrame:
+def links(pages: DataFrame, bare: bool = True) -> DataFrame:
     """Every a[href] with its text, and where it leads: page_id, node_id, ref, text, href, target_url, error."""
 
     def make(page_id: int, page: Page) -> Iterator[tuple]:
@@ -176,7 +177,7 @@ def links(pages: DataFrame) -> DataFrame:
             if r.tag == "a" and (href := attr(r, "href")) is not None:
                 yield page_id, r.node_id, r.ref, page.text(r), href, *_resolved(page, href)
 
-    return per_page(pages, make, "page_id long, node_id int, ref int, text string, href string, target_url string, error string")
+    return per_page(pages, make, "page_id long, node_id int, ref int, text string, href string, target_url string, error string", bare)
 
 
 def json_blocks(pages: DataFrame) -> DataFrame:
@@ -223,7 +224,7 @@ def submit_requests(pages: DataFrame, selector: str | None = None, values: list[
     return per_page(pages, make, "page_id long, form_node int, method string, url string, body string, error string")
 
 
-def click_requests(pages: DataFrame) -> DataFrame:
+def click_requests(pages: DataFrame, bare: bool = True) -> DataFrame:
     """What clicking each numbered element asks for: page_id, ref, action (link, submit, unsupported), method, url, body."""
 
     def make(page_id: int, page: Page) -> Iterator[tuple]:
@@ -233,7 +234,7 @@ def click_requests(pages: DataFrame) -> DataFrame:
             submit = not link and not (error or "").startswith("unsupported: click")
             yield page_id, ref, "link" if link else "submit" if submit else "unsupported", method, at, body
 
-    return per_page(pages, make, "page_id long, ref int, action string, method string, url string, body string")
+    return per_page(pages, make, "page_id long, ref int, action string, method string, url string, body string", bare)
 
 
 def fetch_calls(pages: DataFrame) -> DataFrame:
@@ -307,7 +308,7 @@ def bridge(pages: DataFrame, responses: DataFrame | None = None) -> DataFrame:
     return out.select("page_id", "kind", "method", "url", "body", F.col("r_status").alias("status"), F.col("r_at").alias("at"), F.col("r_html").alias("html"), F.when(F.col("r_url").isNull(), "not found").otherwise(F.col("r_error")).alias("error"))
 
 
-def serialize(pages: DataFrame, selector: str | None = None, inner: bool = False) -> DataFrame:
+def serialize(pages: DataFrame, selector: str | None = None, inner: bool = False, bare: bool = True) -> DataFrame:
     """HTML text of whole pages, or of each hit: page_id, node_id, html."""
 
     def make(page_id: int, page: Page) -> Iterator[tuple]:
@@ -315,15 +316,15 @@ def serialize(pages: DataFrame, selector: str | None = None, inner: bool = False
         for k in match(page.rows, selector) if selector else [0]:
             yield page_id, k, nodes[k].inner_html() if inner else nodes[k].outer_html()
 
-    return per_page(pages, make, "page_id long, node_id int, html string")
+    return per_page(pages, make, "page_id long, node_id int, html string", bare)
 
 
-def raw_text(pages: DataFrame, selector: str) -> DataFrame:
+def raw_text(pages: DataFrame, selector: str, bare: bool = True) -> DataFrame:
     """The text below each hit as it stands: page_id, node_id, text."""
-    return per_page(pages, lambda page_id, page: [(page_id, r.node_id, page.raw_text(r)) for r in page.select(selector)], "page_id long, node_id int, text string")
+    return per_page(pages, lambda page_id, page: [(page_id, r.node_id, page.raw_text(r)) for r in page.select(selector)], "page_id long, node_id int, text string", bare)
 
 
-def edit(pages: DataFrame, edits: list[tuple]) -> DataFrame:
+def edit(pages: DataFrame, edits: list[tuple], bare: bool = True) -> DataFrame:
     """Pages after edits (operation, selector, more; see ``tree.edit``) in turn: page_id, url, html, edited (hits in all)."""
 
     def make(page_id: int, page: Page) -> list[tuple]:
@@ -331,7 +332,7 @@ def edit(pages: DataFrame, edits: list[tuple]) -> DataFrame:
         n = sum(tree.edit(root, *e) for e in edits)
         return [(page_id, page.at, root.outer_html(), n)]
 
-    return per_page(pages, make, "page_id long, url string, html string, edited int")
+    return per_page(pages, make, "page_id long, url string, html string, edited int", bare)
 
 
 def written(pages: DataFrame) -> DataFrame:

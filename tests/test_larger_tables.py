@@ -4,6 +4,8 @@ import pyarrow as pa
 import pytest
 from arborfold import registry
 from arborfold.functions import patterns
+from arborfold.functions.entities import decode
+from arborfold.operators import pages
 
 
 @pytest.fixture(scope="module")
@@ -37,3 +39,18 @@ def test_pattern_fuel_is_dealt(spark, tables):
     found = registry.QUERIES["pattern_fuel"](spark, tables)
     assert tasks(found) == 8
     assert found.where("error = 'out of fuel'").count() == 4000 * 15 // 25
+
+
+def test_cut_references_stay_where_sql_leaves_them(spark, tmp_path):
+    """Titles of larger tables end within a reference; queries with SQL read those that a semicolon ends."""
+    html = "<title>a &amp; b &amp</title><nav><ul><li><a href='/x?a&amp=1'>c &copy</a></ul></nav><h1>a &amp; b &amp</h1>"
+    spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    assert [r.title for r in run("titles")] == ["a & b &amp"]
+    assert [r.text for r in run("text_content_h1")] == [r.text for r in run("raw_text_h1")] == ["a & b &amp"]
+    assert [r.html for r in run("serialized_h1")] == ["<h1>a &amp; b &amp;amp</h1>"]
+    assert [(r.text, r.href) for r in run("nav_links")] == [("c &copy", "/x?a&amp=1")]
+    assert [r.html for r in run("edited_links")] == ['<a href="/x?a&amp;amp=1" rel="next">go</a>']
+    df = registry.table(spark, str(tmp_path), "pages")
+    assert pages.titles(df).first().title == "a & b &"
+    assert decode("&#65 &amp &amp;", bare=False) == "A &amp &"
