@@ -228,8 +228,15 @@ def click_requests(pages: DataFrame, bare: bool = True) -> DataFrame:
     """What clicking each numbered element asks for: page_id, ref, action (link, submit, unsupported), method, url, body."""
 
     def make(page_id: int, page: Page) -> Iterator[tuple]:
+        sent: dict[int, tuple] = {}  # a form's request is the same for all that send it
         for ref, r in page.refs().items():
-            method, at, body, error = _request(lambda ref=ref: page.click(ref))
+            form = page.form_of(r)
+            if form is None:
+                method, at, body, error = _request(lambda ref=ref: page.click(ref))
+            else:
+                if form.node_id not in sent:
+                    sent[form.node_id] = _request(lambda f=form: page.submit(f))
+                method, at, body, error = sent[form.node_id]
             link = r.tag == "a" and attr(r, "href") is not None
             submit = not link and not (error or "").startswith("unsupported: click")
             yield page_id, ref, "link" if link else "submit" if submit else "unsupported", method, at, body

@@ -44,7 +44,7 @@ def script_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scripted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page a customer whose script clicks a link, sends a form or posts back."""
-    c = table(spark, sf_dir, "customer")
+    c = registry._customers(spark, sf_dir)
     start = """concat('<a id="l" href="../next/', c_custkey, '">n</a><a id="j" href="javascript:__doPostBack(\\'t', c_custkey, '\\', \\'\\')">p</a><form method="post" action="/go"><input name="seg" value="', c_mktsegment, '"></form><script>// document.links[1].click()\\n')"""
     what = """element_at(array('const el = document.getElementById("l"); el.click()', 'document.forms[0].submit()', 'if (1) { document.querySelector("#j").click() }', 'function later() { document.forms[0].submit() }'), CAST(c_custkey % 4 + 1 AS INT))"""
     return c.selectExpr("c_custkey AS page_id", "concat('https://shop.example/c/', c_custkey) AS url", f"concat({start}, {what}, '</script>') AS html")
@@ -66,7 +66,7 @@ def script_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
   unnest([CASE WHEN c_custkey % 10 < 7 THEN 'shared(' || c_custkey % 10 || ')' END, 'own(' || c_custkey || ')', NULL]) AS body FROM customer""")
 def script_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What pages would run: scripts of other addresses by a join, each address once, and their own."""
-    c = table(spark, sf_dir, "customer")
+    c = registry._customers(spark, sf_dir)
     html = """concat('<script src="../js/', c_custkey % 10, '.js"></script><script>own(', c_custkey, ')</script><script src="/js/', c_custkey % 10, '.js"></script><script src="http://cdn.example/x.js"></script><script type="text/plain">no()</script>')"""
     held = c.selectExpr("c_custkey % 10 AS k").distinct().where("k < 7").selectExpr("concat('https://shop.example/js/', k, '.js') AS url", "concat('shared(', k, ')') AS body")
     return pages.script_sources(c.selectExpr("c_custkey AS page_id", "concat('https://shop.example/c/', c_custkey) AS url", f"{html} AS html"), held)
@@ -77,7 +77,7 @@ def script_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages after what their scripts plainly write: text, attributes, parsed HTML, a removed element."""
     html = """concat('<h1>old</h1><p id="p">low</p><div id="d">x</div><script>const h = document.querySelector("h1"), d = document.getElementById("d"); h.textContent = "', c_name, ' <" + "', c_mktsegment, '>"; h.className = "on"; d.innerHTML = "<b>', c_mktsegment, '</b>"; d.setAttribute("title", `n${', c_custkey, '}`); ',
       if(c_acctbal > 0, 'document.querySelector("#p").remove()', 'function later() { h.remove() }'), '</script>')"""
-    done = pages.written(table(spark, sf_dir, "customer").selectExpr("c_custkey AS page_id", "'https://shop.example/' AS url", f"{html} AS html"))
+    done = pages.written(registry._customers(spark, sf_dir).selectExpr("c_custkey AS page_id", "'https://shop.example/' AS url", f"{html} AS html"))
     return done.select("page_id", "writes", F.substring_index("html", "<script>", 1).alias("body"))
 
 
@@ -237,7 +237,7 @@ _NL = "' || chr(10) || '"
   || '{_NL}  - table{_NL}    - cell ' || chr(39) || c_custkey || chr(39) || '{_NL}    - image -> /i.png [alt=pic]{_NL}' AS snapshot, 4::BIGINT AS actions FROM customer""")
 def snapshot_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole snapshots of pages with every kind of line: title, wrappers that vanish, long text, controls, images, skipped parts."""
-    c = table(spark, sf_dir, "customer")
+    c = registry._customers(spark, sf_dir)
     html = """concat('<html><head><title>', c_name, '</title><style>p {}</style></head><body><nav><ul><li><a href="/n', c_custkey, '">Next</a></ul></nav><div><h2>No <b>', c_custkey, '</b></h2><section><p>', repeat(c_name, 10), '</p></section></div><form id="f"><input name="q" placeholder="Find"><input type="checkbox"',
       if(c_acctbal > 0, ' checked', ''), '><select name="s"><option>', c_mktsegment, '</select></form><table><tr><td>', c_custkey, '<td><img alt="pic" src="/i.png"></table><noscript>no</noscript><!-- c -->')"""
     shots = c.select(F.col("c_custkey").alias("page_id"), page_snapshot(F.expr(html)).alias("snapshot"))
@@ -254,7 +254,7 @@ def url_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References of every form resolved against a base, with what a request would name and whether the origin is the same."""
     refs = F.array(*(F.lit(r) for r, _ in _JOINS))
     base = F.concat(F.lit("HTTP://h.example/a/b"), F.col("event_id").cast("string"), F.lit("/c?d#e"))
-    e = table(spark, sf_dir, "events").select("event_id", base.alias("base"), F.get(refs, (F.col("event_id") % len(_JOINS)).cast("int")).alias("ref"))
+    e = spread(table(spark, sf_dir, "events").select("event_id"), "event_id").select("event_id", base.alias("base"), F.get(refs, (F.col("event_id") % len(_JOINS)).cast("int")).alias("ref"))
     e = e.select("event_id", url_parts("base").alias("b"), url_join("base", "ref").alias("u"))
     return e.select("event_id", F.col("u.href").alias("url"), text.authority(F.col("u")).alias("host"), text.request_target(F.col("u")).alias("target"), same_origin(F.col("b"), F.col("u")).alias("same"))
 

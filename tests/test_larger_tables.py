@@ -3,8 +3,9 @@
 import pyarrow as pa
 import pytest
 from arborfold import registry
-from arborfold.functions import patterns
+from arborfold.functions import patterns, tree, url
 from arborfold.functions.entities import decode
+from arborfold.functions.page import Page
 from arborfold.operators import pages
 
 
@@ -54,3 +55,25 @@ def test_cut_references_stay_where_sql_leaves_them(spark, tmp_path):
     df = registry.table(spark, str(tmp_path), "pages")
     assert pages.titles(df).first().title == "a & b &"
     assert decode("&#65 &amp &amp;", bare=False) == "A &amp &"
+
+
+@pytest.mark.parametrize("name", ["click_forms", "script_writes", "submit_requests", "submit_overrides", "script_sources", "snapshot_texts", "form_fields", "sel_id", "fetch_calls", "json_lines", "sql_json_blocks", "url_joined"])
+def test_pages_made_of_narrow_rows_are_dealt(spark, tables, name):
+    assert tasks(registry.QUERIES[name](spark, tables)) >= 4
+
+
+def test_forms_are_read_once_for_all_that_send_them(spark, monkeypatch):
+    page = Page("<form id='f' action='/go'><input name='a' value='1'><input type='submit'><button>b</button></form>", "http://h/p")
+    assert [page.form_of(page.refs()[k]).tag for k in (1, 2, 3)] == ["form"] * 3
+    read = []
+    monkeypatch.setattr(url, "parse", lambda text, parse=url.parse: read.append(text) or parse(text))
+    assert [page.click(k) for k in (1, 2, 3)] == [("GET", "http://h/go?a=1", "")] * 3
+    assert read == ["http://h/p"]
+
+
+def test_writes_keep_the_tree_between_them(monkeypatch):
+    made = []
+    monkeypatch.setattr(tree, "from_rows", lambda rows, f=tree.from_rows: made.append(len(rows)) or f(rows))
+    page = Page("<p id=a>x</p><p id=b>y</p><script>document.getElementById('a').title = 'q'; document.getElementById('b').remove(); document.getElementById('a').textContent = 'z'</script>", "http://h/")
+    html, n = tree.written(page)
+    assert (html.partition("<script>")[0], n, len(made)) == ('<p id="a" title="q">z</p>', 3, 1)
