@@ -1,5 +1,8 @@
 """What queries do as tables grow: rows that make much work are dealt over tasks, and equal work is done once."""
 
+import random
+import re
+
 import pyarrow as pa
 import pytest
 from arborfold import registry
@@ -77,3 +80,26 @@ def test_writes_keep_the_tree_between_them(monkeypatch):
     page = Page("<p id=a>x</p><p id=b>y</p><script>document.getElementById('a').title = 'q'; document.getElementById('b').remove(); document.getElementById('a').textContent = 'z'</script>", "http://h/")
     html, n = tree.written(page)
     assert (html.partition("<script>")[0], n, len(made)) == ('<p id="a" title="q">z</p>', 3, 1)
+
+
+def test_places_without_the_pattern_s_beginning_are_not_tried(monkeypatch):
+    tried = []
+    monkeypatch.setattr(patterns.Pattern, "_try", lambda self, pc, text, at, *more, f=patterns.Pattern._try: tried.append(at) or f(self, pc, text, at, *more))
+    p = patterns.Pattern(r"\b([a-z]+)(ing|tion) ([a-z]{2,4})\b", "g")
+    text = "plain words, string of nation xs, tin ion " * 50
+    assert patterns.replace(p, text, "$3 $1") == re.sub(r"\b([a-z]+)(ing|tion) ([a-z]{2,4})\b", r"\3 \1", text)
+    assert len(tried) == 100  # the matches alone
+    with pytest.raises(patterns.OutOfFuel):  # what a glance reads is burnt as well
+        patterns.Pattern("[a-z]+x").match("a" * 2000, 0, 100_000)
+
+
+def test_glances_change_no_match():
+    dealt = random.Random(3)
+    ways = [r"a+b", r"\ba{1,2}(b|ca)c", r"(a|bb)+c", r"[ab]*?c\B", r"a(?:b|c){2}", r"(a)b\1", r"a?b+c", r"(?=ab)a[bc]+a", r"A+b|c", r"ab{0}c", r"(a*)(b|c)"]
+    for _ in range(3000):
+        text = "".join(dealt.choice("aabbc C ") for _ in range(dealt.randrange(14)))
+        for way in ways:
+            for flags in ("", "i"):
+                want = re.compile(way, re.IGNORECASE if flags else 0).search(text)
+                got = patterns.compiled(way, flags).match(text)
+                assert (got and (got.start, got.end)) == (want and want.span()), (way, flags, text)
