@@ -20,7 +20,7 @@ from ..functions.script_tokens import ScriptSyntaxError, tokens
 from ..functions.script_tree import number_text
 from ..functions.script_tree import walk as walk_tree
 
-BATCH = 20_000
+BATCH, TEXT = 20_000, 4 << 20  # rows, and characters of text, with which a batch leaves a worker
 
 
 def per_page(pages: DataFrame, make: Callable[[int, Page], Iterable[tuple]], schema: str, bare: bool = True) -> DataFrame:
@@ -30,19 +30,27 @@ def per_page(pages: DataFrame, make: Callable[[int, Page], Iterable[tuple]], sch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for page_id, at, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                rows += make(page_id, Page(html.as_py(), at, bare))
-                if len(rows) >= BATCH:
-                    yield _batch(rows, arrow)
-                    rows = []
-            if rows:
-                yield _batch(rows, arrow)
+            found = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)
+            yield from _batches((make(page_id, Page(html.as_py(), at, bare)) for page_id, at, html in found), arrow)
 
     given = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string").alias("url")
     return pages.select(F.col("page_id").cast("long"), given, F.col("html").cast("string")).mapInArrow(run, schema)
 
 
+def _batches(found: Iterable[Iterable[tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows of pages in batches, each full by its rows or by their text: a worker never holds that of a whole batch of pages."""
+    rows, held = [], 0
+    for made in found:
+        for row in made:
+            rows.append(row)
+            held += sum(len(x) for x in row if type(x) is str)
+            if len(rows) >= BATCH or held >= TEXT:
+                yield _batch(rows, schema)
+                rows, held = [], 0
+    if rows:
+        yield _batch(rows, schema)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 

@@ -103,3 +103,11 @@ def test_glances_change_no_match():
                 want = re.compile(way, re.IGNORECASE if flags else 0).search(text)
                 got = patterns.compiled(way, flags).match(text)
                 assert (got and (got.start, got.end)) == (want and want.span()), (way, flags, text)
+
+
+def test_batches_are_full_by_their_text(monkeypatch):
+    schema = pa.schema([("page_id", pa.int64()), ("html", pa.string())])
+    monkeypatch.setattr(pages, "TEXT", 10, raising=False)
+    got = [b.to_pylist() for b in pages._batches([[(1, "x" * 6), (2, None)], [], [(3, "y" * 5)], [(4, "z")]], schema)]
+    assert [[r["page_id"] for r in b] for b in got] == [[1, 2, 3], [4]]
+    assert list(pages._batches([[]], schema)) == []
