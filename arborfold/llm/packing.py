@@ -106,8 +106,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int
         enc, part, seen = encoder(tokenizer, words), TaskContext.get().partitionId(), [0] * (window + 1)
         rows, size = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.concatenate([enc.encode(text.as_py()), end])
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
+                ids = np.concatenate([ids, end])
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
                     rows.append((doc_id, start, len(piece), len(ids), piece.tobytes(), part, seen[len(piece)]))

@@ -150,8 +150,8 @@ def write_token_files(
             out = TokenFileWriter(enc.vocab_size)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out.add(doc_id, np.concatenate([enc.encode(text.as_py()), end]))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
+                out.add(doc_id, np.concatenate([ids, end]))
                 if out.total >= ids_a_file:
                     close()
         close()

@@ -6,6 +6,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -35,6 +36,31 @@ def test_encoder_equals_library():
         assert enc.encode(text).tolist() == plain_ids(text)
 
 
+def test_encoder_takes_texts_together():
+    """Texts of a batch, whatever stands where they meet, have the ids that each has alone."""
+    rng, enc = random.Random(8), tokens.Encoder(tokens.tokenizer_path(), limit=64)
+    alphabet = ["a", "É", " ", " ", "  ", "\n", "\n ", "\t", "'", "'s", "'re", ".", "1", "²", "Ⅷ", "\u0301", "\u180e", "\u200b", "\xa0", "\x85", "\x1c", "\x00", "<|endoftext|>", "日", "😀", "\U000323b0"]
+    texts = [None, "", *("".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 2, 20]))) for _ in range(1500)), None]
+    library = Tokenizer.from_file(tokens.tokenizer_path())
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for size in (1, 100, 1 << 22):
+        assert [ids.tolist() for ids in enc.encode_all(pa.array(texts, pa.string()), size)] == want
+        assert [ids.tolist() for ids in enc.encode_all(pa.array(texts, pa.string())[3:200], size)] == want[3:200]
+    assert list(enc.encode_all(pa.array([], pa.string()))) == [] and next(enc.encode_all(pa.array([None], pa.string()))).size == 0
+
+
+def test_encoder_asks_once_for_what_repeats(monkeypatch):
+    """Words go to the library once, whatever marks or line breaks stand beside them, though few are kept."""
+    enc, asked = tokens.Encoder(tokens.tokenizer_path(), limit=64), Counter()
+    ids_of = enc._ids
+    monkeypatch.setattr(enc, "_ids", lambda part: asked.update([part]) or ids_of(part))
+    rng = random.Random(9)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400)]
+    text = "".join(f"{rng.choice(words)}{mark}" for _ in range(600) for mark in (" ", ", ", ".\n", "!? ", ".")) + "end"
+    assert enc.encode(text).tolist() == plain_ids(text)
+    assert max(asked.values()) == 1 and len(asked) <= 2 * len(words) + 5
+
+
 @pytest.mark.parametrize("vocab", [2, 5, 256, 50257, 70000])
 def test_pack_round_trip(vocab):
     ids = np.random.default_rng(1).integers(0, vocab, 10_001).astype("<u4")
