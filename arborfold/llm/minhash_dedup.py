@@ -110,6 +110,7 @@ def signatures(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, node long, sig binary, bands array<long>")
 
 
+PAIRS = 1 << 14  # pairs that one task compares by their signatures; by their sets, a quarter
 FEW = 1 << 22  # ids that a set of bits may stand for; more are found by a join
 
 
@@ -155,7 +156,7 @@ def _sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, threshold: float, miss: float, size: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach the threshold."""
+    """The pairs (a, b) of classes whose full sets reach the threshold; more than once where rows repeat their id and text."""
     sigs = reps.select("node", "sig")
     both = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
 
@@ -165,9 +166,12 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, thr
             left = pa.array(survivors(x, y, threshold, miss))
             yield pa.RecordBatch.from_arrays([b.column(0).take(left), b.column(1).take(left)], names=["a", "b"])
 
-    likely = common.materialise(both.select("a", "b", "sig_a", "sig_b").mapInArrow(judge, "a long, b long"), "minhash-likely")
+    spark = docs.sparkSession
+    tasks = common.tasks_for(spark, pairs.count(), PAIRS)
+    likely = common.materialise(both.select("a", "b", "sig_a", "sig_b").coalesce(tasks).mapInArrow(judge, "a long, b long"), "minhash-likely")
+    tasks = common.tasks_for(spark, likely.count(), PAIRS >> 2)
     ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-    needed = common.materialise(reps.select("node", "rep").join(ends, "node", "left_semi"), "minhash-needed")
+    needed = common.materialise(reps.select("node", "rep").join(ends, "node", "left_semi"), "minhash-needed", tasks=tasks)
     sets = common.materialise(_sets(docs, needed, words), "minhash-sets")
     full = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     hundredths = round(100 * threshold)
@@ -182,8 +186,8 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, thr
             keep = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
 
-    with common.batches_of(docs.sparkSession, 256):
-        links = common.materialise(full.select("a", "b", "set_a", "set_b").mapInArrow(exact, "a long, b long").distinct(), "minhash-links")
+    with common.batches_of(spark, 256):
+        links = common.materialise(full.select("a", "b", "set_a", "set_b").coalesce(tasks).mapInArrow(exact, "a long, b long"), "minhash-links")
     for t in (likely, needed, sets):
         common.drop_table(t)
     return links
@@ -239,23 +243,26 @@ def _crossed(crowd: DataFrame, reps: DataFrame, docs: DataFrame, words: int, thr
     Classes joined by large buckets form a group. Its classes are cut into blocks by bytes, those of its largest
     component apart from the others; every two blocks of a group that can hold different components meet in one task.
     """
+    n = crowd.count()
+    tasks = common.tasks_for(docs.sparkSession, n)
     hub = crowd.groupBy("key").agg(F.min("node").alias("hub"))
-    hub = common.materialise(hub, "minhash-hubs")
-    around = common.components(crowd.join(hub, "key").select(F.col("node").alias("u"), F.col("hub").alias("v")), "minhash-groups").toDF("node", "g")
-    members = common.materialise(crowd.select("node", "comp").distinct().join(around, "node"), "minhash-members")
+    hub = common.materialise(hub, "minhash-hubs", tasks=tasks)
+    around = common.components(crowd.join(hub, "key").select(F.col("node").alias("u"), F.col("hub").alias("v")), "minhash-groups", rows=n).toDF("node", "g")
+    members = common.materialise(crowd.select("node", "comp").distinct().join(around, "node"), "minhash-members", tasks=tasks)
     sizes = members.groupBy("g", "comp").agg(F.count("*").alias("n"))
-    main = common.materialise(sizes.groupBy("g").agg(F.max_by("comp", F.struct("n", "comp")).alias("main")), "minhash-main")
-    needed = common.materialise(reps.join(members, "node", "left_semi").select("node", "rep"), "minhash-needed")
+    main = common.materialise(sizes.groupBy("g").agg(F.max_by("comp", F.struct("n", "comp")).alias("main")), "minhash-main", tasks=tasks)
+    needed = common.materialise(reps.join(members, "node", "left_semi").select("node", "rep"), "minhash-needed", tasks=tasks)
+    held = common.tasks_for(docs.sparkSession, needed.count(), PAIRS >> 2)
     sets = common.materialise(_sets(docs, needed, words), "minhash-sets")
     rows = members.join(main, "g").withColumn("side", (F.col("comp") == F.col("main")).cast("int")).join(reps.select("node", "sig"), "node").join(sets, "node")
-    rows = common.materialise(rows.select("g", "side", "node", "comp", "sig", "shingles"), "minhash-rows")
+    rows = common.materialise(rows.select("g", "side", "node", "comp", "sig", "shingles"), "minhash-rows", tasks=held)
     cut = F.greatest(F.lit(1), F.ceil(F.sum(F.length("shingles") + 600) / block_bytes)).cast("int")
-    total = common.materialise(rows.groupBy("g", "side").agg(cut.alias("n")), "minhash-totals")
+    total = common.materialise(rows.groupBy("g", "side").agg(cut.alias("n")), "minhash-totals", tasks=tasks)
     other = total.select("g", (1 - F.col("side")).alias("side"), F.col("n").alias("n_other"))
-    total = common.materialise(total.join(other, ["g", "side"], "left").select("g", "side", "n", F.coalesce("n_other", F.lit(0)).alias("n_other")), "minhash-cuts")
+    total = common.materialise(total.join(other, ["g", "side"], "left").select("g", "side", "n", F.coalesce("n_other", F.lit(0)).alias("n_other")), "minhash-cuts", tasks=tasks)
     rows = rows.join(total, ["g", "side"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    held = rows.groupBy("g", "side", "block", "n", "n_other").agg(F.collect_list(F.struct("node", "comp", "sig", "shingles")).alias("rows"))
-    blocks = common.materialise(held, "minhash-blocks")
+    blocks = rows.groupBy("g", "side", "block", "n", "n_other").agg(F.collect_list(F.struct("node", "comp", "sig", "shingles")).alias("rows"))
+    blocks = common.materialise(blocks, "minhash-blocks", tasks=held)
     # a tile is two blocks: both of side 0, or one of either side; each block goes to all its tiles
     upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
     tile = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
@@ -303,53 +310,70 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, mis
     Bayesian test with probability about ``miss`` a batch; shingles count as equal where their 64-bit hashes are.
     """
     scheme = scheme or Scheme()
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = common.materialise(signatures(docs, words, scheme), "minhash-signatures")
+    n = signed.count()
     classes = signed.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node")
-    reps = common.materialise(classes.agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "minhash-classes")
+    classes = classes.agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    reps = common.materialise(classes, "minhash-classes", tasks=common.tasks_for(spark, n, PAIRS >> 1))
     members = reps.select(F.explode("bands").alias("key"), "node")
     lead = F.min(F.struct(F.xxhash64("node", "key").alias("by"), F.col("node"))).alias("lead")
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), lead).where("n > 1").select("key", F.col("lead.node").alias("lead"))
-    buckets = common.materialise(buckets, "minhash-buckets")
-    shared = common.materialise(members.join(buckets, "key"), "minhash-shared")
+    n_members = scheme.bands * reps.count()
+    buckets = common.materialise(buckets, "minhash-buckets", tasks=common.tasks_for(spark, n_members))
+    shared = common.materialise(members.join(buckets, "key"), "minhash-shared", tasks=common.tasks_for(spark, n_members))
+    tasks = common.tasks_for(spark, shared.count())  # for tables of a row a member of a bucket at most
     pair = [F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")]
-    stars = common.materialise(shared.where("node <> lead").select(*pair).distinct(), "minhash-stars")
+    stars = common.materialise(shared.where("node <> lead").select(*pair).distinct(), "minhash-stars", tasks=tasks)
     links = _confirm(stars, reps, docs, words, threshold, miss, scheme.size)
     tested = stars
-    comps = common.components(links.toDF("u", "v"), "minhash-components")
+    comps = common.components(links.toDF("u", "v"), "minhash-components", rows=links.count())
     for turn in range(rounds + 1):
         # what shares a bucket and is still apart
         placed = shared.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-        placed = common.materialise(placed, "minhash-placed")
+        placed = common.materialise(placed, "minhash-placed", tasks=tasks)
         mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        mixed = common.materialise(placed.join(common.materialise(mixed, "minhash-mixed"), "key", "left_semi"), "minhash-apart")
+        mixed = common.materialise(mixed, "minhash-mixed", tasks=tasks)
+        if not mixed.count():
+            common.drop_table(placed)
+            break
+        mixed = common.materialise(placed.join(mixed, "key", "left_semi"), "minhash-apart", tasks=tasks)
+        new = []
         if turn < rounds:  # against the member of the bucket with most links so far
             ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n"))
-            known = common.materialise(mixed.join(common.materialise(ends, "minhash-degrees"), "node"), "minhash-known")
+            known = common.materialise(mixed.join(common.materialise(ends, "minhash-degrees", tasks=tasks), "node"), "minhash-known", tasks=tasks)
             best = F.max(F.struct("n", F.xxhash64("node", "key", F.lit(turn)).alias("by"), F.col("node").alias("node2"), F.col("comp").alias("comp2"))).alias("best")
             other = known.groupBy("key").agg(best).select("key", "best.node2", "best.comp2")
-            other, apart = common.materialise(other, "minhash-leads"), "comp <> comp2"
+            other, apart = common.materialise(other, "minhash-leads", tasks=tasks), "comp <> comp2"
         else:  # all of a small bucket; large ones in tiles
-            large = common.materialise(mixed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > small).select("key"), "minhash-large")
-            crowd = common.materialise(mixed.join(large, "key", "left_semi"), "minhash-crowd")
+            large = mixed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > small).select("key")
+            large = common.materialise(large, "minhash-large", tasks=tasks)
+            crowd = common.materialise(mixed.join(large, "key", "left_semi"), "minhash-crowd", tasks=tasks)
             if crowd.limit(1).count():
-                crossed = _crossed(crowd, reps, docs, words, threshold, miss)
-                links = links.unionByName(crossed)
-            mixed = common.materialise(mixed.join(large, "key", "left_anti"), "minhash-apart")
+                new.append(_crossed(crowd, reps, docs, words, threshold, miss))
+            mixed = common.materialise(mixed.join(large, "key", "left_anti"), "minhash-apart", tasks=tasks)
             other, apart = mixed.select("key", F.col("node").alias("node2"), F.col("comp").alias("comp2")), "comp < comp2"
+        at_most = common.tasks_for(spark, mixed.count() * (1 if turn < rounds else small))
         rest = mixed.join(other, "key").where(apart).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        rest = common.materialise(rest.join(tested, ["a", "b"], "left_anti"), "minhash-rest")
+        rest = common.materialise(rest.join(tested, ["a", "b"], "left_anti"), "minhash-rest", tasks=at_most)
         for t in (placed, mixed):
             common.drop_table(t)
         if rest.limit(1).count():
-            links = links.unionByName(_confirm(rest, reps, docs, words, threshold, miss, scheme.size))
+            new.append(_confirm(rest, reps, docs, words, threshold, miss, scheme.size))
             tested = tested.unionByName(rest)
-        comps = common.components(links.toDF("u", "v"), "minhash-components")
+        for found in new:
+            links = links.unionByName(found)
+        if any(found.limit(1).count() for found in new):  # what was joined before stays so: its stars stand for its links
+            edges = comps.where("node <> component").toDF("u", "v")
+            for found in new:
+                edges = edges.unionByName(found.toDF("u", "v"))
+            comps = common.components(edges, "minhash-components", rows=edges.count())
 
     rep_of = reps.select("node", "rep")
     first = comps.join(rep_of, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     found = rep_of.join(comps.join(first, "component").select("node", "component_id"), "node", "left")
-    found = common.materialise(found.select("node", F.coalesce("component_id", "rep").alias("component_id")), "minhash-found")
+    found = common.materialise(found.select("node", F.coalesce("component_id", "rep").alias("component_id")), "minhash-found", tasks=common.tasks_for(spark, n))
     for t in (shared, buckets):
         common.drop_table(t)
     out = signed.select("doc_id", "n_shingles", F.expr("CASE WHEN doc_id IS NOT NULL THEN node END").alias("node")).join(found, "node", "left")

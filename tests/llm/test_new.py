@@ -1,4 +1,4 @@
-"""Whitening, URL filters and the divergence audit against brute force and exact fractions."""
+"""Whitening, URL filters and the divergence audit against brute force and exact fractions; what small tables cost."""
 
 import random
 import re
@@ -8,7 +8,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from arborfold.llm import divergence, url_filter, whitening
+from arborfold.llm import common, divergence, minhash_dedup, url_filter, whitening
 
 
 def test_error_free_parts():
@@ -149,3 +149,36 @@ def test_divergence_of_nothing_and_large_numbers(spark):
         assert [t for p in divergence._pieces(text) for t in p] == text.split()
     finally:
         divergence.PIECE = divergence_piece
+
+
+def test_tables_of_few_rows_have_few_files_and_rounds(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        texts += [" ".join(base[:k] + [f"v{rng.randrange(5000)}"] + base[k + 1 :]) for k in (5, 25, 45)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    files, real = [], common.materialise
+
+    def seen(df, name, *more, **args):
+        out = real(df, name, *more, **args)
+        files.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(common, "materialise", seen)
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs, words=2).collect()}
+        tables, files[:] = list(files), []
+        stars = common.components(spark.createDataFrame([(1, k) for k in range(2, 90)] + [(100, 101), (7, 7)], "u long, v long"), rows=90)
+        placed = {r["node"]: r["component"] for r in stars.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {k: k - k % 3 for k in range(180)}
+    assert placed == {k: 1 for k in range(1, 90)} | {100: 100, 101: 100}
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert {name for name, n in tables if n > most} == set() and [name for name, _ in files] == ["components-edges"]
