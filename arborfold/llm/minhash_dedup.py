@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, node long, sig binary, bands array<long>")
 
 
-PAIRS = 1 << 14  # pairs that one task compares by their signatures; by their sets, a quarter
+PAIRS = 1 << 12  # pairs, and signatures of classes, that one task compares; sets, half as many
 FEW = 1 << 22  # ids that a set of bits may stand for; more are found by a join
 
 
@@ -167,9 +167,10 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, thr
             yield pa.RecordBatch.from_arrays([b.column(0).take(left), b.column(1).take(left)], names=["a", "b"])
 
     spark = docs.sparkSession
-    tasks = common.tasks_for(spark, pairs.count(), PAIRS)
+    n = reps.count()  # a task reads its share of all signatures, however few the pairs
+    tasks = common.tasks_for(spark, max(n, pairs.count()), PAIRS)
     likely = common.materialise(both.select("a", "b", "sig_a", "sig_b").coalesce(tasks).mapInArrow(judge, "a long, b long"), "minhash-likely")
-    tasks = common.tasks_for(spark, likely.count(), PAIRS >> 2)
+    tasks = max(common.tasks_for(spark, n), common.tasks_for(spark, likely.count(), PAIRS >> 1))
     ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
     needed = common.materialise(reps.select("node", "rep").join(ends, "node", "left_semi"), "minhash-needed", tasks=tasks)
     sets = common.materialise(_sets(docs, needed, words), "minhash-sets")
@@ -251,8 +252,8 @@ def _crossed(crowd: DataFrame, reps: DataFrame, docs: DataFrame, words: int, thr
     members = common.materialise(crowd.select("node", "comp").distinct().join(around, "node"), "minhash-members", tasks=tasks)
     sizes = members.groupBy("g", "comp").agg(F.count("*").alias("n"))
     main = common.materialise(sizes.groupBy("g").agg(F.max_by("comp", F.struct("n", "comp")).alias("main")), "minhash-main", tasks=tasks)
-    needed = common.materialise(reps.join(members, "node", "left_semi").select("node", "rep"), "minhash-needed", tasks=tasks)
-    held = common.tasks_for(docs.sparkSession, needed.count(), PAIRS >> 2)
+    needed = common.materialise(reps.join(members, "node", "left_semi").select("node", "rep"), "minhash-needed", tasks=common.tasks_for(docs.sparkSession, max(n, reps.count())))
+    held = max(common.tasks_for(docs.sparkSession, needed.count(), PAIRS >> 1), common.tasks_for(docs.sparkSession, reps.count(), PAIRS))
     sets = common.materialise(_sets(docs, needed, words), "minhash-sets")
     rows = members.join(main, "g").withColumn("side", (F.col("comp") == F.col("main")).cast("int")).join(reps.select("node", "sig"), "node").join(sets, "node")
     rows = common.materialise(rows.select("g", "side", "node", "comp", "sig", "shingles"), "minhash-rows", tasks=held)
@@ -356,7 +357,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, mis
             other, apart = mixed.select("key", F.col("node").alias("node2"), F.col("comp").alias("comp2")), "comp < comp2"
         at_most = common.tasks_for(spark, mixed.count() * (1 if turn < rounds else small))
         rest = mixed.join(other, "key").where(apart).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        rest = common.materialise(rest.join(tested, ["a", "b"], "left_anti"), "minhash-rest", tasks=at_most)
+        rest = common.materialise(rest.join(tested, ["a", "b"], "left_anti"), "minhash-rest", tasks=max(tasks, at_most))
         for t in (placed, mixed):
             common.drop_table(t)
         if rest.limit(1).count():
